@@ -118,6 +118,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def attach(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join a lookup table on NULL-safe keys.
+
+    The table is pinned and counted first: up to ``Limits.collect_rows`` rows it
+    is broadcast, beyond that Spark shuffles (and AQE splits hot keys).
+    """
+    keys = list(keys)
+    pinned = checkpoint(table.select(*[F.col(k).alias(f"_k_{k}") for k in keys],
+                                     *[c for c in table.columns if c not in keys]))
+    side = F.broadcast(pinned) if pinned.count() <= LIMITS.collect_rows else pinned
+    on = F.lit(True)
+    for k in keys:
+        on = on & df[k].eqNullSafe(side[f"_k_{k}"])
+    return df.join(side, on, how).drop(*[f"_k_{k}" for k in keys])
+
+
 # --------------------------------------------------------------------- moments
 _MOMENT_FIELDS = ("n", "mean", "var", "skew", "kurt", "min", "max")
 

@@ -11,7 +11,7 @@ from statframe.operators import core
 from statframe.operators.quality import normality
 
 # File endings read as paths; anything else is a catalogue key.
-PATH_ENDINGS = (".csv", ".parquet", ".hossam")
+PATH_ENDINGS = (".csv", ".parquet")
 
 
 def read_path(spark: SparkSession, path: str) -> DataFrame:
@@ -19,7 +19,7 @@ def read_path(spark: SparkSession, path: str) -> DataFrame:
     ending = os.path.splitext(path.rstrip("/"))[1].lower()
     if ending == ".csv":
         return spark.read.csv(path, header=True, inferSchema=True)
-    if ending in (".parquet", ".hossam"):
+    if ending == ".parquet":
         return spark.read.parquet(path)
     if ending == ".json":
         return spark.read.json(path)
@@ -59,7 +59,7 @@ def save(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     ending = os.path.splitext(path.rstrip("/"))[1].lower()
     if ending == ".csv":
         df.write.mode(mode).option("header", True).csv(path)
-    elif ending in (".parquet", ".hossam"):
+    elif ending == ".parquet":
         df.write.mode(mode).parquet(path)
     elif ending == ".json":
         df.write.mode(mode).json(path)
