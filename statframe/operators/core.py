@@ -98,9 +98,15 @@ def chunks(items: Sequence, size: int) -> list[list]:
     return [list(items[i:i + size]) for i in range(0, len(items), size)]
 
 
+def _plain(v):
+    v = v.item() if isinstance(v, np.generic) else v
+    return None if isinstance(v, float) and v != v else v
+
+
 def rows_frame(spark, rows: list[dict], schema: str) -> DataFrame:
-    names = [f.name for f in T._parse_datatype_string(schema).fields]
-    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema)
+    """Result rows as a frame; NaN becomes NULL."""
+    names = [part.strip().split(" ")[0] for part in schema.split(",")]
+    return spark.createDataFrame([tuple(_plain(r.get(n)) for n in names) for r in rows], schema)
 
 
 # ------------------------------------------------------------------ checkpoint
@@ -244,6 +250,28 @@ def value_ranks(df: DataFrame, value: str | Column, keys: Sequence[str] = (),
     return ranked.withColumn("rank", F.col("cnt_before") + (F.col("cnt") + 1) / 2)
 
 
+def previous(df: DataFrame, order: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Add ``prev_<col>``: the value in the row before, over the whole table in ``order``.
+
+    Large tables are range partitioned and pinned; only the last row of every
+    partition crosses to the next one.
+    """
+    order, cols = list(order), list(cols)
+    if df.count() <= LIMITS.small_rows:
+        w = Window.partitionBy(F.lit(0)).orderBy(*order)
+        return df.select("*", *[F.lag(c).over(w).alias(f"prev_{c}") for c in cols])
+    pinned = checkpoint(df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()))
+    last = pinned.groupBy("_pid").agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_last"))
+    border = Window.partitionBy(F.lit(0)).orderBy("_pid")
+    edge = last.select(F.col("_pid").alias("_edge"), F.lag("_last").over(border).alias("_from"))
+    w = Window.partitionBy("_pid").orderBy(*order)
+    out = pinned.withColumn("_rn", F.row_number().over(w)).select(
+        "*", *[F.lag(c).over(w).alias(f"_p_{c}") for c in cols])
+    out = out.join(F.broadcast(edge), F.col("_pid") == F.col("_edge"), "left")
+    return out.select(*df.columns, *[
+        F.when(F.col("_rn") == 1, F.col("_from")[c]).otherwise(F.col(f"_p_{c}")).alias(f"prev_{c}") for c in cols])
+
+
 def positions(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "_pos") -> DataFrame:
     """1-based position of each row inside its series."""
     by, order = list(by), list(order)

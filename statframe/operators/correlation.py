@@ -20,11 +20,20 @@ PAIR_SCHEMA = ("x string, y string, method string, coef double, p_value double,
 
 
 def rank_columns(df: DataFrame, cols: Sequence[str], out: str = "_r_") -> DataFrame:
-    """Add the average rank of each column's value as ``<out><col>``."""
+    """Add the average rank of each column's value as ``<out><col>``.
+
+    All columns are counted and ranked in one pass; each rank table then joins
+    on the value, broadcast while it is small.
+    """
+    cols = list(cols)
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), num(c).alias("value")) for c in cols])))
+    table = core.checkpoint(core.value_ranks(long, "value", ["variable"]).select("variable", "value", "rank"))
+    size = {r["variable"]: r["count"] for r in table.groupBy("variable").count().collect()}
     result = df
     for c in cols:
-        ranks = core.value_ranks(df, c).select(F.col("value").alias(f"_v_{c}"), F.col("rank").alias(f"{out}{c}"))
-        result = core.attach(result.withColumn(f"_v_{c}", num(c)), ranks, [f"_v_{c}"], "left").drop(f"_v_{c}")
+        side = table.where(F.col("variable") == c).select(F.col("value").alias("_v"), F.col("rank").alias(f"{out}{c}"))
+        side = F.broadcast(side) if size.get(c, 0) <= core.LIMITS.collect_rows else side
+        result = result.join(side, num(c) == F.col("_v"), "left").drop("_v")
     return result
 
 

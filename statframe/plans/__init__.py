@@ -2,7 +2,7 @@
 
 import importlib
 
-_AREAS = ("quality", "tests")
+_AREAS = ("quality", "tests", "models", "series")
 
 
 def load_all() -> None:

@@ -309,9 +309,9 @@ def corr_sql(src: str, pairs: list[tuple[str, str]]) -> str:
         select '{x}' as x, '{y}' as y, (select {rs(f'corr({x}, {y})', 6)} from {src}) as pearson,
           (select {rs('corr(a.rk, b.rk)', 6)} from {src} t join {rank_sql(src, x)} a on t.{x} = a.v
              join {rank_sql(src, y)} b on t.{y} = b.v) as spearman,
-          (select {rs(f'corr({x}, {y})', 6)} from {src}, (select quantile_cont({x}, 0.25) as x1, quantile_cont({x}, 0.75) as x3,
-             quantile_cont({y}, 0.25) as y1, quantile_cont({y}, 0.75) as y3 from {src}) where {x} between x1 - 1.5 * (x3 - x1)
-             and x3 + 1.5 * (x3 - x1) and {y} between y1 - 1.5 * (y3 - y1) and y3 + 1.5 * (y3 - y1)) as pearson_trimmed,
+          (select {rs(f'corr({x}, {y})', 6)} from {src}, (select quantile_cont({x}, 0.25) as qx1, quantile_cont({x}, 0.75) as qx3,
+             quantile_cont({y}, 0.25) as qy1, quantile_cont({y}, 0.75) as qy3 from {src}) where {x} between qx1 - 1.5 * (qx3 - qx1)
+             and qx3 + 1.5 * (qx3 - qx1) and {y} between qy1 - 1.5 * (qy3 - qy1) and qy3 + 1.5 * (qy3 - qy1)) as pearson_trimmed,
           (select count(*) from {src}) as n""")
     return " union all ".join(out)
 
