@@ -534,6 +534,26 @@ def _orders(best: DataFrame) -> list:
     return best.select("d", "sd", "s", "log").distinct().collect()
 
 
+def _one_step(keys: list[str], ts: str, value: str, log: bool):
+    """Block function: predictions and residuals of one differencing setting."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_pos")
+        x = pdf["_w"].to_numpy()
+        e = _innovations(x, np.asarray(pdf["long_ar"].iloc[0], dtype=float))
+        hat = np.zeros(len(x))
+        for lags, coef, src in (("ar_lags", "ar", x), ("ma_lags", "ma", e)):
+            for k, c in zip(pdf[lags].iloc[0], pdf[coef].iloc[0]):
+                moved = np.full(len(x), np.nan)
+                moved[k:] = src[:-k]
+                hat = hat + c * moved
+        resid = x - hat
+        y = pdf[value].to_numpy()
+        pdf["pred"] = np.exp(np.log(y) - resid) if log else y - resid
+        pdf["resid"] = resid
+        return pdf.loc[pdf["_own"] & pdf["resid"].notna(), [*keys, ts, value, "pred", "resid"]]
+    return run
+
+
 def fitted(df: DataFrame, ts: str, value: str, best: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One-step predictions and residuals of each series under its chosen model."""
     out, by = None, list(by)
@@ -546,26 +566,8 @@ def fitted(df: DataFrame, ts: str, value: str, best: DataFrame, by: Sequence[str
                                                                    F.coalesce(F.array_max("ma_lags"), F.lit(0))))).first()[0]
         full, keys = _keyed(_attach(both, mine, by), by)
         b = core.blocks(full, keys, [ts], before=longest or 1)
-        log = o["log"]
-
-        def run(pdf: pd.DataFrame, log=log) -> pd.DataFrame:
-            pdf = pdf.sort_values("_pos")
-            x = pdf["_w"].to_numpy()
-            e = _innovations(x, np.asarray(pdf["long_ar"].iloc[0], dtype=float))
-            hat = np.zeros(len(x))
-            for lags, coef, src in (("ar_lags", "ar", x), ("ma_lags", "ma", e)):
-                for k, c in zip(pdf[lags].iloc[0], pdf[coef].iloc[0]):
-                    moved = np.full(len(x), np.nan)
-                    moved[k:] = src[:-k]
-                    hat = hat + c * moved
-            resid = x - hat
-            y = pdf[value].to_numpy()
-            pdf["pred"] = np.exp(np.log(y) - resid) if log else y - resid
-            pdf["resid"] = resid
-            return pdf.loc[pdf["_own"] & pdf["resid"].notna(), [*keys, ts, value, "pred", "resid"]]
-
         one = b.df.groupBy(*keys, "_blk").applyInPandas(
-            run, _key_schema(full, [*keys, ts]) + f", `{value}` double, pred double, resid double")
+            _one_step(keys, ts, value, o["log"]), _key_schema(full, [*keys, ts]) + f", `{value}` double, pred double, resid double")
         one = one if by else one.drop("_all")
         out = one if out is None else out.unionByName(one)
     return out

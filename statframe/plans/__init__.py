@@ -2,7 +2,7 @@
 
 import importlib
 
-_AREAS = ("quality", "tests", "models", "series")
+_AREAS = ("quality", "tests", "models", "series", "cluster")
 
 
 def load_all() -> None:
