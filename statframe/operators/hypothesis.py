@@ -470,25 +470,30 @@ def chi2_gof(df: DataFrame, column: str, expected=None, order: Sequence | None =
 
 
 def contingency(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Non-empty cells ``x, y, n`` with their margins and total."""
-    cells = (df.where(col_of(x).isNotNull() & col_of(y).isNotNull())
-             .groupBy(col_of(x).cast("string").alias("x"), col_of(y).cast("string").alias("y"))
-             .agg(F.count(F.lit(1)).alias("n")))
-    rows = cells.groupBy("x").agg(F.sum("n").alias("row_n"))
-    cols = cells.groupBy("y").agg(F.sum("n").alias("col_n"))
-    return cells.join(rows, "x").join(cols, "y")
-
-
-def _chi2_row(row_n: np.ndarray, col_n: np.ndarray, spread: float, cells: dict, kind: str, alpha: float) -> dict:
-    """Finish from margins and ``spread`` = sum n²/(row·col) over the non-empty cells."""
-    n, r, c = float(row_n.sum()), len(row_n), len(col_n)
-    col_sorted = np.sort(col_n)
-    fine = sum(c - int(np.searchsorted(col_sorted, 5 * n / v, side="left")) for v in row_n)
-    min_exp = float(row_n.min() * col_n.min() / n)
-    ok = fine / (r * c) >= 0.8 and min_exp >= 1
+    """Non-empty cells ``x, y, n``."""
+    return (df.where(col_of(x).isNotNull() & col_of(y).isNotNull())
+            .groupBy(col_of(x).cast("string").alias("x"), col_of(y).cast("string").alias("y"))
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+def _cells_at_least(row: dict[int, int], col: dict[int, int], limit: float) -> int:
+    """How many (row, column) pairs of margins have a product of at least ``limit``."""
+    sizes = np.array(sorted(col), dtype=float)
+    tail = np.concatenate([np.cumsum([col[v] for v in sorted(col)][::-1])[::-1], [0]])
+    return int(sum(m * tail[int(np.searchsorted(sizes, limit / v, side="left"))] for v, m in row.items()))
+
+
+def chi2_finish(row: dict[int, int], col: dict[int, int], spread: float, cells: dict, kind: str, alpha: float) -> dict:
+    """Finish from margins as {size: how many levels} and ``spread`` = sum n²/(row·col) of the non-empty cells.
+
+    Distinct margin sizes number at most sqrt(2n), whatever the level count.
+    """
+    r, c = sum(row.values()), sum(col.values())
+    n = float(sum(v * m for v, m in row.items()))
+    min_exp = min(row) * min(col) / n
+    ok = _cells_at_least(row, col, 5 * n) / (r * c) >= 0.8 and min_exp >= 1
     chi2, dof = max(0.0, n * (spread - 1)), (r - 1) * (c - 1)
-    name = f"Chi-square test of {kind}"
-    p = float("nan")
+    name, p = f"Chi-square test of {kind}", float("nan")
     if (r, c) == (2, 2):
         xs, ys = sorted({k[0] for k in cells}), sorted({k[1] for k in cells})
         o = np.array([[cells.get((a, b), 0) for b in ys] for a in xs], dtype=float)
@@ -505,7 +510,27 @@ def _chi2_row(row_n: np.ndarray, col_n: np.ndarray, spread: float, cells: dict,
     return {"test": name, "chi2": None if shown is None else round(shown, 4), "dof": shown_dof,
             "p_value": None if p != p else round(p, 6), "significant": bool(p < alpha),
             "effect_v": None if v is None else round(v, 4), "strength": _grade_below(v, CHI2_BOUNDS, "Strong"),
-            "min_expected": round(min_exp, 2), "assumption": bool(ok)}
+            "min_expected": round(float(min_exp), 2), "assumption": bool(ok)}
+
+
+def chi2_many(counts: DataFrame, alpha: float, kind: str = "independence") -> dict[str, dict]:
+    """Tests for every ``variable`` of a count table ``variable, x, y, n``, as result rows."""
+    table = core.checkpoint(counts)
+    rows = table.groupBy("variable", "x").agg(F.sum("n").alias("row_n"))
+    cols = table.groupBy("variable", "y").agg(F.sum("n").alias("col_n"))
+    n = F.col("n").cast("double")
+    spread = {r["variable"]: r["s"] for r in table.join(rows, ["variable", "x"]).join(cols, ["variable", "y"]).groupBy("variable").agg(
+        F.sum(n * n / (F.col("row_n").cast("double") * F.col("col_n"))).alias("s")).collect()}
+    margins: dict[str, tuple[dict, dict]] = {v: ({}, {}) for v in spread}
+    for i, (m, size) in enumerate(((rows, "row_n"), (cols, "col_n"))):
+        for r in m.groupBy("variable", size).count().collect():
+            margins[r["variable"]][i][r[size]] = r["count"]
+    two = [v for v, (a, b) in margins.items() if sum(a.values()) == 2 and sum(b.values()) == 2]
+    cells: dict[str, dict] = {v: {} for v in spread}
+    if two:
+        for r in table.where(F.col("variable").isin(*two)).collect():
+            cells[r["variable"]][r["x"], r["y"]] = r["n"]
+    return {v: chi2_finish(*margins[v], spread[v], cells[v], kind, alpha) for v in spread}
 
 
 CHI2_SCHEMA = ("row string, col string, test string, chi2 double, dof int, p_value double, significant boolean, "
@@ -515,17 +540,10 @@ CHI2_SCHEMA = ("row string, col string, test string, chi2 double, dof int, p_val
 def chi2_table(df: DataFrame, x: str, y: str, alpha: float = 0.05, kind: str = "independence") -> DataFrame:
     """Contingency test; Yates for 2x2, Fisher when a 2x2 table breaks the assumption."""
     core.require(df, [x, y])
-    table = core.checkpoint(contingency(df, x, y))
-    spread = table.agg(F.sum(F.col("n").cast("double") * F.col("n") / (F.col("row_n").cast("double") * F.col("col_n")))).first()[0]
-    row_n = np.array([float(r[0]) for r in table.select("row_n", "x").distinct().select("row_n").collect()])
-    col_n = np.array([float(r[0]) for r in table.select("col_n", "y").distinct().select("col_n").collect()])
-    if not len(row_n):
+    found = chi2_many(contingency(df, x, y).withColumn("variable", F.lit(x)), alpha, kind)
+    if not found:
         raise ValueError("no complete rows")
-    cells = {}
-    if (len(row_n), len(col_n)) == (2, 2):
-        cells = {(r["x"], r["y"]): r["n"] for r in table.collect()}
-    out = _chi2_row(row_n, col_n, spread, cells, kind, alpha)
-    return core.rows_frame(df.sparkSession, [{"row": x, "col": y, **out}], CHI2_SCHEMA)
+    return core.rows_frame(df.sparkSession, [{"row": x, "col": y, **found[x]}], CHI2_SCHEMA)
 
 
 def chi2_homogeneity(df: DataFrame, group: str, category: str, alpha: float = 0.05) -> DataFrame:

@@ -156,13 +156,34 @@ def neighbours(points: DataFrame, dims: int, k: int) -> DataFrame:
     return points.join(merged, "pid")
 
 
+def _join_up(edges: list[tuple[int, int]]) -> dict[int, int]:
+    """Smallest node of the component of every node in a short edge list."""
+    up: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while up.setdefault(v, v) != v:
+            up[v] = up[up[v]]
+            v = up[v]
+        return v
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    return {v: find(v) for v in list(up)}
+
+
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node, root`` (smallest node of the component) by alternating star contraction.
 
     Hub nodes are met by partial ``min`` aggregates; every round is pinned by a checkpoint.
+    A graph of at most ``Limits.collect_rows / 4`` edges is joined up directly.
     """
     both = core.checkpoint(edges.where("a <> b").select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if both.count() <= core.LIMITS.collect_rows // 4:
+        pairs = _join_up([(r["u"], r["v"]) for r in both.collect()])
+        roots = core.rows_frame(edges.sparkSession, [{"node": n, "root": r} for n, r in pairs.items()], "node long, root long")
+        return nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     while True:
         # large star: every larger neighbour points at the smallest neighbour
         sym = both.select("u", "v").unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -2,7 +2,7 @@
 
 import importlib
 
-_AREAS = ("quality", "tests", "models", "series", "cluster")
+_AREAS = ("quality", "tests", "models", "series", "cluster", "frames")
 
 
 def load_all() -> None:
