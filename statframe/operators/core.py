@@ -164,6 +164,8 @@ def moments(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataF
     (excess kurtosis); ``rows`` counts all rows, ``n`` the non-missing ones.
     """
     by = list(by)
+    if "variable" in by:
+        raise ValueError("a key may not be called 'variable'")
     parts = []
     for chunk in chunks(list(cols), LIMITS.agg_columns):
         aggs = [a for i, c in enumerate(chunk) for a in _moment_aggs(c, i)]
@@ -500,8 +502,13 @@ class Gram:
         return r
 
 
-def gram(df: DataFrame, columns: dict[str, Column] | Sequence[str]) -> Gram:
-    """Means, then centred products, over rows complete in all columns."""
+def gram(df: DataFrame, columns: dict[str, Column] | Sequence[str], means: Sequence[float] | None = None,
+         n: int | None = None) -> Gram:
+    """Means, then centred products, over rows complete in all columns.
+
+    Known ``means`` (anything near them will do) and row count of a table
+    without missing values save the first pass.
+    """
     exprs = columns if isinstance(columns, dict) else {c: num(c) for c in columns}
     names = list(exprs)
     raw = df.select(*[exprs[c].cast("double").alias(f"_g{i}") for i, c in enumerate(names)])
@@ -509,15 +516,18 @@ def gram(df: DataFrame, columns: dict[str, Column] | Sequence[str]) -> Gram:
     whole = fields[0].isNotNull()
     for f in fields[1:]:
         whole = whole & f.isNotNull()
-    first = raw.agg(F.count(F.lit(1)).alias("rows"), F.count_if(whole).alias("n"),
-                    *[F.avg(F.when(whole, f)).alias(f"m{i}") for i, f in enumerate(fields)]).first()
-    n, p = first["n"], len(names)
+    p, total = len(names), n
+    if means is None:
+        first = raw.agg(F.count(F.lit(1)).alias("rows"), F.count_if(whole).alias("n"),
+                        *[F.avg(F.when(whole, f)).alias(f"m{i}") for i, f in enumerate(fields)]).first()
+        n, total = first["n"], first["rows"]
+        means = [first[f"m{i}"] for i in range(p)]
     if not n:
-        return Gram(names, 0, first["rows"], np.full(p, np.nan), np.full((p, p), np.nan))
-    mean = np.array([first[f"m{i}"] for i in range(p)], dtype=float)
+        return Gram(names, 0, total, np.full(p, np.nan), np.full((p, p), np.nan))
+    mean = np.array(means, dtype=float)
     data = raw.where(whole)
     if p > LIMITS.gram_columns:
-        return Gram(names, n, first["rows"], mean, _wide_cross(data, mean, n))
+        return Gram(names, n, total, mean, _wide_cross(data, mean, n))
     centred = data.select(*[(f - F.lit(float(m))).alias(f"_g{i}") for i, (f, m) in enumerate(zip(fields, mean))])
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     sums = centred.agg(*[F.sum(fields[i] * fields[j]).alias(f"s{i}_{j}") for i, j in pairs],
@@ -526,7 +536,7 @@ def gram(df: DataFrame, columns: dict[str, Column] | Sequence[str]) -> Gram:
     cross = np.zeros((p, p))
     for i, j in pairs:
         cross[i, j] = cross[j, i] = sums[f"s{i}_{j}"] - rest[i] * rest[j] / n
-    return Gram(names, n, first["rows"], mean, cross)
+    return Gram(names, n, total, mean + rest / n, cross)
 
 
 def _wide_cross(data: DataFrame, mean: np.ndarray, n: int) -> np.ndarray:

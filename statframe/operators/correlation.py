@@ -74,15 +74,18 @@ def _complete(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return out.dropna(subset=list(cols))
 
 
-def _block(df: DataFrame, cols: list[str], pairs: list[tuple[str, str]], alpha: float) -> list[dict]:
+def _block(df: DataFrame, cols: list[str], pairs: list[tuple[str, str]], alpha: float, stats: dict | None = None) -> list[dict]:
     """All pairs of columns that share the same complete rows."""
-    stats = core.moments_dict(df, cols)
+    stats = stats or core.moments_dict(df, cols)
+    rows_n = stats[cols[0]]["n"]
     quart = core.quantiles(df, cols, [.25, .75])
     columns: dict[str, Column] = {c: F.col(f"`{c}`") for c in cols}
     for c in cols:
         centred = F.col(f"`{c}`") - F.lit(stats[c]["mean"])
         columns[f"{c}__sq"] = centred * centred
-    g = core.gram(df, columns)
+    spread = [(stats[c]["var"] or 0.0) * (rows_n - 1) / max(rows_n, 1) for c in cols]
+    g = core.gram(df, {**{c: columns[c] for c in cols}, **{f"{c}__sq": columns[f"{c}__sq"] for c in cols}},
+                  [stats[c]["mean"] for c in cols] + spread, rows_n)
     inside = {c: F.col(f"`{c}`").between(a - 1.5 * (b - a), b + 1.5 * (b - a)) for c, (a, b) in quart.items()}
     trimmed = {}
     for part in core.chunks(pairs, core.LIMITS.agg_columns):
@@ -91,7 +94,7 @@ def _block(df: DataFrame, cols: list[str], pairs: list[tuple[str, str]], alpha:
                        for i, (x, y) in enumerate(part)]).first()
         trimmed.update({p: float("nan") if row[f"r{i}"] is None else row[f"r{i}"] for i, p in enumerate(part)})
     ranked = rank_columns(df, cols)
-    rg = core.gram(ranked, {c: F.col(f"`_r_{c}`") for c in cols})
+    rg = core.gram(ranked, {c: F.col(f"`_r_{c}`") for c in cols}, [(rows_n + 1) / 2] * len(cols), rows_n)
     rows = []
     for x, y in pairs:
         n = g.n
@@ -126,9 +129,9 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str] | None = None, alpha: f
     core.require_numeric(df, cols)
     pairs = [tuple(p) for p in pairs] if pairs else list(itertools.combinations(cols, 2))
     used = [c for c in cols if any(c in p for p in pairs)]
-    counts = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(num(c)).alias(f"_{i}") for i, c in enumerate(used)]).first()
-    if all(counts[f"_{i}"] == counts["n"] for i in range(len(used))):
-        rows = _block(_complete(df, used), used, pairs, alpha)
+    stats = core.moments_dict(df, used)
+    if all(s["n"] == s["rows"] for s in stats.values()):
+        rows = _block(_complete(df, used), used, pairs, alpha, stats)
     else:
         rows = [r for p in pairs for r in _block(_complete(df, p), list(dict.fromkeys(p)), [p], alpha)]
     return core.rows_frame(df.sparkSession, rows, PAIR_SCHEMA)

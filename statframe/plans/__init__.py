@@ -2,7 +2,7 @@
 
 import importlib
 
-_AREAS = ("quality", "tests", "models", "series", "cluster", "frames")
+_AREAS = ("quality", "tests", "models", "series", "cluster", "frames", "eda")
 
 
 def load_all() -> None:

@@ -35,8 +35,8 @@ VIEWS = {
     "cat22": "select quality, toxic from {labels}",
     "cat35": "select o_orderstatus, o_orderpriority from {orders}",
     "reg": "select l_orderkey, l_linenumber, l_partkey, l_suppkey, 3 * l_quantity - 20 * l_discount + 5 * l_tax "
-           "+ (l_partkey % 97) / 97.0 as y, l_quantity as x1, l_discount as x2, l_tax as x3, "
-           "2 * l_quantity + (l_suppkey % 7) / 10.0 as x4, l_returnflag as c1, l_linestatus as c2 from {lineitem}",
+           "+ (l_partkey % 97) / cast(97 as double) as y, l_quantity as x1, l_discount as x2, l_tax as x3, "
+           "2 * l_quantity + (l_suppkey % 7) / cast(10 as double) as x4, l_returnflag as c1, l_linestatus as c2 from {lineitem}",
     "logit": "select case when l_quantity + l_partkey % 23 > 35 then 1 else 0 end as y, l_quantity as x1, "
              "l_discount as x2, l_returnflag as c1 from {lineitem}",
     "scores": "select l_orderkey, l_linenumber, l_partkey, l_suppkey, "
