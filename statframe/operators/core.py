@@ -3,7 +3,7 @@
 Every operator of the package is assembled from these:
 
 * ``moments``      one pass of count/mean/variance/shape, grouped or not
-* ``quantiles``    exact linear-interpolated quantiles: sketch, then count the bracket
+* ``quantiles``    exact linear-interpolated quantiles: bracket, count, fetch the inside
 * ``cumulate``     running totals over a total order, split over range partitions
 * ``value_ranks``  average ranks of distinct values with their multiplicities
 * ``positions``    1-based row numbers per series without a single-task window
@@ -31,7 +31,9 @@ class Limits:
     """Size checks that choose between a direct plan and a split plan."""
 
     small_rows: int = 500_000       # a window or exact-percentile map over this many rows is fine
-    sketch: int = 5_000             # percentile_approx accuracy; rank error <= n / sketch
+    sample_rows: int = 200_000      # rows that place quantile brackets
+    sketch: int = 5_000             # percentile_approx accuracy on that sample
+    bracket: float = 0.005          # half width of a bracket in probability
     collect_rows: int = 200_000     # most (value, count) rows a bracket may bring to the driver
     groups: int = 2_000             # groups whose brackets may be broadcast as one table
     block_rows: int = 250_000       # rows per window block of one long series
@@ -329,46 +331,49 @@ def blocks(df: DataFrame, by: Sequence[str], order: Sequence[str], before: int =
 
 # ------------------------------------------------------------------- quantiles
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-              where: Column | None = None) -> dict[str, list[float | None]]:
+              sizes: dict[str, int] | None = None) -> dict[str, list[float | None]]:
     """Exact quantiles of whole columns (linear interpolation), as driver numbers.
 
-    Each probability needs one or two order statistics.  A sketch brackets
-    them; counting the rows below, at and above the bracket's ends tells
-    whether an end is the answer, whether the bracket missed, or how many rows
-    lie strictly inside.  A small inside is fetched as (value, count) rows, a
-    large one is sketched again.  The column itself is never shuffled.
+    Each probability needs one or two order statistics.  A bounded sample places
+    a bracket around them; counting the rows below, at and above the bracket's
+    ends tells whether an end is the answer, whether the bracket missed, or how
+    many rows lie strictly inside.  A small inside is fetched as (value, count)
+    rows, a large one is bracketed again.  The sample only places brackets, so
+    the answer is exact; the column is never shuffled and no task sees more
+    than counts.  ``sizes`` (non-missing rows per column) saves the first pass.
     """
     cols, probs = list(cols), [float(p) for p in probs]
     if len(cols) > LIMITS.agg_columns:
         out = {}
         for part in chunks(cols, LIMITS.agg_columns):
-            out.update(quantiles(df, part, probs, where))
+            out.update(quantiles(df, part, probs, sizes))
         return out
     if not cols:
         return {}
-    data = (df if where is None else df.where(where)).select(
-        *[num(c).alias(f"_q{i}") for i, c in enumerate(cols)])
-    delta = 2.0 / LIMITS.sketch
+    data = df.select(*[num(c).alias(f"_q{i}") for i, c in enumerate(cols)])
+    if sizes is None:
+        row = data.agg(*[F.count(f"_q{i}").alias(f"n{i}") for i in range(len(cols))]).first()
+        sizes = {c: row[f"n{i}"] for i, c in enumerate(cols)}
+    most = max(sizes[c] for c in cols)
+    delta = LIMITS.bracket
     edges = sorted({min(1.0, max(0.0, p + s * delta)) for p in probs for s in (-1, 1)})
-    first = data.agg(*[
-        a for i in range(len(cols)) for a in (
-            F.count(f"_q{i}").alias(f"n{i}"), F.min(f"_q{i}").alias(f"lo{i}"), F.max(f"_q{i}").alias(f"hi{i}"),
-            F.percentile_approx(f"_q{i}", edges, LIMITS.sketch).alias(f"e{i}"))]).first()
-    targets, bracket, ends = {}, {}, {}
-    for i in range(len(cols)):
-        n = first[f"n{i}"]
+    part = data.sample(LIMITS.sample_rows / most, seed=11) if most > LIMITS.sample_rows else data
+    first = part.agg(*[F.percentile_approx(f"_q{i}", edges, LIMITS.sketch).alias(f"e{i}") for i in range(len(cols))]).first()
+    targets, bracket = {}, {}
+    for i, c in enumerate(cols):
+        n = sizes[c]
         if not n:
             continue
-        ends[i] = (first[f"lo{i}"], first[f"hi{i}"])
-        at = dict(zip(edges, first[f"e{i}"]))
+        at = dict(zip(edges, first[f"e{i}"] or [None] * len(edges)))
         for j, p in enumerate(probs):
             h = p * (n - 1)
             k = int(np.floor(h))
             targets[i, j] = (k, min(k + 1, n - 1), h - k)
-            lo = at[min(1.0, max(0.0, p - delta))] if p > delta else ends[i][0]
-            hi = at[min(1.0, max(0.0, p + delta))] if p < 1 - delta else ends[i][1]
-            bracket[i, k] = bracket[i, min(k + 1, n - 1)] = (lo, hi)
-    value = _order_statistics(data, bracket, ends, delta)
+            lo, hi = at[min(1.0, max(0.0, p - delta))], at[min(1.0, max(0.0, p + delta))]
+            lo = -np.inf if lo is None or p <= delta else lo
+            hi = np.inf if hi is None or p >= 1 - delta else hi
+            bracket[i, k] = bracket[i, min(k + 1, n - 1)] = (float(lo), float(hi))
+    value = _order_statistics(data, bracket)
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
     for (i, j), (a, b, frac) in targets.items():
         va, vb = value[i, a], value[i, b]
@@ -376,10 +381,12 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     return out
 
 
-def _order_statistics(data: DataFrame, bracket: dict, ends: dict, delta: float) -> dict:
+def _order_statistics(data: DataFrame, bracket: dict) -> dict:
     """Resolve every (column, 0-based rank) inside its bracket; see ``quantiles``."""
     value: dict = {}
+    rounds = 0
     while bracket:
+        rounds += 1
         spans = {s: t for t, s in enumerate(dict.fromkeys((i, lo, hi) for (i, _), (lo, hi) in bracket.items()))}
         counted = data.agg(*[
             a for (i, lo, hi), t in spans.items() for a in (
@@ -391,33 +398,41 @@ def _order_statistics(data: DataFrame, bracket: dict, ends: dict, delta: float)
             t = spans[i, lo, hi]
             lt_lo, le_lo, lt_hi, le_hi = (counted[f"{k}{t}"] for k in "abcd")
             if r < lt_lo:
-                following[i, r] = (ends[i][0], lo)
+                following[i, r] = (-np.inf, lo)
             elif r < le_lo:
                 value[i, r] = lo
             elif r >= le_hi:
-                following[i, r] = (hi, ends[i][1])
+                following[i, r] = (hi, np.inf)
             elif r >= lt_hi:
                 value[i, r] = hi
             elif lt_hi - le_lo <= LIMITS.collect_rows:
                 fetch[i, r] = (lo, hi, le_lo)
             else:
-                narrow[i, r] = (lo, hi, (r - le_lo + 0.5) / (lt_hi - le_lo))
+                narrow[i, r] = (lo, hi, (r - le_lo + 0.5) / (lt_hi - le_lo), lt_hi - le_lo)
         if fetch:
             value.update(_fetch_inside(data, fetch))
         if narrow:
-            keys = list(narrow)
-            inner = data.agg(*[
-                F.percentile_approx(
-                    F.when((F.col(f"_q{i}") > narrow[i, r][0]) & (F.col(f"_q{i}") < narrow[i, r][1]), F.col(f"_q{i}")),
-                    [max(0.0, narrow[i, r][2] - delta), min(1.0, narrow[i, r][2] + delta)],
-                    LIMITS.sketch).alias(f"e{t}")
-                for t, (i, r) in enumerate(keys)]).first()
-            for t, k in enumerate(keys):
-                following[k] = tuple(inner[f"e{t}"])
+            following.update(_narrow(data, narrow, 17 + len(value) + rounds))
         bracket = following
     return value
 
 
+def _narrow(data: DataFrame, wide: dict, seed: int) -> dict:
+    """Bracket again inside wide brackets, from a sample of bounded size.
+
+    Ends are data values strictly inside the old bracket, so every round shrinks it.
+    """
+    keys, aggs = list(wide), []
+    for t, (i, r) in enumerate(keys):
+        lo, hi, p, inside = wide[i, r]
+        x = F.col(f"_q{i}")
+        taken = (x > lo) & (x < hi) & (F.col("_rand") < LIMITS.sample_rows / inside)
+        aggs.append(F.percentile_approx(F.when(taken, x), [max(0.0, p - LIMITS.bracket), min(1.0, p + LIMITS.bracket)],
+                                        LIMITS.sketch).alias(f"e{t}"))
+    row = data.withColumn("_rand", F.rand(seed)).agg(*aggs).first()
+    return {k: tuple(float(v) for v in (row[f"e{t}"] or wide[k][:2])) for t, k in enumerate(keys)}
+
+
 def _fetch_inside(data: DataFrame, fetch: dict) -> dict:
     """Bring the distinct values strictly inside the brackets (bounded) and pick ranks."""
     spans = {s: t for t, s in enumerate(dict.fromkeys((i, lo, hi) for (i, _), (lo, hi, _b) in fetch.items()))}
@@ -425,15 +440,12 @@ def _fetch_inside(data: DataFrame, fetch: dict) -> dict:
                     F.struct(F.lit(t).alias("t"), F.col(f"_q{i}").alias("v")))
              for (i, lo, hi), t in spans.items()]
     rows = (data.select(F.inline(F.array_compact(F.array(*picks))))
-            .groupBy("t", "v").agg(F.count(F.lit(1)).alias("c")).collect())
-    per: dict[int, list] = {}
-    for r in rows:
-        per.setdefault(r["t"], []).append((r["v"], r["c"]))
+            .groupBy("t", "v").agg(F.count(F.lit(1)).alias("c")).toPandas().sort_values(["t", "v"]))
     out = {}
     for (i, r), (lo, hi, le_lo) in fetch.items():
-        inside = sorted(per[spans[i, lo, hi]])
-        tops = le_lo + np.cumsum([c for _, c in inside])
-        out[i, r] = inside[int(np.searchsorted(tops, r, side="right"))][0]
+        inside = rows[rows["t"] == spans[i, lo, hi]]
+        tops = le_lo + np.cumsum(inside["c"].to_numpy())
+        out[i, r] = float(inside["v"].iloc[int(np.searchsorted(tops, r, side="right"))])
     return out
 
 

@@ -78,7 +78,7 @@ def _block(df: DataFrame, cols: list[str], pairs: list[tuple[str, str]], alpha:
     """All pairs of columns that share the same complete rows."""
     stats = stats or core.moments_dict(df, cols)
     rows_n = stats[cols[0]]["n"]
-    quart = core.quantiles(df, cols, [.25, .75])
+    quart = core.quantiles(df, cols, [.25, .75], {c: stats[c]["n"] for c in cols})
     columns: dict[str, Column] = {c: F.col(f"`{c}`") for c in cols}
     for c in cols:
         centred = F.col(f"`{c}`") - F.lit(stats[c]["mean"])

@@ -122,7 +122,7 @@ def numerical_summary(df: DataFrame, cols: Sequence[str] | None = None, by: Sequ
                        for i, c in enumerate(cols)]).first()
         q = {c: row[f"_{i}"] or [None] * 3 for i, c in enumerate(cols)}
     else:
-        q = core.quantiles(df, cols, [.25, .5, .75])
+        q = core.quantiles(df, cols, [.25, .5, .75], {c: stats[c]["n"] for c in cols})
     counts = {}
     for part in core.chunks(cols, core.LIMITS.agg_columns):
         aggs = []
