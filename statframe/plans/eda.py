@@ -150,11 +150,12 @@ def _row(variable, family, test, statistic, p, effect, label, alpha, threshold)
             "effect_size": label, "significant": significant, "verdict": verdict, "reason": reason}
 
 
-def correlation_tests(df: DataFrame, target: str, features: Sequence[str], alpha: float = 0.05, threshold: float = 0.3) -> list[dict]:
+def correlation_tests(df: DataFrame, target: str, features: Sequence[str], alpha: float = 0.05, threshold: float = 0.3,
+                      pairs: list | None = None) -> list[dict]:
     """Numeric features against a numeric target."""
     if not features:
         return []
-    pairs = correlation.correlation_pairs(df, [*features, target], alpha, [(f, target) for f in features]).collect()
+    pairs = pairs or correlation.correlation_pairs(df, [*features, target], alpha, [(f, target) for f in features]).collect()
     return [_row(r["x"], "corr", r["method"], r["coef"], r["p_value"], r["coef"], r["strength"], alpha, threshold) for r in pairs]
 
 
@@ -215,7 +216,20 @@ def table_tests(df: DataFrame, target: str, features: Sequence[str], alpha: floa
             for v, r in sorted(found.items())]
 
 
-def target_rows(df: DataFrame, target: str, task: str | None = None, alpha: float = 0.05, corr_threshold: float = 0.3) -> list[dict]:
+def shared_pairs(df: DataFrame, target: str, task: str | None = None, alpha: float = 0.05) -> tuple[list, list]:
+    """Pair correlations among numeric features, and with a numeric target, from one shared computation."""
+    numeric, _ = split(df, target)
+    if is_classification(df, target, task):
+        rows = correlation.correlation_pairs(df, numeric, alpha).collect() if len(numeric) > 1 else []
+        return rows, []
+    if not numeric:
+        return [], []
+    rows = correlation.correlation_pairs(df, [*numeric, target], alpha).collect()
+    return [r for r in rows if r["y"] != target], [r for r in rows if r["y"] == target]
+
+
+def target_rows(df: DataFrame, target: str, task: str | None = None, alpha: float = 0.05, corr_threshold: float = 0.3,
+                pairs: list | None = None) -> list[dict]:
     """Every feature against the target with the test that fits the kinds."""
     clf = is_classification(df, target, task)
     numeric, nominal = split(df, target)
@@ -223,7 +237,7 @@ def target_rows(df: DataFrame, target: str, task: str | None = None, alpha: floa
     if not clf:
         two = [(c, target, c) for c in nominal if levels[c] == 2]
         more = [(c, target, c) for c in nominal if levels[c] >= 3]
-        rows = correlation_tests(df, target, numeric, alpha, corr_threshold)
+        rows = correlation_tests(df, target, numeric, alpha, corr_threshold, pairs)
         return rows + two_group_tests(df, two, alpha, corr_threshold) + many_group_tests(df, more, alpha, corr_threshold)
     pairs = [(c, c, target) for c in numeric]
     binary = _level_counts(df, [target])[target] == 2
@@ -281,14 +295,14 @@ def choose_representatives(table: DataFrame) -> DataFrame:
 
 def selection_table(df: DataFrame, target: str, task: str | None = None, alpha: float = 0.05, corr_threshold: float = 0.3,
                     collinearity_threshold: float = 0.7, description: DataFrame | None = None,
-                    pairs: DataFrame | None = None, rows: list[dict] | None = None) -> DataFrame:
+                    pairs: list | None = None, rows: list[dict] | None = None) -> DataFrame:
     """Final table: verdict, test, p, effect, skew and collinearity signals, reason."""
     spark = df.sparkSession
     numeric, _ = split(df, target)
-    rows = rows if rows is not None else target_rows(df, target, task, alpha, corr_threshold)
-    if pairs is None and len(numeric) > 1:
-        pairs = correlation.correlation_pairs(df, numeric, alpha)
-    partners, groups = collinear_groups(pairs.collect() if pairs is not None else [], numeric, collinearity_threshold)
+    if pairs is None or rows is None:
+        pairs, with_target = shared_pairs(df, target, task, alpha)
+        rows = target_rows(df, target, task, alpha, corr_threshold, with_target)
+    partners, groups = collinear_groups(pairs, numeric, collinearity_threshold)
     desc = description if description is not None else (quality.numerical_summary(df, numeric) if numeric else None)
     skew = {r["variable"]: f"{r['skew_interpret']} / {r['log_need']}" for r in desc.collect()} if desc is not None else {}
     for r in rows:
@@ -301,13 +315,15 @@ def selection_table(df: DataFrame, target: str, task: str | None = None, alpha:
     return choose_representatives(table).orderBy(order, F.abs(F.coalesce("effect", F.lit(0.0))).desc(), "p_value", "variable")
 
 
-def feature_correlation(df: DataFrame, target: str, alpha: float = 0.05, collinearity_threshold: float = 0.7) -> dict[str, DataFrame]:
+def feature_correlation(df: DataFrame, target: str, alpha: float = 0.05, collinearity_threshold: float = 0.7,
+                        rows: list | None = None) -> dict[str, DataFrame]:
     """Correlation matrix, strongest partners, collinear groups and VIF of the numeric features."""
     numeric, _ = split(df, target)
     if len(numeric) < 2:
         return {}
-    pairs = correlation.correlation_pairs(df, numeric, alpha)
-    _, groups = collinear_groups(pairs.collect(), numeric, collinearity_threshold)
+    rows = rows or correlation.correlation_pairs(df, numeric, alpha).collect()
+    pairs = core.rows_frame(df.sparkSession, [r.asDict() for r in rows], correlation.PAIR_SCHEMA)
+    _, groups = collinear_groups(rows, numeric, collinearity_threshold)
     rows = [{"variable": v, "collinear_group": g} for v, g in groups.items()]
     return {"pairs": pairs, "matrix": correlation.correlation_matrix(pairs), "summary": correlation.correlation_summary(pairs),
             "groups": core.rows_frame(df.sparkSession, rows, "variable string, collinear_group int"), "vif": correlation.vif(df, numeric)}
@@ -392,12 +408,12 @@ def run(df: DataFrame, target: str, task: str | None = None, alpha: float = 0.05
     """All chapters as frames; summaries, pair correlations and tests are computed once and shared."""
     out = describe(df, target, task)
     numeric, _ = split(df, target)
-    feature = feature_correlation(df, target, alpha, collinearity_threshold)
-    out |= {f"feature_{k}": v for k, v in feature.items()}
-    rows = target_rows(df, target, task, alpha, corr_threshold)
+    pairs, with_target = shared_pairs(df, target, task, alpha)
+    out |= {f"feature_{k}": v for k, v in feature_correlation(df, target, alpha, collinearity_threshold, pairs).items()}
+    rows = target_rows(df, target, task, alpha, corr_threshold, with_target)
     out["tests"] = core.rows_frame(df.sparkSession, rows, TEST_SCHEMA)
     out["selection"] = selection_table(df, target, task, alpha, corr_threshold, collinearity_threshold,
-                                       out.get("numeric"), feature.get("pairs"), rows)
+                                       out.get("numeric"), pairs, rows)
     if not is_classification(df, target, task) and numeric:
         lines = hue_lines(df, target)
         if lines is not None:

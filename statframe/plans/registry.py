@@ -48,7 +48,7 @@ VIEWS = {
     "series_hour": "select event_type as k, date_trunc('hour', ts) as ts, sum(value) as v from {events} group by 1, 2",
     "geo": "select c_custkey, case when c_custkey % 11 = 0 then 'n/a' else cast(c_acctbal / 100 as string) end as lat, "
            "cast(c_custkey % 400 - 200 as string) as lon from {customer}",
-    "skew": "select value as right_pos, value - 0.01 as right_zero, 500 - value as left_tail, "
+    "skew": "select value + 1 as right_pos, value - 0.01 as right_zero, 500 - value as left_tail, "
             "value - 100 as right_neg from {events}",
     "gauss": "select id, case when id % 2 = 0 then 'a' else 'b' end as g2, concat('g', cast(id % 3 as string)) as g3, "
              "10 + 2 * z as y, 10 + 2 * z * (1 + 2 * (id % 2)) as y_het, 10.4 + 2 * z + 0.5 * w as y_after "
