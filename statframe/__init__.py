@@ -1 +1,25 @@
 """Statistics and exploratory data analysis on Spark DataFrames."""
+
+from __future__ import annotations
+
+import tempfile
+import zipfile
+from pathlib import Path
+
+
+def ship(spark) -> None:
+    """Give the executors' Python workers this package (once per Spark context).
+
+    The functions that run inside tasks import it; ``spark-submit --py-files``
+    with the package does the same.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_statframe_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="statframe-")) / "statframe.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(target))
+    sc._statframe_shipped = True

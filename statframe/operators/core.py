@@ -453,19 +453,40 @@ def group_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                     by: Sequence[str]) -> DataFrame:
     """Exact quantiles per group: ``by…, variable, q`` (array in the order of ``probs``).
 
-    When the largest group is small, Spark's ``percentile`` map is bounded and
-    used directly.  Otherwise values are counted, ranked over range partitions
-    and only the rows that hold the wanted positions are kept, so a hot group
-    is spread over the cluster.
+    * largest group small: Spark's ``percentile`` map is bounded and used directly;
+    * few groups: each (group, column) is a column of its own for ``quantiles``,
+      so nothing is shuffled however large a group is;
+    * otherwise values are counted, ranked over range partitions and only the
+      rows that hold the wanted positions are kept.
     """
     by, cols, probs = list(by), list(cols), list(probs)
-    largest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    head = sizes.limit(LIMITS.groups + 1).collect()
+    largest = max((r["_n"] for r in head), default=0)
+    if len(head) > LIMITS.groups:
+        largest = sizes.agg(F.max("_n")).first()[0]
     if largest <= LIMITS.small_rows:
         wide = df.groupBy(*by).agg(*[
             F.percentile(num(c), F.array(*[F.lit(float(p)) for p in probs])).alias(f"_{i}")
             for i, c in enumerate(cols)])
         return wide.select(*by, F.inline(F.array(*[
             F.struct(F.lit(c).alias("variable"), F.col(f"_{i}").alias("q")) for i, c in enumerate(cols)])))
+    if len(head) <= LIMITS.groups and len(head) * len(cols) * len(probs) <= LIMITS.agg_columns:
+        picks, names = [], {}
+        for t, r in enumerate(head):
+            here = F.lit(True)
+            for k in by:
+                here = here & F.col(k).eqNullSafe(F.lit(r[k]))
+            for i, c in enumerate(cols):
+                names[t, c] = f"_g{t}_{i}"
+                picks.append(F.when(here, num(c)).alias(f"_g{t}_{i}"))
+        found = quantiles(df.select(*picks), list(names.values()), probs)
+        rows = [(*[r[k] for k in by], c, found[names[t, c]]) for t, r in enumerate(head) for c in cols]
+        schema = T.StructType([df.schema[k] for k in by] + [
+            T.StructField("variable", T.StringType()), T.StructField("q", T.ArrayType(T.DoubleType()))])
+        for f in schema.fields:
+            f.nullable = True
+        return df.sparkSession.createDataFrame(rows, schema)
     long = df.select(*by, F.inline(F.array(*[
         F.struct(F.lit(c).alias("variable"), num(c).alias("value")) for c in cols])))
     ranked = value_ranks(long, "value", [*by, "variable"])

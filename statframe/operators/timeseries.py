@@ -317,7 +317,7 @@ def adf(df: DataFrame, ts: str, value: str, by: Sequence[str] = (), alpha: float
         lags = _adf_lags(n)
         x = (pdf[value].to_numpy() - pdf["_m"].iloc[0]) / (s if s and s == s else 1.0)
         own = pdf["_own"].to_numpy()
-        first = int(np.argmax(own))
+        first = int(np.argmax(own)) if own.any() else len(x)
         start = max(first, lags + 1 - (int(pos[0]) - 1), lags + 1 if pos[0] == 1 else first)
         m = _design(x, lags, start, len(x)) if start < len(x) else np.zeros((0, lags + 3))
         head = x[: lags + 1] if pos[0] == 1 else np.zeros(0)

@@ -15,6 +15,9 @@ def spark():
          .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
          .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
+    import statframe
+
+    statframe.ship(s)
     yield s
     s.stop()
 
