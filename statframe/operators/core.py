@@ -30,7 +30,9 @@ from pyspark.sql import types as T
 class Limits:
     """Size checks that choose between a direct plan and a split plan."""
 
-    small_rows: int = 500_000       # a window or exact-percentile map over this many rows is fine
+    small_rows: int = 500_000       # one window partition may hold this many rows
+    map_rows: int = 250_000         # one group of an exact-percentile map may hold this many
+    broadcast_rows: int = 1_000_000  # counted rows of a narrow table that may be broadcast
     sample_rows: int = 200_000      # rows that place quantile brackets
     sketch: int = 5_000             # percentile_approx accuracy on that sample
     bracket: float = 0.005          # half width of a bracket in probability
@@ -129,13 +131,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def attach(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join a lookup table on NULL-safe keys.
 
-    The table is pinned and counted first: up to ``Limits.collect_rows`` rows it
+    The table is pinned and counted first: up to ``Limits.broadcast_rows`` rows it
     is broadcast, beyond that Spark shuffles (and AQE splits hot keys).
     """
     keys = list(keys)
     pinned = checkpoint(table.select(*[F.col(k).alias(f"_k_{k}") for k in keys],
                                      *[c for c in table.columns if c not in keys]))
-    side = F.broadcast(pinned) if pinned.count() <= LIMITS.collect_rows else pinned
+    side = F.broadcast(pinned) if pinned.count() <= LIMITS.broadcast_rows else pinned
     on = F.lit(True)
     for k in keys:
         on = on & df[k].eqNullSafe(side[f"_k_{k}"])
@@ -465,7 +467,7 @@ def group_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     largest = max((r["_n"] for r in head), default=0)
     if len(head) > LIMITS.groups:
         largest = sizes.agg(F.max("_n")).first()[0]
-    if largest <= LIMITS.small_rows:
+    if largest <= LIMITS.map_rows:
         wide = df.groupBy(*by).agg(*[
             F.percentile(num(c), F.array(*[F.lit(float(p)) for p in probs])).alias(f"_{i}")
             for i, c in enumerate(cols)])

@@ -19,7 +19,7 @@ PAIR_SCHEMA = ("x string, y string, method string, coef double, p_value double,
                "high_skew boolean, pearson double, spearman double, pearson_trimmed double, n long")
 
 
-def rank_columns(df: DataFrame, cols: Sequence[str], out: str = "_r_") -> DataFrame:
+def rank_columns(df: DataFrame, cols: Sequence[str], out: str = "_r_", rows: int | None = None) -> DataFrame:
     """Add the average rank of each column's value as ``<out><col>``.
 
     All columns are counted and ranked in one pass; each rank table then joins
@@ -27,12 +27,12 @@ def rank_columns(df: DataFrame, cols: Sequence[str], out: str = "_r_") -> DataFr
     """
     cols = list(cols)
     long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), num(c).alias("value")) for c in cols])))
-    table = core.checkpoint(core.value_ranks(long, "value", ["variable"]).select("variable", "value", "rank"))
+    table = core.checkpoint(core.value_ranks(long, "value", ["variable"], rows=rows).select("variable", "value", "rank"))
     size = {r["variable"]: r["count"] for r in table.groupBy("variable").count().collect()}
     result = df
     for c in cols:
         side = table.where(F.col("variable") == c).select(F.col("value").alias("_v"), F.col("rank").alias(f"{out}{c}"))
-        side = F.broadcast(side) if size.get(c, 0) <= core.LIMITS.collect_rows else side
+        side = F.broadcast(side) if size.get(c, 0) <= core.LIMITS.broadcast_rows else side
         result = result.join(side, num(c) == F.col("_v"), "left").drop("_v")
     return result
 
@@ -93,7 +93,7 @@ def _block(df: DataFrame, cols: list[str], pairs: list[tuple[str, str]], alpha:
                               F.when(inside[x] & inside[y], F.col(f"`{y}`"))).alias(f"r{i}")
                        for i, (x, y) in enumerate(part)]).first()
         trimmed.update({p: float("nan") if row[f"r{i}"] is None else row[f"r{i}"] for i, p in enumerate(part)})
-    ranked = rank_columns(df, cols)
+    ranked = rank_columns(df, cols, rows=rows_n)
     rg = core.gram(ranked, {c: F.col(f"`_r_{c}`") for c in cols}, [(rows_n + 1) / 2] * len(cols), rows_n)
     rows = []
     for x, y in pairs:

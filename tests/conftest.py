@@ -28,7 +28,8 @@ def tight():
     from statframe.operators import core
 
     old = vars(core.LIMITS).copy()
-    core.LIMITS.small_rows = 20
+    core.LIMITS.small_rows = core.LIMITS.map_rows = 20
+    core.LIMITS.broadcast_rows = 8
     core.LIMITS.collect_rows = 8
     core.LIMITS.sample_rows = 40
     core.LIMITS.block_rows = 30

@@ -43,7 +43,7 @@ def test_group_quantiles_three_plans(spark, tight):
     bracketed = run()
     core.LIMITS.agg_columns = 1
     ranked = run()
-    core.LIMITS.small_rows = 10_000
+    core.LIMITS.map_rows = 10_000
     plain = run()
     for k in ("hot", "cold"):
         want = np.quantile(v[g == k], [.25, .5])

@@ -511,3 +511,18 @@ def test_invariance_to_partitioning_and_scale(spark):
     assert t[0] == pytest.approx(t[1])
     v = [[r["vif"] for r in correlation.vif(d, list("abc")).orderBy("variable").collect()] for d in (one, many)]
     assert v[0] == pytest.approx(v[1])
+
+
+def test_predictions_on_a_stream(spark, tmp_path):
+    from statframe.streaming.apply import predict_stream, transform_stream
+
+    df = sdf(spark, pd.DataFrame({"y": np.arange(12.0) * 2 + 1, "x": np.arange(12.0)}))
+    df.write.parquet(str(tmp_path / "s"))
+    scaler = prep.Scaler(inputCols=["x"]).fit(df)
+    m = ols.fit(scaler.transform(df), "y")
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "s"))
+    q = (predict_stream(transform_stream(stream, [scaler]), m).writeStream.format("memory").queryName("preds")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = spark.table("preds").orderBy("y").collect()
+    np.testing.assert_allclose([r["pred"] for r in got], [r["y"] for r in got], rtol=1e-9)
