@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statframe.llm import language, quality
 from statframe.llm.common import read, ship
 from statframe.llm.decontaminate import find_matches
 from statframe.llm.line_dedup import dedup_lines
+from statframe.llm.quality import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -71,3 +73,20 @@ def _op4(spark, sf_dir):
     items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item"])))
     return out.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"),
                       F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op3_language")
+def _op3(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    out = held_out("doc_id")
+    model = language.train(docs, learn=~out)
+    return language.predict(docs.select("doc_id", "text", out.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op5_quality")
+def _op5(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    out = held_out("doc_id")
+    model = quality.train(docs, read(spark, sf_dir, "labels"), learn=~out)
+    return (quality.score(docs.select("doc_id", "text", out.alias("held_out")), model)
+            .select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted")))
