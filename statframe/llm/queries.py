@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statframe.llm import language, quality
+from statframe.llm import language, quality, topk
 from statframe.llm.common import read, ship
 from statframe.llm.decontaminate import find_matches
 from statframe.llm.line_dedup import dedup_lines
@@ -90,3 +90,18 @@ def _op5(spark, sf_dir):
     model = quality.train(docs, read(spark, sf_dir, "labels"), learn=~out)
     return (quality.score(docs.select("doc_id", "text", out.alias("held_out")), model)
             .select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted")))
+
+
+OP6_SQL = """
+with v as (select distinct vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as x from embeddings
+           where vec_id is not null and embedding is not null and len(embedding) > 0
+           and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)),
+pairs as (select q.vec_id as query_id, c.vec_id, max(list_dot_product(q.x, c.x))::bigint as score from v q join v c
+          on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id and len(q.x) = len(c.x) group by 1, 2)
+select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score from pairs
+qualify rank <= 5"""
+
+
+@query("op6_top_k", OP6_SQL)
+def _op6(spark, sf_dir):
+    return topk.top_k(read(spark, sf_dir, "embeddings"), lambda id: id % 50 == 0)
