@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statframe.llm import language, quality, topk
+from statframe.llm import codec, language, quality, tokens, topk
 from statframe.llm.common import read, ship
 from statframe.llm.decontaminate import find_matches
 from statframe.llm.line_dedup import dedup_lines
@@ -105,3 +105,15 @@ qualify rank <= 5"""
 @query("op6_top_k", OP6_SQL)
 def _op6(spark, sf_dir):
     return topk.top_k(read(spark, sf_dir, "embeddings"), lambda id: id % 50 == 0)
+
+
+@query("op7_token_counts")
+def _op7(spark, sf_dir):
+    return tokens.token_counts(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_tokens")
+
+
+# Decoding gives back the text, so the digest of what was decoded is that of the text itself.
+@query("op8_sentencepiece")
+def _op8(spark, sf_dir):
+    out = codec.decode(codec.encode(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
