@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from statframe.llm import codec, language, quality, tokens, topk
 from statframe.llm.common import read, ship
 from statframe.llm.decontaminate import find_matches
+from statframe.llm.jaccard import jaccard_components
 from statframe.llm.line_dedup import dedup_lines
 from statframe.llm.quality import held_out
 
@@ -117,3 +118,20 @@ def _op7(spark, sf_dir):
 def _op8(spark, sf_dir):
     out = codec.decode(codec.encode(read(spark, sf_dir, "documents").select("doc_id", "text")))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+OP9_SQL = rf"""
+with recursive d as (select doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, unnest(list_distinct(case when len(w) >= 4 then [array_to_string(w[i : i + 3], ' ') for i in range(1, len(w) - 2)]
+                                         when len(w) > 0 then [array_to_string(w, ' ')] else [] end)) as g from d),
+n as (select doc_id, count(*) as n from s group by doc_id),
+pairs as (select a.doc_id as x, b.doc_id as y, count(*) as o from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+links as (select x, y from pairs join n p on p.doc_id = x join n q on q.doc_id = y where 100 * o >= 85 * (p.n + q.n - o)),
+reach as (select doc_id as x, doc_id as y from documents union select r.x, l.y from reach r join links l on l.x = r.y)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.component_id from d left join n using (doc_id)
+join (select x as doc_id, min(y) as component_id from reach group by x) c using (doc_id)"""
+
+
+@query("op9_jaccard", OP9_SQL)
+def _op9(spark, sf_dir):
+    return jaccard_components(read(spark, sf_dir, "documents"))
