@@ -3,22 +3,36 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from statframe.llm import codec, quality
 from statframe.llm.common import keep, read, ship
 from statframe.llm.decontaminate import decontaminate
+from statframe.llm.jaccard import jaccard_components
 from statframe.llm.line_dedup import dedup_lines
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Documents with a lower score are rejected.
+ACCEPT = 0.7
 
 
-def _documents(df: DataFrame) -> DataFrame:
-    return df.selectExpr("doc_id", "text", "lang", "source", "cast(length(text) as long) as n_chars")
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    ship(spark)
+    model = quality.train(docs, read(spark, sf_dir, "labels"), learn=~quality.held_out("doc_id"))
+    return quality.score(docs, model).where(F.col("score") >= ACCEPT).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share stay in one of them."""
     ship(spark)
-    return _documents(dedup_lines(docs))
+    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by their shingles the one with the smallest id stays; documents without an id stay."""
+    ship(spark)
+    gone = jaccard_components(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +41,15 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("line dedup", lines), ("benchmark decontamination", benchmark)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, as piece ids."""
+    ship(spark)
+    out = codec.encode(docs)
+    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [("quality classifier", classify), ("line dedup", lines), ("n-gram Jaccard join", copies),
+          ("benchmark decontamination", benchmark), ("SentencePiece encoding", encode)]
 
 #: The classifier is trained and the encoder searches for a best path; SQL expresses neither.
 ORACLE_SQL = None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statframe.llm import codec, language, quality, tokens, topk
+from statframe.llm import chat, codec, language, licences, quality, tokens, topk
 from statframe.llm.common import read, ship
 from statframe.llm.decontaminate import find_matches
 from statframe.llm.jaccard import jaccard_components
@@ -135,3 +135,35 @@ join (select x as doc_id, min(y) as component_id from reach group by x) c using
 @query("op9_jaccard", OP9_SQL)
 def _op9(spark, sf_dir):
     return jaccard_components(read(spark, sf_dir, "documents"))
+
+
+# formatted_chars depends on the windows' token budgets, which SQL cannot count: checked by brute force in the tests.
+@query("op2_chat")
+def _op2(spark, sf_dir):
+    said = "\\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.format_windows(turns.unionByName(own)))
+
+
+_NOTICES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(licences.TEMPLATES.items()))
+OP10_SQL = rf"""
+with t as (select template, regexp_extract_all(lower(text), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') as w from (values {_NOTICES}) v(template, text)),
+tg as (select distinct template, unnest([array_to_string(w[i : i + 4], ' ') for i in range(1, len(w) - 3)]) as g from t),
+size as (select template, (select count(*) from tg where tg.template = t.template) as n, len(w) - 4 + (len(w) - 4) // 4 as reach from t),
+d as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') as w from documents),
+p as (select doc_id, w, unnest(range(1, len(w) - 3)) as i from d where len(w) >= 5),
+hits as (select p.doc_id, i, template, g from p join tg on tg.g = array_to_string(w[i : i + 4], ' ')),
+found as (select a.doc_id, a.template, a.i, count(distinct b.g) as shared from hits a join size s using (template)
+          join hits b on b.doc_id = a.doc_id and b.template = a.template and b.i >= a.i and b.i < a.i + s.reach group by 1, 2, 3),
+best as (select doc_id, template, max(shared) / n as share from found join size using (template) group by doc_id, template, n),
+kept as (select doc_id, string_agg(template || '=' || cast(round(share * 1000)::int as varchar), ',' order by template) as licenses, count(*) as n
+         from best where share >= 0.8 group by doc_id)
+select doc_id, coalesce(n, 0)::bigint as n_licenses, coalesce(licenses, '') as licenses from documents left join kept using (doc_id)"""
+
+
+@query("op10_licenses", OP10_SQL)
+def _op10(spark, sf_dir):
+    out = licences.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    named = F.transform("licenses", lambda m: F.concat(m["template"], F.lit("="), F.round(m["share"] * 1000).cast("int").cast("string")))
+    return out.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join(named, ",").alias("licenses"))
