@@ -1,0 +1,186 @@
+"""Local parts of the corpus operators against brute force."""
+
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from statframe.llm import chat, codec, jaccard, topk, unigram
+from statframe.llm.decontaminate import SuffixArray, Suffixes, _pieces, longest
+from statframe.llm.language import Model, _groups, mixture
+from statframe.llm.line_dedup import LineIndex, PerfectHash, line_key
+from statframe.llm.tokens import MODEL
+from statframe.llm.words import ALNUM, NOT_SPACE, Words, shingle_sets, texts
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 63, 5000])
+def test_perfect_hash_is_minimal_and_survives_packing(n):
+    keys = np.random.default_rng(n).integers(0, 2**63, n, dtype=np.uint64)
+    h = PerfectHash.unpack(PerfectHash.build(keys).pack())
+    assert sorted(h.slots(keys).tolist()) == list(range(n))
+
+
+def test_line_index_knows_its_keys_and_no_others():
+    r = np.random.default_rng(1)
+    h, g, n, last = (r.integers(-2**62, 2**62, 3000) for _ in range(4))
+    index = LineIndex.unpack(LineIndex.build(h[:2000], g[:2000], np.abs(n[:2000]) + 1, last[:2000]).pack())
+    count, doc = index.probe(h, g)
+    assert (count[:2000] == np.abs(n[:2000]) + 1).all() and (doc[:2000] == last[:2000]).all() and not count[2000:].any()
+
+
+def test_line_key_strips_only_the_six_characters():
+    assert line_key("\x0b A Ä \r".encode()) == "a Ä".encode()
+
+
+def test_words_agree_with_the_pattern():
+    rows = ["One two-3", None, "", "  ÄÖ x \x1c tab\there", "a" * 3000 + " b"]
+    for kind, pattern in ((ALNUM, "[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), (NOT_SPACE, "[^\x20\x09-\x0D]+")):
+        for first, _, data, offsets in texts(pa.array(rows), 10):
+            w = Words(data, offsets, kind)
+            for k in range(len(offsets) - 1):
+                lower = re.sub("[A-Z]", lambda m: m[0].lower(), rows[first + k] or "")
+                got = [bytes(data[a:b]).decode().lower() for a, b in zip(w.start[w.first[k]:w.first[k + 1]], w.end[w.first[k]:w.first[k + 1]])]
+                assert got == [x.lower() for x in re.findall(pattern, lower)]
+
+
+def test_shingles_fold_case_and_repeats():
+    sets = dict(shingle_sets(pa.array(["A b c d e", "a B C d E", "a b c d e a b c d", "x y", "", None, "a b c d"]), 4))
+    assert sets[0].tolist() == sets[1].tolist() and len(sets[0]) == 2 and len(sets[2]) == 5
+    assert [len(sets[k]) for k in (3, 4, 5, 6)] == [1, 0, 0, 1] and sets[6][0] in sets[0]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_suffix_array_finds_every_window(seed):
+    r = random.Random(seed)
+    docs = [[r.choice("abcd") for _ in range(r.randrange(0, 60))] for _ in range(30)]
+    docs += docs[:5]
+    items = [[r.choice("abcd") for _ in range(r.randrange(0, 12))] for _ in range(40)]
+    code = {c: np.uint64(x) for c, x in zip("abcd", np.random.default_rng(3).integers(0, 2**63, 4))}
+    words = np.array([code[c] for d in docs for c in d], np.uint64)
+    cuts = np.cumsum([len(d) for d in docs])
+    ends = np.repeat(cuts, [len(d) for d in docs])
+    array = SuffixArray(words, ends)
+    suffixes = [tuple(int(x) >> 20 for x in words[i:ends[i]]) for i in array.order]
+    assert suffixes == sorted(suffixes)
+    found = Suffixes([str(k) for k in range(len(items))], [np.array([code[c] for c in i], np.uint64) for i in items], 4).hits(words, ends)
+    want = set()
+    for k, item in enumerate(items):
+        size = min(4, len(item))
+        for p in range(len(item) - size + 1 if size else 0):
+            for start, d in zip(cuts - [len(d) for d in docs], docs):
+                want |= {(start + q, k, p, size) for q in range(len(d) - size + 1) if d[q:q + size] == item[p:p + size]}
+    assert {tuple(x) for x in found.tolist()} == {tuple(int(v) for v in x) for x in want}
+
+
+def test_longest_joins_neighbouring_windows():
+    hits = np.array([[5, 0, 2, 4], [6, 0, 3, 4], [9, 0, 6, 4], [6, 1, 0, 4]])
+    assert sorted(map(tuple, longest(hits).tolist())) == [(5, 0, 2, 5), (6, 1, 0, 4), (9, 0, 6, 4)]
+
+
+def test_long_documents_are_cut_with_overlap(monkeypatch):
+    import statframe.llm.decontaminate as d
+
+    monkeypatch.setattr(d, "SHARD_WORDS", 10)
+    got = list(_pieces(np.array([3, 4, 25, 2]), 3))
+    assert got == [(0, 2, 0, 4), (2, 3, 0, 10), (2, 3, 7, 17), (2, 3, 14, 24), (2, 3, 21, 25), (3, 4, 0, 2)]
+
+
+def test_subsets_meet_exactly_when_linked():
+    for a in range(1, 25):
+        for b in range(a, 30):
+            c = jaccard._need(a, b, 85, 100)
+            assert 100 * c >= 85 * (a + b - c) and 100 * (c - 1) < 85 * (a + b - c + 1)
+            assert (b in jaccard._partners(a, 85, 100)) == (100 * a >= 85 * b)
+    assert jaccard.boundary({5: 10, 8: 10, 40: 5}, 85, 100) >= 8 and jaccard.boundary({}, 85, 100) == 0
+
+
+def test_escaping_is_reversible():
+    r = random.Random(1)
+    parts = ["\\", "#", "###", "</turn>", "<", "/", "a", ":", "\n", " ", "### x: "]
+    for _ in range(2000):
+        text, role = ("".join(r.choice(parts) for _ in range(r.randrange(10))) for _ in range(2))
+        assert chat.parse(chat.render(role, text)[0] + chat.render("user", text)[0]) == [(role, text), ("user", text)]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_spans_cover_every_turn_once_within_the_budget(seed):
+    r = random.Random(seed)
+    tokens = np.array([r.randrange(1, 60) for _ in range(r.randrange(1, 40))])
+    system, history = r.randrange(0, 2), r.randrange(0, 4)
+    got = chat.spans(tokens, system, 100, history)
+    assert [i for _, new, after in got for i in range(new, after)] == list(range(system, len(tokens)))
+    for shown, new, after in got:
+        assert new - shown <= history and shown >= system
+        assert tokens[:system].sum() + tokens[shown:after].sum() <= 100 or after - shown <= 1
+
+
+def test_pivot_bounds_never_lose_a_candidate():
+    r = np.random.default_rng(5)
+    x, q = r.integers(-300, 300, (500, 16)), r.integers(-300, 300, (7, 16))
+    x[100:140] = x[0]
+    pivots = topk.pick_pivots(x[:50], 8)
+    best = topk.Best(7, 5)
+    for a in range(0, 500, 90):
+        topk.search(best, np.arange(7) + 1000, q, topk.distances(q, pivots), np.arange(500)[a:a + 90], x[a:a + 90], topk.distances(x[a:a + 90], pivots))
+    for k in range(7):
+        s = x @ q[k]
+        order = np.lexsort((np.arange(500), -s))[:5]
+        assert best.id[k].tolist() == order.tolist() and best.score[k].tolist() == s[order].tolist()
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return unigram.load(MODEL)
+
+
+def _word_list():
+    r = random.Random(2)
+    return sorted({"".join(r.choice("▁abehsté中😀\ud800") for _ in range(r.randrange(1, 90))) for _ in range(400)} | {"ha" * 20, "▁" * 40})
+
+
+def test_trie_equals_path_by_path(vocabulary):
+    trie, words = unigram.Trie(vocabulary), _word_list()
+    made, counts = trie.encode(words), trie.counts(words)
+    for w in words:
+        ids = unigram.trace(vocabulary, w, unigram.segment(vocabulary, w)[1], len(w))[0]
+        assert np.frombuffer(made[w], np.int32).tolist() == ids and counts[w] == len(ids)
+
+
+def test_best_path_beats_random_paths(vocabulary):
+    r = random.Random(4)
+    for w in ("▁there", "hahaha", "▁intention"):
+        best = unigram.segment(vocabulary, w)[0][-1]
+        for _ in range(50):
+            cuts = [0, *sorted(r.sample(range(1, len(w)), r.randrange(0, len(w) - 1))), len(w)]
+            parts = [w[a:b] for a, b in zip(cuts, cuts[1:])]
+            if all(p in vocabulary.pieces for p in parts):
+                assert sum(vocabulary.pieces[p][0] for p in parts) <= best
+
+
+@pytest.mark.parametrize("chunk", [5, 17, 33])
+def test_transfer_matrices_give_the_score_of_the_whole(vocabulary, chunk):
+    cache = codec.Chunks(vocabulary, "encode")
+    text = unigram.SPACE + unigram.normal("the hahahahahahahahahahahahahaha  of\nintention" + "x" * 40 + " end")
+    enter = np.full(vocabulary.longest, codec.NONE)
+    enter[0] = 0
+    matrices = [codec.transfer(cache, text[a - 1:a] if a else "", text[a:a + chunk], text[a + chunk:a + chunk + vocabulary.longest - 1]) for a in range(0, len(text), chunk)]
+    for m in matrices:
+        enter = codec.combine(enter, m)
+    assert enter[0] == unigram.segment(vocabulary, text)[0][-1]
+    middle = codec.combine(codec.combine(matrices[0], matrices[1]), matrices[2])
+    assert (np.maximum(middle, -10**15) == np.maximum(codec.combine(matrices[0], codec.combine(matrices[1], matrices[2])), -10**15)).all()
+
+
+def test_mixture_selects_both_languages():
+    a, b = "abc def abd cab fed " * 30, "xyz zyx wxy zzx yyw " * 30
+    counts = []
+    for t in (a, b):
+        own = next(_groups([t]))[1]
+        counts.append(np.bincount(own, minlength=1 << 15) + 0.5)
+    model = Model(["one", "two"], np.array([c / c.sum() for c in counts]).T)
+    share, chosen = mixture(next(_groups([a + b[:300]]))[1], model)
+    assert chosen == [0, 1] and 0.6 < share[0] < 0.9
+    assert mixture(next(_groups([a]))[1], model)[1] == [0]
+    assert [g is None for _, g in _groups([None, "", "12 3!", "a"])] == [True, True, True, False]
