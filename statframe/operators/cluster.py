@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Sequence
@@ -43,109 +44,110 @@ class KMeansFit:
         return core.rows_frame(self.data.sparkSession, rows, "cluster int, variable string, center double")
 
 
-def _fit(scaled: DataFrame, cols: list[str], k: int, seed: int, n_init: int, label: str) -> KMeansFit:
-    vec = VectorAssembler(inputCols=cols, outputCol="_f").transform(scaled)
-    best = None
-    for i in range(n_init):
-        m = KMeans(k=k, seed=seed + i, featuresCol="_f", predictionCol="_raw", maxIter=300, tol=1e-6).fit(vec)
-        if best is None or m.summary.trainingCost < best[1]:
-            best = (m, m.summary.trainingCost)
-    model, inertia = best
+def _vectors(scaled: DataFrame, cols: list[str]) -> DataFrame:
+    """The rows with their vector, cached for the runs of k-means; the caller releases them."""
+    return VectorAssembler(inputCols=cols, outputCol="_f", handleInvalid="error").transform(scaled).persist()
+
+
+def _fit(vec: DataFrame, cols: list[str], k: int, seed: int, n_init: int, label: str) -> KMeansFit:
+    runs = [KMeans(k=k, seed=seed + i, featuresCol="_f", predictionCol="_raw", maxIter=300, tol=1e-6).fit(vec) for i in range(n_init)]
+    model = min(runs, key=lambda m: m.summary.trainingCost)
     centers = np.array([c for c in model.clusterCenters()])
     order = sorted(range(len(centers)), key=lambda i: tuple(centers[i]))
     place = {old: new for new, old in enumerate(order)}
     renumber = F.array(*[F.lit(place[i]) for i in range(len(centers))])
     data = model.transform(vec).withColumn(label, renumber[F.col("_raw")]).drop("_f", "_raw")
-    return KMeansFit(model, data, cols, centers[order], float(inertia), label)
+    return KMeansFit(model, data, cols, centers[order], float(model.summary.trainingCost), label)
 
 
 def kmeans(df: DataFrame, k: int, columns: Sequence[str] | None = None, scaling: str | None = "standard",
            label: str = "cluster", seed: int = SEED, n_init: int = 10) -> KMeansFit:
     """Best of ``n_init`` seeded runs; clusters are numbered by their centres."""
     scaled, cols = _scaled(df, columns, scaling)
-    data = scaled.persist()
-    out = _fit(data, cols, k, seed, n_init, label)
+    vec = _vectors(scaled, cols)
+    out = _fit(vec, cols, k, seed, n_init, label)
+    out.data = out.model.transform(VectorAssembler(inputCols=cols, outputCol="_f").transform(scaled)).join(
+        F.broadcast(_numbering(out)), "_raw").drop("_f", "_raw")
+    vec.unpersist()
     return out
 
 
+def _numbering(fit: KMeansFit) -> DataFrame:
+    """Spark's cluster number and ours: one row per cluster."""
+    raw = np.array([c for c in fit.model.clusterCenters()])
+    order = sorted(range(len(raw)), key=lambda i: tuple(raw[i]))
+    return core.rows_frame(fit.data.sparkSession, [{"_raw": old, fit.label: new} for new, old in enumerate(order)], f"_raw int, {fit.label} int")
+
+
 # ----------------------------------------------------------------- silhouette
-def _real_labels(df: DataFrame, label: str, noise: int | None) -> list:
-    rows = df.select(label).distinct().collect()
-    return sorted(r[0] for r in rows if r[0] is not None and r[0] != noise)
+def _label_sizes(df: DataFrame, label: str) -> dict:
+    """Rows of each label, one entry per cluster."""
+    return {r[0]: r[1] for r in df.where(col_of(label).isNotNull()).groupBy(label).count().collect()}
 
 
-def silhouette(df: DataFrame, columns: Sequence[str], label: str, method: str = "euclidean", noise: int | None = -1) -> DataFrame:
+def silhouette(df: DataFrame, columns: Sequence[str], label: str, method: str = "squared", noise: int | None = -1) -> DataFrame:
     """Add ``silhouette`` per row; noise keeps its rows as a group of their own but is no cluster to count.
 
-    ``euclidean`` is the exact mean-distance form: packed blocks of rows meet
-    block by block and only per-cluster distance sums come out (quadratic work,
-    no row pairs emitted).  ``squared`` uses squared distances, which have a
-    closed form in per-cluster count, sum and sum of squares: two linear passes.
+    ``squared`` uses squared distances, which have a closed form in per-cluster count, sum and sum of squares: two linear passes.
+    ``euclidean`` is the mean-distance form: packed blocks of rows meet block by block and only per-cluster distance sums come out
+    (quadratic work, no row pairs emitted). Rows with a missing coordinate or label have no coefficient and enter no sum; a cluster of one
+    row scores 0, and so does a row whose distances are all 0.
     """
-    core.require_numeric(df, list(columns))
-    if len(_real_labels(df, label, noise)) < 2:
-        return df.withColumn("silhouette", F.lit(None).cast("double"))
-    groups = sorted(r[0] for r in df.select(label).distinct().collect())
-    if method == "squared":
-        return _silhouette_squared(df, list(columns), label, groups)
-    if method != "euclidean":
+    cols = list(columns)
+    core.require_numeric(df, cols)
+    if method not in ("squared", "euclidean"):
         raise ValueError(f"unknown method: {method}")
-    return _silhouette_exact(df, list(columns), label, groups)
-
-
-def _coefficient(means: list, own, size, count: int):
-    """(b - a) / max(a, b) from mean distances per cluster; a single-member cluster scores 0."""
-    a = means[0]
-    for i in range(1, count):
-        a = F.when(own == i, means[i]).otherwise(a)
-    others = [F.when(own != i, m) for i, m in enumerate(means)]
-    b = F.least(*others)
-    return F.when(size <= 1, F.lit(0.0)).otherwise(F.coalesce(div(b - a, F.greatest(a, b)), F.lit(0.0)))
-
-
-def _silhouette_squared(df: DataFrame, cols: list[str], label: str, groups: list) -> DataFrame:
-    xs = [num(c) for c in cols]
-    sq = xs[0] * xs[0]
-    for x in xs[1:]:
-        sq = sq + x * x
-    stats = {r[label]: r for r in df.groupBy(label).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(sq).alias("q"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(xs)]).collect()}
-    own = F.lit(0)
-    for i, g in enumerate(groups):
-        own = F.when(col_of(label) == F.lit(g), i).otherwise(own)
-    size = F.lit(0)
-    means = []
-    for i, g in enumerate(groups):
-        r, n = stats[g], stats[g]["n"]
-        cross = F.lit(0.0)
-        for j, x in enumerate(xs):
-            cross = cross + x * F.lit(r[f"s{j}"] / n)
-        total = (sq + F.lit(r["q"] / n) - 2 * cross) * n
-        means.append(F.greatest(total / F.when(own == i, F.lit(max(n - 1, 1))).otherwise(F.lit(n)), F.lit(0.0)))
-        size = F.when(own == i, n).otherwise(size)
-    return df.withColumn("silhouette", _coefficient(means, own, size, len(groups)))
-
-
-def _silhouette_exact(df: DataFrame, cols: list[str], label: str, groups: list) -> DataFrame:
-    number = F.lit(0)
-    for i, g in enumerate(groups):
-        number = F.when(col_of(label) == F.lit(g), i).otherwise(number)
-    base = core.checkpoint(df.withColumn("_rid", F.monotonically_increasing_id()).withColumn("_own", number.cast("int")))
-    n = base.count()
-    parts = max(1, math.ceil(n / SILHOUETTE_BLOCK))
+    whole = col_of(label).isNotNull()
+    for c in cols:
+        whole = whole & num(c).isNotNull()
+    sizes = _label_sizes(df.where(whole), label)
+    if len([g for g in sizes if g != noise]) < 2:
+        return df.withColumn("silhouette", F.lit(None).cast("double"))
+    groups = sorted(sizes)
+    number = core.rows_frame(df.sparkSession, [{"_label": g, "_own": i} for i, g in enumerate(groups)],
+                             f"_label {df.schema[label].dataType.simpleString()}, _own int")
+    # one row per cluster: as small as the labels themselves
+    tagged = df.withColumn("_label", F.when(whole, col_of(label))).join(F.broadcast(number), "_label", "left").drop("_label")
+    form = _squared_means if method == "squared" else _distance_means
+    return form(tagged, df.columns, cols, [sizes[g] for g in groups])
+
+
+def _coefficient(means, own, sizes: list[int]):
+    """(b - a) / max(a, b) from an array of mean distances per cluster; missing where the row has no cluster."""
+    a = F.get(means, own)
+    others = F.array_min(F.transform(means, lambda m, i: F.when(i != own, m)))
+    size = F.get(F.array(*[F.lit(n) for n in sizes]), own)
+    return F.when(own.isNotNull(), F.when((size <= 1) | (F.greatest(a, others) == 0), F.lit(0.0)).otherwise(div(others - a, F.greatest(a, others))))
+
+
+def _squared_means(tagged: DataFrame, names: list[str], cols: list[str], sizes: list[int]) -> DataFrame:
+    x = F.array(*[num(c) for c in cols])
+    square = lambda v: F.aggregate(v, F.lit(0.0), lambda total, e: total + e * e)
+    stats = {r["_own"]: r for r in tagged.where("_own is not null").groupBy("_own").agg(
+        F.sum(square(x)).alias("q"), *[F.sum(num(c)).alias(f"s{i}") for i, c in enumerate(cols)]).collect()}
+    table = F.array(*[F.struct(F.array(*[F.lit(float(stats[g][f"s{i}"] / n)) for i in range(len(cols))]).alias("center"),
+                               F.lit(float(stats[g]["q"] / n)).alias("spread"), F.lit(float(n)).alias("n")) for g, n in enumerate(sizes)])
+    own = F.col("_own")
+    cross = lambda g: F.aggregate(F.zip_with(F.col("_x"), g["center"], lambda a, b: a * b), F.lit(0.0), lambda total, e: total + e)
+    means = F.transform(table, lambda g, i: F.greatest(
+        (F.col("_sq") + g["spread"] - 2 * cross(g)) * g["n"] / F.when(i == own, F.greatest(g["n"] - 1, F.lit(1.0))).otherwise(g["n"]), F.lit(0.0)))
+    out = tagged.withColumn("_x", x).withColumn("_sq", square(F.col("_x")))
+    return out.select(*names, _coefficient(means, own, sizes).alias("silhouette"))
+
+
+def _distance_means(tagged: DataFrame, names: list[str], cols: list[str], sizes: list[int]) -> DataFrame:
+    base = core.checkpoint(tagged.withColumn("_rid", F.monotonically_increasing_id()))
+    parts, k = max(1, math.ceil(sum(sizes) / SILHOUETTE_BLOCK)), len(sizes)
     packed = core.checkpoint(
-        base.select(F.pmod(F.xxhash64("_rid"), F.lit(parts)).alias("blk"), "_rid", "_own",
-                    F.array(*[num(c) for c in cols]).alias("x"))
+        base.where("_own is not null").select(F.pmod(F.xxhash64("_rid"), F.lit(parts)).alias("blk"), "_rid", "_own", F.array(*[num(c) for c in cols]).alias("x"))
         .groupBy("blk").agg(F.collect_list(F.struct("_rid", "_own", "x")).alias("rows")))
     left = packed.select("blk", "rows", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("other"))
     right = packed.select(F.col("blk").alias("other"), F.col("rows").alias("rows2"))
-    k = len(groups)
 
     def sums(frames):
         for pdf in frames:
             for a, b in zip(pdf["rows"], pdf["rows2"]):
-                xa = np.array([r["x"] for r in a], dtype=float)
-                xb = np.array([r["x"] for r in b], dtype=float)
+                xa, xb = (np.array([r["x"] for r in rows], dtype=float) for rows in (a, b))
                 member = np.zeros((len(b), k))
                 member[np.arange(len(b)), [r["_own"] for r in b]] = 1.0
                 out = np.zeros((len(a), k))
@@ -156,15 +158,11 @@ def _silhouette_exact(df: DataFrame, cols: list[str], label: str, groups: list)
 
     total = left.join(right, "other").select("rows", "rows2").repartition(max(parts * parts // 4, 1)).mapInPandas(
         sums, "_rid long, " + ", ".join(f"_s{i} double" for i in range(k))).groupBy("_rid").agg(
-            *[F.sum(f"_s{i}").alias(f"_s{i}") for i in range(k)])
-    sizes = {r["_own"]: r["count"] for r in base.groupBy("_own").count().collect()}
-    out = base.join(total, "_rid")
-    own, size, means = F.col("_own"), F.lit(0), []
-    for i in range(k):
-        m = sizes[i]
-        means.append(F.col(f"_s{i}") / F.when(own == i, F.lit(float(max(m - 1, 1)))).otherwise(F.lit(float(m))))
-        size = F.when(own == i, m).otherwise(size)
-    return out.select(*df.columns, _coefficient(means, own, size, k).alias("silhouette"))
+            F.array(*[F.sum(f"_s{i}") for i in range(k)]).alias("_sums"))
+    own = F.col("_own")
+    count = F.array(*[F.lit(float(n)) for n in sizes])
+    means = F.transform("_sums", lambda s, i: s / F.when(i == own, F.greatest(F.get(count, i) - 1, F.lit(1.0))).otherwise(F.get(count, i)))
+    return base.join(total, "_rid", "left").select(*names, _coefficient(means, own, sizes).alias("silhouette"))
 
 
 def silhouette_summary(df: DataFrame, label: str, noise: int | None = -1) -> DataFrame:
@@ -208,19 +206,20 @@ def knee(x: Sequence[float], y: Sequence[float], direction: str, sensitivity: fl
 
 def best_k(df: DataFrame, ks: Sequence[int] | None = None, columns: Sequence[str] | None = None,
            scaling: str | None = "standard", seed: int = SEED, n_init: int = 10, sensitivity: float = 0.01,
-           method: str = "euclidean") -> tuple[dict, DataFrame]:
+           method: str = "squared") -> tuple[dict, DataFrame]:
     """Elbow and silhouette per k on one cached scaled frame; the silhouette balance decides.
 
     Returns ``{"elbow": k, "silhouette": k, "k": k}`` and the joined table.
     """
     ks = sorted(ks or range(2, 11))
     scaled, cols = _scaled(df, columns, scaling)
-    data, rows = scaled.select(*cols).persist(), []
+    data, rows = _vectors(scaled.select(*cols), cols), []
     for k in ks:
         m = _fit(data, cols, k, seed, n_init, "cluster")
         s = silhouette_summary(silhouette(m.data, cols, "cluster", method), "cluster").first()
         rows.append({"k": k, "inertia": round(m.inertia, 4), **{
             c: None if s[c] is None else round(s[c], 4) for c in ("score", "total_area", "thickness", "min_relative_area", "balance")}})
+    data.unpersist()
     for prev, r in zip(rows, rows[1:]):
         r["drop"] = round(prev["inertia"] - r["inertia"], 4)
     bend = knee(ks, [r["inertia"] for r in rows], "decreasing", sensitivity)
@@ -236,8 +235,9 @@ def best_k_elbow(df: DataFrame, ks: Sequence[int] | None = None, columns: Sequen
     """Inertia per k and its bend."""
     ks = sorted(ks or range(2, 11))
     scaled, cols = _scaled(df, columns, scaling)
-    data = scaled.select(*cols).persist()
+    data = _vectors(scaled.select(*cols), cols)
     inertia = [_fit(data, cols, k, seed, n_init, "cluster").inertia for k in ks]
+    data.unpersist()
     rows = [{"k": k, "inertia": round(v, 4), "drop": None if i == 0 else round(inertia[i - 1] - v, 4)}
             for i, (k, v) in enumerate(zip(ks, inertia))]
     bend = knee(ks, inertia, "decreasing", sensitivity)
@@ -245,10 +245,15 @@ def best_k_elbow(df: DataFrame, ks: Sequence[int] | None = None, columns: Sequen
 
 
 # ------------------------------------------------------------------ merge tree
-def _merge_tree(x: np.ndarray, w: np.ndarray, linkage: str) -> list[tuple[int, int, float, float]]:
+def _merge_tree(x: np.ndarray, w: np.ndarray, linkage: str, metric: str = "euclidean") -> list[tuple[int, int, float, float]]:
     """Agglomerate weighted points (a few hundred) by Lance-Williams updates: (child1, child2, distance, size)."""
     m = len(x)
-    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+    if metric == "cosine":
+        norm = np.sqrt((x ** 2).sum(axis=1))
+        x = x / np.where(norm == 0, 1.0, norm)[:, None]
+    gap = x[:, None, :] - x[None, :, :]
+    d = np.abs(gap).sum(axis=2) if metric == "manhattan" else np.sqrt((gap ** 2).sum(axis=2))
+    d = d * d / 2 if metric == "cosine" else d
     if linkage == "ward":
         d = d * np.sqrt(2 * np.outer(w, w) / np.add.outer(w, w))
     np.fill_diagonal(d, np.inf)
@@ -273,13 +278,15 @@ def _merge_tree(x: np.ndarray, w: np.ndarray, linkage: str) -> list[tuple[int, i
 
 def agglomerative(df: DataFrame, k: int | None = None, distance_threshold: float | None = None,
                   columns: Sequence[str] | None = None, scaling: str | None = "standard", linkage: str = "ward",
-                  label: str = "cluster", micro: int = 200, seed: int = SEED) -> tuple[DataFrame, DataFrame, float | None]:
+                  label: str = "cluster", micro: int = 200, seed: int = SEED,
+                  metric: str = "euclidean") -> tuple[DataFrame, DataFrame, float | None]:
     """Merge tree over weighted micro-clusters: labelled rows, tree rows, height of the cut.
 
-    Up to ``micro`` distinct rows the tree is the exact one of the rows;
-    above that k-means on Spark first condenses the table to ``micro`` centres
-    whose counts are the weights.
+    The tree is built over ``micro`` centres that condense the rows with the least squared error, weighted by their rows: k-means on Spark,
+    or the distinct rows themselves where there are no more of them than centres (their error is 0, which no other choice undercuts).
     """
+    if metric not in ("euclidean", "manhattan", "cosine") or (linkage == "ward" and metric != "euclidean"):
+        raise ValueError(f"metric {metric} does not go with {linkage}")
     if linkage not in ("ward", "complete", "average", "single"):
         raise ValueError(f"unknown linkage: {linkage}")
     if (k is None) == (distance_threshold is None):
@@ -294,12 +301,12 @@ def agglomerative(df: DataFrame, k: int | None = None, distance_threshold: float
                                 ", ".join(f"{c} double" for c in cols) + ", _micro int")
         labelled = core.attach(data, table, cols)
     else:
-        fit = _fit(data, cols, micro, seed, 1, "_micro")
+        fit = _fit(_vectors(data, cols), cols, micro, seed, 1, "_micro")
         labelled, centers = fit.data, fit.centers
         size = {r["_micro"]: r["count"] for r in labelled.groupBy("_micro").count().collect()}
         weights = np.array([size.get(i, 0) for i in range(len(centers))], dtype=float)
         weights[weights == 0] = 1e-9
-    tree = _merge_tree(centers, weights, linkage)
+    tree = _merge_tree(centers, weights, linkage, metric)
     heights = sorted(t[2] for t in tree)
     m = len(centers)
     merges = m - k if k is not None else sum(h <= distance_threshold for h in heights)
@@ -327,62 +334,97 @@ def agglomerative(df: DataFrame, k: int | None = None, distance_threshold: float
 
 
 # ------------------------------------------------------------- density methods
+@dataclass
+class _Space:
+    """Rows with a point ``_x`` whose L1 or L2 distance orders pairs as the metric does; missing where the metric is undefined."""
+
+    data: DataFrame
+    p: int
+    cosine: bool
+
+    def outward(self, distance):
+        """The metric's own distance."""
+        return distance * distance / 2 if self.cosine else distance
+
+    def inward(self, radius: float) -> float:
+        return math.sqrt(2 * radius) if self.cosine else radius
+
+
+def _space(scaled: DataFrame, cols: list[str], metric: str) -> _Space:
+    """``euclidean``, ``manhattan`` or ``cosine`` (unit vectors, where 1 - cos is half the squared distance; a zero vector has no direction)."""
+    if metric not in ("euclidean", "manhattan", "cosine"):
+        raise ValueError(f"unknown metric: {metric}")
+    data = scaled.withColumn("_x", F.array(*[num(c) for c in cols]))
+    data = data.withColumn("_x", F.when(F.forall("_x", lambda e: e.isNotNull()), F.col("_x")))
+    if metric == "cosine":
+        norm = F.sqrt(F.aggregate("_x", F.lit(0.0), lambda total, e: total + e * e))
+        data = data.withColumn("_norm", norm).withColumn("_x", F.when(F.col("_norm") > 0, F.transform("_x", lambda e: e / F.col("_norm")))).drop("_norm")
+    return _Space(data, 1 if metric == "manhattan" else 2, metric == "cosine")
+
+
 def knn_distance(df: DataFrame, row_id: str, k: int = 5, columns: Sequence[str] | None = None,
-                 scaling: str | None = "standard") -> DataFrame:
-    """Distance of every row to its k-th nearest row (itself included)."""
+                 scaling: str | None = "standard", metric: str = "euclidean") -> DataFrame:
+    """Distance of every row to its k-th nearest row (itself included); missing for rows with a missing coordinate."""
     cols = list(columns or [c for c in core.numeric_columns(df) if c != row_id])
     scaled, cols = _scaled(df, cols, scaling)
-    points = distinct_points(scaled, cols, row_id)
-    near = neighbours(points, len(cols), k).select(*[F.col(f"x{i}").alias(c) for i, c in enumerate(cols)], "kdist")
-    return scaled.select(row_id, *cols).join(near, cols).select(row_id, F.col("kdist").alias("distance"))
+    s = _space(scaled, cols, metric)
+    near = neighbours(distinct_points(s.data, "_x", row_id), k, s.p).select(F.col("x").alias("_x"), "kdist")
+    return s.data.select(row_id, "_x").join(near, "_x", "left").select(row_id, s.outward(F.col("kdist")).alias("distance"))
 
 
-def best_eps(df: DataFrame, row_id: str, min_samples: int = 5, columns: Sequence[str] | None = None,
-             scaling: str | None = "standard", sensitivity: float = 1.0, points: int = 10_000) -> tuple[float | None, DataFrame]:
-    """Bend of the sorted k-distance curve.
+#: Points of the k-distance curve on which its bend is looked for, whatever the number of rows.
+CURVE_POINTS = 1_000
 
-    Up to ``points`` rows the bend is found on the whole curve, above that on
-    its values at evenly spaced exact ranks.
-    """
-    dist = core.checkpoint(knn_distance(df, row_id, min_samples, columns, scaling))
+
+def best_eps(df: DataFrame, row_id: str, min_samples: int = 5, columns: Sequence[str] | None = None, scaling: str | None = "standard",
+             sensitivity: float = 1.0, points: int = CURVE_POINTS, metric: str = "euclidean") -> tuple[float | None, DataFrame]:
+    """Bend of the sorted k-distance curve, read at ``points`` evenly spaced places (between ranks by interpolation); and the whole curve."""
+    dist = core.checkpoint(knn_distance(df, row_id, min_samples, columns, scaling, metric).where("distance is not null"))
     curve = core.value_ranks(dist, "distance")
     n = dist.count()
-    if n <= points:
-        values = [r["value"] for r in curve.orderBy("value").select("value", F.explode(F.sequence(F.lit(1).cast("long"), F.col("cnt")))).collect()]
-        ranks = list(range(n))
-    else:
-        step = (n - 1) / (points - 1)
-        marks = curve.withColumn("_lo", F.ceil(F.col("cnt_before") / step)).withColumn(
-            "_hi", F.ceil((F.col("cnt_before") + F.col("cnt")) / step) - 1).where("_hi >= _lo")
-        got = sorted((r["i"], r["value"]) for r in marks.select("value", F.explode(F.sequence("_lo", "_hi")).alias("i")).collect())
-        ranks, values = [i * step for i, _ in got], [v for _, v in got]
-    at = knee(ranks, values, "increasing", sensitivity)
-    return (None if at is None else values[at]), curve.select(F.col("cnt_before").alias("rank_from"), "cnt", F.col("value").alias("distance"))
+    if not n:
+        return None, curve.select(F.col("cnt_before").alias("rank_from"), "cnt", F.col("value").alias("distance"))
+    step = F.lit((n - 1) / (points - 1) or 1.0)
+    place = F.col("j") * step
+    parts = None
+    for ahead in (0, 1):       # a place between two ranks takes its share of either
+        low, high = F.col("cnt_before") - ahead, F.col("cnt_before") + F.col("cnt") - ahead
+        first = F.greatest(F.ceil(low / step) - 1, F.lit(0))
+        last = F.least(F.ceil(high / step) + 1, F.lit(points - 1))
+        inside = curve.where(first <= last).select("value", low.alias("lo"), high.alias("hi"), F.explode(F.sequence(first, last)).alias("j")).where(
+            (F.floor(place) >= F.col("lo")) & (F.floor(place) < F.col("hi")))
+        share = place - F.floor(place) if ahead else 1 - place + F.floor(place)
+        one = inside.select("j", (share * F.col("value")).alias("v"))
+        parts = one if parts is None else parts.unionByName(one)
+    got = parts.groupBy("j").agg(F.sum("v").alias("v")).orderBy("j").collect()      # ``points`` rows
+    at = knee([r["j"] for r in got], [r["v"] for r in got], "increasing", sensitivity)
+    return (None if at is None else float(got[at]["v"])), curve.select(F.col("cnt_before").alias("rank_from"), "cnt", F.col("value").alias("distance"))
+
+
+#: Coordinates by which cells are dealt into zones; 3 ** ZONE_AXES neighbours each.
+ZONE_AXES = 3
 
 
 def dbscan(df: DataFrame, row_id: str, eps: float = 0.5, min_samples: int = 5, columns: Sequence[str] | None = None,
-           scaling: str | None = "standard", label: str = "cluster", vector: str = "vector") -> DataFrame:
-    """Density clusters: ``label`` (-1 noise), ``vector`` core / border / noise.
-
-    A point is core when its ``min_samples``-th neighbour lies within eps.  Core
-    points of one cell (side eps/√d) always belong together, so cells are the
-    graph's nodes; two cells are linked by testing bounding boxes that shrink
-    until they decide, never by pairing their points.  A border point has fewer
-    than ``min_samples`` neighbours, so its core neighbours are in the list the
-    neighbour search returned.  Clusters are numbered by their first core row.
+           scaling: str | None = "standard", label: str = "cluster", vector: str = "vector", metric: str = "euclidean") -> DataFrame:
+    """Density clusters: ``label`` (-1 noise), ``vector`` core / border / noise; both missing for rows with a missing coordinate.
+
+    A point is core when its ``min_samples``-th neighbour lies within eps.  Core points of one cell always belong together, so cells are
+    the graph's nodes; two cells are linked by testing bounding boxes that shrink until they decide, never by pairing their points.  A
+    border point has fewer than ``min_samples`` neighbours, so its core neighbours are in the list the neighbour search returned.
+    Clusters are numbered by their first core row.
     """
     cols = list(columns or [c for c in core.numeric_columns(df) if c != row_id])
     scaled, cols = _scaled(df, cols, scaling)
-    d = len(cols)
-    xs = [f"x{i}" for i in range(d)]
-    near = core.checkpoint(neighbours(distinct_points(scaled, cols, row_id), d, min_samples).withColumn(
+    space, d = _space(scaled, cols, metric), len(cols)
+    eps = space.inward(eps)
+    near = core.checkpoint(neighbours(distinct_points(space.data, "_x", row_id), min_samples, space.p).withColumn(
         "is_core", F.coalesce(F.col("kdist") <= eps, F.lit(False))))
-    side = eps / math.sqrt(d)
-    cell = F.array(*[F.floor(F.col(x) / side) for x in xs])
-    cores = near.where("is_core").select("pid", *xs, cell.alias("cell"))
+    side = eps / (math.sqrt(d) if space.p == 2 else d)
+    cores = near.where("is_core").select("pid", "x", F.transform("x", lambda e: F.floor(e / side)).alias("cell"))
     cells = cores.groupBy("cell").agg(F.min("pid").alias("node"))
-    cores = core.checkpoint(cores.join(cells, "cell").select("pid", "node", *xs))
-    edges = _cell_edges(cores, xs, eps, side)
+    cores = core.checkpoint(cores.join(cells, "cell").select("pid", "node", "x"))
+    edges = _cell_edges(cores, d, eps, side, space.p)
     roots = components(edges, cores.select("node").distinct())
     first = core.cumulate(roots.select("root").distinct().withColumn("one", F.lit(1)), [], ["root"], ["one"])
     number = roots.join(first, "root").select("node", F.col("one_before").cast("int").alias("_c"))
@@ -391,43 +433,49 @@ def dbscan(df: DataFrame, row_id: str, eps: float = 0.5, min_samples: int = 5, c
         F.col("pid").alias("_b"), F.col("n.pid").alias("pid"))
     border = reach.join(core_label, "pid").groupBy(F.col("_b").alias("pid")).agg(F.min("_c").alias("_c"))
     tagged = core_label.withColumn("_v", F.lit("core")).unionByName(border.withColumn("_v", F.lit("border")))
-    points = near.select("pid", *[F.col(x).alias(c) for x, c in zip(xs, cols)]).join(tagged, "pid", "left")
-    return scaled.join(points, cols).select(
-        *[scaled[c] for c in scaled.columns], F.coalesce("_c", F.lit(-1)).alias(label), F.coalesce("_v", F.lit("noise")).alias(vector))
+    points = near.select("pid", F.col("x").alias("_x")).join(tagged, "pid", "left").drop("pid")
+    whole = F.col("_x").isNotNull()
+    return space.data.join(points, "_x", "left").select(
+        *[space.data[c] for c in scaled.columns], F.when(whole, F.coalesce("_c", F.lit(-1))).alias(label),
+        F.when(whole, F.coalesce("_v", F.lit("noise"))).alias(vector))
 
 
-def _gaps(xs: list[str]):
+def _gaps(p: int):
     """Least and largest distance between box a and box b."""
-    least = most = F.lit(0.0)
-    for x in xs:
-        gap = F.greatest(F.lit(0.0), F.col(f"a_lo_{x}") - F.col(f"b_hi_{x}"), F.col(f"b_lo_{x}") - F.col(f"a_hi_{x}"))
-        far = F.greatest(F.abs(F.col(f"a_hi_{x}") - F.col(f"b_lo_{x}")), F.abs(F.col(f"b_hi_{x}") - F.col(f"a_lo_{x}")))
-        least, most = least + gap * gap, most + far * far
-    return F.sqrt(least), F.sqrt(most)
+    sides = F.arrays_zip("a_lo", "a_hi", "b_lo", "b_hi")
+    gap = F.transform(sides, lambda z: F.greatest(F.lit(0.0), z["a_lo"] - z["b_hi"], z["b_lo"] - z["a_hi"]))
+    far = F.transform(sides, lambda z: F.greatest(F.abs(z["a_hi"] - z["b_lo"]), F.abs(z["b_hi"] - z["a_lo"])))
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, e: s + (e * e if p == 2 else e))
+    return (F.sqrt(total(gap)), F.sqrt(total(far))) if p == 2 else (total(gap), total(far))
 
 
-def _boxes(cores: DataFrame, xs: list[str], width: float | None, parent: float | None, tag: str) -> DataFrame:
+def _boxes(cores: DataFrame, d: int, width: float | None, parent: float | None, tag: str) -> DataFrame:
     """Tight boxes per node and sub-cell of ``width`` (whole node without), with the parent sub-cell's key."""
     def key(w):
-        return F.lit(0).cast("long") if w is None else F.xxhash64("node", *[F.floor(F.col(x) / w) for x in xs])
+        return F.lit(0).cast("long") if w is None else F.xxhash64("node", F.transform("x", lambda e: F.floor(e / w)))
     return cores.groupBy(F.col("node").alias(f"{tag}_node"), key(width).alias(f"{tag}_box")).agg(
-        F.min(key(parent)).alias(f"{tag}_up"),
-        *[F.min(x).alias(f"{tag}_lo_{x}") for x in xs], *[F.max(x).alias(f"{tag}_hi_{x}") for x in xs])
+        F.min(key(parent)).alias(f"{tag}_up"), F.array(*[F.min(F.get("x", F.lit(i))) for i in range(d)]).alias(f"{tag}_lo"),
+        F.array(*[F.max(F.get("x", F.lit(i))) for i in range(d)]).alias(f"{tag}_hi"))
+
 
+def _cell_edges(cores: DataFrame, d: int, eps: float, side: float, p: int) -> DataFrame:
+    """Pairs of cells that hold core points within eps of each other.
 
-def _cell_edges(cores: DataFrame, xs: list[str], eps: float, side: float) -> DataFrame:
-    """Pairs of cells that hold core points within eps of each other."""
-    a, b = (_boxes(cores, xs, None, None, t) for t in "ab")
-    coarse = lambda t: [F.floor(F.col(f"{t}_lo_{x}") / eps) for x in xs]
+    Cells meet in zones of the few coordinates with the widest spread: the low corners of two linked cells differ by eps and a side at most.
+    """
+    a, b = (_boxes(cores, d, None, None, t) for t in "ab")
+    spread = cores.agg(*[F.var_samp(F.get("x", F.lit(i))).alias(f"s{i}") for i in range(d)]).first()
+    axes = sorted(range(d), key=lambda i: (-(spread[f"s{i}"] or 0.0), i))[:ZONE_AXES]
+    coarse = lambda t: [F.floor(F.get(f"{t}_lo", F.lit(i)) / (eps + side)) for i in axes]
     steps = [F.struct(*[F.lit(s).cast("long").alias(f"o{i}") for i, s in enumerate(c)])
-             for c in itertools.product((-1, 0, 1), repeat=len(xs))]
-    spread = a.withColumn("_off", F.explode(F.array(*steps))).select("*", F.array(*[
+             for c in itertools.product((-1, 0, 1), repeat=len(axes))]
+    spread_out = a.withColumn("_off", F.explode(F.array(*steps))).select("*", F.array(*[
         c + F.col(f"_off.o{i}") for i, c in enumerate(coarse("a"))]).alias("_zone"))
-    pairs = spread.join(b.withColumn("_zone", F.array(*coarse("b"))), "_zone").where("a_node < b_node")
+    pairs = spread_out.join(b.withColumn("_zone", F.array(*coarse("b"))), "_zone").where("a_node < b_node")
     edges, width = None, None
-    least, most = _gaps(xs)
+    least, most = _gaps(p)
     while True:
-        judged = core.checkpoint(pairs.withColumn("_min", least).withColumn("_max", most).where(F.col("_min") <= eps).select(
+        judged = core.checkpoint(pairs.withColumn("_min", least).where(F.col("_min") <= eps).withColumn("_max", most).select(
             "a_node", "b_node", "a_box", "b_box", (F.col("_max") <= eps).alias("_sure")))
         sure = judged.where("_sure").select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
         edges = sure if edges is None else edges.unionByName(sure)
@@ -437,7 +485,7 @@ def _cell_edges(cores: DataFrame, xs: list[str], eps: float, side: float) -> Dat
         parent, width = width, (side if width is None else width) / 4
         involved = rest.select(F.explode(F.array("a_node", "b_node")).alias("node")).distinct()
         inside = cores.join(involved, "node", "left_semi")
-        aa, bb = _boxes(inside, xs, width, parent, "a"), _boxes(inside, xs, width, parent, "b")
+        aa, bb = _boxes(inside, d, width, parent, "a"), _boxes(inside, d, width, parent, "b")
         pairs = (rest.select("a_node", "b_node", F.col("a_box").alias("a_up"), F.col("b_box").alias("b_up"))
                  .join(aa, ["a_node", "a_up"]).join(bb, ["b_node", "b_up"]))
 
@@ -456,7 +504,11 @@ def _id_like(df: DataFrame, cols: Sequence[str]) -> set[str]:
         return set()
     row = df.agg(F.count(F.lit(1)).alias("n"), *[F.approx_count_distinct(c, 0.02).alias(f"_{i}") for i, c in enumerate(cols)]).first()
     likely = [c for i, c in enumerate(cols) if row[f"_{i}"] > 0.85 * row["n"]]
-    return {c for c in likely if df.groupBy(c).count().agg(F.count(F.lit(1))).first()[0] == row["n"]}
+    if not likely:
+        return set()
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), col_of(c).cast("string").alias("v")) for c in likely])))
+    distinct = long.groupBy("variable", "v").agg(F.lit(1).alias("one")).groupBy("variable").agg(F.count("one").alias("k")).collect()
+    return {r["variable"] for r in distinct if r["k"] == row["n"]}
 
 
 def persona(df: DataFrame, label: str = "cluster", columns: Sequence[str] | None = None, num_columns: Sequence[str] | None = None,

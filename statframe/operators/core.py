@@ -17,6 +17,7 @@ number of columns, by ``Limits.collect_rows`` or by the partition count.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -40,7 +41,7 @@ class Limits:
     groups: int = 2_000             # groups whose brackets may be broadcast as one table
     block_rows: int = 250_000       # rows per window block of one long series
     agg_columns: int = 40           # columns per aggregate job
-    gram_columns: int = 24          # beyond this the JVM correlation matrix is used
+    product_sums: int = 300         # sums of products per aggregate job
 
 
 LIMITS = Limits()
@@ -114,17 +115,30 @@ def rows_frame(spark, rows: list[dict], schema: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ checkpoint
+def shared_folder(spark) -> str:
+    """The folder all executors reach (``spark.checkpoint.dir``); a temporary one only in local mode, kept for the session."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        folder = f"file://{tempfile.mkdtemp(prefix='statframe-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def shared_path(spark, ending: str) -> str:
+    """A new path in the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}{ending}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage into the cluster's checkpoint folder (a temporary one only in local mode)."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """Cut lineage into the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="statframe-checkpoint-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -256,13 +270,19 @@ def value_ranks(df: DataFrame, value: str | Column, keys: Sequence[str] = (),
     return ranked.withColumn("rank", F.col("cnt_before") + (F.col("cnt") + 1) / 2)
 
 
+def total_order(df: DataFrame, order: Sequence[str], keys: Sequence[str] = ()) -> list[str]:
+    """``order``, then every other sortable column: rows that still tie are equal, so their order changes nothing."""
+    rest = [f.name for f in df.schema if f.name not in {*order, *keys} and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return [*order, *rest]
+
+
 def previous(df: DataFrame, order: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Add ``prev_<col>``: the value in the row before, over the whole table in ``order``.
+    """Add ``prev_<col>``: the value in the row before, over the whole table in ``order`` (ties by all other columns).
 
     Large tables are range partitioned and pinned; only the last row of every
     partition crosses to the next one.
     """
-    order, cols = list(order), list(cols)
+    order, cols = total_order(df, order), list(cols)
     if df.count() <= LIMITS.small_rows:
         w = Window.partitionBy(F.lit(0)).orderBy(*order)
         return df.select("*", *[F.lag(c).over(w).alias(f"prev_{c}") for c in cols])
@@ -279,8 +299,9 @@ def previous(df: DataFrame, order: Sequence[str], cols: Sequence[str]) -> DataFr
 
 
 def positions(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "_pos") -> DataFrame:
-    """1-based position of each row inside its series."""
-    by, order = list(by), list(order)
+    """1-based position of each row inside its series, ties by all other columns."""
+    by = list(by)
+    order = total_order(df, order, by)
     n = df.count()
     if n <= LIMITS.small_rows:
         w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)
@@ -561,12 +582,12 @@ def gram(df: DataFrame, columns: dict[str, Column] | Sequence[str], means: Seque
         return Gram(names, 0, total, np.full(p, np.nan), np.full((p, p), np.nan))
     mean = np.array(means, dtype=float)
     data = raw.where(whole)
-    if p > LIMITS.gram_columns:
-        return Gram(names, n, total, mean, _wide_cross(data, mean, n))
     centred = data.select(*[(f - F.lit(float(m))).alias(f"_g{i}") for i, (f, m) in enumerate(zip(fields, mean))])
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    sums = centred.agg(*[F.sum(fields[i] * fields[j]).alias(f"s{i}_{j}") for i, j in pairs],
-                       *[F.sum(f).alias(f"r{i}") for i, f in enumerate(fields)]).first()
+    sums = centred.agg(*[F.sum(f).alias(f"r{i}") for i, f in enumerate(fields)], *[
+        F.sum(fields[i] * fields[j]).alias(f"s{i}_{j}") for i, j in pairs[:LIMITS.product_sums]]).first().asDict()
+    for part in chunks(pairs[LIMITS.product_sums:], LIMITS.product_sums):
+        sums |= centred.agg(*[F.sum(fields[i] * fields[j]).alias(f"s{i}_{j}") for i, j in part]).first().asDict()
     rest = np.array([sums[f"r{i}"] for i in range(p)])
     cross = np.zeros((p, p))
     for i, j in pairs:
@@ -574,20 +595,6 @@ def gram(df: DataFrame, columns: dict[str, Column] | Sequence[str], means: Seque
     return Gram(names, n, total, mean + rest / n, cross)
 
 
-def _wide_cross(data: DataFrame, mean: np.ndarray, n: int) -> np.ndarray:
-    """Many columns: Spark's own tree-aggregated correlation matrix, scaled back."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-
-    cols = data.columns
-    sd = data.agg(*[F.stddev_samp(c).alias(c) for c in cols]).first()
-    scale = np.array([sd[c] or 0.0 for c in cols])
-    vec = VectorAssembler(inputCols=cols, outputCol="v").transform(
-        data.select(*[(F.col(c) - F.lit(float(m))).alias(c) for c, m in zip(cols, mean)])).select("v")
-    r = np.nan_to_num(Correlation.corr(vec, "v").first()[0].toArray(), nan=0.0)
-    return r * np.outer(scale, scale) * (n - 1)
-
-
 def inverse(a: np.ndarray) -> np.ndarray:
     """Symmetric inverse, falling back to the pseudo-inverse for collinear designs."""
     try:

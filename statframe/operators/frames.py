@@ -65,44 +65,45 @@ def histogram(df: DataFrame, x: str, bins: int | str = "auto", hue: str | None =
         F.coalesce("count", F.lit(0)).alias("count"))
 
 
-FINE_BINS = 4096
-
-
-def _density(df: DataFrame, x: str, keys: list[str], grid: int, widen: float, cut: float) -> list[dict]:
-    """Gaussian kernel density of all rows per group: fine linear binning on Spark, kernel on the bins."""
-    data = _present(df, keys).select(*keys, num(x).alias("_v")).where(F.col("_v").isNotNull())
-    stats = {tuple(r[k] for k in keys): r for r in core.moments(data, ["_v"], keys).collect()}
-    stats = {k: r for k, r in stats.items() if r["n"] >= 2 and r["max"] > r["min"]}
-    if not stats:
-        return []
-    lo, hi = min(r["min"] for r in stats.values()), max(r["max"] for r in stats.values())
-    step = (hi - lo) / (FINE_BINS - 1)
-    spot = (F.col("_v") - F.lit(lo)) / F.lit(step)
-    low = F.floor(spot)
-    share = spot - low
-    parts = data.select(*keys, F.inline(F.array(
-        F.struct(low.cast("int").alias("b"), (1 - share).alias("w")), F.struct((low + 1).cast("int").alias("b"), share.alias("w")))))
-    weights: dict[tuple, np.ndarray] = {k: np.zeros(FINE_BINS + 1) for k in stats}
-    for r in parts.groupBy(*keys, "b").agg(F.sum("w").alias("w")).collect():
-        key = tuple(r[k] for k in keys)
-        if key in weights:
-            weights[key][r["b"]] += r["w"]
-    centers, out = lo + step * np.arange(FINE_BINS + 1), []
-    for key, r in sorted(stats.items(), key=lambda kv: str(kv[0])):
-        bw = math.sqrt(r["var"]) * r["n"] ** -0.2 * widen
-        points = np.linspace(r["min"] - cut * bw, r["max"] + cut * bw, grid)
-        dens = np.exp(-0.5 * ((points[:, None] - centers[None, :]) / bw) ** 2) @ weights[key]
-        dens /= r["n"] * bw * math.sqrt(2 * math.pi)
-        out.append({"key": key, "points": points, "density": dens})
-    return out
+#: Bins per bandwidth, and how many bandwidths a kernel reaches.
+BINS_PER_WIDTH, KERNEL_REACH = 32, 9
+
+
+def _density(df: DataFrame, x: str, keys: list[str], grid: int, widen: float, cut: float) -> DataFrame:
+    """Gaussian kernel density of all rows per group: ``keys…, i, x, density`` on ``grid`` points.
+
+    Rows are shared linearly between the neighbouring bins, which are a fixed part of the group's own bandwidth (whatever its range), only
+    filled bins exist, and each adds its kernel to the points in reach. No step brings bins or groups to the driver. Groups with fewer
+    than two distinct values have no curve.
+    """
+    keys = list(keys) or ["_whole"]
+    data = (df if keys != ["_whole"] else df.withColumn("_whole", F.lit(0))).dropna(subset=keys).select(*keys, num(x).alias("_v")).where(F.col("_v").isNotNull())
+    stats = core.moments(data, ["_v"], keys).where((F.col("n") >= 2) & (F.col("max") > F.col("min")))
+    width = F.sqrt("var") * F.pow(F.col("n").cast("double"), F.lit(-0.2)) * widen
+    scales = stats.select(*keys, "n", width.alias("_bw"), (F.col("min") - cut * width).alias("_lo"),
+                          ((F.col("max") - F.col("min") + 2 * cut * width) / (grid - 1)).alias("_step"))
+    placed = core.attach(data, scales.select(*keys, "_bw"), keys)
+    spot = F.col("_v") * BINS_PER_WIDTH / F.col("_bw")
+    low, share = F.floor(spot), spot - F.floor(spot)
+    bins = placed.select(*keys, F.inline(F.array(F.struct(low.alias("_b"), (1 - share).alias("_w")), F.struct((low + 1).alias("_b"), share.alias("_w")))))
+    bins = core.attach(bins.groupBy(*keys, "_b").agg(F.sum("_w").alias("_w")), scales, keys).withColumn("_c", F.col("_b") * F.col("_bw") / BINS_PER_WIDTH)
+    reach = KERNEL_REACH * F.col("_bw")
+    first = F.greatest(F.ceil((F.col("_c") - reach - F.col("_lo")) / F.col("_step")), F.lit(0))
+    last = F.least(F.floor((F.col("_c") + reach - F.col("_lo")) / F.col("_step")), F.lit(grid - 1))
+    near = bins.where(first <= last).select(*keys, "_w", "_c", "_bw", "_lo", "_step", F.explode(F.sequence(first, last)).alias("i"))
+    z = (F.col("_lo") + F.col("i") * F.col("_step") - F.col("_c")) / F.col("_bw")
+    sums = near.groupBy(*keys, "i").agg(F.sum(F.col("_w") * F.exp(-0.5 * z * z)).alias("_sum"))
+    points = scales.select(*keys, "n", "_bw", "_lo", "_step", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(grid - 1).cast("long"))).alias("i"))
+    out = points.join(sums, [*keys, "i"], "left").select(
+        *keys, "i", (F.col("_lo") + F.col("i") * F.col("_step")).alias("x"),
+        (F.coalesce("_sum", F.lit(0.0)) / (F.col("n") * F.col("_bw") * math.sqrt(2 * math.pi))).alias("density"))
+    return out.drop("_whole")
 
 
 def kde(df: DataFrame, x: str, hue: str | None = None, grid: int = 200, cut: float = 3.0) -> DataFrame:
     """Density curve per group (Scott bandwidth)."""
-    keys = _keys(hue)
-    rows = [{**({hue: str(c["key"][0])} if hue else {}), "x": p, "density": d}
-            for c in _density(df, x, keys, grid, 1.0, cut) for p, d in zip(c["points"], c["density"])]
-    return core.rows_frame(df.sparkSession, rows, (f"{hue} string, " if hue else "") + "x double, density double")
+    out = _density(df.withColumn(hue, col_of(hue).cast("string")) if hue else df, x, _keys(hue), grid, 1.0, cut)
+    return out.drop("i").orderBy(*_keys(hue), "x")
 
 
 def kde_lines(df: DataFrame, x: str, hue: str | None = None, level: float = 0.95) -> DataFrame:
@@ -118,16 +119,17 @@ PEAK_WIDEN, PEAK_GRID, PEAK_PROMINENCE = 2.0, 512, 0.05
 
 
 def peaks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Number and places of density peaks per column, from all rows."""
+    """Number and places of density peaks per column, from all rows: all columns are groups of one plan."""
+    cols = list(cols)
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("_column"), num(c).alias("_x")) for c in cols])))
+    curves: dict[str, list] = {c: [] for c in cols}
+    for r in _density(long, "_x", ["_column"], PEAK_GRID, PEAK_WIDEN, 0.0).orderBy("_column", "i").collect():   # a grid per column
+        curves[r["_column"]].append((r["x"], r["density"]))
     rows = []
-    for c in cols:
-        curves = _density(df, c, [], PEAK_GRID, PEAK_WIDEN, 0.0)
-        if not curves:
-            rows.append({"variable": c, "peaks": None, "positions": []})
-            continue
-        points, dens = curves[0]["points"], curves[0]["density"]
-        found = [i for i in _local_maxima(dens) if _prominence(dens, i) >= PEAK_PROMINENCE * dens.max()]
-        rows.append({"variable": c, "peaks": len(found), "positions": [float(points[i]) for i in found]})
+    for c, curve in curves.items():
+        dens = np.array([d for _, d in curve])
+        found = [i for i in _local_maxima(dens) if _prominence(dens, i) >= PEAK_PROMINENCE * dens.max()] if curve else []
+        rows.append({"variable": c, "peaks": len(found) if curve else None, "positions": [float(curve[i][0]) for i in found]})
     return core.rows_frame(df.sparkSession, rows, "variable string, peaks int, positions array<double>")
 
 
@@ -189,24 +191,27 @@ def count(df: DataFrame, x: str, hue: str | None = None) -> DataFrame:
 
 
 def pie(df: DataFrame, x: str) -> DataFrame:
+    """Counts and shares; the total is one number, so no window gathers the levels."""
     g = count(df, x)
-    return g.withColumn("share", div(F.col("count"), F.sum("count").over(Window.partitionBy(F.lit(0)))))
+    total = g.agg(F.sum("count")).first()[0] or 0
+    return g.withColumn("share", div(F.col("count"), F.lit(total)))
 
 
-def stack(df: DataFrame, x: str, y: str, hue: str, aggregate: str | Callable = "sum", ratio: bool = False) -> DataFrame:
-    """One column per hue level, missing cells 0, optionally as percent of the row."""
-    keys = [x, hue]
-    data = _present(df, keys)
-    levels = sorted(r[0] for r in data.select(hue).distinct().limit(1_001).collect())
-    if len(levels) > 1_000:
-        raise ValueError(f"{hue} has more than 1,000 levels")
-    wide = data.groupBy(x).pivot(hue, levels).agg(_estimator(aggregate)(num(y))).fillna(0)
+def stack_cells(df: DataFrame, x: str, y: str, hue: str, aggregate: str | Callable = "sum", ratio: bool = False) -> DataFrame:
+    """The filled cells of ``stack`` as rows ``x, hue, value``, for any number of levels."""
+    cells = _present(df, [x, hue]).groupBy(x, hue).agg(_estimator(aggregate)(num(y)).alias("value"))
     if not ratio:
-        return wide
-    total = F.lit(0.0)
-    for v in levels:
-        total = total + F.col(f"`{v}`")
-    return wide.select(x, *[(div(F.col(f"`{v}`"), total) * 100).alias(str(v)) for v in levels])
+        return cells
+    totals = cells.groupBy(x).agg(F.sum("value").alias("_total"))
+    return core.attach(cells, totals, [x]).select(x, hue, (div(F.col("value"), F.col("_total")) * 100).alias("value"))
+
+
+def stack(df: DataFrame, x: str, y: str, hue: str, aggregate: str | Callable = "sum", ratio: bool = False,
+          levels: Sequence | None = None) -> DataFrame:
+    """One column per hue level (all of them, or those asked for), missing cells 0, optionally as percent of the row."""
+    cells = stack_cells(df, x, y, hue, aggregate, ratio)
+    levels = list(levels) if levels is not None else sorted(r[0] for r in cells.select(hue).distinct().collect())   # they become columns
+    return cells.groupBy(x).pivot(hue, levels).agg(F.first("value")).fillna(0)
 
 
 def point(df: DataFrame, x: str, y: str, hue: str | None = None) -> DataFrame:
@@ -216,10 +221,17 @@ def point(df: DataFrame, x: str, y: str, hue: str | None = None) -> DataFrame:
         F.avg(num(y)).alias("mean"), div(F.stddev_samp(num(y)), F.sqrt(F.count(num(y)))).alias("se"), F.count(num(y)).alias("n"))
 
 
-def line(df: DataFrame, x: str, y: str, hue: str | None = None, level: float = 0.95) -> DataFrame:
-    """Mean per x (and hue)."""
+def line(df: DataFrame, x: str, y: str, hue: str | None = None, level: float | None = None) -> DataFrame:
+    """Mean per x (and hue); with ``level`` also its t interval ``lower, upper``."""
     keys = _keys(x, hue)
-    return _present(df, keys).groupBy(*keys).agg(F.avg(num(y)).alias("mean"), F.count(num(y)).alias("n"))
+    data = _present(df, keys)
+    out = data.groupBy(*keys).agg(F.avg(num(y)).alias("mean"), F.count(num(y)).alias("n"))
+    if level is None:
+        return out
+    from statframe.operators.quality import mean_interval
+
+    bounds = mean_interval(data, [y], keys, level).select(*keys, F.col("low").alias("lower"), F.col("high").alias("upper"))
+    return core.attach(out, bounds, keys, "left")
 
 
 def matrix(df: DataFrame, row: str, cols: Sequence[str] | None = None) -> DataFrame:

@@ -428,20 +428,29 @@ def anova2(df: DataFrame, value: str, between: Sequence[str], alpha: float = 0.0
 
 
 def posthoc2(df: DataFrame, value: str, between: Sequence[str], alpha: float = 0.05) -> DataFrame:
-    """Post-hoc pairs of the combined cells "a, b"."""
-    a, b = between
-    cell = df.where(col_of(a).isNotNull() & col_of(b).isNotNull()).withColumn(
-        "_cell", F.concat_ws(", ", col_of(a), col_of(b)))
-    return posthoc(cell, value, "_cell", (), alpha).orderBy("a", "b")
+    """Post-hoc pairs of the cells, shown as "a, b"; ``a1, a2`` and ``b1, b2`` are the factor levels of either side.
+
+    Cells are told apart by both levels, whatever their text; a pair is turned so that its labels are in order.
+    """
+    one, two = (col_of(c).cast("string") for c in between)
+    cell = df.where(one.isNotNull() & two.isNotNull()).withColumn("_cell", F.to_json(F.struct(one.alias("p"), two.alias("q"))))
+    pairs = posthoc(cell, value, "_cell", (), alpha)
+    level = lambda c, k: F.get_json_object(F.col(c), f"$.{k}")
+    label = lambda c: F.concat_ws(", ", level(c, "p"), level(c, "q"))
+    turned = label("a") > label("b")
+    first, second = F.when(turned, F.col("b")).otherwise(F.col("a")), F.when(turned, F.col("a")).otherwise(F.col("b"))
+    out = pairs.withColumns({"_a": first, "_b": second} | {c: F.when(turned, -F.col(c)).otherwise(F.col(c)) for c in ("diff", "t", "hedges")} | {
+        "mean_a": F.when(turned, F.col("mean_b")).otherwise(F.col("mean_a")), "mean_b": F.when(turned, F.col("mean_a")).otherwise(F.col("mean_b"))})
+    out = out.withColumns({"a": label("_a"), "b": label("_b"), "a1": level("_a", "p"), "a2": level("_a", "q"),
+                           "b1": level("_b", "p"), "b2": level("_b", "q")})
+    return out.drop("_a", "_b").orderBy("a", "b", "a1", "b1")
 
 
 def posthoc2_levels(pairs: DataFrame) -> DataFrame:
-    """Per factor level: pairs it takes part in and how many are significant."""
-    part = lambda c, i: F.split(F.col(c), ", ")[i]
-    long = pairs.select("significant", F.inline(F.array_distinct(F.array(*[
-        F.struct(F.lit(i).alias("factor"), part(c, i).alias("level")) for c in ("a", "b") for i in (0, 1)]))))
-    return long.groupBy("factor", "level").agg(
-        F.count(F.lit(1)).alias("pairs"), F.count_if("significant").alias("significant_pairs"))
+    """Per level of the first factor: pairs that hold it fixed on both sides, and how many are significant."""
+    same = F.col("a1") == F.col("b1")
+    seen = pairs.select(F.explode(F.array_distinct(F.array("a1", "b1"))).alias("level"), same.alias("_same"), "significant")
+    return seen.groupBy("level").agg(F.count_if("_same").alias("pairs"), F.count_if(F.col("_same") & F.col("significant")).alias("significant_pairs"))
 
 
 # ----------------------------------------------------------------- chi-square

@@ -21,11 +21,14 @@ SAMPLE_ROWS = 40_000
 QUERY_ROWS = 20_000       # queries of one leaf handled by one task
 
 
-def distinct_points(df: DataFrame, cols: Sequence[str], row_id: str) -> DataFrame:
-    """``pid`` (smallest row id), ``x0…``, ``cnt``: copies of a point become one row."""
-    data = df.select(F.col(row_id).cast("long").alias("_id"), *[core.num(c).alias(f"x{i}") for i, c in enumerate(cols)])
-    xs = [f"x{i}" for i in range(len(cols))]
-    return core.checkpoint(data.dropna().groupBy(*xs).agg(F.min("_id").alias("pid"), F.count(F.lit(1)).alias("cnt")))
+def distinct_points(df: DataFrame, vector: str, row_id: str) -> DataFrame:
+    """``pid`` (smallest row id), ``x`` (array of coordinates), ``cnt``: copies of a point become one row, missing points none."""
+    data = df.select(F.col(row_id).cast("long").alias("_id"), F.col(vector).alias("x")).where(F.col("x").isNotNull())
+    return core.checkpoint(data.groupBy("x").agg(F.min("_id").alias("pid"), F.count(F.lit(1)).alias("cnt")))
+
+
+def _stack(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_list()).astype(float)
 
 
 def _cuts(sample: np.ndarray, leaves: int) -> list[tuple[int, float, int, int]]:
@@ -70,13 +73,24 @@ def _leaf_of(nodes: list, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _nearest(q: np.ndarray, x: np.ndarray, cnt: np.ndarray, pid: np.ndarray, k: int):
+def _distances(q: np.ndarray, x: np.ndarray, p: int) -> np.ndarray:
+    """Every query against every point, one coordinate at a time (no rounding beyond the sum itself)."""
+    d = np.zeros((len(q), len(x)))
+    for a, b in zip(q.T, x.T):
+        gap = a[:, None] - b[None, :]
+        d += gap * gap if p == 2 else np.abs(gap)
+    return np.sqrt(d) if p == 2 else d
+
+
+def _norm(gap: np.ndarray, p: int, axis: int = 1) -> np.ndarray:
+    return np.sqrt((gap ** 2).sum(axis=axis)) if p == 2 else np.abs(gap).sum(axis=axis)
+
+
+def _nearest(q: np.ndarray, x: np.ndarray, cnt: np.ndarray, pid: np.ndarray, k: int, p: int = 2):
     """For each query the points that make up its k nearest rows (copies counted): lists of (dist, pid, cnt)."""
     out = []
     for lo in range(0, len(q), 512):
-        part = q[lo:lo + 512]
-        d = np.sqrt(((part[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)) if x.shape[1] <= 8 else np.sqrt(
-            np.maximum(0, (part ** 2).sum(1)[:, None] + (x ** 2).sum(1)[None, :] - 2 * part @ x.T))
+        d = _distances(q[lo:lo + 512], x, p)
         m = min(k, d.shape[1])
         near = np.argpartition(d, m - 1, axis=1)[:, :m]
         for row, idx in zip(d, near):
@@ -96,36 +110,39 @@ def _kth(items: list, k: int) -> float:
     return float("inf")
 
 
-def neighbours(points: DataFrame, dims: int, k: int) -> DataFrame:
-    """Add ``near`` (the distinct points behind the k nearest rows, self included) and ``kdist``."""
-    xs = [f"x{i}" for i in range(dims)]
+def neighbours(points: DataFrame, k: int, p: int = 2) -> DataFrame:
+    """Add ``near`` (the distinct points behind the k nearest rows, self included) and ``kdist``; ``p``: 2 euclidean, 1 manhattan."""
     n = points.count()
     leaves = max(1, min(n // LEAF_ROWS, SAMPLE_ROWS // 8))
-    sample = points.select(*xs).sample(min(1.0, SAMPLE_ROWS / max(n, 1)), seed=7).limit(2 * SAMPLE_ROWS).toPandas().to_numpy(dtype=float)
-    nodes = _cuts(sample, leaves)
+    sample = points.select("x").sample(min(1.0, SAMPLE_ROWS / max(n, 1)), seed=7).limit(2 * SAMPLE_ROWS).toPandas()
+    nodes = _cuts(_stack(sample["x"]) if len(sample) else np.zeros((0, 1)), leaves)
 
     @F.pandas_udf("long")
-    def leaf(*cols: pd.Series) -> pd.Series:
-        return pd.Series(_leaf_of(nodes, np.column_stack([c.to_numpy(dtype=float) for c in cols])))
-
-    placed = core.checkpoint(points.withColumn("leaf", leaf(*xs)))
-    box_rows = placed.groupBy("leaf").agg(*[F.min(x).alias(f"lo_{x}") for x in xs], *[F.max(x).alias(f"hi_{x}") for x in xs]).collect()
-    box_id = np.array([r["leaf"] for r in box_rows])
-    low = np.array([[r[f"lo_{x}"] for x in xs] for r in box_rows])
-    high = np.array([[r[f"hi_{x}"] for x in xs] for r in box_rows])
+    def leaf(x: pd.Series) -> pd.Series:
+        return pd.Series(_leaf_of(nodes, _stack(x)) if len(x) else [], dtype="int64")
+
+    placed = core.checkpoint(points.withColumn("leaf", leaf("x")))
+
+    def box(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = _stack(pdf["x"])
+        return pd.DataFrame({"leaf": pdf["leaf"].iloc[:1], "lo": [x.min(axis=0)], "hi": [x.max(axis=0)]})
+
+    boxes = placed.groupBy("leaf").applyInPandas(box, "leaf long, lo array<double>, hi array<double>").toPandas()
+    box_id = boxes["leaf"].to_numpy()
+    low, high = (_stack(boxes[c]) if len(boxes) else np.zeros((0, 1)) for c in ("lo", "hi"))
     item = "array<struct<dist:double,pid:long,cnt:long>>"
 
     def own(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, cnt, pid = pdf[xs].to_numpy(dtype=float), pdf["cnt"].to_numpy(), pdf["pid"].to_numpy()
-        found = _nearest(x, x, cnt, pid, k)
+        x, cnt, pid = _stack(pdf["x"]), pdf["cnt"].to_numpy(), pdf["pid"].to_numpy()
+        found = _nearest(x, x, cnt, pid, k, p)
         radius = np.array([_kth(f, k) for f in found])
         me = pdf["leaf"].iloc[0]
         gap = np.maximum(0, np.maximum(low - x.max(axis=0), x.min(axis=0) - high))
-        close = np.flatnonzero((np.sqrt((gap ** 2).sum(axis=1)) <= radius.max()) & (box_id != me))
+        close = np.flatnonzero((_norm(gap, p) <= radius.max()) & (box_id != me))
         visit = []
-        for p, rad in zip(x, radius):
-            away = np.maximum(0, np.maximum(low[close] - p, p - high[close]))
-            visit.append(box_id[close[np.sqrt((away ** 2).sum(axis=1)) <= rad]].tolist())
+        for at, rad in zip(x, radius):
+            away = np.maximum(0, np.maximum(low[close] - at, at - high[close]))
+            visit.append(box_id[close[_norm(away, p) <= rad]].tolist())
         return pd.DataFrame({"pid": pid, "found": [[{"dist": d, "pid": i, "cnt": c} for d, i, c in f] for f in found], "visit": visit})
 
     first = core.checkpoint(placed.groupBy("leaf").applyInPandas(own, f"pid long, found {item}, visit array<long>"))
@@ -133,16 +150,15 @@ def neighbours(points: DataFrame, dims: int, k: int) -> DataFrame:
     asks = first.select("pid", F.explode("visit").alias("leaf"))
     load = asks.groupBy("leaf").agg(F.count(F.lit(1)).alias("_n")).withColumn("_parts", F.ceil(F.col("_n") / QUERY_ROWS))
     asks = (core.attach(asks, load, ["leaf"]).withColumn("salt", F.pmod(F.xxhash64("pid"), F.col("_parts")))
-            .join(placed.select("pid", *xs), "pid").select("pid", "leaf", "salt", *xs))
+            .join(placed.select("pid", "x"), "pid").select("pid", "leaf", "salt", "x"))
     served = (core.attach(placed, load, ["leaf"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
               .select(F.col("leaf").alias("of_leaf"), F.col("salt").alias("of_salt"), F.col("pid").alias("of_pid"), "cnt",
-                      *[F.col(x).alias(f"of_{x}") for x in xs]))
-    ys = [f"of_{x}" for x in xs]
+                      F.col("x").alias("of_x")))
 
     def visit(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         if q.empty or s.empty:
             return pd.DataFrame({"pid": [], "found": []})
-        found = _nearest(q[xs].to_numpy(dtype=float), s[ys].to_numpy(dtype=float), s["cnt"].to_numpy(), s["of_pid"].to_numpy(), k)
+        found = _nearest(_stack(q["x"]), _stack(s["of_x"]), s["cnt"].to_numpy(), s["of_pid"].to_numpy(), k, p)
         return pd.DataFrame({"pid": q["pid"], "found": [[{"dist": d, "pid": i, "cnt": c} for d, i, c in f] for f in found]})
 
     more = asks.groupBy("leaf", "salt").cogroup(served.groupBy("of_leaf", "of_salt")).applyInPandas(visit, f"pid long, found {item}")

@@ -203,11 +203,15 @@ def label_encode(df: DataFrame, cols: Sequence[str] | str, tables: dict[str, Dat
     return out
 
 
-def _levels(df: DataFrame, c: str, cap: int = 1_000) -> list:
-    rows = df.where(col_of(c).isNotNull()).select(col_of(c).alias("v")).distinct().limit(cap + 1).collect()
-    if len(rows) > cap:
-        raise ValueError(f"column {c} has more than {cap} levels")
-    return sorted(r["v"] for r in rows)
+def _levels(df: DataFrame, c: str) -> list:
+    """The levels of a column that become columns of the result."""
+    return sorted(r["v"] for r in df.where(col_of(c).isNotNull()).select(col_of(c).alias("v")).distinct().collect())
+
+
+def dummies_long(df: DataFrame, row_id: Sequence[str], cols: Sequence[str] | str) -> DataFrame:
+    """The ones of ``dummies`` as rows ``row_id…, variable, level``: for columns with too many levels for a wide table."""
+    return df.select(*row_id, F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), col_of(c).cast("string").alias("level")) for c in core.as_list(cols)]))
+                     ).where(F.col("level").isNotNull())
 
 
 def dummies(df: DataFrame, cols: Sequence[str] | str, drop_first: bool = True) -> DataFrame:
@@ -223,12 +227,13 @@ def dummies(df: DataFrame, cols: Sequence[str] | str, drop_first: bool = True) -
     return out
 
 
-def long_to_wide(df: DataFrame, group: str, value: str, order_by: Sequence[str], dropna: bool = True) -> DataFrame:
-    """n-th row of every group side by side (``rn`` plus one column per level)."""
+def long_to_wide(df: DataFrame, group: str, value: str, order_by: Sequence[str], dropna: bool = True,
+                 levels: Sequence | None = None) -> DataFrame:
+    """n-th row of every group side by side (``rn`` plus one column per level, all of them or those asked for)."""
     numbered = core.positions(df, [group], order_by, "rn")
     if dropna:
         numbered = numbered.where(col_of(value).isNotNull())
-    return numbered.groupBy("rn").pivot(group, _levels(numbered, group)).agg(F.first(value, ignorenulls=True))
+    return numbered.groupBy("rn").pivot(group, list(levels) if levels is not None else _levels(numbered, group)).agg(F.first(value, ignorenulls=True))
 
 
 def apply_recipe(df: DataFrame, recipe: dict[str, dict]) -> DataFrame:

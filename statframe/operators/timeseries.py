@@ -6,6 +6,7 @@ Row windows run over blocks of bounded size with overlapping rows at the seams
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Sequence
@@ -385,33 +386,47 @@ def adf_transform(df: DataFrame, ts: str, value: str, by: Sequence[str] = (), **
     return out, table
 
 
+#: Difference orders whose spread is measured in one pass.
+ORDERS_AT_ONCE = 4
+
+
+def _spreads(data: DataFrame, ts: str, value: str, first: int, last: int) -> list[tuple[int, int, float | None]]:
+    """(order, rows, standard deviation) of the differences of these orders, from one pass: a difference is a binomial sum of lags."""
+    b = core.blocks(data, [], [ts], before=last)
+    lagged = [F.col(value), *[F.lag(value, k).over(b.window) for k in range(1, last + 1)]]
+    sums = {j: sum(((-1) ** k * math.comb(j, k) * lagged[k] for k in range(1, j + 1)), lagged[0]) for j in range(first, last + 1)}
+    row = b.df.select("_own", *[c.alias(f"_d{j}") for j, c in sums.items()]).where("_own").agg(
+        *[F.count(f"_d{j}").alias(f"n{j}") for j in sums], *[F.stddev_samp(f"_d{j}").alias(f"s{j}") for j in sums]).first()
+    return [(j, row[f"n{j}"], row[f"s{j}"]) for j in sums]
+
+
 def adf_differences(df: DataFrame, ts: str, value: str, max_diff: int = -1, alpha: float = 0.05) -> DataFrame:
-    """One series: ADF per difference order until the std rises (or ``max_diff``); marks the least std."""
-    rows, order, data = [], 0, _series(df, ts, value, [])
+    """One series: ADF of its differences, and which order has the least spread.
+
+    Shown are the orders up to ``max_diff``, or without it up to the first whose standard deviation exceeds the one before; orders that
+    leave fewer than 10 rows are not. The spreads come first, several orders a pass; the tests of all shown orders are one plan.
+    """
+    data = _series(df, ts, value, []).where(F.col(value).isNotNull())
+    spread: list[tuple[int, int, float | None]] = []
+    rises = lambda: [j for (_, _, a), (j, _, b) in zip(spread, spread[1:]) if a is not None and b is not None and b > a]
     while True:
-        r = adf(data, ts, value, (), alpha).first()
-        rows.append({"diff": order, **r.asDict()})
-        if max_diff < 0:
-            if len(rows) > 1 and rows[-1]["std"] > rows[-2]["std"]:
-                break
-        elif order >= max_diff:
-            break
-        order += 1
-        data = core.checkpoint(transform(data, ts, value, (), diff=1))
-        if data.count() < 10:
+        spread += _spreads(data, ts, value, len(spread), len(spread) + ORDERS_AT_ONCE - 1)
+        stop = max_diff if max_diff >= 0 else min(rises(), default=None)
+        if spread[-1][1] < 10 or stop is not None and stop < len(spread):
             break
-    best = min(rows, key=lambda r: r["std"])["diff"]
-    for r in rows:
-        r["advice"] = "stop here" if r["diff"] == best else "over-differenced" if r["diff"] > best else ""
-    return core.rows_frame(df.sparkSession, rows, "diff int, n long, statistic double, p_value double, used_lag int, "
-                           "crit_1 double, crit_5 double, crit_10 double, std double, stationary boolean, advice string")
+    shown = [j for j, n, _ in spread if (stop is None or j <= stop) and (j == 0 or n >= 10)]
+    least = min(shown, key=lambda j: (math.inf if spread[j][2] is None else spread[j][2], j))
+    series = [transform(data, ts, value, (), diff=j).withColumn("diff", F.lit(j)) for j in shown]
+    tests = adf(functools.reduce(DataFrame.unionByName, series), ts, value, ["diff"], alpha)
+    advice = F.when(F.col("diff") == least, "stop here").when(F.col("diff") > least, "over-differenced").otherwise("")
+    return tests.withColumn("advice", advice).orderBy("diff")
 
 
 # ---------------------------------------------------------------------- ARIMA
 def _lag_sets(p: int, q: int, sp: int, sq: int, s: int) -> tuple[list[int], list[int]]:
-    ar = sorted({*range(1, p + 1), *[s * j for j in range(1, sp + 1)]})
-    ma = sorted({*range(1, q + 1), *[s * j for j in range(1, sq + 1)]})
-    return ar, ma
+    """Lags of the product of a plain and a seasonal polynomial; the cross lags have free coefficients (and count as parameters)."""
+    product = lambda plain, seasonal: sorted({i + s * j for i in range(plain + 1) for j in range(seasonal + 1)} - {0})
+    return product(p, sp), product(q, sq)
 
 
 def _long_ar(n: int, s: int) -> int:
@@ -558,7 +573,8 @@ def fitted(df: DataFrame, ts: str, value: str, best: DataFrame, by: Sequence[str
     """One-step predictions and residuals of each series under its chosen model."""
     out, by = None, list(by)
     for o in _orders(best):
-        mine = best.where((F.col("d") == o["d"]) & (F.col("sd") == o["sd"])).select(*by, "ar_lags", "ar", "ma_lags", "ma", "long_ar")
+        same = [F.col(c) == o[c] for c in ("d", "sd", "s", "log")]
+        mine = best.where(functools.reduce(lambda a, b: a & b, same)).select(*by, "ar_lags", "ar", "ma_lags", "ma", "long_ar")
         own = _attach(df.select(*by, ts, value), mine.select(*by), by) if by else df.select(ts, value)
         w = transform(own, ts, value, by, o["log"], o["d"], o["sd"], o["s"] or None).withColumnRenamed(value, "_w")
         both = join_null_safe(w, _series(own, ts, value, by), [*by, ts])
@@ -625,31 +641,42 @@ def forecast(df: DataFrame, ts: str, value: str, best: DataFrame, steps: int, by
 
 # -------------------------------------------------------- residuals and score
 def residual_report(df: DataFrame, ts: str, resid: str, by: Sequence[str] = (), lags: Sequence[int] = (10,),
-                    model_df: int = 0, burn: int = 0, alpha: float = 0.05) -> DataFrame:
-    """Ljung-Box, Jarque-Bera and break-in-variance tests per series."""
+                    model_df: int = 0, burn: int = 0, alpha: float = 0.05, orders: DataFrame | None = None) -> DataFrame:
+    """Ljung-Box, Jarque-Bera and break-in-variance tests per series.
+
+    ``orders`` (one row per series, as ``best_orders`` returns) takes the place of ``lags``, ``model_df`` and ``burn``: the rows that
+    differencing used up are left out, a seasonal model is tested at one and two seasons, and its coefficients count as degrees of
+    freedom. Every series has its own lags: those above its degrees of freedom and up to a fifth of its length, or else the larger of both.
+    """
     by = list(by)
-    data = core.positions(_series(df, ts, resid, by).where(F.col(resid).isNotNull()), by, [ts]).where(
-        F.col("_pos") > burn).withColumn("_pos", F.col("_pos") - burn)
-    n_all = data.groupBy(*by).agg(F.max("_pos").alias("_n"))
-    shortest = n_all.agg(F.min("_n")).first()[0] or 0
-    use = [k for k in lags if model_df < k <= shortest // 5] or [max(model_df + 1, shortest // 5)]
-    prods = lag_products(data.drop("_pos"), ts, resid, max(use), by)
-    tests = []
-    for k in use:
-        q = F.lit(0.0)
-        for j in range(1, k + 1):
-            rho = div(F.col("products")[j], F.col("products")[0])
-            q = q + div(rho * rho, F.col("n") - j)
-        tests.append(prods.select(*by, F.lit(f"Ljung-Box ({k})").alias("test"), "n",
-                                  (F.col("n") * (F.col("n") + 2) * q).alias("statistic"), F.lit(float(k - model_df)).alias("df"))
-                     .withColumn("p_value", pvalue.chi2_p(F.col("statistic"), F.col("df"))))
+    data = _series(df, ts, resid, by).where(F.col(resid).isNotNull())
+    if orders is None:
+        plan = data.select(*by).distinct() if by else data.sparkSession.range(1).select()
+        plan = plan.select(*by, F.array(*[F.lit(int(k)) for k in lags]).alias("_wanted"), F.lit(model_df).alias("_free"), F.lit(burn).alias("_burn"))
+    else:
+        season = F.col("s") > 0
+        plan = orders.select(*by, F.when(season, F.array("s", 2 * F.col("s"))).otherwise(F.array(*[F.lit(int(k)) for k in lags])).alias("_wanted"),
+                             (F.col("p") + F.col("q") + F.col("sp") + F.col("sq")).alias("_free"), (F.col("d") + F.col("sd") * F.col("s")).alias("_burn"))
+    data = _attach(core.positions(data, by, [ts]), plan, by).where(F.col("_pos") > F.col("_burn")).withColumn("_pos", F.col("_pos") - F.col("_burn"))
+    fifth = F.floor(F.col("_n") / 5).cast("int")
+    kept = F.filter("_wanted", lambda k: (k > F.col("_free")) & (k <= fifth))
+    sizes = _attach(data.groupBy(*by).agg(F.max("_pos").alias("_n")), plan, by).withColumn(
+        "_lags", F.when(F.size(kept) > 0, kept).otherwise(F.array(F.greatest(F.col("_free") + 1, fifth))))
+    most = sizes.agg(F.max(F.array_max("_lags"))).first()[0] or 1
+    prods = _attach(lag_products(data.select(*by, ts, resid), ts, resid, most, by), sizes.select(*by, "_lags", "_free"), by)
+    rho = lambda j: div(F.element_at("products", j + 1), F.element_at("products", 1))
+    box = prods.select(*by, "n", "products", "_free", F.explode("_lags").alias("_k")).withColumn("_sum", F.aggregate(
+        F.sequence(F.lit(1), F.col("_k")), F.lit(0.0), lambda total, j: total + div(rho(j) * rho(j), F.col("n") - j)))
+    box = box.select(*by, F.concat(F.lit("Ljung-Box ("), F.col("_k"), F.lit(")")).alias("test"), "n",
+                     (F.col("n") * (F.col("n") + 2) * F.col("_sum")).alias("statistic"), (F.col("_k") - F.col("_free")).cast("double").alias("df"))
+    tests = [box.withColumn("p_value", pvalue.chi2_p(F.col("statistic"), F.col("df")))]
     m = core.moments(data, [resid], by)
     jb = F.col("n") / 6 * (F.col("skew") * F.col("skew") + F.col("kurt") * F.col("kurt") / 4)
     tests.append(m.select(*by, F.lit("Jarque-Bera").alias("test"), "n", jb.alias("statistic"), F.lit(2.0).alias("df"))
                  .withColumn("p_value", F.exp(-F.col("statistic") / 2)))
     third = F.round(F.col("_n") / 3)
     sq = F.col(resid) * F.col(resid)
-    h = _attach(data, n_all, by).groupBy(*by).agg(
+    h = _attach(data, sizes.select(*by, "_n"), by).groupBy(*by).agg(
         F.max("_n").alias("n"), F.max(third).alias("_h"),
         div(F.sum(F.when(F.col("_pos") > F.col("_n") - third, sq)), F.sum(F.when(F.col("_pos") <= third, sq))).alias("statistic"))
     h = h.select(*by, F.lit("Break in variance").alias("test"), "n", "statistic", F.col("_h").cast("double").alias("df"))

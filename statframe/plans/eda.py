@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -251,27 +252,23 @@ def target_tests(df: DataFrame, target: str, task: str | None = None, alpha: flo
 
 # ------------------------------------------------------------------- selection
 def collinear_groups(pairs: Sequence, features: Sequence[str], threshold: float = 0.7) -> tuple[dict, dict]:
-    """Partners with |coef| >= threshold per variable, and the number of the connected group (from 1)."""
-    strong: dict[str, list] = {v: [] for v in features}
+    """Partners with |coef| >= threshold per variable, the strongest first, and the number of the connected group (from 1).
+
+    The features are few (columns): groups are the rows of the closure of the matrix of strong pairs.
+    """
+    at = {v: i for i, v in enumerate(features)}
+    coef = np.full((len(at), len(at)), np.nan)
     for r in pairs:
-        if r["coef"] is not None and abs(r["coef"]) >= threshold:
-            strong[r["x"]].append((r["y"], r["coef"]))
-            strong[r["y"]].append((r["x"], r["coef"]))
-    for v in strong:
-        strong[v].sort(key=lambda pc: -abs(pc[1]))
-    groups: dict[str, int] = {}
-    number = 0
-    for v in features:
-        if not strong[v] or v in groups:
-            continue
-        number += 1
-        todo = [v]
-        while todo:
-            c = todo.pop()
-            if c not in groups:
-                groups[c] = number
-                todo += [o for o, _ in strong[c]]
-    return strong, groups
+        if r["coef"] is not None and r["x"] in at and r["y"] in at:
+            coef[at[r["x"]], at[r["y"]]] = coef[at[r["y"]], at[r["x"]]] = r["coef"]
+    strong = np.abs(coef) >= threshold
+    reach = strong | np.eye(len(at), dtype=bool)
+    while (wider := reach @ reach).sum() > reach.sum():
+        reach = wider
+    names = list(features)
+    partners = {v: [(names[j], float(coef[i, j])) for j in sorted(np.flatnonzero(strong[i]), key=lambda j: (-abs(coef[i, j]), j))] for v, i in at.items()}
+    heads = [i for i in range(len(names)) if strong[i].any() and reach[i].argmax() == i]
+    return partners, {names[j]: number for number, i in enumerate(heads, 1) for j in np.flatnonzero(reach[i])}
 
 
 def choose_representatives(table: DataFrame) -> DataFrame:

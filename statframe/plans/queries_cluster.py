@@ -4,19 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from statframe.operators import cluster
+from statframe.operators import cluster, core
 from statframe.plans.registry import query, rounded, rs, table
 
-_P = "(select vec_id, cast(embedding[1] as double) as x, cast(embedding[2] as double) as y, label from embeddings)"
-EPS, MIN = 0.02, 5
+DIMS = 64
+AXES = [f"e{i}" for i in range(DIMS)]
+# all coordinates of every vector; the shifted ones have a cluster per label
+_P = "(select vec_id, cast(embedding as double[]) as v, label from embeddings)"
+_S = "(select vec_id, list_transform(cast(embedding as double[]), lambda x: x + 2 * label) as v, label from embeddings)"
+EPS, MIN = 1.25, 5
 
 
-def _points(spark, sf):
-    return table(spark, sf, "embeddings").select("vec_id", F.element_at("embedding", 1).cast("double").alias("x"),
-                                                 F.element_at("embedding", 2).cast("double").alias("y"), "label")
+def _points(spark, sf, shift: int = 0):
+    x = F.transform("embedding", lambda e: e.cast("double") + shift * F.col("label"))
+    return table(spark, sf, "embeddings").select("vec_id", "label", x.alias("v")).select(
+        "vec_id", "label", *[F.element_at("v", i + 1).alias(c) for i, c in enumerate(AXES)])
 
 
-_PAIRS = f"(select a.vec_id as i, b.vec_id as j, b.label as c, a.label as own, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) as d from {_P} a, {_P} b)"
+def _pairs(src: str) -> str:
+    return f"(select a.vec_id as i, b.vec_id as j, b.label as c, a.label as own, list_distance(a.v, b.v) as d from {src} a, {src} b)"
+
+
+_PAIRS = _pairs(_P)
 
 
 def _silhouette_sql(dist: str) -> str:
@@ -28,86 +37,145 @@ def _silhouette_sql(dist: str) -> str:
 
 @query("silhouette_labels", f"select vec_id, {rs('s', 6)} as silhouette from ({_silhouette_sql('d')})")
 def silhouette_labels(spark, sf):
-    return rounded(cluster.silhouette(_points(spark, sf), ["x", "y"], "label").select("vec_id", "silhouette"), 6)
+    return rounded(cluster.silhouette(_points(spark, sf), AXES, "label", "euclidean").select("vec_id", "silhouette"), 6)
 
 
 @query("silhouette_squared", f"select vec_id, {rs('s', 6)} as silhouette from ({_silhouette_sql('d * d')})")
 def silhouette_squared(spark, sf):
-    return rounded(cluster.silhouette(_points(spark, sf), ["x", "y"], "label", "squared").select("vec_id", "silhouette"), 6)
+    return rounded(cluster.silhouette(_points(spark, sf), AXES, "label").select("vec_id", "silhouette"), 6)
 
 
-@query("silhouette_summary", f"""
-    with s as ({_silhouette_sql('d')}), p as (select label, sum(s) as area, count(*) as n from s join {_P} p on s.vec_id = p.vec_id group by 1),
+_SUMMARY = f"""
+      p as (select label, sum(s) as area, count(*) as n from s join {_P} p on s.vec_id = p.vec_id group by 1),
       t as (select count(*) as k, sum(area) / sum(n) as score, sum(area) as total_area, max(n) / min(n) as thickness,
             case when sum(area) > 0 then min(area) / sum(area) * count(*) else 0 end as rel from p)
     select k, {rs('score', 6)} as score, {rs('total_area')} as total_area, {rs('thickness', 6)} as thickness,
-      {rs('rel', 6)} as min_relative_area, {rs('score * rel / thickness', 6)} as balance from t""")
+      {rs('rel', 6)} as min_relative_area, {rs('score * rel / thickness', 6)} as balance from t"""
+
+
+@query("silhouette_summary", f"with s as ({_silhouette_sql('d * d')}), {_SUMMARY}")
 def silhouette_summary(spark, sf):
-    s = cluster.silhouette(_points(spark, sf), ["x", "y"], "label")
+    s = cluster.silhouette(_points(spark, sf), AXES, "label")
     return rounded(cluster.silhouette_summary(s, "label"), 6, total_area=4)
 
 
-@query("knn_distance", f"""
-    select i as vec_id, {rs('d', 8)} as distance from (select i, d, row_number() over (partition by i order by d) as rn from {_PAIRS}) where rn = {MIN}""")
-def knn_distance(spark, sf):
-    return rounded(cluster.knn_distance(_points(spark, sf), "vec_id", MIN, ["x", "y"], None), 8)
+def _knn_sql(dist: str, src: str = _P) -> str:
+    return f"(select i, d from (select i, d, row_number() over (partition by i order by d) as rn from (select a.vec_id as i, {dist} as d from {src} a, {src} b)) where rn = {MIN})"
+
 
+def _knn(name: str, metric: str, dist: str):
+    @query(name, f"select i as vec_id, {rs('d', 7)} as distance from {_knn_sql(dist)}")
+    def run(spark, sf):
+        return rounded(cluster.knn_distance(_points(spark, sf), "vec_id", MIN, AXES, None, metric), 7)
+    return run
 
-@query("best_eps")
+
+_knn("knn_distance", "euclidean", "list_distance(a.v, b.v)")
+_knn("knn_distance_manhattan", "manhattan", "list_sum([abs(a.v[k] - b.v[k]) for k in range(1, 65)])")
+_knn("knn_distance_cosine", "cosine", "1 - list_cosine_similarity(a.v, b.v)")
+
+# the bend of the k-distance curve: last peak of the difference curve before it falls below the peak less the mean step
+_M = cluster.CURVE_POINTS
+_EPS_SQL = f"""
+    with k as (select d, row_number() over (order by d) - 1 as r, count(*) over () as n from {_knn_sql("list_distance(a.v, b.v)")}),
+      h as (select j, j * (n - 1) / cast({_M - 1} as double) as h from range({_M}) t(j), (select max(n) as n from k)),
+      c as (select j, a.d + (h - floor(h)) * (coalesce(b.d, a.d) - a.d) as v from h join k a on a.r = floor(h) left join k b on b.r = floor(h) + 1),
+      s as (select j, v, (j - min(j) over ()) / cast(max(j) over () - min(j) over () as double) as x, (v - min(v) over ()) / (max(v) over () - min(v) over ()) as y from c),
+      f as (select {_M - 1} - j as i, j, v, 1 - y - (1 - x) + 0 as z, x, y from s),
+      e as (select a.i, a.v, (select 1 - q.y from s q where q.j = {_M - 1} - a.i) as yn, a.i / cast({_M - 1} as double) as xn from f a),
+      g as (select i, v, yn - xn as z from e),
+      p as (select i, v, z, lag(z, 1, z) over (order by i) as l, lead(z, 1, z) over (order by i) as r, lead(z) over (order by i) as nxt from g),
+      q as (select *, max(case when z >= l and z >= r then i end) over (order by i) as peak, max(case when z <= l and z <= r then i end) over (order by i) as dip from p),
+      t as (select q.*, case when dip >= peak then 0 else (select z from p w where w.i = q.peak) - 1 / cast({_M - 1} as double) end as limit_ from q where peak is not null)
+    select {rs('v', 6)} as eps from p where i = (select peak from t where nxt < limit_ order by i limit 1)"""
+
+
+@query("best_eps", _EPS_SQL)
 def best_eps(spark, sf):
-    eps, curve = cluster.best_eps(_points(spark, sf), "vec_id", MIN, ["x", "y"])
-    return rounded(curve.withColumn("eps", F.lit(eps).cast("double")), 6)
+    eps, _ = cluster.best_eps(_points(spark, sf), "vec_id", MIN, AXES, None)
+    return rounded(core.rows_frame(spark, [{"eps": eps}] if eps is not None else [], "eps double"), 6)
+
 
+@query("k_distance_curve", f"""
+    select cast(sum(c) over (order by d) - c as bigint) as rank_from, c as cnt, d as distance from (select {rs('d', 7)} as d, count(*) as c from {_knn_sql("list_distance(a.v, b.v)")} group by 1)""")
+def k_distance_curve(spark, sf):
+    curve = rounded(cluster.best_eps(_points(spark, sf), "vec_id", MIN, AXES, None)[1], 7)
+    return curve.groupBy("distance").agg(F.min("rank_from").cast("long").alias("rank_from"), F.sum("cnt").cast("long").alias("cnt")).select("rank_from", "cnt", "distance")
 
-_CORE = f"(select i from {_PAIRS} where d <= {EPS} group by 1 having count(*) >= {MIN})"
 
+_SPAIRS = _pairs(_S)
+_CORE = f"(select i from {_SPAIRS} where d <= {EPS} group by 1 having count(*) >= {MIN})"
 
-@query("dbscan_core", f"select vec_id, vec_id in (select i from {_CORE}) as is_core from {_P}")
+
+def _shifted_dbscan(spark, sf):
+    return cluster.dbscan(_points(spark, sf, 2), "vec_id", EPS, MIN, AXES, None)
+
+
+@query("dbscan_core", f"select vec_id, vec_id in (select i from {_CORE}) as is_core from {_S}")
 def dbscan_core(spark, sf):
-    out = cluster.dbscan(_points(spark, sf), "vec_id", EPS, MIN, ["x", "y"], None)
-    return out.select("vec_id", (F.col("vector") == "core").alias("is_core"))
+    return _shifted_dbscan(spark, sf).select("vec_id", (F.col("vector") == "core").alias("is_core"))
 
 
-@query("dbscan", f"""
-    with recursive e as (select i, j from {_PAIRS} where d <= {EPS} and i in (select i from {_CORE}) and j in (select i from {_CORE})),
+_DBSCAN = f"""
+    with recursive e as (select i, j from {_SPAIRS} where d <= {EPS} and i in (select i from {_CORE}) and j in (select i from {_CORE})),
       r as (select i, i as root from {_CORE} union select e.j, r.root from r join e on e.i = r.i where r.root < e.j),
       c as (select i, min(root) as root from r group by 1), n as (select i, cast(dense_rank() over (order by root) - 1 as integer) as c from c),
-      b as (select p.i, min(n.c) as c from {_PAIRS} p join n on p.j = n.i where p.d <= {EPS} and p.i not in (select i from n) group by 1)
-    select v.vec_id, coalesce(n.c, b.c, -1) as cluster, case when n.c is not null then 'core' when b.c is not null then 'border' else 'noise' end as vector
-    from {_P} v left join n on v.vec_id = n.i left join b on v.vec_id = b.i""")
+      b as (select p.i, min(n.c) as c from {_SPAIRS} p join n on p.j = n.i where p.d <= {EPS} and p.i not in (select i from n) group by 1),
+      o as (select v.vec_id, coalesce(n.c, b.c, -1) as cluster, case when n.c is not null then 'core' when b.c is not null then 'border' else 'noise' end as vector
+        from {_S} v left join n on v.vec_id = n.i left join b on v.vec_id = b.i)"""
+
+
+@query("dbscan", f"{_DBSCAN} select * from o")
 def dbscan(spark, sf):
-    return cluster.dbscan(_points(spark, sf), "vec_id", EPS, MIN, ["x", "y"], None).select("vec_id", "cluster", "vector")
+    return _shifted_dbscan(spark, sf).select("vec_id", "cluster", "vector")
 
 
-@query("dbscan_summary")
+@query("dbscan_summary", f"""{_DBSCAN}
+    select cluster, count(*) as n, round(count(*) / (select count(*) from o)::double * 100, 1) as pct, count(*) filter (where vector = 'core') as core,
+      count(*) filter (where vector = 'border') as border from o group by 1""")
 def dbscan_summary(spark, sf):
-    return cluster.dbscan_summary(cluster.dbscan(_points(spark, sf), "vec_id", 0.25, MIN, ["x", "y"]))
+    return cluster.dbscan_summary(_shifted_dbscan(spark, sf))
 
 
-@query("kmeans")
+# every label is a cluster of its own, so the best centres are the labels' means
+@query("kmeans", f"""
+    with l as (select label, cast(row_number() over (order by label) - 1 as integer) as cluster from (select distinct label from embeddings)),
+      u as (select label, unnest(range(0, {DIMS})) as k, unnest(v) as x from {_S})
+    select cluster, 'e' || k as variable, {rs('avg(x)', 4)} as center from u join l using (label) group by 1, 2""")
 def kmeans(spark, sf):
-    return rounded(cluster.kmeans(_points(spark, sf), 4, ["x", "y"], n_init=3).center_frame(), 4)
+    k = table(spark, sf, "embeddings").select("label").distinct().count()
+    return rounded(cluster.kmeans(_points(spark, sf, 2), k, AXES, None).center_frame(), 4)
+
+
+@query("kmeans_labels", "select label, cast(row_number() over (order by label) - 1 as integer) as cluster, count(*) as n from embeddings group by label")
+def kmeans_labels(spark, sf):
+    k = table(spark, sf, "embeddings").select("label").distinct().count()
+    return cluster.kmeans(_points(spark, sf, 2), k, AXES, None).data.groupBy("label", "cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("best_k")
 def best_k(spark, sf):
-    return cluster.best_k(_points(spark, sf), [2, 3, 4, 5], ["x", "y"], n_init=2)[1]
+    return cluster.best_k(_points(spark, sf), columns=AXES)[1]
 
 
 @query("best_k_elbow")
 def best_k_elbow(spark, sf):
-    return cluster.best_k_elbow(_points(spark, sf), [2, 3, 4, 5], ["x", "y"], n_init=2)[1]
+    return cluster.best_k_elbow(_points(spark, sf), columns=AXES)[1]
+
+
+def _tree(spark, sf):
+    k = table(spark, sf, "embeddings").select("label").distinct().count()
+    return cluster.agglomerative(_points(spark, sf, 2), k=k, columns=AXES, scaling=None)
 
 
-@query("micro_ward")
+@query("micro_ward", "select cast(row_number() over (order by label) - 1 as integer) as cluster, count(*) as n from embeddings group by label")
 def micro_ward(spark, sf):
-    labelled, _, _ = cluster.agglomerative(_points(spark, sf), k=4, columns=["x", "y"], micro=60)
-    return labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    return _tree(spark, sf)[0].groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("merge_tree")
+@query("merge_tree", "select cast((select count(*) from embeddings) as double) as rows")
 def merge_tree(spark, sf):
-    return rounded(cluster.agglomerative(_points(spark, sf), k=4, columns=["x", "y"], micro=60)[1], 4)
+    return _tree(spark, sf)[1].agg(F.round(F.max("size"), 3).alias("rows"))
 
 
 @query("persona", f"""

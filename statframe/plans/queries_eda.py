@@ -50,7 +50,18 @@ def nominal_insight(spark, sf):
     return rounded(out.select("variable", "levels", "top_n", "bottom_n", "fold", "balance"))
 
 
-@query("scope")
+_KINDS = ("continuous", "nominal, 2 levels", "nominal, 3+ levels")
+_ANALYSIS = {("continuous", "continuous"): "correlation", ("continuous", _KINDS[1]): "two-sample test", ("continuous", _KINDS[2]): "ANOVA",
+             (_KINDS[1], "continuous"): "two-sample test", (_KINDS[2], "continuous"): "ANOVA"}
+
+
+@query("scope", f"""
+    with l as (select 'c1' as c, count(distinct c1) as k from {fx('reg')} union all select 'c2', count(distinct c2) from {fx('reg')}),
+      f as (select 'continuous' as kind, 'x1, x2, x3, x4' as names union all select '{_KINDS[1]}', coalesce(string_agg(c, ', ' order by c) filter (where k = 2), '') from l
+            union all select '{_KINDS[2]}', coalesce(string_agg(c, ', ' order by c) filter (where k >= 3), '') from l),
+      m as (select * from (values """ + ", ".join(f"('{t}', '{f}', '{_ANALYSIS.get((t, f), 'chi-square')}')" for t in _KINDS for f in _KINDS) + """) v(t, k, analysis))
+    select t as target_kind, k as feature_kind, analysis, t = 'continuous' and names <> '' as applies, case when t = 'continuous' then names else '' end as features
+    from m join f on m.k = f.kind""")
 def scope(spark, sf):
     return eda.scope(_reg(spark, sf), "y")
 
@@ -117,7 +128,14 @@ def choose_representatives(spark, sf):
     return eda.choose_representatives(rows).select("variable", "verdict")
 
 
-@query("collinear_groups")
+_FEATURE_PAIRS = [(a, b) for i, a in enumerate(("x1", "x2", "x3", "x4")) for b in ("x1", "x2", "x3", "x4")[i + 1:]]
+
+
+@query("collinear_groups", f"""
+    with recursive p as (select x, y from ({corr_sql(fx('reg'), _FEATURE_PAIRS)}) where abs(round(spearman, 4)) >= 0.7),
+      e as (select x, y from p union all select y, x from p), r as (select x as v, x as root from e union select e.y, r.root from r join e on e.x = r.v),
+      g as (select v, min(root) as root from r group by 1)
+    select v as variable, cast(dense_rank() over (order by root) as integer) as collinear_group from g""")
 def collinear_groups(spark, sf):
     return eda.feature_correlation(_reg(spark, sf), "y")["groups"]
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from statframe.operators import frames, logit, ols
+from statframe.plans.queries_models import _THREE, newton_two_sql
 from statframe.plans.registry import fx, query, rounded, rs, table, view
 
 
@@ -33,9 +34,16 @@ def hist_frame_hue(spark, sf):
     return rounded(frames.histogram(table(spark, sf, "orders"), "o_totalprice", 20, "o_orderstatus"))
 
 
-@query("kde_frame")
+# rows shared between two bins of 1/32 bandwidth, a Gaussian on every filled bin
+@query("kde_frame", f"""
+    with s as (select event_type as g, count(value) as n, stddev_samp(value) * pow(count(value), -0.2) as bw, min(value) as lo, max(value) as hi from events group by 1),
+      v as (select g, n, bw, value * 32 / bw as spot from events join s on event_type = g where value is not null),
+      b as (select g, b, sum(w) as w from (select g, floor(spot) as b, 1 - (spot - floor(spot)) as w from v union all select g, floor(spot) + 1, spot - floor(spot) from v) group by 1, 2),
+      x as (select g, n, bw, lo - 3 * bw + i * ((hi - lo + 6 * bw) / 199) as x from s, range(200) t(i))
+    select x.g as event_type, {rs('x.x', 6)} as x, {rs('sum(b.w * exp(-0.5 * pow((x.x - b.b * x.bw / 32) / x.bw, 2))) / (max(x.n) * max(x.bw) * sqrt(2 * pi()))', 7)} as density
+    from x join b on b.g = x.g group by x.g, x.x""")
 def kde_frame(spark, sf):
-    return rounded(frames.kde(table(spark, sf, "events"), "value", "event_type"), 6)
+    return rounded(frames.kde(table(spark, sf, "events"), "value", "event_type"), 7, x=6)
 
 
 @query("kde_lines", f"""
@@ -144,19 +152,28 @@ def pair_frame(spark, sf):
     return frames.pair(view(spark, sf, "reg"), ["x1", "y"], cells=10)
 
 
-@query("hull_frame")
+# a corner has another point with all others on one side of the line through both
+@query("hull_frame", f"""
+    with p as (select cast(label as varchar) as hue, cast(embedding[1] as double) as x, cast(embedding[2] as double) as y from embeddings),
+      e as (select a.hue, a.x, a.y from p a join p b on a.hue = b.hue and (a.x, a.y) <> (b.x, b.y) join p c on c.hue = a.hue and (c.x, c.y) <> (a.x, a.y) and (c.x, c.y) <> (b.x, b.y)
+            group by a.hue, a.x, a.y, b.x, b.y having min((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)) > 0)
+    select distinct hue, {rs('x', 8)} as x, {rs('y', 8)} as y from e""")
 def hull_frame(spark, sf):
     df = table(spark, sf, "embeddings").select(F.element_at("embedding", 1).cast("double").alias("x"),
                                                F.element_at("embedding", 2).cast("double").alias("y"), "label")
-    return rounded(frames.hull(df, "x", "y", "label"), 8)
+    return rounded(frames.hull(df, "x", "y", "label").drop("vertex"), 8)
 
 
-@query("beta_frame")
+@query("beta_frame", _THREE + " union all ".join(
+    f" select 'x{i + 1}' as variable, {rs(f'b{i} * sqrt(s{i}{i} / syy)', 6)} as beta, case when b{i} > 0 then '+' else '-' end as sign from f" for i in range(3)))
 def beta_frame(spark, sf):
     return rounded(frames.beta_bars(ols.fit(view(spark, sf, "reg").select("y", "x1", "x2", "x3"), "y").coefficients()), 6)
 
 
-@query("odds_frame")
+@query("odds_frame", f"""
+    with f as {newton_two_sql()}
+    select 'x1' as variable, {rs('exp(b)', 6)} as odds_ratio, case when b > 0 then '+' else '-' end as sign from f
+    union all select 'x2', {rs('exp(c)', 6)}, case when c > 0 then '+' else '-' end from f""")
 def odds_frame(spark, sf):
     m = logit.fit(view(spark, sf, "logit").select("y", "x1", "x2"), "y")
     return rounded(frames.beta_bars(m.coefficients(), "odds_ratio"), 6)

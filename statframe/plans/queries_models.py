@@ -60,7 +60,7 @@ def breusch_pagan(spark, sf):
 
 @query("durbin_watson", f"""
     select {rs('sum(pow(e - p, 2)) / sum(e * e)', 6)} as dw
-    from (select e, lag(e) over (order by {_ORDER_SQL}) as p from {_RES})""")
+    from (select e, lag(e) over (order by {_ORDER_SQL}, e) as p from {_RES})""")
 def durbin_watson(spark, sf):
     row = _simple(spark, sf).durbin_watson(ORDER)
     return rounded(core.rows_frame(spark, [{"dw": row["statistic"]}], "dw double"), 6)
@@ -128,9 +128,28 @@ def ols_hc3(spark, sf):
     return rounded(_simple(spark, sf).coefficients(hc3=True, intercept=False).select("variable", "se_hc3"), 8)
 
 
-@query("ols_multi")
+# three predictors: inverse of the centred cross products by cofactors
+_X3 = ("x1", "x2", "x3")
+_SUMS3 = ", ".join([f"covar_pop({a}, {b}) * count(*) as s{i}{j}" for i, a in enumerate(_X3) for j, b in enumerate(_X3) if i <= j]
+                   + [f"covar_pop({a}, y) * count(*) as t{i}" for i, a in enumerate(_X3)] + [f"avg({a}) as m{i}" for i, a in enumerate(_X3)])
+_THREE = f"""
+    with s as (select cast(count(*) as double) as n, avg(y) as my, var_pop(y) * count(*) as syy, {_SUMS3} from {fx('reg')}),
+      c as (select *, s11 * s22 - s12 * s12 as c00, s02 * s12 - s01 * s22 as c01, s01 * s12 - s02 * s11 as c02, s00 * s22 - s02 * s02 as c11,
+            s01 * s02 - s00 * s12 as c12, s00 * s11 - s01 * s01 as c22 from s),
+      d as (select *, s00 * c00 + s01 * c01 + s02 * c02 as det from c),
+      b as (select *, (c00 * t0 + c01 * t1 + c02 * t2) / det as b0, (c01 * t0 + c11 * t1 + c12 * t2) / det as b1, (c02 * t0 + c12 * t1 + c22 * t2) / det as b2 from d),
+      f as (select *, syy - b0 * t0 - b1 * t1 - b2 * t2 as rss from b)"""
+_HC3 = f"""{_THREE}, e as (select x1 - m0 as u0, x2 - m1 as u1, x3 - m2 as u2, y - my - b0 * (x1 - m0) - b1 * (x2 - m1) - b2 * (x3 - m2) as e, f.* from {fx('reg')}, f),
+      h as (select *, pow(e / (1 - 1 / n - (c00 * u0 * u0 + c11 * u1 * u1 + c22 * u2 * u2 + 2 * (c01 * u0 * u1 + c02 * u0 * u2 + c12 * u1 * u2)) / det), 2) as q from e),
+      v as (select """ + ", ".join(f"sum(q * pow((c{min(i,0)}{max(i,0)} * u0 + c{min(i,1)}{max(i,1)} * u1 + c{min(i,2)}{max(i,2)} * u2) / det, 2)) as v{i}" for i in range(3)) + " from h)"
+
+
+@query("ols_multi", _HC3 + " union all ".join(f"""
+    select 'x{i + 1}' as variable, {rs(f'b{i}', 6)} as b, {rs(f'sqrt(rss / (n - 4) * c{i}{i} / det)', 6)} as se, {rs(f'b{i} * sqrt(s{i}{i} / syy)', 6)} as beta,
+      {rs(f'b{i} / sqrt(rss / (n - 4) * c{i}{i} / det)', 3)} as t, {rs(f's{i}{i} * c{i}{i} / det', 6)} as vif, {rs(f'sqrt(v{i})', 6)} as se_hc3 from f, v""" for i in range(3)))
 def ols_multi(spark, sf):
-    return rounded(ols.fit(view(spark, sf, "reg").select("y", "x1", "x2", "x3"), "y").coefficients(hc3=True), 6)
+    out = ols.fit(view(spark, sf, "reg").select("y", "x1", "x2", "x3"), "y").coefficients(hc3=True, intercept=False)
+    return rounded(out.select("variable", "b", "se", "beta", "t", "vif", "se_hc3"), 6, t=3)
 
 
 @query("ols_effects")
@@ -152,11 +171,24 @@ def ols_prepared(spark, sf):
     return rounded(m.coefficients(m.use_hc3), 6)
 
 
-@query("ols_compare")
+def _scores(name: str, k: int, e: str) -> str:
+    return f"""select '{name}' as model, {k} as variables, 1 - sum(pow({e}, 2)) / max(syy) as r2, max(n) as n, sum(pow({e}, 2)) as rss, avg(abs({e})) as mae
+        from {fx('reg')}, f"""
+
+
+_E1, _E2 = "(y - my - t0 / s00 * (x1 - m0))", "(y - my - (t0 * s11 - t1 * s01) / (s00 * s11 - s01 * s01) * (x1 - m0) - (t1 * s00 - t0 * s01) / (s00 * s11 - s01 * s01) * (x2 - m1))"
+_E3 = "(y - my - b0 * (x1 - m0) - b1 * (x2 - m1) - b2 * (x3 - m2))"
+
+
+@query("ols_compare", f"""{_THREE}, m as ({_scores('one', 1, _E1)} union all {_scores('two', 2, _E2)} union all {_scores('all', 3, _E3)}),
+      r as (select *, sqrt(rss / n) as rmse, n * (ln(2 * pi() * rss / n) + 1) as dev from m),
+      g as (select *, round((rmse - min(rmse) over ()) / min(rmse) over () * 100, 2) as gap from r)
+    select cast(row_number() over (order by gap > 5, rmse) as integer) as place, model, variables, {rs('r2')} as R2, {rs('1 - (1 - r2) * (n - 1) / (n - variables - 1)')} as R2_ADJ,
+      {rs('dev + 2 * (variables + 1)', 2)} as AIC, {rs('dev + ln(n) * (variables + 1)', 2)} as BIC, {rs('r2')} as R2_ORIGINAL, {rs('rmse')} as RMSE, {rs('mae')} as MAE, gap as gap_pct from g""")
 def ols_compare(spark, sf):
     df = view(spark, sf, "reg").select("y", "x1", "x2", "x3").persist()
     fits = {"one": ols.fit(df, "y", ["x1"]), "two": ols.fit(df, "y", ["x1", "x2"]), "all": ols.fit(df, "y")}
-    return ols.compare(fits)[0]
+    return rounded(ols.compare(fits)[0], 4, AIC=2, BIC=2)
 
 
 @query("ols_original_errors", f"""
@@ -225,9 +257,29 @@ def logit_sigmoid(spark, sf):
     return rounded(_logit_one(spark, sf).sigmoid("x1"), 5, x1=6)
 
 
-@query("logit_coefficients")
+def newton_two_sql(steps: int = 9) -> str:
+    """Logit on x1 and x2 by Newton steps over (x1, x2, y) counts of the whole table; the 3 x 3 system by cofactors."""
+    src = f"(select x1, x2, count(*) as n, sum(y) as s from {fx('logit')} group by 1, 2)"
+    p = "(1 / (1 + exp(-(a + b * x1 + c * x2))))"
+    w = f"(n * {p} * (1 - {p}))"
+    sums = ", ".join([f"sum({w} * {u} * {v}) as h{i}{j}" for i, u in enumerate(("1", "x1", "x2")) for j, v in enumerate(("1", "x1", "x2")) if i <= j]
+                     + [f"sum((s - n * {p}) * {u}) as g{i}" for i, u in enumerate(("1", "x1", "x2"))])
+    minors = ("h11 * h22 - h12 * h12 as k00, h02 * h12 - h01 * h22 as k01, h01 * h12 - h02 * h11 as k02, h00 * h22 - h02 * h02 as k11, "
+              "h01 * h02 - h00 * h12 as k12, h00 * h11 - h01 * h01 as k22")
+    prev = "(select 0.0::double as a, 0.0::double as b, 0.0::double as c)"
+    for _ in range(steps):
+        prev = (f"(select a + (k00 * g0 + k01 * g1 + k02 * g2) / det as a, b + (k01 * g0 + k11 * g1 + k12 * g2) / det as b, c + (k02 * g0 + k12 * g1 + k22 * g2) / det as c "
+                f"from (select *, h00 * k00 + h01 * k01 + h02 * k02 as det from (select *, {minors} from (select max(a) as a, max(b) as b, max(c) as c, {sums} from {src} d, {prev} q))))")
+    return f"(select *, h00 * k00 + h01 * k01 + h02 * k02 as det from (select *, {minors} from (select max(a) as a, max(b) as b, max(c) as c, {sums} from {src} d, {prev} q)))"
+
+
+@query("logit_coefficients", f"""
+    with f as {newton_two_sql()}, r as (select pow(corr(x1, x2), 2) as r2 from {fx('logit')})
+    select 'x1' as variable, {rs('b', 6)} as b, {rs('sqrt(k11 / det)', 6)} as se, {rs('b / sqrt(k11 / det)', 3)} as z, {rs('exp(b)', 6)} as odds_ratio, {rs('1 / (1 - r2)', 6)} as vif from f, r
+    union all select 'x2', {rs('c', 6)}, {rs('sqrt(k22 / det)', 6)}, {rs('c / sqrt(k22 / det)', 3)}, {rs('exp(c)', 6)}, {rs('1 / (1 - r2)', 6)} from f, r""")
 def logit_coefficients(spark, sf):
-    return rounded(logit.fit(view(spark, sf, "logit").select("y", "x1", "x2"), "y").coefficients(), 6)
+    out = logit.fit(view(spark, sf, "logit").select("y", "x1", "x2"), "y").coefficients()
+    return rounded(out.select("variable", "b", "se", "z", "odds_ratio", "vif"), 6, z=3)
 
 
 @query("logit_prepared")
@@ -304,7 +356,7 @@ def threshold_table(spark, sf):
 @query("pearson_residual_dw", f"""
     with e as (select {_ORDER_SQL}, (y - p) / sqrt(p * (1 - p)) as e from {fx('scores')})
     select {rs('sum(pow(e - q, 2)) / sum(e * e)', 6)} as dw
-    from (select e, lag(e) over (order by {_ORDER_SQL}) as q from e)""")
+    from (select e, lag(e) over (order by {_ORDER_SQL}, e) as q from e)""")
 def pearson_residual_dw(spark, sf):
     d = view(spark, sf, "scores")
     e = d.select(*ORDER, ((F.col("y") - F.col("p")) / F.sqrt(F.col("p") * (1 - F.col("p")))).alias("e"))

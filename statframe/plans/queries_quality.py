@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from statframe.operators import prep, quality
+from statframe.operators import core, prep, quality
 from statframe.plans.registry import fx, query, rounded, rs, table, view
 from statframe.sources import io
 
@@ -285,11 +285,55 @@ def pca_scores(spark, sf):
     return rounded(prep.pca(view(spark, sf, "numeric"), n_components=0.8)[0])
 
 
-@query("reduce_vif")
+@query("reduce_vif", f"select {{}} from {fx('reg')}".format("x1, x2, x3"))
 def reduce_vif(spark, sf):
     return prep.reduce_vif(view(spark, sf, "reg").select("x1", "x2", "x3", "x4"))[0]
 
 
+@query("vif_selector", f"""
+    with m as (select corr(x1, x2) as a, corr(x1, x3) as b, corr(x2, x3) as c from {fx('reg')}), k as (select count(*) as n from {fx('reg')})
+    select 'x1' as variable, n from k union all select 'x2', n from k union all select 'x3', n from k""")
+def vif_selector(spark, sf):
+    out = prep.VifSelector(threshold=10.0, inputCols=["x1", "x2", "x3", "x4"]).fit(view(spark, sf, "reg")).transform(view(spark, sf, "reg").select("x1", "x2", "x3", "x4"))
+    return out.agg(*[F.count(c).alias(c) for c in out.columns]).select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("variable"), F.col(c).alias("n")) for c in out.columns])))
+
+
+@query("scaler_saved", f"""
+    with s as (select avg(l_quantity) as m, stddev_pop(l_quantity) as s, avg(l_tax) as m2, stddev_pop(l_tax) as s2 from lineitem)
+    select l_quantity as raw, {rs('max((l_quantity - m) / s)', 6)} as l_quantity, count(*) as n from lineitem, s group by 1""")
+def scaler_saved(spark, sf):
+    """A fitted scaler written to the shared folder, read back and applied."""
+    df = table(spark, sf, "lineitem").select("l_quantity", "l_tax")
+    path = core.shared_path(spark, ".model")
+    prep.Scaler(method="standard", inputCols=["l_quantity", "l_tax"]).fit(df).write().save(path)
+    out = prep.ScalerModel.load(path).transform(df.withColumn("raw", F.col("l_quantity")))
+    return rounded(out.groupBy("raw").agg(F.max("l_quantity").alias("l_quantity"), F.count(F.lit(1)).alias("n")), 6)
+
+
+@query("saved_tables", """
+    select kind, count(*) as n, cast(sum(o_orderkey) as bigint) as keys, count(distinct o_orderpriority) as levels from orders, (values ('csv'), ('json'), ('parquet')) v(kind) group by 1""")
+def saved_tables(spark, sf):
+    """The table written in every supported form and read back."""
+    df, out = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), None
+    for kind in ("csv", "json", "parquet"):
+        path = core.shared_path(spark, f".{kind}")
+        io.save(df, path)
+        one = io.read_path(spark, path).agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").cast("long").alias("keys"),
+                                            F.count_distinct("o_orderpriority").alias("levels"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("dataset_catalogue", "select lower(n_name) as name, 'region ' || n_regionkey as desc, n_name || '.parquet' as url from nation where contains(lower(n_name), '1')")
+def dataset_catalogue(spark, sf):
+    """A catalogue file with an entry for every nation, searched by part of the name."""
+    entry = F.struct(F.concat("n_name", F.lit(".parquet")).alias("url"), F.concat(F.lit("region "), "n_regionkey").alias("desc"))
+    path = core.shared_path(spark, ".catalogue")
+    table(spark, sf, "nation").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("n_name", entry)))).alias("value")).write.text(path)
+    return io.list_datasets(spark, path + "/*.txt", "1").select("name", "desc", "url")
+
+
 @query("valid_points", f"""
     select c_custkey, lat, lon, 'POINT (' || printf('%.6f', lon) || ' ' || printf('%.6f', lat) || ')' as point
     from (select c_custkey, try_cast(lat as double) as lat, try_cast(lon as double) as lon from {fx('geo')})

@@ -227,11 +227,19 @@ def posthoc_games_howell(spark, sf):
         "a", "b", "test", "diff", "se", "t", "hedges"), hedges=6)
 
 
-@query("posthoc_extremes")
+# upper 5 % points of the studentised range for 3 and 4 groups and many degrees of freedom
+RANGE_3, RANGE_4 = 3.31449, 3.63316
+
+
+@query("posthoc_extremes", f"""
+    with p as ({pairs_sql(fx("k_group"), "sqrt(mse / a.n + mse / b.n)", "Tukey HSD")}), s as (select *, abs(t) * sqrt(2) > {RANGE_3} as significant from p),
+      h as (select * from s order by abs(diff) desc, a, b limit 1), l as (select * from s order by abs(diff), a, b limit 1)
+    select h.a as largest_a, h.b as largest_b, h.diff as largest_diff, h.significant as largest_significant,
+      l.a as smallest_a, l.b as smallest_b, l.diff as smallest_diff, l.significant as smallest_significant from h, l""")
 def posthoc_extremes(spark, sf):
     pairs = hypothesis.posthoc(view(spark, sf, "k_group"), "y", "g")
-    return hypothesis.posthoc_extremes(pairs).select(
-        *[F.col(f"{k}.{f}").alias(f"{k}_{f}") for k in ("largest", "smallest") for f in ("a", "b", "diff", "significant")])
+    return rounded(hypothesis.posthoc_extremes(pairs).select(
+        *[F.col(f"{k}.{f}").alias(f"{k}_{f}") for k in ("largest", "smallest") for f in ("a", "b", "diff", "significant")]))
 
 
 @query("anova_two_way")
@@ -239,6 +247,29 @@ def anova_two_way(spark, sf):
     return rounded(hypothesis.anova2(view(spark, sf, "two_factor"), "y", ["a", "b"]))
 
 
+# a factor of two levels against one of many: every sum of squares has a closed form, weights n1 n2 / (n1 + n2) per level
+_TWO_BY = """(select case when o_custkey % 2 = 0 then 'even' else 'odd' end as a, o_orderpriority as b, o_totalprice as y from orders)"""
+
+
+@query("anova_two_way_closed", f"""
+    with c as (select a, b, cast(count(*) as double) as n, avg(y) as m, var_samp(y) as v from {_TWO_BY} group by 1, 2),
+      w as (select x.b, x.n * z.n / (x.n + z.n) as w, x.m - z.m as d from c x join c z on x.b = z.b and x.a = 'even' and z.a = 'odd'),
+      t as (select sum(n) as n, sum(n * m) / sum(n) as gm, sum((n - 1) * v) as rss, count(*) as cells, count(distinct b) as k from c),
+      sa as (select sum(g.n * pow(g.m - gm, 2)) as ss from (select a, sum(n) as n, sum(n * m) / sum(n) as m from c group by 1) g, t),
+      sb as (select sum(g.n * pow(g.m - gm, 2)) as ss from (select b, sum(n) as n, sum(n * m) / sum(n) as m from c group by 1) g, t),
+      d as (select pow(sum(w * d), 2) / sum(w) as a, sum(w * d * d) - pow(sum(w * d), 2) / sum(w) as ab from w),
+      r as (select 'a' as source, d.a as ss, cast(1 as double) as df from d
+            union all select 'b', sb.ss + d.a - sa.ss, cast(k - 1 as double) from sa, sb, d, t union all select 'a:b', d.ab, cast(k - 1 as double) from d, t)
+    select source, {rs('ss / rss', 8)} as ss_share, df, {rs('ss / df / (rss / (n - cells))', 5)} as f, {rs('ss / (ss + rss)', 8)} as np2 from r, t""")
+def anova_two_way_closed(spark, sf):
+    from statframe.plans.registry import table
+    df = table(spark, sf, "orders").select(F.when(F.col("o_custkey") % 2 == 0, "even").otherwise("odd").alias("a"),
+                                           F.col("o_orderpriority").alias("b"), F.col("o_totalprice").alias("y"))
+    out = hypothesis.anova2(df, "y", ["a", "b"])
+    rest = out.where("source = 'Residual'").select(F.col("ss").alias("rss"))
+    return rounded(out.where("source <> 'Residual'").join(F.broadcast(rest)).select("source", (F.col("ss") / F.col("rss")).alias("ss_share"), "df", "f", "np2"), 8, f=5)
+
+
 @query("anova_two_way_residual", f"""
     with c as (select a, b, count(*) as n, var_samp(y) as v from {fx('two_factor')} group by 1, 2)
     select 'Residual' as source, {rs('sum((n - 1) * v)', 2)} as ss, cast(sum(n) - count(*) as double) as df from c""")
@@ -254,7 +285,12 @@ def posthoc_two_way(spark, sf):
         "a", "b", "test", "diff", "se", "t", "hedges"), hedges=6)
 
 
-@query("posthoc_two_way_levels")
+@query("posthoc_two_way_levels", f"""
+    with p as ({pairs_sql(f"(select a || ', ' || b as g, y from {fx('two_factor')})", "sqrt(mse / a.n + mse / b.n)", "Tukey HSD")}),
+      f as (select split_part(a, ', ', 1) as x, split_part(b, ', ', 1) as y, abs(t) * sqrt(2) > {RANGE_4} as significant from p),
+      l as (select x as level from f union select y from f)
+    select level, count(*) filter (where x = level and y = level) as pairs,
+      count(*) filter (where x = level and y = level and significant) as significant_pairs from l, f group by 1""")
 def posthoc_two_way_levels(spark, sf):
     return hypothesis.posthoc2_levels(hypothesis.posthoc2(view(spark, sf, "two_factor"), "y", ["a", "b"]))
 
@@ -341,12 +377,22 @@ def correlation_nulls(spark, sf):
     return rounded(out.select("x", "y", "pearson", "spearman", "pearson_trimmed", "n"), 6)
 
 
-@query("correlation_matrix")
+# no variable passes the normality check, so every coefficient is a rank correlation
+_MIRROR = f"""
+    with p as (select x, y, round(spearman, 4) as coef from ({corr_sql(fx("reg"), _PAIRS)})),
+      m as (select x, y, coef from p union all select y, x, coef from p)"""
+
+
+@query("correlation_matrix", f"""{_MIRROR}, u as (select * from m union all select distinct x, x, 1.0 from m)
+    select x as variable, """ + ", ".join(f"max(case when y = '{c}' then coef end) as {c}" for c in sorted(REG)) + " from u group by 1")
 def correlation_matrix(spark, sf):
     return correlation.correlation_matrix(correlation.correlation_pairs(view(spark, sf, "reg"), REG))
 
 
-@query("correlation_summary")
+@query("correlation_summary", f"""{_MIRROR}
+    select x as variable, first(y order by abs(coef) desc, y) as max_y, first(coef order by abs(coef) desc, y) as max_coef,
+      count(*) filter (where abs(coef) > 0.7) as count,
+      coalesce(string_agg(y, ', ' order by abs(coef) desc, y) filter (where abs(coef) > 0.7), '-') as partners from m group by 1""")
 def correlation_summary(spark, sf):
     return correlation.correlation_summary(correlation.correlation_pairs(view(spark, sf, "reg"), REG))
 
