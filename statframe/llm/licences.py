@@ -11,8 +11,6 @@ text's edge).
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,35 +39,49 @@ TEMPLATE_WORDS = 5000
 SIZE = 5
 BANDS = 12
 CONTAINMENT = 0.8
-_NOT_WORD = "[^a-z0-9\\x{80}-\\x{10FFFF}]+"
+# ASCII that is neither a digit nor a small letter
+_NOT_WORD = "[\\x00-/:-`{-\\x7f]+"
 _ORDERS = [int(x) for x in np.random.default_rng(7).integers(-2**63, 2**63, BANDS, dtype=np.int64)]
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), _NOT_WORD), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), _NOT_WORD), "")
 
 
-def _shingle(words: Column, at: Column) -> Column:
-    return F.xxhash64(*[F.get(words, at + k) for k in range(SIZE)])
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _bands(x: Column, y: Column) -> list[Column]:
-    """The smaller of two shingles under the order of each band; of one where there is no second."""
-    return [F.least(x.bitwiseXOR(F.lit(c)), F.when(y.isNotNull(), y.bitwiseXOR(F.lit(c)))) for c in _ORDERS]
+def _gram(hashes: Column, at: Column) -> Column:
+    """Hash of the five words from a position on."""
+    return F.xxhash64(*[F.get(hashes, at + k) for k in range(SIZE)])
+
+
+def _grams(hashes: Column) -> Column:
+    """All of them; none of a shorter text."""
+    return F.when(F.size(hashes) >= SIZE, F.transform(F.sequence(F.lit(0), F.size(hashes) - SIZE), lambda i: _gram(hashes, i)))
+
 
+def _windows(df: DataFrame, hashes: str, keep_: list[str]) -> DataFrame:
+    """A row for each window: its two shingles (twice the same in a text of one).
+
+    The second generator computes each shingle once: what follows reads its columns.
+    """
+    h, at = F.col(hashes), F.col("at")
+    places = F.when(F.size(h) >= SIZE, F.sequence(F.lit(0), F.greatest(F.size(h) - SIZE - 1, F.lit(0))))
+    pair = F.struct(_gram(h, at).alias("x"), _gram(h, F.least(at + 1, F.size(h) - SIZE)).alias("y"))
+    return df.select(*keep_, h, F.explode(places).alias("at")).select(*keep_, F.inline(F.array(pair)))
 
-def _windows(df: DataFrame, words: str, keep_: list[str]) -> DataFrame:
-    """A row for each window of ``words``: its two shingles."""
-    at, w = F.col("at"), F.col(words)
-    out = df.where(F.size(words) >= SIZE).select(*keep_, words, F.explode(F.sequence(F.lit(0), F.greatest(F.size(words) - SIZE - 1, F.lit(0)))).alias("at"))
-    return out.select(*keep_, _shingle(w, at).alias("x"), F.when(F.size(words) > at + SIZE, _shingle(w, at + 1)).alias("y"))
+
+def _bands(x: Column, y: Column) -> list[Column]:
+    """The smaller of two shingles under the order of each band."""
+    return [F.least(x.bitwiseXOR(F.lit(c)), y.bitwiseXOR(F.lit(c))) for c in _ORDERS]
 
 
 def _templates(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     """``template, grams, reach``: distinct shingles, and how many positions a match may span (a quarter more than the template has)."""
-    rows = spark.createDataFrame(sorted(templates.items()), "template string, text string").withColumn("w", _words(F.col("text")))
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - SIZE + 1), lambda i: F.xxhash64(*[F.get(F.col("w"), i - 1 + k) for k in range(SIZE)]))
-    return rows.withColumn("grams", F.array_distinct(grams)).withColumn("reach", (F.size("w") - SIZE + 1) + F.floor((F.size("w") - SIZE + 1) / 4).cast("int"))
+    rows = spark.createDataFrame(sorted(templates.items()), "template string, text string").withColumn("w", _hashes(_words(F.col("text"))))
+    return rows.withColumn("all", _grams(F.col("w"))).withColumn("grams", F.array_distinct("all")).withColumn("reach", (F.size("w") - SIZE + 1) + F.floor((F.size("w") - SIZE + 1) / 4).cast("int"))
 
 
 def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", templates: dict[str, str] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
@@ -87,22 +99,18 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", templates: dic
     own = keep(_templates(spark, templates))
     x, y = F.col("x"), F.col("y")
     keys = keep(_windows(own, "w", ["template"]).select("template", F.posexplode(F.array(*_bands(x, y))).alias("band", "key")).distinct())
-    wanted = [[] for _ in range(BANDS)]
-    for r in keys.select("band", "key").distinct().collect():        # at most TEMPLATE_WORDS * BANDS numbers
-        wanted[r["band"]].append(r["key"])
-
     row = F.xxhash64(F.col(id).cast("string"), F.col(text)).alias("__row")
-    bands = _bands(x, y)
-    hit = reduce(lambda a, b: a | b, [band.isin(found) for band, found in zip(bands, wanted) if found], F.lit(False))
-    met = (_windows(docs.select(row, _words(F.col(text)).alias("w")), "w", ["__row"]).where(hit)
-           .select("__row", F.posexplode(F.array(*bands)).alias("band", "key"))
+    # a band's key is one of the window's shingles, so a window without any shingle of a template meets none in any band
+    shingles = ", ".join(f"{r[0]}L" for r in own.select(F.explode("grams")).distinct().collect())      # at most TEMPLATE_WORDS numbers
+    hashed = docs.select(row, _words(F.col(text)).alias("w")).select("__row", _hashes(F.col("w")).alias("h"))
+    met = (_windows(hashed, "h", ["__row"]).where(f"x in ({shingles}) or y in ({shingles})" if shingles else "false")
+           .select("__row", F.posexplode(F.array(*_bands(x, y))).alias("band", "key"))
            .join(F.broadcast(keys), ["band", "key"]).select("__row", "template").distinct())
     candidates = keep(met)
 
     # the candidates' texts again: containment in the stretch that begins at each shingle of the template
     texts = docs.select(row, F.col(text).alias("t")).join(candidates.select("__row").distinct(), "__row").dropDuplicates(["__row"])
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - SIZE + 1), lambda i: F.xxhash64(*[F.get(F.col("w"), i - 1 + k) for k in range(SIZE)]))
-    placed = (texts.select("__row", _words(F.col("t")).alias("w")).select("__row", grams.alias("all"))
+    placed = (texts.select("__row", _hashes(_words(F.col("t"))).alias("h")).select("__row", _grams(F.col("h")).alias("all"))
               .join(candidates, "__row").join(F.broadcast(own.select("template", "grams", "reach")), "template"))
     starts = F.filter(F.sequence(F.lit(1), F.size("all")), lambda i: F.array_contains(F.col("grams"), F.get(F.col("all"), i - 1)))
     shared = F.transform(starts, lambda i: F.size(F.array_intersect(F.slice(F.col("all"), i, F.col("reach")), F.col("grams"))))
