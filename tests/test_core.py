@@ -92,11 +92,11 @@ def test_gram_narrow_and_wide(spark):
     want = np.cov(x.T) * 199
     g = core.gram(df, names)
     np.testing.assert_allclose(g.cross, want, rtol=1e-8)
-    old, core.LIMITS.gram_columns = core.LIMITS.gram_columns, 2
+    old, core.LIMITS.product_sums = core.LIMITS.product_sums, 3
     try:
         np.testing.assert_allclose(core.gram(df, names).cross, want, rtol=1e-8, atol=1e-6)
     finally:
-        core.LIMITS.gram_columns = old
+        core.LIMITS.product_sums = old
 
 
 def test_moments_edges(spark):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from statframe.functions import dist
-from statframe.operators import cluster, correlation, frames, hypothesis, logit, neighbours, ols, prep, quality
+from statframe.operators import cluster, core, correlation, frames, hypothesis, logit, neighbours, ols, prep, quality
 from statframe.operators import timeseries as ts
 from statframe.plans import eda
 from statframe.sources import io
