@@ -3,7 +3,8 @@
 Two sets of a and b shingles are linked when they share at least c(a, b) of them. Sets up to a boundary are light: they enumerate their
 subsets of c(a, b) shingles for every partner size b, and sets that meet in a subset are linked without further checks. Larger sets are
 heavy: they enter inverted lists under the few shingles that a partner cannot miss (rarest first), the lists are scanned, and candidate
-pairs that pass the size and position bounds are verified on the whole sets. The boundary has the least total cost for the sizes found.
+pairs that pass the size and position bounds, and an upper bound from counts of hashed shingles, are verified on the whole sets. The
+boundary has the least total cost for the sizes found.
 
 Copies are one set. Groups of near copies are not expanded into all pairs: lists are first scanned for pairs of neighbours; components
 are formed; after that only pairs of sets that are still in different components are tried, all of them. A list of any length is dealt
@@ -34,6 +35,8 @@ LIGHT_MOST = 24
 #: Classes of copies with at least 1/HOT of all documents (so at most HOT of them) enter lists only once.
 HOT = 4096
 BLOCK = 1024
+#: Hashed classes of shingles in a sketch. Two sets differ by at least the sum of the differences of their counts.
+CLASSES = 256
 _ROW = "kind int, token long, a long, n int, pos int, b long, m int"
 
 
@@ -79,6 +82,22 @@ def _signature(s: np.ndarray) -> int:
         return int(mix(np.array([mix(s).sum() + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
+def _sketch(s: np.ndarray) -> bytes:
+    """Shingles in each hashed class; counts beyond 255 are cut, which only weakens the bound."""
+    return np.minimum(np.bincount((mix(s) >> np.uint64(56)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8).tobytes()
+
+
+def _may_link(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether pairs of sketches (rows) leave room for enough shared shingles."""
+    out = np.zeros(len(x), bool)
+    for a in range(0, len(x), 1 << 14):
+        part = slice(a, a + (1 << 14))
+        apart = np.abs(x[part].astype(np.int16) - y[part]).sum(axis=1, dtype=np.int64)
+        both = n[part].astype(np.int64) + m[part]
+        out[part] = (both - apart) // 2 >= _need(both, 0, num, den)
+    return out
+
+
 def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     both = np.concatenate([x, y])
     both.sort()
@@ -223,22 +242,28 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     postings = found.where("kind = 1").select("token", "a", "n", "pos")
     edges = found.where("kind = 2").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
     sets = _sets(slim, classes, postings.select(F.col("a").alias("sig"), "n").distinct(), size)
-    edges = keep(edges.unionByName(_verify(found.where("kind = 0"), sets, num, den)))
+    near = _near(found.where("kind = 0").select("a", "n", "b", "m").distinct(), sets, num, den)
+    roots = components(edges.unionByName(_verify(keep(near), sets.hint("merge"), num, den)))
+
+    def hopeful(i, j, n, pos, sketch):
+        ok = good(n[i], pos[i], n[j], pos[j])
+        i, j = i[ok], j[ok]
+        ok = _may_link(sketch[i], sketch[j], n[i], n[j], num, den) if len(i) else np.zeros(0, bool)
+        return i[ok], j[ok]
 
     # sets that are still apart: a few neighbours of each in a random order of every list, then all pairs
     def some(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for now in _arrays(batches):
             now = now if held is None else tuple(np.concatenate(x) for x in zip(held, now))
-            token, a, n, pos, root = now
+            token, a, n, pos, root, sketch = now
             for step in (1, 2, 3, 4):
                 i = np.arange(max(0, len(token) - step))
                 j = i + step
                 near = (token[i] == token[j]) & (root[i] != root[j])
-                i, j = i[near], j[near]
-                ok = good(n[i], pos[i], n[j], pos[j])
-                if ok.any():
-                    yield _pairs(a, n, i[ok], j[ok])
+                i, j = hopeful(i[near], j[near], n, pos, sketch)
+                if len(i):
+                    yield _pairs(a, n, i, j)
             held = tuple(x[-4:] for x in now)
 
     def every(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,31 +279,30 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
                 held, now = tuple(x[last:] for x in now), tuple(x[:last] for x in now)
             starts = np.flatnonzero(np.r_[True, _differs(now)]) if len(now[0]) else []
             for s, e in zip(starts, [*starts[1:], len(now[0])]):
-                token, x, y, a, n, pos, root, own = (v[s:e] for v in now)
+                token, x, y, a, n, pos, root, own, sketch = (v[s:e] for v in now)
                 i, j = np.triu_indices(e - s, 1)
                 ok = (root[i] != root[j]) & ((x[0] == y[0]) | (own[i] != own[j]))
-                i, j = i[ok], j[ok]
-                ok = good(n[i], pos[i], n[j], pos[j])
-                if ok.any():
-                    yield _pairs(a, n, i[ok], j[ok])
+                i, j = hopeful(i[ok], j[ok], n, pos, sketch)
+                if len(i):
+                    yield _pairs(a, n, i, j)
 
     for last in (False, True):
-        labelled = postings.join(components(edges).withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+        labelled = postings.join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
         lists = labelled.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("length")).where("lo <> hi")
-        open_ = labelled.join(lists.select("token", "length"), "token")
+        open_ = (labelled.join(lists.select("token", "length"), "token")
+                 .join(sets.select(F.col("sig").alias("a"), "n", "sketch").hint("merge"), ["a", "n"]))
         if last:
             dealt = (open_.withColumn("blocks", F.ceil(F.col("length") / block)).withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")))
-                     .select("token", "a", "n", "pos", "root", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-                     .select("token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "a", "n", "pos", "root", "own"))
+                     .select("token", "a", "n", "pos", "root", "own", "sketch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+                     .select("token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "a", "n", "pos", "root", "own", "sketch"))
             tried = dealt.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(every, _ROW)
         else:
-            tried = (open_.select("token", "a", "n", "pos", "root", F.xxhash64("a", "token").alias("h")).repartition("token")
-                     .sortWithinPartitions("token", "h", "a").select("token", "a", "n", "pos", "root").mapInArrow(some, _ROW))
-        edges = keep(edges.unionByName(_verify(tried, sets, num, den)))
+            tried = (open_.select("token", "a", "n", "pos", "root", "sketch", F.xxhash64("a", "token").alias("h")).repartition("token")
+                     .sortWithinPartitions("token", "h", "a").select("token", "a", "n", "pos", "root", "sketch").mapInArrow(some, _ROW))
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(_verify(keep(tried.select("a", "n", "b", "m").distinct()), sets, num, den)))
 
     # components of classes, then the smallest id of each
-    roots = components(edges).withColumnRenamed("node", "sig")
-    placed = keep(classes.join(roots, "sig").select("sig", "n", "root", "rep"))
+    placed = keep(classes.join(roots.withColumnRenamed("node", "sig"), "sig").select("sig", "n", "root", "rep"))
     least = placed.groupBy("root").agg(F.min("rep").alias("least"))
     of_class = placed.join(least, "root").select("sig", "n", "least")
     alone = classes.where("copies > 1").join(of_class, ["sig", "n"], "left_anti").select("sig", "n", F.col("rep").alias("least"))
@@ -290,7 +314,8 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
 def _arrays(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
     for batch in batches:
         if batch.num_rows:
-            yield tuple(np.asarray(c) for c in batch.columns)
+            yield tuple(np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(batch.num_rows, -1) if pa.types.is_binary(c.type) else np.asarray(c)
+                        for c in batch.columns)
 
 
 def _differs(now: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -306,7 +331,7 @@ def _pairs(a: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.Rec
 
 
 def _sets(slim: DataFrame, classes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """``sig, n, s``: whole sets of the wanted classes, each from the row of its smallest id."""
+    """``sig, n, sketch, s``: sketches and whole sets of the wanted classes, each from the row of its smallest id."""
     reps = keep(classes.join(wanted, ["sig", "n"]).select(F.col("rep").alias("d"), "sig", "n"))
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,21 +340,37 @@ def _sets(slim: DataFrame, classes: DataFrame, wanted: DataFrame, size: int) ->
             got = [(row, s) for row, s in shingle_sets(batch.column(0), size) if len(s) == n[row] and _signature(s) == sig[row]]
             if got:
                 at = [g[0] for g in got]
-                yield pa.RecordBatch.from_arrays([pa.array(sig[at]), pa.array(n[at]), pa.array([g[1].tobytes() for g in got], pa.binary())], ["sig", "n", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(sig[at]), pa.array(n[at]), pa.array([_sketch(g[1]) for g in got], pa.binary()),
+                                                  pa.array([g[1].tobytes() for g in got], pa.binary())], ["sig", "n", "sketch", "s"])
+
+    return keep(slim.join(reps.hint("merge"), "d").select("t", "sig", "n").mapInArrow(make, "sig long, n int, sketch binary, s binary"))
+
+
+def _sides(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """``a, n, b, m, x, y``: pairs with this column of either set."""
+    left = sets.select(F.col("sig").alias("a"), "n", F.col(column).alias("x"))
+    right = sets.select(F.col("sig").alias("b"), F.col("n").alias("m"), F.col(column).alias("y"))
+    return pairs.join(left, ["a", "n"]).join(right, ["b", "m"]).select("a", "n", "b", "m", "x", "y")
+
+
+def _near(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose sketches may belong to linked sets."""
+    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CLASSES) for c in (4, 5))
+                ok = pa.array(_may_link(x, y, np.asarray(batch.column(1)), np.asarray(batch.column(3)), num, den))
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in range(4)], ["a", "n", "b", "m"])
 
-    return keep(slim.join(reps, "d").select("t", "sig", "n").mapInArrow(make, "sig long, n int, s binary"))
+    return _sides(pairs, sets.hint("merge"), "sketch").mapInArrow(check, "a long, n int, b long, m int")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Edges ``u, v`` of the candidate pairs whose whole sets are linked."""
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), num, den)
-                  for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            ok = pa.array(ok, pa.bool_())
+            ok = pa.array([_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), num, den)
+                           for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["u", "v"])
 
-    todo = keep(pairs.select("a", "n", "b", "m").distinct())
-    left = sets.select(F.col("sig").alias("a"), "n", F.col("s").alias("x"))
-    right = sets.select(F.col("sig").alias("b"), F.col("n").alias("m"), F.col("s").alias("y"))
-    return todo.join(left, ["a", "n"]).join(right, ["b", "m"]).select("a", "b", "x", "y").mapInArrow(check, "u long, v long").distinct()
+    return _sides(pairs, sets, "s").select("a", "b", "x", "y").mapInArrow(check, "u long, v long").distinct()
