@@ -243,7 +243,7 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     edges = found.where("kind = 2").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
     sets = _sets(slim, classes, postings.select(F.col("a").alias("sig"), "n").distinct(), size)
     near = _near(found.where("kind = 0").select("a", "n", "b", "m").distinct(), sets, num, den)
-    roots = components(edges.unionByName(_verify(keep(near), sets.hint("merge"), num, den)))
+    roots = components(edges.unionByName(_verify(keep(near), sets, num, den)))
 
     def hopeful(i, j, n, pos, sketch):
         ok = good(n[i], pos[i], n[j], pos[j])
@@ -348,6 +348,7 @@ def _sets(slim: DataFrame, classes: DataFrame, wanted: DataFrame, size: int) ->
 
 def _sides(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
     """``a, n, b, m, x, y``: pairs with this column of either set."""
+    sets = sets.hint("merge")      # the same plan at every size
     left = sets.select(F.col("sig").alias("a"), "n", F.col(column).alias("x"))
     right = sets.select(F.col("sig").alias("b"), F.col("n").alias("m"), F.col(column).alias("y"))
     return pairs.join(left, ["a", "n"]).join(right, ["b", "m"]).select("a", "n", "b", "m", "x", "y")
@@ -362,7 +363,7 @@ def _near(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
                 ok = pa.array(_may_link(x, y, np.asarray(batch.column(1)), np.asarray(batch.column(3)), num, den))
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in range(4)], ["a", "n", "b", "m"])
 
-    return _sides(pairs, sets.hint("merge"), "sketch").mapInArrow(check, "a long, n int, b long, m int")
+    return _sides(pairs, sets, "sketch").mapInArrow(check, "a long, n int, b long, m int")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
