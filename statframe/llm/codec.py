@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from statframe.llm import unigram
-from statframe.llm.common import keep, per_batch, schema_with
+from statframe.llm.common import keep, per_batch, schema_with, slices
 from statframe.llm.tokens import CACHE, MODEL, Cache
 
 #: Texts of more characters than this are cut; a chunk has so many characters.
 GIANT = 1 << 15
 CHUNK = 1 << 13
+#: Chunks whose words are segmented together.
+CHUNKS = 64
 NONE = unigram._NONE
 
 
@@ -110,14 +112,15 @@ class Chunks(Cache):
             self.meet([text])
         return [self.known[w] for w in own]
 
+    def __init__(self, v: unigram.Vocabulary, kind: str):
+        super().__init__(v, kind)
+        self.scores = np.full(len(v.text), v.byte_score, np.int64)
+        for score, k in v.pieces.values():
+            self.scores[k] = score
+
     def score(self, text: str) -> int:
         """Best score of a text that begins and ends at sure boundaries."""
-        v = self.trie.v
-        scores = self.__dict__.setdefault("by_id", np.array([s for s, _ in sorted(v.pieces.values(), key=lambda x: x[1])], np.int64))
-        ids = self.__dict__.setdefault("ids", np.array(sorted(k for _, k in v.pieces.values()), np.int64))
-        got = np.frombuffer(b"".join(self.encoded(text)), np.int32)
-        at = np.minimum(np.searchsorted(ids, got), len(ids) - 1)
-        return int(np.where(ids[at] == got, scores[at], v.byte_score).sum())
+        return int(self.scores[np.frombuffer(b"".join(self.encoded(text)), np.int32)].sum())
 
 
 def encode(docs: DataFrame, text: str = "text", model: str = MODEL, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
@@ -156,7 +159,7 @@ def _encode_giants(docs: DataFrame, text: str, sent, chunk: int) -> DataFrame:
 
     def matrices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Chunks.of(sent, "encode")
-        for batch in batches:
+        for batch in slices(batches, CHUNKS):
             own = list(parts(batch))
             cache.meet(before + body for _, _, before, body, _ in own)
             got = [(row, c, transfer(cache, *p).tobytes()) for row, c, *p in own]
@@ -178,7 +181,7 @@ def _encode_giants(docs: DataFrame, text: str, sent, chunk: int) -> DataFrame:
 
     def trace(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Chunks.of(sent, "encode")
-        for batch in batches:
+        for batch in slices(batches, CHUNKS):
             enter = batch.column(batch.schema.get_field_index("enter")).to_pylist()
             own = list(parts(batch))
             cache.meet(before + body for _, _, before, body, _ in own)
@@ -213,10 +216,13 @@ def decode(docs: DataFrame, ids: str = "ids", out: str = "decoded", model: str =
     sent = docs.sparkSession.sparkContext.broadcast(unigram.load(model))
 
     def run(batch: pa.RecordBatch) -> dict:
-        table = sent.value.text
-        made = []
-        for own in batch.column(batch.schema.get_field_index(ids)):
-            made.append(None if not own.is_valid else b"".join(map(table.__getitem__, own.values.to_pylist()))[1:])
-        return {out: pa.array(made, pa.binary()).cast(pa.string())}
+        table, column = sent.value.text, batch.column(batch.schema.get_field_index(ids))
+        flat = np.asarray(column.flatten())
+        ends = np.cumsum(np.asarray(column.value_lengths().fill_null(0)), dtype=np.int64)
+        made, first = [], 0
+        for last in ends.tolist():
+            made.append(b"".join(map(table.__getitem__, flat[first:last].tolist()))[1:])
+            first = last
+        return {out: pa.array(made, pa.binary(), mask=np.asarray(column.is_null()) if column.null_count else None).cast(pa.string())}
 
     return per_batch(docs, run, **{out: T.StringType()})
