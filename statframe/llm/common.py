@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from statframe import ship
 
-__all__ = ["ship", "shared_folder", "keep", "schema_with", "per_batch", "read"]
+__all__ = ["ship", "shared_folder", "keep", "schema_with", "slices", "per_batch", "read"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,17 @@ def schema_with(df: DataFrame, **new: T.DataType | str) -> T.StructType:
                         + [T.StructField(c, T._parse_datatype_string(t) if isinstance(t, str) else t, True) for c, t in new.items()])
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``: what a function makes of one bounds its memory."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
+#: Rows handed to a function of ``per_batch`` at once.
+ROWS = 1024
+
+
 def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], **new: T.DataType | str) -> DataFrame:
     """``df`` with the columns that ``fn`` makes of each Arrow batch; nothing is shuffled."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -61,12 +72,11 @@ def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], **new: T.Data
     old = [f.name for f in schema.fields[: len(schema.fields) - len(new)]]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                made = fn(batch)
-                yield pa.RecordBatch.from_arrays(
-                    [_as(batch.column(batch.schema.get_field_index(c)), arrow.field(c).type) for c in old]
-                    + [_as(made[c], arrow.field(c).type) for c in new], schema=arrow)
+        for batch in slices(batches, ROWS):
+            made = fn(batch)
+            yield pa.RecordBatch.from_arrays(
+                [_as(batch.column(batch.schema.get_field_index(c)), arrow.field(c).type) for c in old]
+                + [_as(made[c], arrow.field(c).type) for c in new], schema=arrow)
 
     return df.mapInArrow(run, schema)
 

@@ -14,7 +14,7 @@ from statframe.llm.common import per_batch
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SLICE_CHARS = 1 << 21
-CACHE = 300_000
+CACHE = 200_000
 
 _made: dict = {}
 

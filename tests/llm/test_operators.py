@@ -52,7 +52,7 @@ def test_lines_of_repeated_ids_and_clashing_columns(spark):
     data = [(k % 3, LINE, "a", 7) for k in range(9)] + [(9, LINE, "b", 7), (10, "x", "c", 7)]
     df = frame(spark, data, "doc_id long, text string, h string, n_lines int")
     got = dedup_lines(df, min_docs=4)
-    assert got.columns == ["doc_id", "h", "text", "n_lines", "n_dropped"]
+    assert got.columns == ["doc_id", "text", "h", "n_lines", "n_dropped"]
     assert [(d, t, n) for d, t, n in rows(got, "doc_id", "text", "n_dropped") if d < 9] == [(k % 3, "", 1) for k in sorted(range(9), key=lambda k: k % 3)]
     assert rows(got.where("doc_id >= 9"), "text", "n_dropped") == [(LINE, 0), ("x", 0)]
     assert dedup_lines(df.limit(0)).count() == 0
