@@ -35,6 +35,8 @@ LIGHT_MOST = 24
 #: Classes of copies with at least 1/HOT of all documents (so at most HOT of them) enter lists only once.
 HOT = 4096
 BLOCK = 1024
+#: A sorted list of at least so many postings is scanned in pieces; its head goes along, so the pieces give what the whole list gives.
+PIECE = 1 << 16
 #: Hashed classes of shingles in a sketch. Two sets differ by at least the sum of the differences of their counts.
 CLASSES = 256
 _ROW = "kind int, token long, a long, n int, pos int, b long, m int"
@@ -112,7 +114,7 @@ def _batch(**columns) -> pa.RecordBatch:
 
 
 def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 4, num: int = 85, den: int = 100,
-                       block: int = BLOCK, light_most: int | None = None) -> DataFrame:
+                       block: int = BLOCK, light_most: int | None = None, piece: int = PIECE) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row: documents are linked when den * intersection >= num * union.
 
     Sets are distinct shingles of ``size`` words (runs of anything but ASCII white space, A-Z in lower case); fewer words are one shingle;
@@ -171,7 +173,7 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
                         lo, hi, c = min(n, b), max(n, b), _need(n, b, num, den)
                         if c <= lo and hi <= light:
                             sums = np.array([sum(x) % 2**64 for x in combinations(mix(s).tolist(), c)], np.uint64)
-                            put(mix(sums + np.uint64((lo << 20) + (hi << 8) + 3)).view(np.int64), sig, n, np.full(len(sums), -1 if lo == hi else -2, np.int32))
+                            put(mix(sums + np.uint64((lo << 20) + (hi << 8) + 3)).view(np.int64), sig, n, np.full(len(sums), -1 if lo == hi else -2 if n == lo else -3, np.int32))
                 if n > light or n * den >= num * (light + 1):
                     k = _prefix(n, num, den)
                     rare = counts[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
@@ -186,37 +188,46 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted lists: edges from subsets (kind 2), neighbours as candidates (kind 0), postings that have any candidate (kind 1)."""
-        held = None
+        held = head = None                                        # head: first and last row of a list that was cut
         for batch in [*_arrays(batches), None]:
+            more = False
             if batch is None:
                 now, held = held, None
             else:
                 now = batch if held is None else tuple(np.concatenate(x) for x in zip(held, batch))
                 at = int(np.searchsorted(now[0], now[0][-1]))     # the last list may go on in the next batch
-                at = at if len(now[0]) - at < 1 << 16 else len(now[0]) - 2
+                more = len(now[0]) - at >= piece
+                at = len(now[0]) if more else at
                 held, now = tuple(x[at:] for x in now), tuple(x[:at] for x in now)
-            if now is None or len(now[0]) < 2:
+            if now is None or not len(now[0]):
                 continue
-            yield from _scan(now)
-
-    def _scan(now) -> Iterator[pa.RecordBatch]:
+            old = 0 if head is None or head[0][0] != now[0][0] else len(head[0])
+            if old:
+                now = tuple(np.concatenate(x) for x in zip(head, now))
+            yield from _scan(now, old, more)
+            ends = [int(np.searchsorted(now[0], now[0][-1])), -1]
+            head = tuple(x[ends] for x in now) if more else None
+
+    def _scan(now, old: int, more: bool) -> Iterator[pa.RecordBatch]:
+        """Whole lists, but the first goes on from its ``old`` leading rows, which an earlier call had, and the last may go on (``more``)."""
         token, a, n, pos = now
         first = np.r_[True, (token[1:] != token[:-1]) | (a[1:] != a[:-1]) | (n[1:] != n[:-1])]
+        fresh = (np.arange(len(token)) >= old)[first]
         token, a, n, pos = (x[first] for x in now)
         start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         length = np.diff(np.r_[start, len(token)])
-        start, length = start[length > 1], length[length > 1]
-        if not len(start):
-            return
+        cut = np.zeros(len(start), bool)
+        cut[0], cut[-1] = cut[0] or old > 0, cut[-1] or more
         shared = np.zeros(len(token), bool)
+        shared[np.repeat(cut, length) & (pos >= 0)] = True
+        long = length > 1
+        start, length, cut = start[long], length[long], cut[long]
         for k in np.flatnonzero(pos[start] < 0):
             own = slice(start[k], start[k] + length[k])
             x, size = a[own], n[own]
-            if pos[start[k]] == -1:
+            # smaller sets (-2) come first and, sharing what links them to a larger one, are linked among themselves; larger ones (-3) are not
+            if pos[start[k]] == -1 or pos[start[k]] == -2 and (cut[k] or size[0] != size[-1]):
                 yield _batch(kind=np.full(len(x) - 1, 2), a=x[1:], b=np.full(len(x) - 1, x[0]))
-            elif size[0] != size[-1]:
-                other = np.where(size == size[0], x[-1], x[0])
-                yield _batch(kind=np.full(len(x), 2), a=x, b=other)
         start, length = start[pos[start] >= 0], length[pos[start] >= 0]
         two = start[length == 2]
         ok = good(n[two], pos[two], n[two + 1], pos[two + 1])
@@ -229,10 +240,12 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
                 fits = good(n[own][:, None], pos[own][:, None], n[own][None, :], pos[own][None, :])
                 np.fill_diagonal(fits, False)
                 shared[own] = fits.any(axis=1)
+        keep_ = np.flatnonzero(shared & fresh)
+        if len(keep_):
+            yield _batch(kind=np.ones(len(keep_)), token=token[keep_], a=a[keep_], n=n[keep_], pos=pos[keep_])
         keep_ = np.flatnonzero(shared)
         if not len(keep_):
             return
-        yield _batch(kind=np.ones(len(keep_)), token=token[keep_], a=a[keep_], n=n[keep_], pos=pos[keep_])
         i, j = keep_[:-1], keep_[1:]
         near = (token[i] == token[j]) & good(n[i], pos[i], n[j], pos[j])
         if near.any():

@@ -245,6 +245,29 @@ def test_jaccard_components_equal_all_pairs(spark, light):
     assert rows(got, "doc_id", "n_shingles", "component_id") == sorted(_brute(data), key=str)
 
 
+@pytest.fixture
+def small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "4")
+    yield
+    spark.conf.set(name, old)
+
+
+@pytest.mark.parametrize("light", [None, 0, 7, 24])
+def test_jaccard_lists_cut_into_pieces_are_still_one_list(spark, small_batches, light):
+    base = [f"w{k}" for k in range(10)]
+    star = [(k, " ".join([*base, f"u{k}"])) for k in range(60, 100)] + [(200, " ".join(base))]          # linked through 200 only
+    apart = [(k, " ".join(["p0 p1 p2 p3 p4 p5 p6 p7 p8 p9", f"u{k}"])) for k in range(300, 340)]        # linked with nothing
+    long = [f"x{k}" for k in range(60)]
+    heavy = [(k, " ".join([*long[:59], f"z{k}"])) for k in range(400, 440)]
+    data = star + apart + heavy + [(7, None), (None, star[0][1]), (60, star[1][1])]
+    got = jaccard_components(frame(spark, data), block=8, light_most=light, piece=8)
+    want = sorted(_brute(data), key=str)
+    assert rows(got, "doc_id", "n_shingles", "component_id") == want
+    assert len({c for d, _, c in want if d is not None and d < 300 and d != 7}) == 1 and len({c for d, _, c in want if d and 300 <= d < 400}) == 40
+
+
 def test_jaccard_of_an_empty_table(spark):
     assert jaccard_components(frame(spark, [])).count() == 0
     assert rows(jaccard_components(frame(spark, [(1, None)])), "doc_id", "n_shingles", "component_id") == [(1, 0, 1)]
