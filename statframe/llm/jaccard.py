@@ -114,16 +114,20 @@ def _batch(**columns) -> pa.RecordBatch:
 
 
 def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 4, num: int = 85, den: int = 100,
-                       block: int = BLOCK, light_most: int | None = None, piece: int = PIECE) -> DataFrame:
+                       block: int = BLOCK, light_most: int | None = None, piece: int = PIECE, rows: bool = False) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row: documents are linked when den * intersection >= num * union.
 
     Sets are distinct shingles of ``size`` words (runs of anything but ASCII white space, A-Z in lower case); fewer words are one shingle;
     null and empty texts have none and are linked with nothing (their component is themselves). Rows with a null id take no part and have
     a null component. Rows that repeat an id are texts of their own; each has the smallest id its text reaches. Ids are integers. Texts
     are told apart by a 64-bit hash of their set and its size, shingles by 64 bits. ``light_most`` fixes the boundary instead of the cost.
+
+    ``rows`` adds ``digest``, a 64-bit hash of the text, and ``first``: whether the row has the smallest (id, digest) of its component (null
+    for rows that take no part). Components of rows that repeat an id can share a ``component_id``; ``first`` tells them apart.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(id).cast("long").alias("d"), F.col(text).alias("t"))
+    digested = slim.withColumn("digest", F.xxhash64("t")) if rows else slim.withColumn("digest", F.lit(0).cast("long"))
 
     def profile(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << BUCKET_BITS, np.int64)
@@ -134,21 +138,23 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
                 counts += np.bincount((s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts)) if len(s) > len(counts) else 0
                 if len(s) <= len(counts):
                     np.add.at(counts, (s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), pa.array(n), pa.array(sig)], ["kind", "d", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), pa.array(n), pa.array(sig), batch.column(2)],
+                                             ["kind", "d", "n", "sig", "digest"])
         used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(used), np.int32)), pa.array(used), pa.array(np.zeros(len(used), np.int32)), pa.array(counts[used])],
-                                         ["kind", "d", "n", "sig"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(used), np.int32)), pa.array(used), pa.array(np.zeros(len(used), np.int32)), pa.array(counts[used]),
+                                          pa.array(np.zeros(len(used), np.int64))], ["kind", "d", "n", "sig", "digest"])
 
-    profiled = keep(slim.mapInArrow(profile, "kind int, d long, n int, sig long"))
-    members = profiled.where("kind = 0").select("d", "n", "sig")
+    profiled = keep(digested.mapInArrow(profile, "kind int, d long, n int, sig long, digest long"))
+    members = profiled.where("kind = 0").select("d", "n", "sig", "digest")
     buckets = profiled.where("kind = 1").groupBy("d").agg(F.sum("sig").alias("c")).toPandas()     # at most 2**BUCKET_BITS rows
     counts = np.zeros(1 << BUCKET_BITS, np.int64)
     counts[buckets["d"].to_numpy(int)] = buckets["c"].to_numpy(int)
-    rows = max(1, members.count())
-    classes = keep(members.where("n > 0 and d is not null").groupBy("sig", "n").agg(F.min("d").alias("rep"), F.count("*").alias("copies")))
+    total = max(1, members.count())
+    classes = keep(members.where("n > 0 and d is not null").groupBy("sig", "n").agg(F.min(F.struct("d", "digest")).alias("own"), F.count("*").alias("copies"))
+                   .select("sig", "n", "own", F.col("own.d").alias("rep"), "copies"))
     small = {r["n"]: r["k"] for r in classes.where(F.col("n") <= 2 * LIGHT_MOST).groupBy("n").agg(F.count("*").alias("k")).collect()}
     light = boundary(small, num, den) if light_most is None else light_most
-    hot = {(r["sig"], r["n"]): r["rep"] for r in classes.where((F.col("copies") >= max(2, -(-rows // HOT)))).select("sig", "n", "rep").collect()}
+    hot = {(r["sig"], r["n"]): r["rep"] for r in classes.where((F.col("copies") >= max(2, -(-total // HOT)))).select("sig", "n", "rep").collect()}
     sent = spark.sparkContext.broadcast((counts, hot))
 
     def post(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,13 +321,15 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
         roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(_verify(keep(tried.select("a", "n", "b", "m").distinct()), sets, num, den)))
 
     # components of classes, then the smallest id of each
-    placed = keep(classes.join(roots.withColumnRenamed("node", "sig"), "sig").select("sig", "n", "root", "rep"))
-    least = placed.groupBy("root").agg(F.min("rep").alias("least"))
+    placed = keep(classes.join(roots.withColumnRenamed("node", "sig"), "sig").select("sig", "n", "root", "own"))
+    least = placed.groupBy("root").agg(F.min("own").alias("least"))
     of_class = placed.join(least, "root").select("sig", "n", "least")
-    alone = classes.where("copies > 1").join(of_class, ["sig", "n"], "left_anti").select("sig", "n", F.col("rep").alias("least"))
-    return (members.join(of_class.unionByName(alone), ["sig", "n"], "left")
-            .select(F.col("d").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"),
-                    F.when(F.col("d").isNotNull(), F.when(F.col("n") > 0, F.coalesce("least", "d")).otherwise(F.col("d"))).alias("component_id")))
+    alone = classes.where("copies > 1").join(of_class, ["sig", "n"], "left_anti").select("sig", "n", F.col("own").alias("least"))
+    part, of_row = F.col("d").isNotNull() & (F.col("n") > 0), F.struct("d", "digest")
+    out = members.join(of_class.unionByName(alone), ["sig", "n"], "left").select(
+        F.col("d").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(part, F.coalesce("least.d", "d")).otherwise(F.col("d")).alias("component_id"),
+        "digest", F.when(part, F.coalesce("least", of_row) == of_row).alias("first"))
+    return out if rows else out.drop("digest", "first")
 
 
 def _arrays(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:

@@ -79,3 +79,20 @@ def test_pipeline_stages_take_effect(spark, con):
     assert sorted(table(copies_out)["doc_id"]) == sorted(x for x, in own.execute("select doc_id from copies where component_id = doc_id").fetchall())
     assert sorted(table(bench_out)["doc_id"]) == sorted(x for x, in own.execute("select doc_id from bench where not contaminated").fetchall())
     assert 0 < scored.count() < read(spark, SF, "documents").count() and sorted(table(enc_out)["doc_id"]) == sorted(table(enc_in)["doc_id"])
+
+
+def test_copies_go_by_row_and_at_the_threshold(spark):
+    base = [f"w{k}" for k in range(100)]                                                     # 96 shingles of five words
+    edited = lambda at: " ".join("edit" if k in at else x for k, x in enumerate(base))       # noqa: E731
+    whole, near, far = " ".join(base), edited({20, 60}), edited({10, 45, 80})                # 86 / 106 = 0.811, 81 / 111 = 0.730
+    other = " ".join(f"o{k}" for k in range(30))
+    data = [(1, whole, "a"), (2, near, "a"), (3, far, "a"), (2, other, "a"), (4, other, "b"), (5, "one two three four five six", "a"),
+            (5, "one two three four five six", "a"), (5, "one two three four five six", "b"), (5, "quite another text of seven words here", "a"),
+            (None, whole, "a"), (None, whole, "a"), (6, None, "a"), (6, None, "a"), (7, "", "a")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    got = sorted(map(tuple, corpus_pipeline.copies(spark, docs, SF).collect()), key=str)
+    gone = [(2, near, "a"), (4, other, "b"), (5, "one two three four five six", "a"), (5, "one two three four five six", "b")]
+    want = list(data)
+    for x in gone:
+        want.remove(x)
+    assert got == sorted(want, key=str)
