@@ -2,7 +2,8 @@
 
 Only DataFrame functions run here, and the rows of windows never leave generated code: a text's words are split once, every position
 gives two neighbouring five-word shingles (a window of six words; each shingle is in two windows), and each of ``BANDS`` bands takes the
-smaller of the two under its own order. The windows of the templates, at every offset, give the keys to look for.
+smaller of the two under its own order. The windows of the templates, at every offset, give the keys to look for: a table that is counted,
+broadcast when it is small and shuffled otherwise, so templates may be of any number and length.
 
 A template of two shingles or more shares a whole window with any text that contains it, so all bands collide. A template of one shingle
 is missed by a band only if both neighbours in the text come before it, with probability 1/3: 3**-12 for twelve bands (2**-12 at a
@@ -34,8 +35,8 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "Unlicense": "This is free and unencumbered software released into the public domain",
 }
-#: Templates are literals of the plan; more words than this in all are refused.
-TEMPLATE_WORDS = 5000
+#: Band keys, and shingles of templates, up to which their tables are broadcast.
+BROADCAST_KEYS = 200_000
 SIZE = 5
 BANDS = 12
 CONTAINMENT = 0.8
@@ -84,7 +85,8 @@ def _templates(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     return rows.withColumn("all", _grams(F.col("w"))).withColumn("grams", F.array_distinct("all")).withColumn("reach", (F.size("w") - SIZE + 1) + F.floor((F.size("w") - SIZE + 1) / 4).cast("int"))
 
 
-def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", templates: dict[str, str] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
+def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", templates: dict[str, str] = TEMPLATES, containment: float = CONTAINMENT,
+         broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """``docs`` with ``licenses``: (template, share) of every template found, by name; a column of that name in ``docs`` gives way.
 
     A template is found when some stretch of the text, a quarter longer than the template at most, holds at least ``containment`` of its
@@ -94,24 +96,27 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", templates: dic
     """
     spark = docs.sparkSession
     sizes = {k: len([w for w in "".join(c if c.isalnum() else " " for c in t).split()]) for k, t in templates.items()}
-    if min(sizes.values(), default=SIZE) < SIZE or sum(sizes.values()) > TEMPLATE_WORDS:
-        raise ValueError(f"templates need {SIZE} words each and at most {TEMPLATE_WORDS} in all")
+    if min(sizes.values(), default=SIZE) < SIZE:
+        raise ValueError(f"templates need {SIZE} words each")
     own = keep(_templates(spark, templates))
+
+    def small(table: DataFrame, size: int) -> DataFrame:
+        return F.broadcast(table) if size <= broadcast_keys else table.hint("merge")
+
     x, y = F.col("x"), F.col("y")
-    keys = keep(_windows(own, "w", ["template"]).select("template", F.posexplode(F.array(*_bands(x, y))).alias("band", "key")).distinct())
+    # each band has its own order, so that a key tells its band
+    keys = keep(_windows(own, "w", ["template"]).select("template", F.explode(F.array(*_bands(x, y))).alias("key")).distinct())
     row = F.xxhash64(F.col(id).cast("string"), F.col(text)).alias("__row")
-    # a band's key is one of the window's shingles, so a window without any shingle of a template meets none in any band
-    shingles = ", ".join(f"{r[0]}L" for r in own.select(F.explode("grams")).distinct().collect())      # at most TEMPLATE_WORDS numbers
     hashed = docs.select(row, _words(F.col(text)).alias("w")).select("__row", _hashes(F.col("w")).alias("h"))
-    met = (_windows(hashed, "h", ["__row"]).where(f"x in ({shingles}) or y in ({shingles})" if shingles else "false")
-           .select("__row", F.posexplode(F.array(*_bands(x, y))).alias("band", "key"))
-           .join(F.broadcast(keys), ["band", "key"]).select("__row", "template").distinct())
+    met = (_windows(hashed, "h", ["__row"]).select("__row", F.explode(F.array(*_bands(x, y))).alias("key"))
+           .join(small(keys, keys.count()), "key").select("__row", "template").distinct())
     candidates = keep(met)
 
     # the candidates' texts again: containment in the stretch that begins at each shingle of the template
     texts = docs.select(row, F.col(text).alias("t")).join(candidates.select("__row").distinct(), "__row").dropDuplicates(["__row"])
     placed = (texts.select("__row", _hashes(_words(F.col("t"))).alias("h")).select("__row", _grams(F.col("h")).alias("all"))
-              .join(candidates, "__row").join(F.broadcast(own.select("template", "grams", "reach")), "template"))
+              .join(candidates, "__row").join(small(own.select("template", "grams", "reach"), sum(sizes.values())), "template")
+              .where(F.size(F.array_intersect("all", "grams")) / F.size("grams") >= containment))      # no stretch holds more than the text
     starts = F.filter(F.sequence(F.lit(1), F.size("all")), lambda i: F.array_contains(F.col("grams"), F.get(F.col("all"), i - 1)))
     shared = F.transform(starts, lambda i: F.size(F.array_intersect(F.slice(F.col("all"), i, F.col("reach")), F.col("grams"))))
     found = (placed.select("__row", "template", (F.array_max(shared) / F.size("grams")).alias("share")).where(F.col("share") >= containment)

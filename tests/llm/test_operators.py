@@ -302,6 +302,22 @@ def test_licenses_of_awkward_rows(spark):
         licences.scan(docs, templates={"short": "three words only"})
 
 
+@pytest.mark.parametrize("broadcast_keys", [licences.BROADCAST_KEYS, 10])
+def test_licenses_of_whole_texts(spark, broadcast_keys):
+    r = random.Random(10)
+    words = [f"t{r.randrange(10**9)}" for _ in range(6000)]
+    cut = words[:2000] + ["edit"] + words[2001:5900]
+    templates = {"long": " ".join(words), "MIT": licences.TEMPLATES["MIT"]}
+    docs = frame(spark, [(1, " ".join(["lead", *words, "tail"])), (2, " ".join(cut)), (3, " ".join(words[:3000])), (4, f"x {templates['MIT']} y"), (5, None)])
+    got = {x["doc_id"]: [(m["template"], round(m["share"], 4)) for m in x["licenses"]] for x in licences.scan(docs, templates=templates, broadcast_keys=broadcast_keys).collect()}
+    assert got == {1: [("long", 1.0)], 2: [("long", round(5891 / 5996, 4))], 3: [], 4: [("MIT", 1.0)], 5: []}
+
+
+def test_licenses_retrieve_by_bands_only(spark):
+    plan = licences.scan(frame(spark, [(1, "a b c d e f")]))._jdf.queryExecution().toString()
+    assert " IN (" not in plan and "INSET" not in plan
+
+
 def test_licenses_run_without_python(spark):
     plan = licences.scan(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
