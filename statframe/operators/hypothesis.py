@@ -352,74 +352,117 @@ def posthoc_extremes(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 # ----------------------------------------------------------- two-way analysis
-def _two_way_cells(df: DataFrame, value: str, a: str, b: str, levels: dict | None = None):
-    """Group rows per (a, b) cell; level order honours the column's declared levels."""
-    data = _present(df, value, [a, b], ())
-    cells = core.moments(data, [value], [a, b]).select(a, b, "n", "mean", "var").limit(10_001).collect()
-    if len(cells) > 10_000:
-        raise ValueError("more than 10,000 cells")
+#: Cells up to which a two-way design is solved as one matrix; designs with gaps or cells without spread are up to the second number.
+DENSE_CELLS, DENSE_MOST = 1_000, 10_000
 
-    def order(c):
-        declared = (levels or {}).get(c) or df.schema[c].metadata.get("levels")
-        seen = sorted({r[c] for r in cells})
-        return [v for v in declared if v in seen] if declared else seen
 
-    return cells, order(a), order(b)
+def _order(cells: list, schema, c: str, levels: dict | None) -> list:
+    """Levels of a factor; the column's declared order is honoured."""
+    declared = (levels or {}).get(c) or schema[c].metadata.get("levels")
+    seen = sorted({r[c] for r in cells})
+    return [v for v in declared if v in seen] if declared else seen
+
+
+def _two_way_margins(cells: DataFrame, a: str, b: str, na: int, nb: int, equal: bool, variance: float) -> tuple[float, float, float]:
+    """Numerators (chi-squares) of a, b and a:b from cell moments that stay on Spark; only the factor with fewer levels is solved for.
+
+    Contrasts of cell means whose variances are v have the statistic by which the sum of (mean - fit)^2 / v rises when the contrasts are
+    forced to 0; fits are those of one factor and of both without interaction.
+    """
+    big, small = (a, b) if na >= nb else (b, a)
+    n = F.col("n").cast("double")
+    spread = (n - 1) * F.coalesce("var", F.lit(0.0)) / (1 - 1 / n) ** 2
+    w = n / F.lit(variance) if equal else n * n / spread
+    c = cells.select(F.col(big).alias("i"), F.col(small).alias("j"), "mean", w.alias("w"))
+    by = lambda k: c.groupBy(F.col(k).alias(f"_{k}")).agg((F.sum(F.col("w") * F.col("mean")) / F.sum("w")).alias(f"m_{k}"), F.sum("w").alias(f"w_{k}"))
+    c = core.checkpoint(c.join(by("i"), F.col("i") == F.col("_i")).join(by("j"), F.col("j") == F.col("_j"))
+                        .select("i", "j", "w", "w_i", (F.col("mean") - F.col("m_i")).alias("d_i"), (F.col("mean") - F.col("m_j")).alias("d_j")))
+    only = c.agg(F.sum(F.col("w") * F.col("d_i") ** 2).alias("i"), F.sum(F.col("w") * F.col("d_j") ** 2).alias("j")).first()
+    side = c.groupBy("j").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("d_i")).alias("r")).orderBy("j").collect()      # a row per level
+    at = {r["j"]: k for k, r in enumerate(side)}
+    other = c.select("i", F.col("j").alias("k"), F.col("w").alias("v"))
+    cross = c.join(other, "i").groupBy("j", "k").agg(F.sum(F.col("w") * F.col("v") / F.col("w_i")).alias("x")).collect()
+    system = np.diag([r["w"] for r in side])
+    for r in cross:
+        system[at[r["j"]], at[r["k"]]] -= r["x"]
+    right = np.array([r["r"] for r in side])
+    of_small = float(right[1:] @ np.linalg.pinv(system[1:, 1:], rcond=1e-10, hermitian=True) @ right[1:])      # the first level is the base
+    of_big, both = only["j"] - only["i"] + of_small, only["i"] - of_small
+    return (of_big, of_small, both) if big == a else (of_small, of_big, both)
 
 
 def anova2(df: DataFrame, value: str, between: Sequence[str], alpha: float = 0.05,
-           levels: dict | None = None) -> DataFrame:
+           levels: dict | None = None, dense_cells: int = DENSE_CELLS) -> DataFrame:
     """Two-way ANOVA with interaction, type II; HC3 covariance when the cells' variances differ.
 
     In the saturated cell model a row's leverage is 1/n of its cell, so counts,
-    means and variances per cell are sufficient for both forms.
+    means and variances per cell are sufficient for both forms. Beyond ``dense_cells``
+    the sums come from margins. Above ``DENSE_MOST`` cells a design with empty cells
+    has cells - levels of a - levels of b + 1 degrees of freedom for a:b, and HC3 is
+    missing where a cell has no spread.
     """
     a, b = between
-    cells, la, lb = _two_way_cells(df, value, a, b, levels)
+    cells = core.checkpoint(core.moments(_present(df, value, [a, b], ()), [value], [a, b]).select(a, b, "n", "mean", "var"))
+    t = cells.agg(F.count("*").alias("cells"), F.countDistinct(a).alias("ka"), F.countDistinct(b).alias("kb"), F.sum("n").alias("n"),
+                  F.sum((F.col("n") - 1) * F.coalesce("var", F.lit(0.0))).alias("rss"),
+                  F.sum(F.when(F.coalesce("var", F.lit(0.0)) <= 0, 1).otherwise(0)).alias("flat")).first()
     label = F.concat_ws(", ", col_of(a), col_of(b))
     equal = equal_variance(df.where(col_of(a).isNotNull() & col_of(b).isNotNull()).withColumn("_cell", label),
                            value, "_cell", (), alpha).first()["equal_var"]
-    terms = {a: [], b: [], f"{a}:{b}": []}
-    design, width = [], 0
-    for r in cells:
-        xa = [1.0 if r[a] == v else 0.0 for v in la[1:]]
-        xb = [1.0 if r[b] == v else 0.0 for v in lb[1:]]
-        design.append([1.0, *xa, *xb, *[p * q for p in xa for q in xb]])
-    x = np.array(design)
-    na, nb = len(la) - 1, len(lb) - 1
-    terms = {a: range(1, 1 + na), b: range(1 + na, 1 + na + nb), f"{a}:{b}": range(1 + na + nb, x.shape[1])}
-    n = np.array([float(r["n"]) for r in cells])
-    mean = np.array([r["mean"] for r in cells])
-    within = np.array([(r["n"] - 1) * (r["var"] or 0.0) for r in cells])
-    inv = np.linalg.pinv((x * n[:, None]).T @ x, hermitian=True)
-    beta = inv @ (x * n[:, None]).T @ mean
-    rss, free = within.sum(), n.sum() - np.linalg.matrix_rank(x)
-    if equal:
-        cov = inv * rss / free
+    whole = t["cells"] == t["ka"] * t["kb"] and not t["flat"]
+    if t["cells"] > (dense_cells if whole else DENSE_MOST):
+        rss, free, rows = float(t["rss"]), float(t["n"] - t["cells"]), []
+        known = free > 0 and rss > 0 and (equal or not t["flat"])
+        sums = _two_way_margins(cells, a, b, t["ka"], t["kb"], equal, rss / free) if known else (None,) * 3
+        for name, chi2, k in zip((a, b, f"{a}:{b}"), sums, (t["ka"] - 1, t["kb"] - 1, t["cells"] - t["ka"] - t["kb"] + 1)):
+            if k > 0:
+                ss = chi2 * rss / free if known else None
+                rows.append({"source": name, "ss": ss, "df": float(k), "f": chi2 / k if known else None,
+                             "p_value": dist.f_sf(chi2 / k, k, free) if known else None, "np2": ss / (ss + rss) if known else None})
     else:
-        spread = np.divide(within, (1 - 1 / n) ** 2, out=np.zeros_like(n), where=n > 1)
-        cov = inv @ (x * spread[:, None]).T @ x @ inv
-    rows = []
-    inter = list(terms[f"{a}:{b}"])
-    for name, idx in terms.items():
-        own = list(idx)
-        if not own:
-            continue
-        eye = np.eye(x.shape[1])
-        if name != f"{a}:{b}" and inter:
-            l1, l2 = eye[own + inter], eye[inter]
-            q, _ = np.linalg.qr(l1 @ cov @ l2.T, mode="complete")
-            con = q[:, -len(own):].T @ l1
+        cells = cells.collect()                                      # at most DENSE_MOST
+        la, lb = _order(cells, df.schema, a, levels), _order(cells, df.schema, b, levels)
+        design = []
+        for r in cells:
+            xa = [1.0 if r[a] == v else 0.0 for v in la[1:]]
+            xb = [1.0 if r[b] == v else 0.0 for v in lb[1:]]
+            design.append([1.0, *xa, *xb, *[p * q for p in xa for q in xb]])
+        x = np.array(design)
+        na, nb = len(la) - 1, len(lb) - 1
+        terms = {a: range(1, 1 + na), b: range(1 + na, 1 + na + nb), f"{a}:{b}": range(1 + na + nb, x.shape[1])}
+        n = np.array([float(r["n"]) for r in cells])
+        mean = np.array([r["mean"] for r in cells])
+        within = np.array([(r["n"] - 1) * (r["var"] or 0.0) for r in cells])
+        inv = np.linalg.pinv((x * n[:, None]).T @ x, hermitian=True)
+        beta = inv @ (x * n[:, None]).T @ mean
+        rss, free = within.sum(), n.sum() - np.linalg.matrix_rank(x)
+        if equal:
+            cov = inv * rss / free
         else:
-            con = eye[own]
-        delta = con @ beta
-        f = float(delta @ np.linalg.pinv(con @ cov @ con.T, hermitian=True) @ delta) / len(own)
-        ss = f * len(own) * rss / free
-        rows.append({"source": name, "ss": ss, "df": float(len(own)), "f": f,
-                     "p_value": dist.f_sf(f, len(own), free), "np2": ss / (ss + rss)})
+            spread = np.divide(within, (1 - 1 / n) ** 2, out=np.zeros_like(n), where=n > 1)
+            cov = inv @ (x * spread[:, None]).T @ x @ inv
+        rows = []
+        inter = list(terms[f"{a}:{b}"])
+        for name, idx in terms.items():
+            own = list(idx)
+            if not own:
+                continue
+            eye = np.eye(x.shape[1])
+            if name != f"{a}:{b}" and inter:
+                l1, l2 = eye[own + inter], eye[inter]
+                q, _ = np.linalg.qr(l1 @ cov @ l2.T, mode="complete")
+                con = q[:, -len(own):].T @ l1
+            else:
+                con = eye[own]
+            delta = con @ beta
+            f = float(delta @ np.linalg.pinv(con @ cov @ con.T, hermitian=True) @ delta) / len(own)
+            ss = f * len(own) * rss / free
+            rows.append({"source": name, "ss": ss, "df": float(len(own)), "f": f,
+                         "p_value": dist.f_sf(f, len(own), free), "np2": ss / (ss + rss)})
     for r in rows:
-        r["significant"] = r["p_value"] < alpha
-        r["effect_size"] = next((lab for lim, lab in ETA_BOUNDS if r["np2"] >= lim), "Negligible")
+        if r["p_value"] is not None:
+            r["significant"] = r["p_value"] < alpha
+            r["effect_size"] = next((lab for lim, lab in ETA_BOUNDS if r["np2"] >= lim), "Negligible")
     rows.append({"source": "Residual", "ss": float(rss), "df": float(free), "effect_size": "-"})
     for r in rows:
         r["test"] = "Two-way ANOVA" if equal else "Two-way ANOVA (HC3)"

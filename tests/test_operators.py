@@ -136,6 +136,29 @@ def test_anova_two_way_unbalanced(spark):
     assert got["Residual"]["ss"] == pytest.approx(full)
 
 
+@pytest.mark.parametrize("wide", [0.0, 3.0])
+def test_anova_two_way_from_margins_equals_one_matrix(spark, wide):
+    rng = np.random.default_rng(12)
+    pdf = pd.DataFrame([(f"a{i}", j, i * .1 + j * .2 + rng.normal() * (1 + wide * i)) for i in range(5) for j in range(3) for _ in range(rng.integers(8, 30))],
+                       columns=["a", "b", "v"])
+    for between in (["a", "b"], ["b", "a"]):
+        one, two = (hypothesis.anova2(sdf(spark, pdf), "v", between, dense_cells=k).toPandas().set_index("source") for k in (1000, 0))
+        assert list(one.index) == list(two.index) and (one["test"] == two["test"]).all() and ("HC3" in one["test"].iloc[0]) == (wide > 0)
+        for c in ("ss", "df", "f", "p_value", "np2"):
+            assert np.allclose(one[c].astype(float), two[c].astype(float), rtol=1e-6, atol=1e-9, equal_nan=True)
+
+
+def test_anova_two_way_of_many_cells(spark):
+    df = spark.range(4 * 200 * 60).selectExpr("id % 200 as a", "floor(id / 200) % 60 as b", "cast(xxhash64(id) % 1000 as double) / 100 + (id % 200) * 0.01 as v")
+    got = {r["source"]: r for r in hypothesis.anova2(df, "v", ["a", "b"]).collect()}
+    pdf = df.toPandas()
+    m, ga, gb = pdf.v.mean(), pdf.groupby("a").v.mean(), pdf.groupby("b").v.mean()      # balanced: sums of squares of the margins
+    assert got["a"]["ss"] == pytest.approx(240 * ((ga - m) ** 2).sum()) if "HC3" not in got["a"]["test"] else got["a"]["ss"] > 0
+    assert got["b"]["df"] == 59 and got["a:b"]["df"] == 199 * 59 and got["Residual"]["df"] == 36000
+    assert got["Residual"]["ss"] == pytest.approx(((pdf.v - pdf.groupby(["a", "b"]).v.transform("mean")) ** 2).sum())
+    assert "HC3" in got["a"]["test"] or got["b"]["ss"] == pytest.approx(800 * ((gb - m) ** 2).sum())
+
+
 def test_posthoc_by_segment_equals_single(spark):
     rng = np.random.default_rng(6)
     pdf = pd.DataFrame({"s": np.repeat(["m", "n"], 60), "g": list("abc") * 40, "y": rng.normal(size=120)})
