@@ -174,6 +174,12 @@ def quality_report(spark, sf):
     return out.where("variable is null").select("item", "value")
 
 
+@query("quality_report_variables")
+def quality_report_variables(spark, sf):
+    out = eda.quality_check(view(spark, sf, "dups"))["report"]
+    return rounded(out.where("variable is not null"))
+
+
 @query("levene_by_variable", " union all ".join(
     f"select '{v}' as variable, {rs('f')} as f from ({oneway_sql(levene_src(fx('reg'), 'y', v), 'd', 'g')})" for v in ("c1", "c2")))
 def levene_by_variable(spark, sf):
@@ -185,3 +191,13 @@ def levene_by_variable(spark, sf):
 @query("full_analysis")
 def full_analysis(spark, sf):
     return rounded(eda.run(_reg(spark, sf), "y")["selection"], 4)
+
+
+@query("full_analysis_chapters")
+def full_analysis_chapters(spark, sf):
+    """All chapters in long form: a chapter's rows are JSON texts."""
+    long = None
+    for chapter, rows in eda.run(_reg(spark, sf), "y").items():
+        one = rounded(rows, 4).select(F.lit(chapter).alias("chapter"), F.to_json(F.struct("*")).alias("row"))
+        long = one if long is None else long.unionByName(one)
+    return long

@@ -55,7 +55,7 @@ def kde_lines(spark, sf):
 
 @query("density_peaks")
 def density_peaks(spark, sf):
-    return frames.peaks(view(spark, sf, "numeric"), ["l_quantity", "l_extendedprice"]).select("variable", "peaks")
+    return frames.peaks(view(spark, sf, "numeric"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]).select("variable", "peaks")
 
 
 @query("box_frame", f"""

@@ -153,7 +153,7 @@ def adf(spark, sf):
 
 @query("adf_variants")
 def adf_variants(spark, sf):
-    return rounded(t.adf_variants(_month(spark, sf), "ts", "v", ["k"], period=12, max_diff=1))
+    return rounded(t.adf_variants(_month(spark, sf), "ts", "v", ["k"], period=12))
 
 
 @query("adf_differences")

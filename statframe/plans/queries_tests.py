@@ -165,6 +165,19 @@ def two_sample(spark, sf):
     return hypothesis.two_sample(view(spark, sf, "two_group"), "y", "g").select("test", "alternative", "statistic")
 
 
+# purchase against all other events, so that all rows count
+@query("mannwhitney_u_rest", f"select n1, n2, {rs('u', 1)} as u, {rs('ties', 1)} as ties, {rs('mean_u', 1)} as mean_u, "
+       f"{rs('sd_u', 3)} as sd_u from ({u_sql(fx('two_group_rest'), 'purchase', 'rest')})")
+def mannwhitney_u_rest(spark, sf):
+    return rounded(hypothesis.u_statistics(view(spark, sf, "two_group_rest"), "y", "g", ["purchase", "rest"]), 1, sd_u=3)
+
+
+@query("two_sample_rest", _direction_rows("Mann-Whitney U test", {a: "u" for a in hypothesis.ALTERNATIVES},
+                                          u_sql(fx("two_group_rest"), "purchase", "rest")))
+def two_sample_rest(spark, sf):
+    return hypothesis.two_sample(view(spark, sf, "two_group_rest"), "y", "g").select("test", "alternative", "statistic")
+
+
 @query("two_sample_p")
 def two_sample_p(spark, sf):
     return hypothesis.two_sample(view(spark, sf, "gauss"), "y", "g2")

@@ -27,6 +27,7 @@ VIEWS = {
              "case when event_id % 17 = 0 then null else event_type end as type_n from {events}",
     "dups": "select l_returnflag, l_linestatus, l_linenumber, l_tax from {lineitem}",
     "two_group": "select event_type as g, value as y from {events} where event_type in ('view', 'purchase')",
+    "two_group_rest": "select case when event_type = 'purchase' then 'purchase' else 'rest' end as g, value as y from {events}",
     "k_group": "select l_returnflag as g, l_quantity + case when l_returnflag = 'A' then 2 "
                "when l_returnflag = 'N' then 1 else 0 end as y from {lineitem}",
     "k_group_hetero": "select o_orderpriority as g, case when o_orderpriority = '1-URGENT' "

@@ -36,3 +36,13 @@ def test_query(spark, con, name):
         assert compare(got, again) is None
     else:
         assert compare(got, con.execute(sql).df()) is None
+
+
+def test_queries_return_the_whole_result(spark):
+    got = {n: entry.queries()[n](spark, SF).toPandas() for n in ("adf_variants", "density_peaks", "mannwhitney_u_rest", "quality_report_variables")}
+    assert set(got["adf_variants"]["diff"]) == {0, 1, 2} and len(got["density_peaks"]) == 4
+    assert set(got["quality_report_variables"]["item"]) == {"skew", "outlier share"}
+    events = spark.read.parquet(f"{SF}/events.parquet").where("value is not null").count()
+    assert got["mannwhitney_u_rest"][["n1", "n2"]].sum(axis=1)[0] == events
+    chapters = set(entry.queries()["full_analysis_chapters"](spark, SF).toPandas()["chapter"])
+    assert {"selection", "tests"} < chapters
