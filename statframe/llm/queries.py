@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statframe.llm import chat, codec, language, licences, quality, tokens, topk
+from statframe.llm import chat, codec, language, licences, merkle, quality, tokens, topk
 from statframe.llm.common import read, ship
 from statframe.llm.decontaminate import find_matches
 from statframe.llm.jaccard import jaccard_components
@@ -167,3 +167,49 @@ def _op10(spark, sf_dir):
     out = licences.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
     named = F.transform("licenses", lambda m: F.concat(m["template"], F.lit("="), F.round(m["share"] * 1000).cast("int").cast("string")))
     return out.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join(named, ",").alias("licenses"))
+
+
+# crc32 is a fold over the digits, eight steps of one bit each; nodes climb one level a step, paths come down by way of the run's other nodes.
+_FIELD = "coalesce(strlen({0}::varchar) || ':' || {0}::varchar, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+OP11_SQL = f"""
+with recursive d as (
+  select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as r, dense_rank() over (order by source nulls first) - 1 as g
+  from (select doc_id, source, {_LEAF.format("text")} as leaf, {_LEAF.format(LOWER.format("text"))} as lowered from documents)),
+crc as (select doc_id, 4294967295 - list_reduce([4294967295::bigint] || list_transform(string_split(doc_id::varchar, ''), lambda x: ord(x)::bigint),
+          lambda c, b: list_reduce([xor(c, b)] || range(8), lambda v, k: xor(v >> 1, 3988292384 * (v & 1)))) as crc
+        from (select distinct doc_id from documents where doc_id is not null)),
+nodes as (select g, 0 as level, r, leaf as h, count(*) over (partition by g) as n from d
+  union all select g, any_value(level) + 1, r // 16, sha256(string_agg(h, '' order by r)), (any_value(n) + 15) // 16 from nodes where n > 1 group by g, r // 16),
+subroots as (select g, h from nodes where n = 1),
+tops as (select 0 as level, g as r, h, count(*) over () as n from subroots
+  union all select any_value(level) + 1, r // 16, sha256(string_agg(h, '' order by r)), (any_value(n) + 15) // 16 from tops where n > 1 group by r // 16),
+under as (select g, r, 0 as level, r as at, n from nodes where level = 0
+  union all select u.g, u.r, u.level + 1, u.at // 16, (u.n + 15) // 16 from under u where u.n > 1),
+over as (select r as g, 0 as level, r as at, n from tops where level = 0
+  union all select u.g, u.level + 1, u.at // 16, (u.n + 15) // 16 from over u where u.n > 1),
+steps as (
+  select u.g, u.r, u.level, coalesce(string_agg(o.h, '' order by o.r) filter (where o.r < u.at), '') as l, coalesce(string_agg(o.h, '' order by o.r) filter (where o.r > u.at), '') as t
+  from under u join nodes o on o.g = u.g and o.level = u.level and o.r // 16 = u.at // 16 where u.n > 1 group by u.g, u.r, u.level
+  union all
+  select d.g, d.r, 1000 + u.level, coalesce(string_agg(o.h, '' order by o.r) filter (where o.r < u.at), ''), coalesce(string_agg(o.h, '' order by o.r) filter (where o.r > u.at), '')
+  from d join over u on u.g = d.g join tops o on o.level = u.level and o.r // 16 = u.at // 16 where u.n > 1 group by d.g, d.r, u.level),
+proofs as (select g, r, list(l order by level) as ls, list(t order by level) as ts, string_agg(l || t, '' order by level) as all_ from steps group by g, r),
+start as (select d.*, s.h as subroot, (select h from tops where n = 1) as root, coalesce(all_, '') as all_, coalesce(ls, []) as ls, coalesce(ts, []) as ts,
+            case when crc % 5 = 0 then lowered else leaf end as begin
+          from d join subroots s using (g) left join proofs using (g, r) left join crc using (doc_id)),
+folded as (select g, r, begin as h, ls, ts from start union all select g, r, sha256(ls[1] || h || ts[1]), ls[2:], ts[2:] from folded where len(ls) > 0)
+select doc_id, leaf, subroot, root, sha256(all_) as proof_sha256, f.h as folded_root, f.h = root as verified
+from start join folded f using (g, r) where len(f.ls) = 0"""
+
+
+@query("op11_merkle", OP11_SQL)
+def _op11(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    other = merkle.digest([F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), lowered])
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, other)
+    out = merkle.manifest(docs.withColumn("tampered", tampered), carry=["tampered"])
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("proof"))
+    return (out.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")).cast("binary"), 256).alias("proof_sha256"), folded.alias("folded_root"))
+            .withColumn("verified", F.col("folded_root") == F.col("root")))
