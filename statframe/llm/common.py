@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 
 from statframe import ship
 
-__all__ = ["ship", "shared_folder", "keep", "schema_with", "slices", "per_batch", "read"]
+__all__ = ["ship", "shared_folder", "keep", "free", "schema_with", "slices", "per_batch", "read"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,7 +42,20 @@ def keep(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete tables of ``keep`` that nothing reads any more, and let Spark drop the shuffle files of plans that are garbage."""
+    for table in tables:
+        spark = table.sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.kept_at)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def schema_with(df: DataFrame, **new: T.DataType | str) -> T.StructType:

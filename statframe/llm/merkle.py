@@ -55,7 +55,8 @@ def _numbered(rows: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    rows = rows.withColumn("__at", F.monotonically_increasing_id())      # equal rows spread over partitions
+    # kept, as the range bounds take a pass of their own; the row's place spreads equal rows over partitions
+    rows = keep(rows.withColumn("__at", F.monotonically_increasing_id()))
     laid = (rows.repartitionByRange(group, *order, "__at").sortWithinPartitions(group, *order, "__at").drop("__at")
             .withColumn("__part", F.spark_partition_id()))
     schema = schema_with(laid, g="long", r="long")

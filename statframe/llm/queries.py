@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statframe.llm import chat, codec, language, licences, merkle, quality, tokens, topk
+from statframe.llm import chat, codec, collocations, language, licences, merkle, quality, tokens, topk
 from statframe.llm.common import read, ship
 from statframe.llm.decontaminate import find_matches
 from statframe.llm.jaccard import jaccard_components
 from statframe.llm.line_dedup import dedup_lines
 from statframe.llm.quality import held_out
+from statframe.llm.signatures import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -213,3 +214,35 @@ def _op11(spark, sf_dir):
     folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("proof"))
     return (out.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")).cast("binary"), 256).alias("proof_sha256"), folded.alias("folded_root"))
             .withColumn("verified", F.col("folded_root") == F.col("root")))
+
+
+OP12_SQL = rf"""
+with pieces as (select coalesce(lang, 'und') as lang, unnest(string_split_regex({LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) as piece from documents),
+p as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+words as (select lang, sum(len(w))::hugeint as n from p group by lang),
+places as (select lang, w, m, unnest(range(1, len(w) - m + 2)) as i from p, (select unnest(range(1, 6)) as m) where len(w) >= m),
+f as (select lang, m, phrase, count(*)::hugeint as f from (select lang, m, array_to_string(w[i : i + m - 1], ' ') as phrase from places) group by all having count(*) >= 100),
+c as (select lang, m, phrase, f as a, string_split(phrase, ' ') as w from f where m > 1),
+cuts as (select c.lang, c.phrase, c.a, k, l.f as l, r.f as r, n, 1000 * a * n // (l.f * r.f) as score
+         from (select *, unnest(range(1, m)) as k from c) c join f l on l.lang = c.lang and l.phrase = array_to_string(w[1:k], ' ')
+         join f r on r.lang = c.lang and r.phrase = array_to_string(w[k + 1:], ' ') join words on words.lang = c.lang),
+best as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inside as (select lang, array_to_string(w[i : i + s - 1], ' ') as phrase, max(a) as longer
+           from (select *, unnest(range(1, m - s + 2)) as i from (select *, unnest(range(2, m)) as s from c)) group by all)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase)::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r,
+       n::bigint as n, score::bigint as score
+from best left join inside using (lang, phrase) where longer is null or 100 * longer < 100 * a qualify rank <= 2000"""
+
+
+@query("op12_collocations", OP12_SQL)
+def _op12(spark, sf_dir):
+    return collocations.collocations(read(spark, sf_dir, "documents").select("lang", "text"))
+
+
+_NEAR_SQL = OP9_SQL.replace("100 * o >= 85 *", "100 * o >= 80 *")
+OP13_SQL = f"select doc_id, n_shingles, component_id, doc_id = component_id as kept from ({_NEAR_SQL})"
+
+
+@query("op13_minhash", OP13_SQL)
+def _op13(spark, sf_dir):
+    return near_duplicates(read(spark, sf_dir, "documents"))
