@@ -5,11 +5,12 @@ A key that is in the set is always found; others are found by chance, more often
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bits of a table: 16 MB.
@@ -30,6 +31,15 @@ def table(keys: DataFrame, column: str = "key") -> np.ndarray:
     return out.view(np.uint8)
 
 
+def share(spark: SparkSession, bits: np.ndarray):
+    """A broadcast of the table, packed: a table with few keys is small on every disk it reaches."""
+    return spark.sparkContext.broadcast(zlib.compress(bits.tobytes(), 1))
+
+
+def load(shared) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(shared.value), np.uint8)
+
+
 def has(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
     at = key.view(np.uint64) >> np.uint64(64 - BITS)
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
@@ -37,11 +47,12 @@ def has(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 def only(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     """The rows of ``df`` whose ``column`` (long) may be among ``keys`` (its one column, longs): a filter before a join, not instead of it."""
-    bits = df.sparkSession.sparkContext.broadcast(table(keys.select(F.xxhash64(keys.columns[0]).alias("key"))))
+    shared = share(df.sparkSession, table(keys.select(F.xxhash64(keys.columns[0]).alias("key"))))
     where = len(df.columns)
 
     def take(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = load(shared)
         for batch in batches:
-            yield batch.filter(pa.array(has(bits.value, np.asarray(batch.column(where))))).select(range(where))
+            yield batch.filter(pa.array(has(bits, np.asarray(batch.column(where))))).select(range(where))
 
     return df.withColumn("__key", F.xxhash64(column)).mapInArrow(take, df.schema)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statframe.llm import bits
-from statframe.llm.common import keep, slices
+from statframe.llm.common import free, keep, slices
 from statframe.llm.words import Words, mix, texts
 
 #: Share of the documents in the sample, and the share of the expected count that proposes a phrase.
@@ -110,6 +110,8 @@ def _walk(docs: DataFrame, lengths: range, new, old=None, known=None, named: boo
     longest = lengths[-1]
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = {name: bits.load(table) for name, table in (("new", new), ("old", old), ("known", known)) if table is not None}
+        proposing = [(name, tables[name]) for name in ("new", "old") if name in tables]
         for batch in slices(batches, 4096):
             coded = batch.column(0).dictionary_encode()
             salt = np.array([int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "little") for x in coded.dictionary.to_pylist()], np.uint64)
@@ -125,14 +127,13 @@ def _walk(docs: DataFrame, lengths: range, new, old=None, known=None, named: boo
                 for m in range(1, longest + 1):
                     key, whole = chunk.keys(m), chunk.whole(m)
                     opened = {}
-                    for name, table in (("new", new), ("old", old)):
-                        if table is not None:
-                            opened[name] = whole if m == 1 else whole & was[name][: len(key)] & was[name][1 : len(key) + 1]
+                    for name, _ in proposing:
+                        opened[name] = whole if m == 1 else whole & was[name][: len(key)] & was[name][1 : len(key) + 1]
                     take = opened["new"] if old is None else opened["new"] & ~opened["old"]
                     if known is not None:
                         take = take.copy()
                         left = np.flatnonzero(whole & ~take)
-                        take[left] = bits.has(known.value, key[left])
+                        take[left] = bits.has(tables["known"], key[left])
                     if m in lengths:
                         at = np.flatnonzero(take)
                         if len(at):
@@ -140,15 +141,11 @@ def _walk(docs: DataFrame, lengths: range, new, old=None, known=None, named: boo
                             at = at[where]
                             yield (_rows(got, m, c, coded.dictionary.take(pa.array(chunk.lang[at])), chunk.phrases(at, m)) if named else _rows(got, m, c))
                     if m < longest:
-                        for name, table in (("new", new), ("old", old)):
-                            if table is not None:
-                                # what begins in the overlap is looked up too: it is the second part of a phrase that begins before it
-                                n = len(key)
-                                hit = np.zeros(n, bool)
-                                near = chunk.piece[:n] == chunk.piece[m - 1 :]
-                                look = np.flatnonzero(near)
-                                hit[look] = bits.has(table.value, key[look])
-                                was[name] = hit
+                        # what begins in the overlap is looked up too: it is the second part of a phrase that begins before it
+                        look = np.flatnonzero(chunk.piece[: len(key)] == chunk.piece[m - 1 :])
+                        for name, table in proposing:
+                            was[name] = np.zeros(len(key), bool)
+                            was[name][look] = bits.has(table, key[look])
 
     kind = "key long, m int, c long" + (", lang string, phrase string" if named else "")
     return docs.mapInArrow(count, kind)
@@ -162,8 +159,9 @@ def _rows(key: np.ndarray, m: int, c: np.ndarray, *names: pa.Array) -> pa.Record
 def _failed(frequent: DataFrame, proposed, longest: int) -> DataFrame:
     """Frequent phrases that were not proposed and have room for more words."""
     def test(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = bits.load(proposed)
         for batch in batches:
-            yield batch.filter(pa.array(~bits.has(proposed.value, np.asarray(batch.column(0)))))
+            yield batch.filter(pa.array(~bits.has(table, np.asarray(batch.column(0)))))
 
     return frequent.where(F.col("m").between(1, longest - 1)).select("key").mapInArrow(test, "key long")
 
@@ -177,7 +175,7 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int =
     never a result. No rows give no rows; other columns are ignored. A phrase's language and words are grouped as they are; 64-bit keys
     choose what is counted and add up the rows of one chunk.
     """
-    sc = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
 
     def frequent(df: DataFrame, at_least: int, *by: str) -> DataFrame:
@@ -186,16 +184,21 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int =
     drawn = keep(docs.sample(sample, seed))
     low, proposed = max(2, int(least * sample * lowered)), bits.empty()
     for m in range(1, longest):
-        proposed = proposed | bits.table(frequent(_walk(drawn, range(m, m + 1), sc.broadcast(proposed), most=chunk), low))
-    old = sc.broadcast(proposed)
+        shared = bits.share(spark, proposed)
+        proposed = proposed | bits.table(frequent(_walk(drawn, range(m, m + 1), shared, most=chunk), low))
+        shared.destroy()
+    free(drawn)
+    old = bits.share(spark, proposed)
     by_key = keep(frequent(_walk(docs, range(1, longest + 1), old, most=chunk), least))
-    known = bits.table(by_key)
-    now = sc.broadcast(proposed | known)
+    frequent_keys = bits.table(by_key)
+    proposed = proposed | frequent_keys
+    known, now = bits.share(spark, frequent_keys), bits.share(spark, proposed)
     # the first pass by words also finds what the border's failures have hidden
-    found = keep(frequent(_walk(docs, range(1, longest + 1), now, old, sc.broadcast(known), True, chunk), least, "lang", "phrase"))
-    out = [found]
-    while not (failed := _failed(out[-1], now, longest)).isEmpty():
-        old, now = now, sc.broadcast(now.value | bits.table(failed))
+    out = [keep(frequent(_walk(docs, range(1, longest + 1), now, old, known, True, chunk), least, "lang", "phrase"))]
+    while not (failed := keep(_failed(out[-1], now, longest))).isEmpty():
+        old.destroy()
+        proposed = proposed | bits.table(failed)
+        old, now = now, bits.share(spark, proposed)
         out.append(keep(frequent(_walk(docs, range(2, longest + 1), now, old, None, True, chunk), least, "lang", "phrase")))
     phrases = out[0]
     for more in out[1:]:
