@@ -193,17 +193,117 @@ def studentized_range_sf(q: float, k: int, df: float) -> float:
 
 
 def kolmogorov_p(d: float, n: int) -> float:
-    """Two-sided p of the one-sample KS distance (Stephens' small-sample shift)."""
+    """Two-sided p of the one-sample KS distance: exact below 140 rows, from there on the limit law with Stephens' shift."""
     if _bad(d, n) or n <= 0:
         return float("nan")
+    if n < 140:
+        return 1.0 - kolmogorov_cdf(d, int(n))
     root = math.sqrt(n)
-    x = d * (root + 0.12 + 0.11 / root) if n < 100 else d * root + 1.0 / (6.0 * root)
+    x = d * root + 1.0 / (6.0 * root)
     if x < 0.2:
         return 1.0
     total = sum((-1) ** (j - 1) * math.exp(-2.0 * j * j * x * x) for j in range(1, 101))
     return min(1.0, max(0.0, 2.0 * total))
 
 
+def kolmogorov_cdf(d: float, n: int) -> float:
+    """P(D_n < d), exactly: n! / n^n times the middle of the n-th power of a matrix (Marsaglia, Tsang and Wang 2003)."""
+    if d <= 0.5 / n:
+        return 0.0
+    if d >= 1:
+        return 1.0
+    k = int(n * d) + 1
+    h, m = k - n * d, 2 * k - 1
+    gap = np.subtract.outer(np.arange(m), np.arange(m)) + 1
+    a = (gap >= 0).astype(float)
+    edge = h ** np.arange(1, m + 1)
+    a[:, 0] -= edge
+    a[-1, :] -= edge[::-1]
+    a[-1, 0] += max(0.0, 2 * h - 1) ** m
+    a *= np.array([math.exp(-math.lgamma(max(0, g) + 1)) for g in range(-m + 2, m + 2)])[gap + m - 2]
+    power, shift, base, base_shift, left = np.eye(m), 0, a, 0, n
+    while left:                                       # powers with a common factor 10^shift taken out
+        if left & 1:
+            power, shift = power @ base, shift + base_shift
+        base, base_shift, left = base @ base, 2 * base_shift, left >> 1
+        for matrix in (power, base):
+            if matrix[k - 1, k - 1] > 1e140:
+                matrix *= 1e-140
+                if matrix is power:
+                    shift += 140
+                else:
+                    base_shift += 140
+    out = math.log(power[k - 1, k - 1]) + shift * math.log(10) + math.lgamma(n + 1) - n * math.log(n)
+    return min(1.0, max(0.0, math.exp(out)))
+
+
+# Royston's polynomials (1995) in 1 / sqrt(n) for the two outer coefficients, in n or log n for the law of log(1 - W).
+SW_LAST = (0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056)
+SW_NEXT = (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
+SW_BOUND = (-2.273, 0.459)
+SW_MEAN_SMALL, SW_SD_SMALL = (0.5440, -0.39978, 0.025054, -0.0006714), (1.3822, -0.77857, 0.062767, -0.0020322)
+SW_MEAN, SW_SD = (-1.5861, -0.31082, -0.083751, 0.0038915), (-0.4803, -0.082676, 0.0030302)
+
+
+def shapiro_wilk(values) -> tuple[float, float]:
+    """W and p of 3 to 5,000 values; missing for fewer, more or constant ones."""
+    x = np.sort(np.asarray(values, float))
+    n = len(x)
+    if not 3 <= n <= 5000 or not np.isfinite(x).all() or x[0] == x[-1]:
+        return float("nan"), float("nan")
+    poly = lambda c, at: sum(v * at ** i for i, v in enumerate(c))
+    m = np.array([norm_ppf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    square, root = float(m @ m), 1 / math.sqrt(n)
+    a = m / math.sqrt(square)
+    if n == 3:
+        a = np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
+    else:
+        outer = [a[-1] + poly(SW_LAST, root)] + ([a[-2] + poly(SW_NEXT, root)] if n > 5 else [])
+        k = len(outer)
+        inner = math.sqrt((square - 2 * (m[-k:] ** 2).sum()) / (1 - 2 * sum(v * v for v in outer)))
+        a = m / inner
+        for j, v in enumerate(outer):
+            a[j], a[-1 - j] = -v, v
+    centred = x - x.mean()
+    w = min(1.0, float(a @ x) ** 2 / float(centred @ centred))
+    if n == 3:
+        return w, max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
+    if w == 1:
+        return w, 1.0
+    y = math.log1p(-w)
+    if n <= 11:
+        bound = poly(SW_BOUND, n)
+        if y >= bound:
+            return w, 0.0
+        return w, norm_sf((-math.log(bound - y) - poly(SW_MEAN_SMALL, n)) / math.exp(poly(SW_SD_SMALL, n)))
+    return w, norm_sf((y - poly(SW_MEAN, math.log(n))) / math.exp(poly(SW_SD, math.log(n))))
+
+
+def most_likely_rank(values, n: int) -> int:
+    """Number of principal components with the largest evidence, from all eigenvalues of the covariance and the rows (Minka 2000)."""
+    values = np.sort(np.asarray(values, float))[::-1]
+    p = len(values)
+    tiny = np.finfo(float).eps
+
+    def evidence(k: int) -> float:
+        if values[k - 1] <= tiny * values[0]:
+            return -math.inf
+        noise = max(tiny * values[0], float(values[k:].mean()))
+        prior = -k * math.log(2) + sum(math.lgamma((p - i) / 2) - (p - i) / 2 * math.log(math.pi) for i in range(k))
+        free = p * k - k * (k + 1) / 2
+        kept = np.r_[values[:k], np.full(p - k, noise)]
+        volume = 0.0
+        for i in range(k):
+            apart = (1 / kept[i + 1:] - 1 / kept[i]) * (values[i] - values[i + 1:])
+            if (apart <= 0).any():
+                return -math.inf
+            volume += np.log(apart).sum() + math.log(n) * len(apart)
+        return (prior - n / 2 * np.log(values[:k]).sum() - n * (p - k) / 2 * math.log(noise) + (free + k) / 2 * math.log(2 * math.pi)
+                - volume / 2 - k / 2 * math.log(n))
+
+    return max(range(1, p), key=lambda k: (evidence(k), -k)) if p > 1 else 1
+
+
 def k2_normality(n, g1, g2) -> tuple[float, float]:
     """D'Agostino-Pearson K² and p from n, population skewness and excess kurtosis."""
     if _bad(n, g1, g2) or n < 8:

@@ -91,3 +91,12 @@ def k2_statistic(n, g1, g2) -> Column:
 
 def k2_p(k2) -> Column:
     return F.exp(-k2 / 2)
+
+
+def shapiro_wilk(values) -> Column:
+    """``struct<statistic, p_value>`` of an array of a few values."""
+    @F.pandas_udf("statistic double, p_value double")
+    def run(v: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([dist.shapiro_wilk([] if a is None else a) for a in v], columns=["statistic", "p_value"], dtype="float64")
+
+    return run(values)

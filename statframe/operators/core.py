@@ -22,6 +22,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -558,41 +560,116 @@ class Gram:
         return r
 
 
-def gram(df: DataFrame, columns: dict[str, Column] | Sequence[str], means: Sequence[float] | None = None,
-         n: int | None = None) -> Gram:
-    """Means, then centred products, over rows complete in all columns.
+#: Partial matrices are merged by so many keys before they reach the driver.
+GRAM_KEYS = 64
+_GRAM_PART = "part int, rows long, n long, mean binary, cross binary"
 
-    Known ``means`` (anything near them will do) and row count of a table
-    without missing values save the first pass.
+
+class _Cross:
+    """Mean and centred cross products of the rows so far; parts are merged pairwise, so no common centre is needed."""
+
+    def __init__(self, p: int):
+        self.rows = self.n = 0
+        self.mean, self.cross = np.zeros(p), np.zeros((p, p))
+
+    def merge(self, rows: int, n: int, mean: np.ndarray, cross: np.ndarray) -> None:
+        self.rows += rows
+        if n:
+            apart, total = mean - self.mean, self.n + n
+            self.cross += cross + np.outer(apart, apart) * (self.n * n / total)
+            self.mean = self.mean + apart * (n / total)
+            self.n = total
+
+    def merge_row(self, rows: int, n: int, mean: bytes, cross: bytes) -> None:
+        p, half = len(self.mean), np.frombuffer(cross)
+        full = np.zeros((p, p))
+        full[np.triu_indices(p)] = half
+        full = full + full.T - np.diag(np.diag(full))
+        self.merge(rows, n, np.frombuffer(mean), full)
+
+    def row(self, part: int) -> pa.RecordBatch:
+        upper = self.cross[np.triu_indices(len(self.mean))]
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([self.rows]), pa.array([self.n]), pa.array([self.mean.tobytes()], pa.binary()),
+                                           pa.array([upper.tobytes()], pa.binary())], ["part", "rows", "n", "mean", "cross"])
+
+
+def gram(df: DataFrame, columns: dict[str, Column] | Sequence[str]) -> Gram:
+    """Means and centred products over the rows complete in all columns, in one scan however many columns.
+
+    Each task multiplies its rows batch by batch and gives one half matrix; the halves are merged by ``GRAM_KEYS`` keys, and the driver gets
+    one for each key.
     """
     exprs = columns if isinstance(columns, dict) else {c: num(c) for c in columns}
-    names = list(exprs)
+    names, p = list(exprs), len(exprs)
     raw = df.select(*[exprs[c].cast("double").alias(f"_g{i}") for i, c in enumerate(names)])
-    fields = [F.col(f"_g{i}") for i in range(len(names))]
-    whole = fields[0].isNotNull()
-    for f in fields[1:]:
-        whole = whole & f.isNotNull()
-    p, total = len(names), n
-    if means is None:
-        first = raw.agg(F.count(F.lit(1)).alias("rows"), F.count_if(whole).alias("n"),
-                        *[F.avg(F.when(whole, f)).alias(f"m{i}") for i, f in enumerate(fields)]).first()
-        n, total = first["n"], first["rows"]
-        means = [first[f"m{i}"] for i in range(p)]
-    if not n:
-        return Gram(names, 0, total, np.full(p, np.nan), np.full((p, p), np.nan))
-    mean = np.array(means, dtype=float)
-    data = raw.where(whole)
-    centred = data.select(*[(f - F.lit(float(m))).alias(f"_g{i}") for i, (f, m) in enumerate(zip(fields, mean))])
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    sums = centred.agg(*[F.sum(f).alias(f"r{i}") for i, f in enumerate(fields)], *[
-        F.sum(fields[i] * fields[j]).alias(f"s{i}_{j}") for i, j in pairs[:LIMITS.product_sums]]).first().asDict()
-    for part in chunks(pairs[LIMITS.product_sums:], LIMITS.product_sums):
-        sums |= centred.agg(*[F.sum(fields[i] * fields[j]).alias(f"s{i}_{j}") for i, j in part]).first().asDict()
-    rest = np.array([sums[f"r{i}"] for i in range(p)])
-    cross = np.zeros((p, p))
-    for i, j in pairs:
-        cross[i, j] = cross[j, i] = sums[f"s{i}_{j}"] - rest[i] * rest[j] / n
-    return Gram(names, n, total, mean + rest / n, cross)
+
+    def multiply(batches):
+        total = _Cross(p)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in part.columns])
+                holes = [c.is_valid().to_numpy(zero_copy_only=False) for c in part.columns if c.null_count]
+                x = x[np.logical_and.reduce(holes)] if holes else x
+                # from the first row on, so that a constant column has no spread at all
+                mean = x[0] + (x - x[0]).mean(axis=0) if len(x) else np.zeros(p)
+                x = x - mean
+                total.merge(part.num_rows, len(x), mean, x.T @ x)
+        if total.rows:
+            yield total.row(TaskContext.get().partitionId())
+
+    def merge(batches):
+        key, total = None, None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = [c[k].as_py() for c in batch.columns]
+                if row[-1] != key:
+                    if total is not None:
+                        yield total.row(key)
+                    key, total = row[-1], _Cross(p)
+                total.merge_row(*row[1:5])
+        if total is not None:
+            yield total.row(key)
+
+    parts = raw.mapInArrow(multiply, _GRAM_PART).withColumn("key", F.pmod("part", F.lit(GRAM_KEYS)))
+    merged = parts.repartition("key").sortWithinPartitions("key", "part").mapInArrow(merge, _GRAM_PART).toArrow()      # a row per key
+    total = _Cross(p)
+    for row in sorted(merged.to_pylist(), key=lambda r: r["part"]):
+        total.merge_row(row["rows"], row["n"], row["mean"], row["cross"])
+    if not total.n:
+        return Gram(names, 0, total.rows, np.full(p, np.nan), np.full((p, p), np.nan))
+    return Gram(names, total.n, total.rows, total.mean, total.cross)
+
+
+def sum_vectors(df: DataFrame, fn, size: int) -> np.ndarray:
+    """The sum over Arrow batches of ``fn(batch)``, a vector of ``size`` numbers: one per task, merged by ``GRAM_KEYS`` keys on the way to the driver."""
+    schema = "part int, v binary"
+
+    def row(part: int, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "v"])
+
+    def add(batches):
+        total = np.zeros(size)
+        for batch in batches:
+            if batch.num_rows:
+                total += fn(batch)
+        yield row(TaskContext.get().partitionId(), total)
+
+    def merge(batches):
+        key, total = None, np.zeros(size)
+        for batch in batches:
+            for v, k in zip(batch.column(1), batch.column(2).to_pylist()):
+                if k != key and key is not None:
+                    yield row(key, total)
+                    total = np.zeros(size)
+                key = k
+                total += np.frombuffer(v.as_py())
+        if key is not None:
+            yield row(key, total)
+
+    parts = df.mapInArrow(add, schema).withColumn("key", F.pmod("part", F.lit(GRAM_KEYS)))
+    merged = parts.repartition("key").sortWithinPartitions("key", "part").mapInArrow(merge, schema).toArrow().to_pylist()
+    return np.sum([np.frombuffer(r["v"]) for r in sorted(merged, key=lambda r: r["part"])], axis=0) if merged else np.zeros(size)
 
 
 def inverse(a: np.ndarray) -> np.ndarray:

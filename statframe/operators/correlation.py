@@ -83,9 +83,7 @@ def _block(df: DataFrame, cols: list[str], pairs: list[tuple[str, str]], alpha:
     for c in cols:
         centred = F.col(f"`{c}`") - F.lit(stats[c]["mean"])
         columns[f"{c}__sq"] = centred * centred
-    spread = [(stats[c]["var"] or 0.0) * (rows_n - 1) / max(rows_n, 1) for c in cols]
-    g = core.gram(df, {**{c: columns[c] for c in cols}, **{f"{c}__sq": columns[f"{c}__sq"] for c in cols}},
-                  [stats[c]["mean"] for c in cols] + spread, rows_n)
+    g = core.gram(df, {**{c: columns[c] for c in cols}, **{f"{c}__sq": columns[f"{c}__sq"] for c in cols}})
     inside = {c: F.col(f"`{c}`").between(a - 1.5 * (b - a), b + 1.5 * (b - a)) for c, (a, b) in quart.items()}
     trimmed = {}
     for part in core.chunks(pairs, core.LIMITS.agg_columns):
@@ -94,7 +92,7 @@ def _block(df: DataFrame, cols: list[str], pairs: list[tuple[str, str]], alpha:
                        for i, (x, y) in enumerate(part)]).first()
         trimmed.update({p: float("nan") if row[f"r{i}"] is None else row[f"r{i}"] for i, p in enumerate(part)})
     ranked = rank_columns(df, cols, rows=rows_n)
-    rg = core.gram(ranked, {c: F.col(f"`_r_{c}`") for c in cols}, [(rows_n + 1) / 2] * len(cols), rows_n)
+    rg = core.gram(ranked, {c: F.col(f"`_r_{c}`") for c in cols})
     rows = []
     for x, y in pairs:
         n = g.n

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statframe.functions import dist, pvalue
-from statframe.operators import core
+from statframe.operators import core, neighbours
 from statframe.operators.core import col_of, div, num
 from statframe.operators.quality import normality
 
@@ -352,118 +352,118 @@ def posthoc_extremes(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 # ----------------------------------------------------------- two-way analysis
-#: Cells up to which a two-way design is solved as one matrix; designs with gaps or cells without spread are up to the second number.
-DENSE_CELLS, DENSE_MOST = 1_000, 10_000
+def _with_margin(c: DataFrame, vector: DataFrame, key: str) -> DataFrame:
+    """Cells with a margin's numbers: the margin has a row per level, so a hot level only repeats it."""
+    return c.join(vector.withColumnRenamed(key, f"_{key}"), F.col(key) == F.col(f"_{key}")).drop(f"_{key}")
 
 
-def _order(cells: list, schema, c: str, levels: dict | None) -> list:
-    """Levels of a factor; the column's declared order is honoured."""
-    declared = (levels or {}).get(c) or schema[c].metadata.get("levels")
-    seen = sorted({r[c] for r in cells})
-    return [v for v in declared if v in seen] if declared else seen
+def _shared_part(c: DataFrame, tolerance: float = 1e-11, most: int = 1000) -> float:
+    """r' x for S x = r, where S = diag(w_j) - W' diag(1 / w_i) W and r_j = sum of w d_i; ``c`` has ``i, j, w, w_i, d_i``.
 
-
-def _two_way_margins(cells: DataFrame, a: str, b: str, na: int, nb: int, equal: bool, variance: float) -> tuple[float, float, float]:
-    """Numerators (chi-squares) of a, b and a:b from cell moments that stay on Spark; only the factor with fewer levels is solved for.
+    Conjugate gradients with the margin's weights as preconditioner. S is singular along constants, r is orthogonal to them. Every vector is a
+    table with a row per level of j; a step is two joins of the cells with a margin and two sums. Up to ``Limits.collect_rows`` cells the
+    same steps run on arrays.
+    """
+    if c.count() <= core.LIMITS.collect_rows:
+        return _shared_part_local(c.select("i", "j", "w", "w_i", "d_i").toPandas(), tolerance, most)
+    side = c.groupBy("j").agg(F.sum("w").alias("d"), F.sum(F.col("w") * F.col("d_i")).alias("r"))
+    state = core.checkpoint(side.select("j", "d", F.lit(0.0).alias("x"), "r", (F.col("r") / F.col("d")).alias("p"), F.col("r").alias("r0")))
+    square = F.sum(F.col("r") * F.col("r") / F.col("d"))
+    left = first = state.agg(square).first()[0]
+    for _ in range(most):
+        if left <= tolerance ** 2 * first:
+            break
+        u = _with_margin(c, state.select("j", "p"), "j").groupBy("i").agg((F.sum(F.col("w") * F.col("p")) / F.first("w_i")).alias("u"))
+        q = _with_margin(c, u, "i").groupBy("j").agg(F.sum(F.col("w") * F.col("u")).alias("q"))
+        step = core.checkpoint(state.join(q, "j").withColumn("q", F.col("d") * F.col("p") - F.col("q")))
+        curve = step.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
+        if curve <= 0:
+            break
+        moved = step.select("j", "d", (F.col("x") + left / curve * F.col("p")).alias("x"), (F.col("r") - left / curve * F.col("q")).alias("r"), "p", "r0")
+        before, left = left, moved.agg(square).first()[0]
+        state = moved.select("j", "d", "x", "r", (F.col("r") / F.col("d") + left / before * F.col("p")).alias("p"), "r0")
+    return float(state.agg(F.sum(F.col("r0") * F.col("x"))).first()[0])
+
+
+def _shared_part_local(c, tolerance: float, most: int) -> float:
+    i, j = c["i"].factorize()[0], c["j"].factorize()[0]
+    w, w_i = c["w"].to_numpy(float), np.zeros(i.max() + 1)
+    w_i[i] = c["w_i"]
+    d, r0 = np.bincount(j, w), np.bincount(j, w * c["d_i"].to_numpy(float))
+    x, r, p = np.zeros(len(d)), r0, r0 / d
+    left = first = (r * r / d).sum()
+    for _ in range(most):
+        if left <= tolerance ** 2 * first:
+            break
+        q = d * p - np.bincount(j, w * (np.bincount(i, w * p[j]) / w_i)[i])
+        if (p * q).sum() <= 0:
+            break
+        size = left / (p * q).sum()
+        x, r, before = x + size * p, r - size * q, left
+        left = (r * r / d).sum()
+        p = r / d + left / before * p
+    return float((r0 * x).sum())
+
+
+def _parts(cells: DataFrame, a: str, b: str) -> int:
+    """Connected parts of the design: levels of either factor that are linked by cells."""
+    level = lambda side, c: F.xxhash64(F.lit(side), F.col(c))
+    edges = cells.select(level(0, a).alias("a"), level(1, b).alias("b"))
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return neighbours.components(edges, nodes).agg(F.countDistinct("root")).first()[0]
+
+
+def _two_way_sums(cells: DataFrame, a: str, b: str, na: int, nb: int, equal: bool, variance: float) -> tuple[float, float, float]:
+    """Numerators (chi-squares) of a, b and a:b from cell moments and their margins.
 
     Contrasts of cell means whose variances are v have the statistic by which the sum of (mean - fit)^2 / v rises when the contrasts are
     forced to 0; fits are those of one factor and of both without interaction.
     """
     big, small = (a, b) if na >= nb else (b, a)
     n = F.col("n").cast("double")
-    spread = (n - 1) * F.coalesce("var", F.lit(0.0)) / (1 - 1 / n) ** 2
-    w = n / F.lit(variance) if equal else n * n / spread
+    w = n / F.lit(variance) if equal else n * n * (1 - 1 / n) ** 2 / ((n - 1) * F.col("var"))
     c = cells.select(F.col(big).alias("i"), F.col(small).alias("j"), "mean", w.alias("w"))
-    by = lambda k: c.groupBy(F.col(k).alias(f"_{k}")).agg((F.sum(F.col("w") * F.col("mean")) / F.sum("w")).alias(f"m_{k}"), F.sum("w").alias(f"w_{k}"))
-    c = core.checkpoint(c.join(by("i"), F.col("i") == F.col("_i")).join(by("j"), F.col("j") == F.col("_j"))
+    by = lambda k: c.groupBy(k).agg((F.sum(F.col("w") * F.col("mean")) / F.sum("w")).alias(f"m_{k}"), F.sum("w").alias(f"w_{k}"))
+    c = core.checkpoint(_with_margin(_with_margin(c, by("i"), "i"), by("j"), "j")
                         .select("i", "j", "w", "w_i", (F.col("mean") - F.col("m_i")).alias("d_i"), (F.col("mean") - F.col("m_j")).alias("d_j")))
     only = c.agg(F.sum(F.col("w") * F.col("d_i") ** 2).alias("i"), F.sum(F.col("w") * F.col("d_j") ** 2).alias("j")).first()
-    side = c.groupBy("j").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("d_i")).alias("r")).orderBy("j").collect()      # a row per level
-    at = {r["j"]: k for k, r in enumerate(side)}
-    other = c.select("i", F.col("j").alias("k"), F.col("w").alias("v"))
-    cross = c.join(other, "i").groupBy("j", "k").agg(F.sum(F.col("w") * F.col("v") / F.col("w_i")).alias("x")).collect()
-    system = np.diag([r["w"] for r in side])
-    for r in cross:
-        system[at[r["j"]], at[r["k"]]] -= r["x"]
-    right = np.array([r["r"] for r in side])
-    of_small = float(right[1:] @ np.linalg.pinv(system[1:, 1:], rcond=1e-10, hermitian=True) @ right[1:])      # the first level is the base
+    of_small = _shared_part(c)
     of_big, both = only["j"] - only["i"] + of_small, only["i"] - of_small
     return (of_big, of_small, both) if big == a else (of_small, of_big, both)
 
 
-def anova2(df: DataFrame, value: str, between: Sequence[str], alpha: float = 0.05,
-           levels: dict | None = None, dense_cells: int = DENSE_CELLS) -> DataFrame:
+def anova2(df: DataFrame, value: str, between: Sequence[str], alpha: float = 0.05) -> DataFrame:
     """Two-way ANOVA with interaction, type II; HC3 covariance when the cells' variances differ.
 
-    In the saturated cell model a row's leverage is 1/n of its cell, so counts,
-    means and variances per cell are sufficient for both forms. Beyond ``dense_cells``
-    the sums come from margins. Above ``DENSE_MOST`` cells a design with empty cells
-    has cells - levels of a - levels of b + 1 degrees of freedom for a:b, and HC3 is
-    missing where a cell has no spread.
+    In the saturated cell model a row's leverage is 1/n of its cell, so counts, means and variances per cell are sufficient for both forms;
+    cells and margins stay on Spark, whatever the number of levels. Degrees of freedom are the ranks: with p connected parts of the design a has
+    its levels - p, b likewise, and a:b the rest of cells - p (a source without any has no row); without empty cells that is (levels of a - 1) times
+    (levels of b - 1). HC3 needs spread in every cell: where one has none its statistics are missing, as they are without residual spread.
     """
     a, b = between
     cells = core.checkpoint(core.moments(_present(df, value, [a, b], ()), [value], [a, b]).select(a, b, "n", "mean", "var"))
     t = cells.agg(F.count("*").alias("cells"), F.countDistinct(a).alias("ka"), F.countDistinct(b).alias("kb"), F.sum("n").alias("n"),
                   F.sum((F.col("n") - 1) * F.coalesce("var", F.lit(0.0))).alias("rss"),
                   F.sum(F.when(F.coalesce("var", F.lit(0.0)) <= 0, 1).otherwise(0)).alias("flat")).first()
+    if not t["cells"]:
+        raise ValueError("no complete rows")
     label = F.concat_ws(", ", col_of(a), col_of(b))
     equal = equal_variance(df.where(col_of(a).isNotNull() & col_of(b).isNotNull()).withColumn("_cell", label),
                            value, "_cell", (), alpha).first()["equal_var"]
-    whole = t["cells"] == t["ka"] * t["kb"] and not t["flat"]
-    if t["cells"] > (dense_cells if whole else DENSE_MOST):
-        rss, free, rows = float(t["rss"]), float(t["n"] - t["cells"]), []
-        known = free > 0 and rss > 0 and (equal or not t["flat"])
-        sums = _two_way_margins(cells, a, b, t["ka"], t["kb"], equal, rss / free) if known else (None,) * 3
-        for name, chi2, k in zip((a, b, f"{a}:{b}"), sums, (t["ka"] - 1, t["kb"] - 1, t["cells"] - t["ka"] - t["kb"] + 1)):
-            if k > 0:
-                ss = chi2 * rss / free if known else None
-                rows.append({"source": name, "ss": ss, "df": float(k), "f": chi2 / k if known else None,
-                             "p_value": dist.f_sf(chi2 / k, k, free) if known else None, "np2": ss / (ss + rss) if known else None})
-    else:
-        cells = cells.collect()                                      # at most DENSE_MOST
-        la, lb = _order(cells, df.schema, a, levels), _order(cells, df.schema, b, levels)
-        design = []
-        for r in cells:
-            xa = [1.0 if r[a] == v else 0.0 for v in la[1:]]
-            xb = [1.0 if r[b] == v else 0.0 for v in lb[1:]]
-            design.append([1.0, *xa, *xb, *[p * q for p in xa for q in xb]])
-        x = np.array(design)
-        na, nb = len(la) - 1, len(lb) - 1
-        terms = {a: range(1, 1 + na), b: range(1 + na, 1 + na + nb), f"{a}:{b}": range(1 + na + nb, x.shape[1])}
-        n = np.array([float(r["n"]) for r in cells])
-        mean = np.array([r["mean"] for r in cells])
-        within = np.array([(r["n"] - 1) * (r["var"] or 0.0) for r in cells])
-        inv = np.linalg.pinv((x * n[:, None]).T @ x, hermitian=True)
-        beta = inv @ (x * n[:, None]).T @ mean
-        rss, free = within.sum(), n.sum() - np.linalg.matrix_rank(x)
-        if equal:
-            cov = inv * rss / free
-        else:
-            spread = np.divide(within, (1 - 1 / n) ** 2, out=np.zeros_like(n), where=n > 1)
-            cov = inv @ (x * spread[:, None]).T @ x @ inv
-        rows = []
-        inter = list(terms[f"{a}:{b}"])
-        for name, idx in terms.items():
-            own = list(idx)
-            if not own:
-                continue
-            eye = np.eye(x.shape[1])
-            if name != f"{a}:{b}" and inter:
-                l1, l2 = eye[own + inter], eye[inter]
-                q, _ = np.linalg.qr(l1 @ cov @ l2.T, mode="complete")
-                con = q[:, -len(own):].T @ l1
-            else:
-                con = eye[own]
-            delta = con @ beta
-            f = float(delta @ np.linalg.pinv(con @ cov @ con.T, hermitian=True) @ delta) / len(own)
-            ss = f * len(own) * rss / free
-            rows.append({"source": name, "ss": ss, "df": float(len(own)), "f": f,
-                         "p_value": dist.f_sf(f, len(own), free), "np2": ss / (ss + rss)})
+    rss, free, rows = float(t["rss"]), float(t["n"] - t["cells"]), []
+    parts = 1 if t["cells"] == t["ka"] * t["kb"] else _parts(cells, a, b)
+    known = free > 0 and rss > 0 and (equal or not t["flat"])
+    sums = _two_way_sums(cells, a, b, t["ka"], t["kb"], equal, rss / free) if known else (None,) * 3
+    for name, chi2, k in zip((a, b, f"{a}:{b}"), sums, (t["ka"] - parts, t["kb"] - parts, t["cells"] - t["ka"] - t["kb"] + parts)):
+        if k > 0:
+            ss = chi2 * rss / free if known else None
+            rows.append({"source": name, "ss": ss, "df": float(k), "f": chi2 / k if known else None,
+                         "p_value": dist.f_sf(chi2 / k, k, free) if known else None, "np2": ss / (ss + rss) if known else None})
     for r in rows:
         if r["p_value"] is not None:
             r["significant"] = r["p_value"] < alpha
             r["effect_size"] = next((lab for lim, lab in ETA_BOUNDS if r["np2"] >= lim), "Negligible")
-    rows.append({"source": "Residual", "ss": float(rss), "df": float(free), "effect_size": "-"})
+    rows.append({"source": "Residual", "ss": rss, "df": free, "effect_size": "-"})
     for r in rows:
         r["test"] = "Two-way ANOVA" if equal else "Two-way ANOVA (HC3)"
     return core.rows_frame(df.sparkSession, rows, "source string, test string, ss double, df double, f double, "
@@ -499,22 +499,34 @@ def posthoc2_levels(pairs: DataFrame) -> DataFrame:
 # ----------------------------------------------------------------- chi-square
 def chi2_gof(df: DataFrame, column: str, expected=None, order: Sequence | None = None, alpha: float = 0.05) -> DataFrame:
     """Counts against uniform, ratios (sum <= 1.0001) or counts; Cohen w."""
-    counts = {r["v"]: r["n"] for r in df.where(col_of(column).isNotNull()).groupBy(col_of(column).alias("v"))
-              .agg(F.count(F.lit(1)).alias("n")).collect()}
-    keys = list(order) if order else sorted(counts)
-    obs = np.array([counts.get(k, 0) for k in keys], dtype=float)
-    n, k = obs.sum(), len(keys)
-    exp = np.full(k, n / k) if expected is None else np.array(expected, dtype=float)
-    if expected is not None and exp.sum() <= 1.0001:
-        exp = exp * n
-    if len(exp) != k:
-        raise ValueError(f"expected needs {k} entries")
-    ok = bool((exp >= 5).mean() >= 0.8 and exp.min() >= 1)
-    stat = float(((obs - exp) ** 2 / exp).sum())
+    counts = df.where(col_of(column).isNotNull()).groupBy(col_of(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("o").cast("double").alias("n")
+    if expected is None and not order:                       # any number of levels: one row leaves Spark
+        counts = core.checkpoint(counts)
+        t = counts.agg(F.sum("n").alias("n"), F.count("*").alias("k")).first()
+        n, k = float(t["n"] or 0), t["k"]
+        if not n:
+            raise ValueError("no complete rows")
+        least, ok = n / k, n / k >= 5
+        stat = float(counts.agg(F.sum((F.col("n") - n / k) ** 2)).first()[0] / least)
+    else:
+        if order is None:                                    # ``expected`` names a value for every level
+            order = sorted(r["v"] for r in counts.select("v").limit(len(expected) + 1).collect())
+        keys, k = list(order), len(order)
+        if expected is not None and len(expected) != k:
+            raise ValueError(f"expected needs {k} entries")
+        exp = [1 / k] * k if expected is None else [float(v) for v in expected]
+        shares = expected is None or sum(exp) <= 1.0001
+        names = core.rows_frame(df.sparkSession, [{"v": v, "e": e} for v, e in zip(keys, exp)], f"v {counts.schema['v'].dataType.simpleString()}, e double")
+        cells = core.checkpoint(names.join(counts.withColumnRenamed("n", "o"), "v", "left").select("e", F.coalesce("o", F.lit(0)).alias("o")))
+        n = cells.agg(total).first()["n"]
+        e = F.col("e") * n if shares else F.col("e")
+        t = cells.agg(F.sum((F.col("o") - e) ** 2 / e).alias("stat"), F.avg((e >= 5).cast("double")).alias("five"), F.min(e).alias("least")).first()
+        stat, least, ok = float(t["stat"]), float(t["least"]), bool(t["five"] >= 0.8 and t["least"] >= 1)
     p, w = dist.chi2_sf(stat, k - 1), math.sqrt(stat / n)
     row = {"test": "Chi-square goodness-of-fit", "chi2": round(stat, 4), "dof": k - 1, "p_value": round(p, 6),
            "significant": p < alpha, "effect_w": round(w, 4), "strength": _grade_below(w, CHI2_BOUNDS, "Strong"),
-           "min_expected": round(float(exp.min()), 2), "assumption": ok,
+           "min_expected": round(float(least), 2), "assumption": ok,
            "recommend": "Chi-square goodness-of-fit" if ok else "category merge"}
     return core.rows_frame(df.sparkSession, [row], "test string, chi2 double, dof int, p_value double, "
                            "significant boolean, effect_w double, strength string, min_expected double, "

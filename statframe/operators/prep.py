@@ -17,6 +17,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from statframe.functions import dist
 from statframe.operators import core
 from statframe.operators.core import col_of, num
 
@@ -339,8 +340,9 @@ class PcaModel(Fitted):
         return core.rows_frame(spark, rows, "component string, ratio double, cumulative double, kept boolean")
 
 
-def fit_pca(df: DataFrame, y: str | None = None, n_components: float | int = 0.8, scale: bool = True,
+def fit_pca(df: DataFrame, y: str | None = None, n_components: float | int | str = 0.8, scale: bool = True,
             method: str = "standard") -> PcaModel:
+    """Principal axes from one cross-product matrix; ``n_components``: explained share, number, or ``'mle'`` (largest evidence)."""
     cols = [c for c in core.numeric_columns(df) if c != y]
     g = core.gram(df, cols)
     center, spread = g.mean, np.ones(len(cols))
@@ -352,9 +354,11 @@ def fit_pca(df: DataFrame, y: str | None = None, n_components: float | int = 0.8
     order = np.argsort(values)[::-1]
     values, vectors = np.clip(values[order], 0, None), vectors[:, order]
     ratios = values / values.sum() if values.sum() else values
-    if isinstance(n_components, str):
-        raise ValueError("n_components must be a number")
-    if isinstance(n_components, float) and n_components < 1:
+    if n_components == "mle":
+        k = dist.most_likely_rank(values, g.n)
+    elif isinstance(n_components, str):
+        raise ValueError("n_components must be a number or 'mle'")
+    elif isinstance(n_components, float) and n_components < 1:
         k = int(np.searchsorted(np.cumsum(ratios), n_components, side="right")) + 1
     else:
         k = int(n_components)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -109,20 +110,18 @@ def numerical_summary(df: DataFrame, cols: Sequence[str] | None = None, by: Sequ
                       approx: bool = False) -> DataFrame:
     """One row per numeric column: moments, exact quartiles, outlier counts, shape verdicts.
 
-    ``approx=True`` takes quartiles from the sketch alone (one scan less).
+    ``approx=True`` is one scan whatever the table: quartiles and outlier counts come from mergeable sketches (``sketch``), whose ranks are off
+    by about 0.1 % of the rows; everything else is exact.
     """
     cols, by = list(cols or core.numeric_columns(df)), list(by)
     core.require_numeric(df, cols)
+    if approx:
+        return _sketched_summary(df, cols, by)
     if by:
         return _grouped_summary(df, cols, by)
     spark = df.sparkSession
     stats = core.moments_dict(df, cols)
-    if approx:
-        row = df.agg(*[F.percentile_approx(num(c), [.25, .5, .75], core.LIMITS.sketch).alias(f"_{i}")
-                       for i, c in enumerate(cols)]).first()
-        q = {c: row[f"_{i}"] or [None] * 3 for i, c in enumerate(cols)}
-    else:
-        q = core.quantiles(df, cols, [.25, .5, .75], {c: stats[c]["n"] for c in cols})
+    q = core.quantiles(df, cols, [.25, .5, .75], {c: stats[c]["n"] for c in cols})
     counts = {}
     for part in core.chunks(cols, core.LIMITS.agg_columns):
         aggs = []
@@ -140,6 +139,54 @@ def numerical_summary(df: DataFrame, cols: Sequence[str] | None = None, by: Sequ
         "min double, max double, q25 double, q50 double, q75 double, upper_outliers long, lower_outliers long"), [])
 
 
+#: Size parameter of quantile sketches: ranks are off by about 0.1 %, a sketch has some 50 KB.
+SKETCH_K = 3_000
+
+
+def sketch(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), k: int = SKETCH_K) -> DataFrame:
+    """``by…, variable, n, min, max, sketch``: a mergeable quantile sketch (KLL) of each column, in one scan.
+
+    Sketches are ordinary rows: keep them with a partition or a day, and put them together with ``merge_sketches``. A column without values
+    has n = 0 and its sketch is not read.
+    """
+    parts = []
+    for part in core.chunks(list(cols), core.LIMITS.agg_columns):
+        wide = df.groupBy(*by).agg(*[a for i, c in enumerate(part) for a in (
+            F.count(num(c)).alias(f"_{i}_n"), F.min(num(c)).alias(f"_{i}_min"), F.max(num(c)).alias(f"_{i}_max"), F.kll_sketch_agg_double(num(c), k).alias(f"_{i}_s"))])
+        parts.append(wide.select(*by, F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"_{i}_n").alias("n"), F.col(f"_{i}_min").alias("min"),
+                                                                  F.col(f"_{i}_max").alias("max"), F.col(f"_{i}_s").alias("sketch")) for i, c in enumerate(part)]))))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def merge_sketches(*tables: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Tables of ``sketch`` as one: the sketches of all their rows together, by the given keys."""
+    every = functools.reduce(DataFrame.unionByName, tables).where("n > 0")
+    return every.groupBy(*by, "variable").agg(F.sum("n").alias("n"), F.min("min").alias("min"), F.max("max").alias("max"), F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """``sketches`` with ``q``, an array of quantiles instead of the sketch; missing without values."""
+    ranks = F.array(*[F.lit(float(p)) for p in probs])
+    return sketches.withColumn("q", F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("sketch", ranks))).drop("sketch")
+
+
+def _sketched_summary(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
+    parts = []
+    for part in core.chunks(cols, core.LIMITS.agg_columns):
+        aggs = [a for i, c in enumerate(part) for a in (*core._moment_aggs(c, i), F.kll_sketch_agg_double(num(c), SKETCH_K).alias(f"_{i}_s"))]
+        wide = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), *aggs)
+        parts.append(wide.select(*by, F.inline(F.array(*[
+            F.struct(F.lit(c).alias("variable"), F.col("_rows").alias("rows"), *[F.col(f"_{i}_{k}").alias(k) for k in core._MOMENT_FIELDS], F.col(f"_{i}_s").alias("sketch"))
+            for i, c in enumerate(part)]))))
+    stats = functools.reduce(DataFrame.unionByName, parts)
+    some, rank = F.col("n") > 0, lambda at: F.kll_sketch_get_rank_double("sketch", at)
+    stats = stats.withColumn("_q", F.when(some, F.kll_sketch_get_quantile_double("sketch", F.array(F.lit(.25), F.lit(.5), F.lit(.75)))))
+    stats = stats.withColumns({f"q{q}": F.get("_q", F.lit(i)) for i, q in enumerate((25, 50, 75))})
+    reach = 1.5 * (F.col("q75") - F.col("q25"))
+    counted = lambda share: F.coalesce(F.when(some, F.round(F.col("n") * share)), F.lit(0)).cast("long")
+    return _describe(stats.withColumns({"upper_outliers": counted(1 - rank(F.col("q75") + reach)), "lower_outliers": counted(rank(F.col("q25") - reach))}), by)
+
+
 def _grouped_summary(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
     stats = core.moments(df, cols, by)
     q = core.group_quantiles(df, cols, [.25, .5, .75], by).select(
@@ -231,3 +278,17 @@ def normality(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), alpha:
             .withColumn("normal", F.col("p_value") >= alpha))
 
 
+def shapiro(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), alpha: float = 0.05, below: int = 30) -> DataFrame:
+    """Shapiro-Wilk per column (and group) of fewer than ``below`` values: ``by…, variable, n, statistic, p_value, normal``.
+
+    Groups are counted first; only those are brought together, so no task gets more than ``below`` values of one. Larger groups, fewer than
+    three values and constant ones have no statistic.
+    """
+    by = list(by)
+    long = df.select(*by, F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), num(c).alias("_v")) for c in cols]))).where(F.col("_v").isNotNull())
+    keys = [*by, "variable"]
+    counts = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    few = core.attach(long, counts.where(F.col("n") < below).select(*keys), keys).groupBy(*keys).agg(pvalue.shapiro_wilk(F.collect_list("_v")).alias("_t"))
+    out = join_null_safe(counts, few, keys, "left")
+    clean = lambda c: F.nanvl(F.col(f"_t.{c}"), F.lit(None).cast("double")).alias(c)
+    return out.select(*keys, "n", clean("statistic"), clean("p_value")).withColumn("normal", F.col("p_value") >= alpha)

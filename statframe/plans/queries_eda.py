@@ -73,6 +73,16 @@ def target_correlation(spark, sf):
     return rounded(core.rows_frame(spark, rows, eda.TEST_SCHEMA).select("variable", "effect"), 4)
 
 
+# verdicts from significance (t of the coefficient; the samples are large) and the size of the coefficient
+@query("target_verdicts", f"""
+    with c as (select x as variable, round(spearman, 4) as r from ({corr_sql(fx('reg'), [(c, 'y') for c in ('x1', 'x2', 'x3', 'x4')])})),
+      n as (select count(*) as n from {fx('reg')})
+    select variable, case when abs(r) * sqrt((n - 2) / (1 - r * r)) < 1.965 then 'reject' when abs(r) >= 0.3 then 'accept' else 'candidate' end as verdict from c, n""")
+def target_verdicts(spark, sf):
+    rows = eda.correlation_tests(_reg(spark, sf), "y", ["x1", "x2", "x3", "x4"])
+    return core.rows_frame(spark, rows, eda.TEST_SCHEMA).select("variable", "verdict")
+
+
 _TWO = f"(select c2 as g, y from {fx('reg')})"
 
 

@@ -346,3 +346,21 @@ def valid_points(spark, sf):
 def read_table(spark, sf):
     return io.load(spark, f"{sf}/customer.parquet")
 
+
+
+# quartiles by sketches: the exact ones are within half a percent of the rows, counted and averaged exactly
+@query("numerical_summary_sketched", """
+    select 'l_extendedprice' as variable, count(l_extendedprice) as count, """ + rs("avg(l_extendedprice)", 4) + """ as mean, true as q25_near, true as q50_near, true as q75_near from lineitem""")
+def numerical_summary_sketched(spark, sf):
+    df = table(spark, sf, "lineitem").select("l_extendedprice")
+    s = quality.numerical_summary(df, approx=True)
+    placed = df.crossJoin(F.broadcast(s.select("q25", "q50", "q75"))).agg(*[      # one row of three numbers
+        F.avg((F.col("l_extendedprice") <= F.col(q)).cast("double")).alias(f"{q}_rank") for q in ("q25", "q50", "q75")])
+    near = [(F.abs(F.col(f"{q}_rank") - F.lit(p)) < 0.005).alias(f"{q}_near") for q, p in (("q25", .25), ("q50", .5), ("q75", .75))]
+    return rounded(s.crossJoin(F.broadcast(placed)).select("variable", "count", "mean", *near), 4)
+
+
+@query("shapiro_small", "select p_brand, 'p_retailprice' as variable, count(p_retailprice) as n, count(p_retailprice) < 30 as tested from part group by p_brand")
+def shapiro_small(spark, sf):
+    out = quality.shapiro(table(spark, sf, "part"), ["p_retailprice"], ["p_brand"])
+    return out.select("p_brand", "variable", "n", F.col("statistic").isNotNull().alias("tested"))

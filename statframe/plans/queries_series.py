@@ -141,6 +141,19 @@ def acf(spark, sf):
     return rounded(t.acf(_month(spark, sf), "ts", "v", ["k"], period=12).select("k", "lag", "n", "acf", "acf_sig", "bound"), 6)
 
 
+# orders by the autocorrelation: how many lags (and seasonal lags) stand out before the first that does not
+@query("acf_cutoffs", f"""
+    with s as (select k, rn, nn, v - avg(v) over (partition by k) as x from {_MPOS}),
+      l as (select a.k, cast(b.rn - a.rn as integer) as lag, sum(a.x * b.x) as c, max(a.nn) as n from s a join s b
+            on a.k = b.k and b.rn >= a.rn and b.rn - a.rn <= 24 group by 1, 2),
+      z as (select k, c as c0 from l where lag = 0),
+      f as (select l.k, lag, abs(c / c0) > 2 / sqrt(n) as sig from l join z on l.k = z.k where lag between 1 and greatest(least(36, n // 4), 24))
+    select k, cast(coalesce(min(lag) filter (where not sig) - 1, max(lag)) as integer) as q,
+      cast(coalesce(min(lag // 12) filter (where not sig and lag % 12 = 0) - 1, max(lag // 12)) as integer) as sq from f group by k""")
+def acf_cutoffs(spark, sf):
+    return t.acf(_month(spark, sf), "ts", "v", ["k"], period=12).select("k", "q", "sq").distinct()
+
+
 @query("acf_orders")
 def acf_orders(spark, sf):
     return rounded(t.acf(view(spark, sf, "series_hour"), "ts", "v", ["k"], period=24), 6)

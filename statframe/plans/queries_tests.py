@@ -283,6 +283,33 @@ def anova_two_way_closed(spark, sf):
     return rounded(out.where("source <> 'Residual'").join(F.broadcast(rest)).select("source", (F.col("ss") / F.col("rss")).alias("ss_share"), "df", "f", "np2"), 8, f=5)
 
 
+# three levels against many: the additive fit solves two equations for what is left of the three
+_THREE_BY = """(select 'r' || (o_custkey % 3) as a, o_orderpriority as b, o_totalprice as y from orders)"""
+
+
+@query("anova_two_way_three", f"""
+    with c as (select a, b, cast(count(*) as double) as n, avg(y) as m, var_samp(y) as v from {_THREE_BY} group by 1, 2),
+      t as (select sum(n) as n, sum(n * m) / sum(n) as gm, sum((n - 1) * v) as rss, count(*) as cells, count(distinct a) as ka, count(distinct b) as kb from c),
+      l as (select b, sum(n) as w, sum(n * m) / sum(n) as mb from c group by b),
+      x as (select l.b, l.w, coalesce(sum(c.n) filter (where a = 'r1'), 0) as w1, coalesce(sum(c.n) filter (where a = 'r2'), 0) as w2,
+              coalesce(sum(c.n * (c.m - mb)) filter (where a = 'r1'), 0) as r1, coalesce(sum(c.n * (c.m - mb)) filter (where a = 'r2'), 0) as r2
+            from l join c on c.b = l.b group by l.b, l.w),
+      e as (select sum(r1) as r1, sum(r2) as r2, sum(w1 - w1 * w1 / w) as s11, sum(w2 - w2 * w2 / w) as s22, sum(-w1 * w2 / w) as s12 from x),
+      d as (select (r1 * r1 * s22 - 2 * r1 * r2 * s12 + r2 * r2 * s11) / (s11 * s22 - s12 * s12) as a from e),
+      sa as (select sum(g.n * pow(g.m - gm, 2)) as ss from (select a, sum(n) as n, sum(n * m) / sum(n) as m from c group by 1) g, t),
+      sb as (select sum(l.w * pow(l.mb - gm, 2)) as ss from l, t), cells as (select sum(c.n * pow(c.m - gm, 2)) as ss from c, t),
+      r as (select 'a' as source, d.a as ss, cast(ka - 1 as double) as df from d, t
+            union all select 'b', sb.ss + d.a - sa.ss, cast(kb - 1 as double) from sa, sb, d, t
+            union all select 'a:b', cells.ss - sb.ss - d.a, cast(cells - ka - kb + 1 as double) from cells, sb, d, t)
+    select source, {rs('ss / rss', 8)} as ss_share, df, {rs('ss / df / (rss / (n - cells))', 5)} as f, {rs('ss / (ss + rss)', 8)} as np2 from r, t""")
+def anova_two_way_three(spark, sf):
+    from statframe.plans.registry import table
+    df = table(spark, sf, "orders").select(F.concat(F.lit("r"), F.col("o_custkey") % 3).alias("a"), F.col("o_orderpriority").alias("b"), F.col("o_totalprice").alias("y"))
+    out = hypothesis.anova2(df, "y", ["a", "b"])
+    rest = out.where("source = 'Residual'").select(F.col("ss").alias("rss"))
+    return rounded(out.where("source <> 'Residual'").join(F.broadcast(rest)).select("source", (F.col("ss") / F.col("rss")).alias("ss_share"), "df", "f", "np2"), 8, f=5)
+
+
 @query("anova_two_way_residual", f"""
     with c as (select a, b, count(*) as n, var_samp(y) as v from {fx('two_factor')} group by 1, 2)
     select 'Residual' as source, {rs('sum((n - 1) * v)', 2)} as ss, cast(sum(n) - count(*) as double) as df from c""")

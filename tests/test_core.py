@@ -92,11 +92,22 @@ def test_gram_narrow_and_wide(spark):
     want = np.cov(x.T) * 199
     g = core.gram(df, names)
     np.testing.assert_allclose(g.cross, want, rtol=1e-8)
-    old, core.LIMITS.product_sums = core.LIMITS.product_sums, 3
-    try:
-        np.testing.assert_allclose(core.gram(df, names).cross, want, rtol=1e-8, atol=1e-6)
-    finally:
-        core.LIMITS.product_sums = old
+
+
+def test_gram_of_two_hundred_columns_with_holes_in_one_scan(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 200)) @ rng.normal(size=(200, 200)) + rng.normal(size=200) * 1e4
+    x[::7, 3] = np.nan
+    x[5, 199] = np.nan
+    names = [f"c{k}" for k in range(200)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names)).withColumn("same", F.lit(0.1)).repartition(90)      # more tasks than merge keys
+    g = core.gram(df, [*names, "same"])
+    whole = x[~np.isnan(x).any(axis=1)]
+    assert (g.rows, g.n) == (3000, len(whole)) and (g.cross[-1] == 0).all() and g.mean[-1] == 0.1
+    np.testing.assert_allclose(g.mean[:-1], whole.mean(axis=0), rtol=1e-12)
+    np.testing.assert_allclose(g.cross[:-1, :-1], np.cov(whole.T) * (len(whole) - 1), rtol=1e-7, atol=1e-5)
+    none = core.gram(df.where("false"), names)
+    assert none.n == 0 and none.rows == 0 and np.isnan(none.mean).all()
 
 
 def test_moments_edges(spark):

@@ -136,16 +136,69 @@ def test_anova_two_way_unbalanced(spark):
     assert got["Residual"]["ss"] == pytest.approx(full)
 
 
+def _two_way_by_matrix(pdf, a, b, hc3):
+    """Type II statistics by one matrix over rows: the additive model's contrasts, in units of the residual variance or by HC3."""
+    x = [pd.get_dummies(pdf[c], dtype=float).to_numpy() for c in (a, b)]
+    cell = pd.get_dummies(pdf[a].astype(str) + "|" + pdf[b].astype(str), dtype=float).to_numpy()
+    y, n = pdf.v.to_numpy(float), cell.sum(axis=0)
+    mean = cell.T @ y / n
+    e = y - cell @ mean
+    rss, free = e @ e, len(y) - cell.shape[1]
+    var = (cell.T @ (e / (1 - 1 / (cell @ n))) ** 2) / n ** 2 if hc3 else rss / free / n
+    rows = [c.argmax(axis=0) for c in (cell, x[0], x[1])]
+    za, zb = (np.stack([z[r] for r in rows[0]]) for z in x)
+
+    def chi2(*parts):
+        z = np.column_stack(parts) / np.sqrt(var)[:, None]
+        m = mean / np.sqrt(var)
+        return ((m - z @ np.linalg.lstsq(z, m, rcond=None)[0]) ** 2).sum(), np.linalg.matrix_rank(z)
+
+    (sa, ra), (sb, rb), (sab, rab) = chi2(za), chi2(zb), chi2(za, zb)
+    out = {a: (sb - sab, rab - rb), b: (sa - sab, rab - ra), f"{a}:{b}": (sab, cell.shape[1] - rab)}
+    return {k: (s * rss / free, d) for k, (s, d) in out.items() if d}, rss, free
+
+
 @pytest.mark.parametrize("wide", [0.0, 3.0])
-def test_anova_two_way_from_margins_equals_one_matrix(spark, wide):
+@pytest.mark.parametrize("design", ["full", "gaps", "two parts"])
+def test_anova_two_way_is_one_rule_at_every_size(spark, monkeypatch, wide, design):
     rng = np.random.default_rng(12)
-    pdf = pd.DataFrame([(f"a{i}", j, i * .1 + j * .2 + rng.normal() * (1 + wide * i)) for i in range(5) for j in range(3) for _ in range(rng.integers(8, 30))],
-                       columns=["a", "b", "v"])
+    cells = [(i, j) for i in range(6) for j in range(4) if design == "full" or design == "gaps" and (i * j) % 5 != 4 or design == "two parts" and (i < 3) == (j < 2)]
+    pdf = pd.DataFrame([(f"a{i}", j, i * .1 + j * .2 + rng.normal() * (1 + wide * i)) for i, j in cells for _ in range(rng.integers(8, 30))], columns=["a", "b", "v"])
     for between in (["a", "b"], ["b", "a"]):
-        one, two = (hypothesis.anova2(sdf(spark, pdf), "v", between, dense_cells=k).toPandas().set_index("source") for k in (1000, 0))
-        assert list(one.index) == list(two.index) and (one["test"] == two["test"]).all() and ("HC3" in one["test"].iloc[0]) == (wide > 0)
-        for c in ("ss", "df", "f", "p_value", "np2"):
-            assert np.allclose(one[c].astype(float), two[c].astype(float), rtol=1e-6, atol=1e-9, equal_nan=True)
+        want, rss, free = _two_way_by_matrix(pdf, *between, wide > 0)
+        for most in (200_000, 0):                            # on arrays, and with every vector a table
+            monkeypatch.setattr(core.LIMITS, "collect_rows", most)
+            got = hypothesis.anova2(sdf(spark, pdf), "v", between).toPandas().set_index("source")
+            assert ("HC3" in got["test"].iloc[0]) == (wide > 0) and list(got.index) == [*want, "Residual"]
+            assert got.loc["Residual", "ss"] == pytest.approx(rss) and got.loc["Residual", "df"] == free
+            for k, (ss, df) in want.items():
+                assert got.loc[k, "df"] == df and got.loc[k, "ss"] == pytest.approx(ss, rel=1e-6) and got.loc[k, "f"] == pytest.approx(ss / df / (rss / free), rel=1e-6)
+
+
+def test_anova_two_way_hc3_needs_spread_in_every_cell(spark):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame([(i, j, rng.normal() * (1 + 4 * i)) for i in range(3) for j in range(3) for _ in range(20)] + [(3, j, 1.0 + j) for j in range(3)], columns=["a", "b", "v"])
+    got = hypothesis.anova2(sdf(spark, pdf), "v", ["a", "b"]).toPandas().set_index("source")
+    assert "HC3" in got["test"].iloc[0] and got.loc[["a", "b", "a:b"], "f"].isna().all() and got.loc["a:b", "df"] == 6 and got.loc["Residual", "df"] == 171
+
+
+def test_anova_two_way_of_two_thousand_by_two_thousand_levels(spark, monkeypatch):
+    monkeypatch.setattr(core.LIMITS, "collect_rows", 1000)     # every vector is a table
+    df = spark.range(60_000).selectExpr("pmod(xxhash64(id, 1), 2000) as a", "pmod(xxhash64(id, 2), 2000) as b").distinct()
+    df = df.crossJoin(spark.range(3).withColumnRenamed("id", "k")).selectExpr("a", "b", "pmod(xxhash64(a, b, k), 1000) / 100 + a * 0.001 as v")
+    got = hypothesis.anova2(df, "v", ["a", "b"]).toPandas().set_index("source")
+    pdf = df.toPandas()
+    cell = pdf.groupby(["a", "b"]).v.agg(["size", "mean"]).reset_index()
+    parts = 1                                                # 60,000 random cells link all levels
+    assert list(got["df"]) == [cell.a.nunique() - parts, cell.b.nunique() - parts, len(cell) - cell.a.nunique() - cell.b.nunique() + parts, len(pdf) - len(cell)]
+    fit = np.zeros(len(cell))                                # the additive fit by alternating means
+    for _ in range(200):
+        fit += (cell["mean"] - fit).groupby(cell.a).transform("mean")
+        fit += (cell["mean"] - fit).groupby(cell.b).transform("mean")
+    if "HC3" not in got["test"].iloc[0]:
+        assert got.loc["a:b", "ss"] == pytest.approx(3 * ((cell["mean"] - fit) ** 2).sum(), rel=1e-8)
+        only_b = cell["mean"] - cell.groupby("b")["mean"].transform("mean")
+        assert got.loc["a", "ss"] == pytest.approx(3 * (only_b ** 2).sum() - got.loc["a:b", "ss"], rel=1e-8)
 
 
 def test_anova_two_way_of_many_cells(spark):
