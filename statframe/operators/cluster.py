@@ -10,15 +10,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statframe.functions import pvalue
 from statframe.operators import core, prep
 from statframe.operators.core import col_of, div, num
-from statframe.operators.neighbours import components, distinct_points, neighbours
+from statframe.operators.neighbours import components, distinct_points, neighbours, spanning_tree
 
 SEED = 3217            # fixed value: the default seed of every random step
 SILHOUETTE_BLOCK = 2_048
@@ -32,12 +30,12 @@ def _scaled(df: DataFrame, columns: Sequence[str] | None, scaling: str | None) -
 
 @dataclass
 class KMeansFit:
-    model: object
     data: DataFrame           # scaled columns plus the label
     columns: list[str]
-    centers: np.ndarray
+    centers: np.ndarray       # in order of their coordinates; a label is a place in it
     inertia: float
     label: str
+    passes: int = 0           # over the rows, for all runs together
 
     def center_frame(self) -> DataFrame:
         rows = [{"cluster": i, "variable": c, "center": v} for i, row in enumerate(self.centers) for c, v in zip(self.columns, row)]
@@ -45,38 +43,123 @@ class KMeansFit:
 
 
 def _vectors(scaled: DataFrame, cols: list[str]) -> DataFrame:
-    """The rows with their vector, cached for the runs of k-means; the caller releases them."""
-    return VectorAssembler(inputCols=cols, outputCol="_f", handleInvalid="error").transform(scaled).persist()
+    """The rows with their point ``_f``, cached for the runs of k-means; the caller releases them."""
+    return scaled.withColumn("_f", F.array(*[num(c) for c in cols])).persist()
 
 
-def _fit(vec: DataFrame, cols: list[str], k: int, seed: int, n_init: int, label: str) -> KMeansFit:
-    runs = [KMeans(k=k, seed=seed + i, featuresCol="_f", predictionCol="_raw", maxIter=300, tol=1e-6).fit(vec) for i in range(n_init)]
-    model = min(runs, key=lambda m: m.summary.trainingCost)
-    centers = np.array([c for c in model.clusterCenters()])
-    order = sorted(range(len(centers)), key=lambda i: tuple(centers[i]))
-    place = {old: new for new, old in enumerate(order)}
-    renumber = F.array(*[F.lit(place[i]) for i in range(len(centers))])
-    data = model.transform(vec).withColumn(label, renumber[F.col("_raw")]).drop("_f", "_raw")
-    return KMeansFit(model, data, cols, centers[order], float(model.summary.trainingCost), label)
+def _matrix(column) -> np.ndarray:
+    flat = column.flatten()
+    if column.null_count or flat.null_count:
+        raise ValueError("rows have missing values")
+    return np.asarray(flat, float).reshape(len(column), -1)
+
+
+def _first_centers(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++: each further centre is the best of a few points drawn by their squared distance to the centres so far."""
+    chosen = [sample[rng.integers(len(sample))]]
+    near = ((sample - chosen[0]) ** 2).sum(axis=1)
+    for _ in range(k - 1):
+        if near.sum() <= 0:
+            chosen.append(chosen[0])
+            continue
+        drawn = rng.choice(len(sample), 2 + int(math.log(k)), p=near / near.sum())
+        left = [np.minimum(near, ((sample - sample[i]) ** 2).sum(axis=1)) for i in drawn]
+        best = int(np.argmin([v.sum() for v in left]))
+        chosen.append(sample[drawn[best]])
+        near = left[best]
+    return np.array(chosen)
+
+
+def _lloyd(points: DataFrame, starts: list[np.ndarray], most: int = 300, tolerance: float = 1e-6) -> tuple[list[np.ndarray], np.ndarray, int]:
+    """(centres, inertia of each run, passes): all runs go over the rows together, those that stand still drop out.
+
+    A task multiplies its rows with the centres of all runs at once and returns the sums of each cluster. An empty cluster keeps its centre.
+    """
+    width, shift = starts[0].shape[1], starts[0].mean(axis=0)
+    centers = [c - shift for c in starts]
+
+    def pass_over(active: list[int]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+        now = [centers[r] for r in active]
+        stacked, ends = np.concatenate(now), np.cumsum([len(c) for c in now])
+        square = (stacked * stacked).sum(axis=1)
+
+        def sums(batch) -> np.ndarray:
+            total = np.zeros(len(stacked) * (width + 1) + len(now))
+            for at in range(0, batch.num_rows, 4096):
+                x = _matrix(batch.column(0).slice(at, 4096)) - shift
+                d = square - 2 * x @ stacked.T
+                own, out = (x * x).sum(axis=1), total[:-len(now)].reshape(-1, width + 1)
+                for r, (a, b) in enumerate(zip(ends - [len(c) for c in now], ends)):
+                    label = d[:, a:b].argmin(axis=1)
+                    member = np.zeros((len(x), b - a))
+                    member[np.arange(len(x)), label] = 1.0
+                    out[a:b, :width] += member.T @ x
+                    out[a:b, width] += member.sum(axis=0)
+                    total[len(total) - len(now) + r] += np.maximum(0, own + d[np.arange(len(x)), a + label]).sum()
+            return total
+
+        total = core.sum_vectors(points, sums, len(stacked) * (width + 1) + len(now))
+        table = total[:-len(now)].reshape(-1, width + 1)
+        return [(table[b - len(c):b, :width], table[b - len(c):b, width], float(cost)) for c, b, cost in zip(now, ends, total[-len(now):])]
+
+    active, passes = list(range(len(starts))), 0
+    while active and passes < most - 1:
+        passes += 1
+        still = []
+        for r, (total, count, _) in zip(active, pass_over(active)):
+            new = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], centers[r])
+            if np.sqrt(((new - centers[r]) ** 2).sum(axis=1)).max() > tolerance:
+                still.append(r)
+            centers[r] = new
+        active = still
+    inertia = [cost for _, _, cost in pass_over(list(range(len(starts))))]
+    return [c + shift for c in centers], np.array(inertia), passes + 1
+
+
+#: Rows from which the first centres are drawn.
+START_ROWS = 20_000
+
+
+def _runs(data: DataFrame, ks: Sequence[int], seed: int, n_init: int) -> tuple[dict[int, tuple[np.ndarray, float]], int]:
+    """(best centres in order, inertia) for each k from ``n_init`` runs of each, all in the same passes; and the number of passes."""
+    points = data.select("_f")
+    n = points.count()
+    if not n:
+        raise ValueError("no rows")
+    head = points if n <= START_ROWS else points.sample(min(1.0, 1.2 * START_ROWS / n), seed).limit(START_ROWS)
+    sample = _matrix(head.toArrow()["_f"].combine_chunks())
+    sample = sample[np.lexsort(sample.T[::-1])]
+    starts = [_first_centers(sample, k, np.random.default_rng(seed + i)) for k in ks for i in range(n_init)]
+    centers, inertia, passes = _lloyd(points, starts)
+    out = {}
+    for j, k in enumerate(ks):
+        own = range(j * n_init, (j + 1) * n_init)
+        best = min(own, key=lambda r: (inertia[r], r))
+        out[k] = (np.array(sorted(centers[best].tolist())), float(inertia[best]))
+    return out, passes
+
+
+def _labelled(data: DataFrame, centers: np.ndarray, label: str) -> DataFrame:
+    """``data`` with the place of the nearest centre instead of ``_f``; of equally near ones the first."""
+    square = (centers * centers).sum(axis=1)
+
+    @F.pandas_udf("int")
+    def nearest(f: pd.Series) -> pd.Series:
+        x = np.stack(f.to_list()) if len(f) else np.zeros((0, centers.shape[1]))
+        return pd.Series((square - 2 * x @ centers.T).argmin(axis=1), dtype="int32")
+
+    return data.withColumn(label, nearest("_f")).drop("_f")
 
 
 def kmeans(df: DataFrame, k: int, columns: Sequence[str] | None = None, scaling: str | None = "standard",
            label: str = "cluster", seed: int = SEED, n_init: int = 10) -> KMeansFit:
-    """Best of ``n_init`` seeded runs; clusters are numbered by their centres."""
+    """Best of ``n_init`` seeded runs, which pass over the rows together; clusters are numbered by their centres."""
     scaled, cols = _scaled(df, columns, scaling)
     vec = _vectors(scaled, cols)
-    out = _fit(vec, cols, k, seed, n_init, label)
-    out.data = out.model.transform(VectorAssembler(inputCols=cols, outputCol="_f").transform(scaled)).join(
-        F.broadcast(_numbering(out)), "_raw").drop("_f", "_raw")
+    found, passes = _runs(vec, [k], seed, n_init)
     vec.unpersist()
-    return out
-
-
-def _numbering(fit: KMeansFit) -> DataFrame:
-    """Spark's cluster number and ours: one row per cluster."""
-    raw = np.array([c for c in fit.model.clusterCenters()])
-    order = sorted(range(len(raw)), key=lambda i: tuple(raw[i]))
-    return core.rows_frame(fit.data.sparkSession, [{"_raw": old, fit.label: new} for new, old in enumerate(order)], f"_raw int, {fit.label} int")
+    centers, inertia = found[k]
+    return KMeansFit(_labelled(scaled.withColumn("_f", F.array(*[num(c) for c in cols])), centers, label), cols, centers, inertia, label, passes)
 
 
 # ----------------------------------------------------------------- silhouette
@@ -204,6 +287,57 @@ def knee(x: Sequence[float], y: Sequence[float], direction: str, sensitivity: fl
     return None
 
 
+def _shapes(points: DataFrame, centers: list[np.ndarray]) -> list[dict]:
+    """``silhouette_summary`` of the squared form for several sets of centres: one pass for the clusters' moments, one for the coefficients."""
+    width, ends = centers[0].shape[1], np.cumsum([len(c) for c in centers])
+    begins, shift = ends - [len(c) for c in centers], centers[0].mean(axis=0)
+    stacked = np.concatenate(centers) - shift
+    square = (stacked * stacked).sum(axis=1)
+
+    def labels(x: np.ndarray) -> list[np.ndarray]:
+        d = square - 2 * x @ stacked.T
+        return [d[:, a:b].argmin(axis=1) for a, b in zip(begins, ends)]
+
+    def moments(batch) -> np.ndarray:
+        x = _matrix(batch.column(0)) - shift
+        out = np.zeros((len(stacked), width + 2))
+        whole = np.column_stack([x, (x * x).sum(axis=1), np.ones(len(x))])
+        for a, own in zip(begins, labels(x)):
+            np.add.at(out, a + own, whole)
+        return out.ravel()
+
+    table = core.sum_vectors(points.select("_f"), moments, len(stacked) * (width + 2)).reshape(len(stacked), width + 2)
+    count = table[:, -1]
+    mean, spread = table[:, :width] / np.maximum(count, 1)[:, None], table[:, width] / np.maximum(count, 1)
+
+    def areas(batch) -> np.ndarray:
+        x = _matrix(batch.column(0)) - shift
+        rows, out = np.arange(len(x)), np.zeros(len(stacked))
+        away = np.maximum(0, (x * x).sum(axis=1)[:, None] + spread - 2 * x @ mean.T)
+        for a, b, own in zip(begins, ends, labels(x)):
+            size = count[a:b]
+            m = np.where(size > 0, away[:, a:b], np.inf)
+            inside = m[rows, own] * size[own] / np.maximum(size[own] - 1, 1)
+            m[rows, own] = np.inf
+            outside = m.min(axis=1)
+            most = np.maximum(inside, outside)
+            s = np.where((size[own] <= 1) | (most == 0), 0.0, (outside - inside) / np.where(most == 0, 1, most))
+            np.add.at(out, a + own, s)
+        return out
+
+    area, rows = core.sum_vectors(points.select("_f"), areas, len(stacked)), []
+    for a, b in zip(begins, ends):
+        some = count[a:b] > 0
+        own, size, k = area[a:b][some], count[a:b][some], int(some.sum())
+        if k < 2:
+            rows.append(dict.fromkeys(("score", "total_area", "thickness", "min_relative_area", "balance")))
+            continue
+        total, thickness = own.sum(), size.max() / size.min()
+        rel = own.min() / total * k if total > 0 else 0.0
+        rows.append({"score": total / size.sum(), "total_area": total, "thickness": thickness, "min_relative_area": rel, "balance": total / size.sum() * rel / thickness})
+    return rows
+
+
 def best_k(df: DataFrame, ks: Sequence[int] | None = None, columns: Sequence[str] | None = None,
            scaling: str | None = "standard", seed: int = SEED, n_init: int = 10, sensitivity: float = 0.01,
            method: str = "squared") -> tuple[dict, DataFrame]:
@@ -214,10 +348,11 @@ def best_k(df: DataFrame, ks: Sequence[int] | None = None, columns: Sequence[str
     ks = sorted(ks or range(2, 11))
     scaled, cols = _scaled(df, columns, scaling)
     data, rows = _vectors(scaled.select(*cols), cols), []
-    for k in ks:
-        m = _fit(data, cols, k, seed, n_init, "cluster")
-        s = silhouette_summary(silhouette(m.data, cols, "cluster", method), "cluster").first()
-        rows.append({"k": k, "inertia": round(m.inertia, 4), **{
+    found, _ = _runs(data, ks, seed, n_init)
+    shapes = _shapes(data, [found[k][0] for k in ks]) if method == "squared" else [
+        silhouette_summary(silhouette(_labelled(data, found[k][0], "cluster"), cols, "cluster", method), "cluster").first().asDict() for k in ks]
+    for k, s in zip(ks, shapes):
+        rows.append({"k": k, "inertia": round(found[k][1], 4), **{
             c: None if s[c] is None else round(s[c], 4) for c in ("score", "total_area", "thickness", "min_relative_area", "balance")}})
     data.unpersist()
     for prev, r in zip(rows, rows[1:]):
@@ -236,7 +371,8 @@ def best_k_elbow(df: DataFrame, ks: Sequence[int] | None = None, columns: Sequen
     ks = sorted(ks or range(2, 11))
     scaled, cols = _scaled(df, columns, scaling)
     data = _vectors(scaled.select(*cols), cols)
-    inertia = [_fit(data, cols, k, seed, n_init, "cluster").inertia for k in ks]
+    found, _ = _runs(data, ks, seed, n_init)
+    inertia = [found[k][1] for k in ks]
     data.unpersist()
     rows = [{"k": k, "inertia": round(v, 4), "drop": None if i == 0 else round(inertia[i - 1] - v, 4)}
             for i, (k, v) in enumerate(zip(ks, inertia))]
@@ -276,13 +412,46 @@ def _merge_tree(x: np.ndarray, w: np.ndarray, linkage: str, metric: str = "eucli
     return out
 
 
+def single_linkage(df: DataFrame, columns: Sequence[str], k: int | None = None, distance_threshold: float | None = None, label: str = "cluster",
+                   metric: str = "euclidean") -> tuple[DataFrame, DataFrame, float | None]:
+    """Labelled rows, tree rows ``step, child1, child2, distance, size``, height of the cut; exact over the distinct points of all rows.
+
+    The minimum spanning tree, its edges in ascending order, is the dendrogram: row ``step`` joins what points ``child1`` and ``child2`` (numbers
+    of distinct points in order of their coordinates) belong to by then; ``size`` is missing. Clusters are what stays connected up to the
+    threshold, or without the k - 1 longest edges; they are numbered by their first point. Copies are one point. Rows with a missing
+    coordinate have no label.
+    """
+    space = _space(df, list(columns), metric)
+    distinct = space.data.where("_x is not null").select(F.col("_x").alias("x")).distinct().withColumn("one", F.lit(1))
+    points = core.checkpoint(core.cumulate(core.checkpoint(distinct), [], ["x"], ["one"]).select(F.col("one_before").cast("long").alias("pid"), "x"))
+    n = points.count()
+    order = ["d", "a", "b"]
+    tree = spanning_tree(points, space.p)
+    tree = core.checkpoint(core.cumulate(tree.select("a", "b", space.outward(F.col("d")).alias("d")).withColumn("one", F.lit(1)), [], order, ["one"])
+                           .select(F.col("one_before").cast("int").alias("step"), F.col("a").alias("child1"), F.col("b").alias("child2"), F.col("d").alias("distance"),
+                                   F.lit(None).cast("double").alias("size"))) if n > 1 else core.rows_frame(
+        df.sparkSession, [], "step int, child1 long, child2 long, distance double, size double")
+    kept = tree.where(F.col("distance") <= distance_threshold) if k is None else tree.where(F.col("step") < n - k)
+    if k is None:
+        cut = float(distance_threshold)
+    else:
+        around = {r["step"]: r["distance"] for r in tree.where(F.col("step").isin(n - k - 1, n - k)).collect()}
+        low, high = around.get(n - k - 1), around.get(n - k)
+        cut = (low + high) / 2 if None not in (low, high) else None if low is None else low * 1.05
+    roots = core.checkpoint(components(kept.select(F.col("child1").alias("a"), F.col("child2").alias("b")), points.select(F.col("pid").alias("node"))))
+    first = core.cumulate(roots.select("root").distinct().withColumn("one", F.lit(1)), [], ["root"], ["one"]).select("root", F.col("one_before").cast("int").alias("_c"))
+    labels = points.join(roots.join(first, "root").select(F.col("node").alias("pid"), "_c"), "pid").select(F.col("x").alias("_x"), "_c")
+    out = space.data.join(labels, "_x", "left").select(*[space.data[c] for c in df.columns], F.col("_c").alias(label))
+    return out, tree, cut
+
+
 def agglomerative(df: DataFrame, k: int | None = None, distance_threshold: float | None = None,
                   columns: Sequence[str] | None = None, scaling: str | None = "standard", linkage: str = "ward",
                   label: str = "cluster", micro: int = 200, seed: int = SEED,
                   metric: str = "euclidean") -> tuple[DataFrame, DataFrame, float | None]:
-    """Merge tree over weighted micro-clusters: labelled rows, tree rows, height of the cut.
+    """Merge tree: labelled rows, tree rows, height of the cut.
 
-    The tree is built over ``micro`` centres that condense the rows with the least squared error, weighted by their rows: k-means on Spark,
+    ``single`` linkage is exact over all rows (``single_linkage``). Other trees are over weighted micro-clusters: the tree is built over ``micro`` centres that condense the rows with the least squared error, weighted by their rows: k-means on Spark,
     or the distinct rows themselves where there are no more of them than centres (their error is 0, which no other choice undercuts).
     """
     if metric not in ("euclidean", "manhattan", "cosine") or (linkage == "ward" and metric != "euclidean"):
@@ -292,6 +461,8 @@ def agglomerative(df: DataFrame, k: int | None = None, distance_threshold: float
     if (k is None) == (distance_threshold is None):
         raise ValueError("give either k or distance_threshold")
     scaled, cols = _scaled(df, columns, scaling)
+    if linkage == "single":
+        return single_linkage(scaled, cols, k, distance_threshold, label, metric)
     data = scaled.persist()
     head = data.select(*cols).groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).limit(micro + 1).collect()
     if len(head) <= micro:
@@ -301,8 +472,9 @@ def agglomerative(df: DataFrame, k: int | None = None, distance_threshold: float
                                 ", ".join(f"{c} double" for c in cols) + ", _micro int")
         labelled = core.attach(data, table, cols)
     else:
-        fit = _fit(_vectors(data, cols), cols, micro, seed, 1, "_micro")
-        labelled, centers = fit.data, fit.centers
+        vec = _vectors(data, cols)
+        centers = _runs(vec, [micro], seed, 1)[0][micro][0]
+        labelled = _labelled(vec, centers, "_micro")
         size = {r["_micro"]: r["count"] for r in labelled.groupBy("_micro").count().collect()}
         weights = np.array([size.get(i, 0) for i in range(len(centers))], dtype=float)
         weights[weights == 0] = 1e-9
@@ -401,7 +573,7 @@ def best_eps(df: DataFrame, row_id: str, min_samples: int = 5, columns: Sequence
     return (None if at is None else float(got[at]["v"])), curve.select(F.col("cnt_before").alias("rank_from"), "cnt", F.col("value").alias("distance"))
 
 
-#: Coordinates by which cells are dealt into zones; 3 ** ZONE_AXES neighbours each.
+#: Principal axes by which cells are dealt into zones; 3 ** ZONE_AXES neighbours each.
 ZONE_AXES = 3
 
 
@@ -410,8 +582,8 @@ def dbscan(df: DataFrame, row_id: str, eps: float = 0.5, min_samples: int = 5, c
     """Density clusters: ``label`` (-1 noise), ``vector`` core / border / noise; both missing for rows with a missing coordinate.
 
     A point is core when its ``min_samples``-th neighbour lies within eps.  Core points of one cell always belong together, so cells are
-    the graph's nodes; two cells are linked by testing bounding boxes that shrink until they decide, never by pairing their points.  A
-    border point has fewer than ``min_samples`` neighbours, so its core neighbours are in the list the neighbour search returned.
+    the graph's nodes; the neighbours found so far link most of them. Two cells still apart are linked by testing bounding boxes that shrink
+    until they decide, never by pairing their points.  A border point has fewer than ``min_samples`` neighbours, so its core neighbours are in the list the neighbour search returned.
     Clusters are numbered by their first core row.
     """
     cols = list(columns or [c for c in core.numeric_columns(df) if c != row_id])
@@ -424,8 +596,17 @@ def dbscan(df: DataFrame, row_id: str, eps: float = 0.5, min_samples: int = 5, c
     cores = near.where("is_core").select("pid", "x", F.transform("x", lambda e: F.floor(e / side)).alias("cell"))
     cells = cores.groupBy("cell").agg(F.min("pid").alias("node"))
     cores = core.checkpoint(cores.join(cells, "cell").select("pid", "node", "x"))
-    edges = _cell_edges(cores, d, eps, side, space.p)
-    roots = components(edges, cores.select("node").distinct())
+    node = cores.select("pid", "node")
+    known = (near.where("is_core").select("pid", F.explode("near").alias("n")).where(F.col("n.dist") <= eps).select("pid", F.col("n.pid").alias("to"))
+             .join(node, "pid").join(node.select(F.col("pid").alias("to"), F.col("node").alias("b")), "to").select(F.col("node").alias("a"), "b").where("a <> b").distinct())
+    nodes = cores.select("node").distinct()
+    roots = core.checkpoint(components(known, nodes))
+    edges = _cell_edges(cores, d, eps, side, space.p, roots)
+    if not edges.isEmpty():
+        far = edges.join(roots.withColumnRenamed("node", "a"), "a").select("b", F.col("root").alias("a")).join(
+            roots.withColumnRenamed("node", "b"), "b").select("a", F.col("root").alias("b"))
+        over = components(far, roots.select(F.col("root").alias("node")).distinct())
+        roots = roots.join(over.select(F.col("node").alias("root"), F.col("root").alias("_top")), "root").select("node", F.col("_top").alias("root"))
     first = core.cumulate(roots.select("root").distinct().withColumn("one", F.lit(1)), [], ["root"], ["one"])
     number = roots.join(first, "root").select("node", F.col("one_before").cast("int").alias("_c"))
     core_label = core.checkpoint(cores.select("pid", "node").join(number, "node").select("pid", "_c"))
@@ -458,20 +639,23 @@ def _boxes(cores: DataFrame, d: int, width: float | None, parent: float | None,
         F.array(*[F.max(F.get("x", F.lit(i))) for i in range(d)]).alias(f"{tag}_hi"))
 
 
-def _cell_edges(cores: DataFrame, d: int, eps: float, side: float, p: int) -> DataFrame:
-    """Pairs of cells that hold core points within eps of each other.
+def _cell_edges(cores: DataFrame, d: int, eps: float, side: float, p: int, roots: DataFrame) -> DataFrame:
+    """Pairs of cells of different components (``node, root``) that hold core points within eps of each other.
 
-    Cells meet in zones of the few coordinates with the widest spread: the low corners of two linked cells differ by eps and a side at most.
+    Cells meet in zones along the few directions in which the points vary most: a cell's box is no wider than eps, so the middles of two
+    linked cells are 2 eps apart at most, along any direction.
     """
-    a, b = (_boxes(cores, d, None, None, t) for t in "ab")
-    spread = cores.agg(*[F.var_samp(F.get("x", F.lit(i))).alias(f"s{i}") for i in range(d)]).first()
-    axes = sorted(range(d), key=lambda i: (-(spread[f"s{i}"] or 0.0), i))[:ZONE_AXES]
-    coarse = lambda t: [F.floor(F.get(f"{t}_lo", F.lit(i)) / (eps + side)) for i in axes]
+    a, b = (_boxes(cores, d, None, None, t).join(roots.select(F.col("node").alias(f"{t}_node"), F.col("root").alias(f"{t}_root")), f"{t}_node") for t in "ab")
+    spread = core.gram(cores, {f"x{i}": F.get("x", F.lit(i)) for i in range(d)}).cross
+    axes = np.linalg.eigh(spread)[1][:, ::-1][:, :min(ZONE_AXES, d)].T
+    middle = lambda t: F.zip_with(f"{t}_lo", f"{t}_hi", lambda u, v: (u + v) / 2)
+    along = lambda t, axis: F.aggregate(F.zip_with(middle(t), F.array(*[F.lit(float(v)) for v in axis]), lambda u, v: u * v), F.lit(0.0), lambda s, e: s + e)
+    coarse = lambda t: [F.floor(along(t, axis) / (2 * eps * (1 + 1e-9))) for axis in axes]
     steps = [F.struct(*[F.lit(s).cast("long").alias(f"o{i}") for i, s in enumerate(c)])
              for c in itertools.product((-1, 0, 1), repeat=len(axes))]
-    spread_out = a.withColumn("_off", F.explode(F.array(*steps))).select("*", F.array(*[
-        c + F.col(f"_off.o{i}") for i, c in enumerate(coarse("a"))]).alias("_zone"))
-    pairs = spread_out.join(b.withColumn("_zone", F.array(*coarse("b"))), "_zone").where("a_node < b_node")
+    own = core.checkpoint(a.withColumn("_at", F.array(*coarse("a"))))
+    spread_out = own.withColumn("_off", F.explode(F.array(*steps))).withColumn("_zone", F.array(*[F.col("_at")[i] + F.col(f"_off.o{i}") for i in range(len(axes))])).drop("_off", "_at")
+    pairs = spread_out.join(b.withColumn("_zone", F.array(*coarse("b"))), "_zone").where("a_node < b_node and a_root <> b_root")
     edges, width = None, None
     least, most = _gaps(p)
     while True:

@@ -1,23 +1,29 @@
 """Exact nearest neighbours of distinct points without emitting all pairs.
 
-A k-d partition is cut from a bounded sample (it only places boundaries), every
-leaf finds neighbours among its own points, and a point visits another leaf
-only if that leaf's bounding box is closer than the neighbours it already has.
+Points are turned to their principal axes (euclidean) and dealt into zones by a k-d partition whose cuts come from a bounded sample. A zone with more
+rows than a leaf holds is cut again from a sample of its own, so leaves keep their size however many points there are. Every leaf finds
+neighbours among its own points; a point visits another leaf only if that leaf's box and ball are closer than the neighbours it already has.
+The driver and the tasks hold the bounds of zones, at most ``ZONES`` of them; bounds of leaves stay with their zone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+import math
+from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statframe.operators import core
 
-LEAF_ROWS = 1_000
+LEAF_ROWS = 4_000
 SAMPLE_ROWS = 40_000
+ZONES = 4_000
 QUERY_ROWS = 20_000       # queries of one leaf handled by one task
 
 
@@ -88,16 +94,27 @@ def _norm(gap: np.ndarray, p: int, axis: int = 1) -> np.ndarray:
 
 def _nearest(q: np.ndarray, x: np.ndarray, cnt: np.ndarray, pid: np.ndarray, k: int, p: int = 2):
     """For each query the points that make up its k nearest rows (copies counted): lists of (dist, pid, cnt)."""
-    out = []
+    out, m = [], min(k, len(x))
+    squares = (x * x).sum(axis=1)
     for lo in range(0, len(q), 512):
-        d = _distances(q[lo:lo + 512], x, p)
-        m = min(k, d.shape[1])
-        near = np.argpartition(d, m - 1, axis=1)[:, :m]
-        for row, idx in zip(d, near):
-            idx = idx[np.argsort(row[idx], kind="stable")]
-            total = np.cumsum(cnt[idx])
-            keep = idx[: int(np.searchsorted(total, k)) + 1]
-            out.append([(float(row[i]), int(pid[i]), int(cnt[i])) for i in keep])
+        part = q[lo:lo + 512]
+        if p == 2 and x.shape[1] > 4:
+            # one product of matrices finds who may be among the nearest; their distances are then taken coordinate by coordinate
+            own = (part * part).sum(axis=1)
+            rough = own[:, None] + squares - 2 * part @ x.T
+            slack = 1e-12 * (own + squares.max())
+            least = np.partition(rough, m - 1, axis=1)[:, m - 1] + 2 * slack
+            rows = [np.flatnonzero(r <= limit) for r, limit in zip(rough, least)]
+            found = [(idx, _norm(x[idx] - at, 2)) for at, idx in zip(part, rows)]
+        else:
+            d = _distances(part, x, p)
+            near = np.argpartition(d, m - 1, axis=1)[:, :m]
+            found = [(idx, row[idx]) for row, idx in zip(d, near)]
+        for idx, d in found:
+            order = np.lexsort((pid[idx], d))
+            idx, d = idx[order], d[order]
+            keep = slice(0, int(np.searchsorted(np.cumsum(cnt[idx]), k)) + 1)
+            out.append([(float(v), int(pid[i]), int(cnt[i])) for i, v in zip(idx[keep], d[keep])])
     return out
 
 
@@ -110,66 +127,304 @@ def _kth(items: list, k: int) -> float:
     return float("inf")
 
 
-def neighbours(points: DataFrame, k: int, p: int = 2) -> DataFrame:
-    """Add ``near`` (the distinct points behind the k nearest rows, self included) and ``kdist``; ``p``: 2 euclidean, 1 manhattan."""
-    n = points.count()
-    leaves = max(1, min(n // LEAF_ROWS, SAMPLE_ROWS // 8))
-    sample = points.select("x").sample(min(1.0, SAMPLE_ROWS / max(n, 1)), seed=7).limit(2 * SAMPLE_ROWS).toPandas()
-    nodes = _cuts(_stack(sample["x"]) if len(sample) else np.zeros((0, 1)), leaves)
+class Axes:
+    """Where points lie: their principal axes and the zones cut from a sample. Turned points only bound distances, which are taken unturned."""
 
-    @F.pandas_udf("long")
-    def leaf(x: pd.Series) -> pd.Series:
-        return pd.Series(_leaf_of(nodes, _stack(x)) if len(x) else [], dtype="int64")
+    def __init__(self, sample: np.ndarray, p: int, zones: int):
+        width = sample.shape[1]
+        self.p, self.turn = p, np.eye(width)
+        if p == 2 and len(sample) > 1 and width > 1:
+            self.turn = np.linalg.eigh(np.cov(sample.T))[1][:, ::-1]
+        self.nodes = _cuts(sample @ self.turn, zones)
+
+    def zone(self, x: np.ndarray) -> np.ndarray:
+        return _leaf_of(self.nodes, x @ self.turn)
+
+
+class Bounds:
+    """Boxes and balls of groups of turned points: names, corners, centres, radii."""
+
+    def __init__(self, rows: pd.DataFrame, names: list[str], p: int):
+        self.names = rows[names].to_numpy() if len(rows) else np.zeros((0, len(names)), np.int64)
+        self.low, self.high, self.centre = (_stack(rows[c]) if len(rows) else np.zeros((0, 1)) for c in ("lo", "hi", "centre"))
+        self.radius, self.p = rows["radius"].to_numpy(float), p
+
+    def within(self, x: np.ndarray, radius: np.ndarray) -> Iterator[np.ndarray]:
+        """For each turned point the groups that may hold a point within its radius."""
+        slack = 1e-9 * (1 + (np.abs(self.centre).max() if self.centre.size else 0))
+        for at, reach in zip(x, radius):
+            box = _norm(np.maximum(0, np.maximum(self.low - at, at - self.high)), self.p)
+            ball = _norm(self.centre - at, self.p) - self.radius
+            yield np.flatnonzero(np.maximum(box, ball) <= reach + slack)
 
-    placed = core.checkpoint(points.withColumn("leaf", leaf("x")))
 
-    def box(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = _stack(pdf["x"])
-        return pd.DataFrame({"leaf": pdf["leaf"].iloc[:1], "lo": [x.min(axis=0)], "hi": [x.max(axis=0)]})
+def _bound(x: np.ndarray, p: int) -> dict:
+    centre = x.mean(axis=0)
+    return {"lo": [x.min(axis=0)], "hi": [x.max(axis=0)], "centre": [centre], "radius": [float(_norm(x - centre, p).max())]}
 
-    boxes = placed.groupBy("leaf").applyInPandas(box, "leaf long, lo array<double>, hi array<double>").toPandas()
-    box_id = boxes["leaf"].to_numpy()
-    low, high = (_stack(boxes[c]) if len(boxes) else np.zeros((0, 1)) for c in ("lo", "hi"))
+
+_BOUND = "lo array<double>, hi array<double>, centre array<double>, radius double"
+
+
+def _placed(points: DataFrame, axes: Axes) -> DataFrame:
+    """``pid, x, cnt, zone, leaf``: zones of more than ``LEAF_ROWS`` points are cut into leaves from samples of their own."""
+    @F.pandas_udf("long")
+    def zone(x: pd.Series) -> pd.Series:
+        return pd.Series(axes.zone(_stack(x)) if len(x) else [], dtype="int64")
+
+    zoned = core.checkpoint(points.select("pid", "x", "cnt").withColumn("zone", zone("x")))
+    sizes = {r["zone"]: r["n"] for r in zoned.groupBy("zone").agg(F.count("*").alias("n")).collect()}      # a row per zone
+    large = {z: -(-n // LEAF_ROWS) for z, n in sizes.items() if n > 2 * LEAF_ROWS}
+    if not large:
+        return zoned.withColumn("leaf", F.lit(0).cast("long"))
+
+    # rows of a zone pass through one task after its sample, which makes the tree; only the sample is held
+    share = core.rows_frame(points.sparkSession, [{"zone": z, "leaves": k, "share": min(1.0, 12.0 * k / sizes[z])} for z, k in large.items()], "zone long, leaves long, share double")
+    own = zoned.join(F.broadcast(share), "zone")              # a row per zone
+    draw = F.pmod(F.xxhash64("pid"), F.lit(1 << 20)) < F.col("share") * (1 << 20)
+    kinds = own.where(draw).withColumn("kind", F.lit(0)).unionByName(own.withColumn("kind", F.lit(1)))
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, tree = None, [], None
+        for batch in batches:
+            number, kind, leaves = (np.asarray(batch.column(c)) for c in (3, 5, 4))
+            x = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1) @ axes.turn
+            leaf, starts = np.zeros(len(x), np.int64), np.flatnonzero(np.r_[True, (number[1:] != number[:-1]) | (kind[1:] != kind[:-1])])
+            for a, b in zip(starts, [*starts[1:], len(x)]):
+                if number[a] != at:
+                    at, held, tree = number[a], [], None
+                if kind[a] == 0:
+                    held.append(x[a:b])
+                else:
+                    if tree is None:
+                        tree = _cuts(np.concatenate(held) if held else x[:0], int(leaves[a]))
+                    leaf[a:b] = _leaf_of(tree, x[a:b])
+            keep = pa.array(kind == 1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(keep) for c in range(4)), pa.array(leaf).filter(keep)], ["pid", "x", "cnt", "zone", "leaf"])
+
+    fine = (kinds.select("pid", "x", "cnt", "zone", "leaves", "kind").repartition("zone").sortWithinPartitions("zone", "kind")
+            .mapInArrow(cut, "pid long, x array<double>, cnt long, zone long, leaf long"))
+    rest = zoned.where(~F.col("zone").isin(*large)).withColumn("leaf", F.lit(0).cast("long"))
+    return core.checkpoint(fine.unionByName(rest))
+
+
+@dataclass
+class Index:
+    """Points dealt into zones and leaves, with the bounds of both."""
+
+    axes: Axes
+    placed: DataFrame          # pid, x, cnt, zone, leaf
+    p: int
+    n: int
+
+    @classmethod
+    def of(cls, points: DataFrame, p: int) -> Index:
+        n = points.count()
+        sample = points.select("x").sample(min(1.0, SAMPLE_ROWS / max(n, 1)), seed=7).limit(2 * SAMPLE_ROWS).toPandas()
+        axes = Axes(_stack(sample["x"]) if len(sample) else np.zeros((0, 1)), p, max(1, min(n // LEAF_ROWS, ZONES)))
+        return cls(axes, _placed(points, axes), p, n)
+
+    @property
+    def single(self) -> bool:
+        return len(self.axes.nodes) == 1 and self.n <= 2 * LEAF_ROWS
+
+    @functools.cached_property
+    def leaves(self) -> DataFrame:
+        axes, p = self.axes, self.p
+
+        def box(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"zone": pdf["zone"].iloc[:1], "leaf": pdf["leaf"].iloc[:1], **_bound(_stack(pdf["x"]) @ axes.turn, p)})
+
+        return core.checkpoint(self.placed.groupBy("zone", "leaf").applyInPandas(box, f"zone long, leaf long, {_BOUND}"))
+
+    @functools.cached_property
+    def zones(self) -> Bounds:
+        p = self.p
+
+        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+            centre = _stack(pdf["centre"])
+            middle = centre.mean(axis=0)
+            return pd.DataFrame({"zone": pdf["zone"].iloc[:1], "leaf": len(pdf), "lo": [_stack(pdf["lo"]).min(axis=0)], "hi": [_stack(pdf["hi"]).max(axis=0)], "centre": [middle],
+                                 "radius": [float((_norm(centre - middle, p) + pdf["radius"].to_numpy()).max())]})
+
+        return Bounds(self.leaves.groupBy("zone").applyInPandas(whole, f"zone long, leaf long, {_BOUND}").toPandas(), ["zone", "leaf"], p)      # a row per zone
+
+    def reach(self, asking: DataFrame) -> DataFrame:
+        """``pid, zone, leaf, x``: the leaves within ``radius`` of each of ``pid, x, radius, home`` but for the one called ``home`` (``zone:leaf``)."""
+        axes, p, zones = self.axes, self.p, self.zones
+
+        # a point asks the zones in its reach, and there the leaves
+        def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    x = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1)
+                    home = [h.split(":")[0] for h in batch.column(3).to_pylist()]
+                    to = [[int(z) for z, size in zones.names[idx] if str(z) != h or size > 1] for h, idx in zip(home, zones.within(x @ axes.turn, np.asarray(batch.column(2))))]
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(to, pa.list_(pa.int64()))], ["pid", "x", "radius", "home", "to"])
+
+        asks = (asking.select("pid", "x", "radius", "home").mapInArrow(route, "pid long, x array<double>, radius double, home string, to array<long>")
+                .select("pid", "home", "x", "radius", F.explode("to").alias("zone")))
+
+        def choose(pdf: pd.DataFrame, here: pd.DataFrame) -> pd.DataFrame:
+            inside = Bounds(here, ["leaf"], p)
+            own = (pdf["zone"].astype(str) + ":").to_numpy()
+            to = [[int(v) for v in inside.names[idx, 0] if f"{z}{v}" != h] for z, h, idx in zip(own, pdf["home"], inside.within(_stack(pdf["x"]) @ axes.turn, pdf["radius"].to_numpy()))]
+            return pd.DataFrame({"pid": pdf["pid"], "x": pdf["x"], "zone": pdf["zone"], "leaf": to}).explode("leaf").dropna(subset=["leaf"]).astype({"leaf": "int64"})
+
+        return core.checkpoint(_by_zone(asks, self.leaves, choose))
+
+    def serve(self, asks: DataFrame, extra: DataFrame, columns: list[str], search, schema: str) -> DataFrame:
+        """``search(askers, points)`` for each leaf that was asked; ``extra`` adds ``columns`` to the points by pid. A leaf with many askers is served
+        by several tasks, each with its own copy of the leaf's points."""
+        load = asks.groupBy("zone", "leaf").agg(F.count(F.lit(1)).alias("_n")).withColumn("_parts", F.ceil(F.col("_n") / QUERY_ROWS))
+        queries = core.attach(asks, load, ["zone", "leaf"]).withColumn("salt", F.pmod(F.xxhash64("pid"), F.col("_parts"))).select(*asks.columns, "salt")
+        points = core.attach(extra, load, ["zone", "leaf"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+        points = points.select(F.col("zone").alias("of_zone"), F.col("leaf").alias("of_leaf"), F.col("salt").alias("of_salt"), F.col("pid").alias("of_pid"), F.col("x").alias("of_x"), *columns)
+        empty = [part.split()[0] for part in schema.split(", ")]
+
+        def visit(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({c: [] for c in empty}) if q.empty or s.empty else search(q, s)
+
+        return queries.groupBy("zone", "leaf", "salt").cogroup(points.groupBy("of_zone", "of_leaf", "of_salt")).applyInPandas(visit, schema)
+
+
+def neighbours(points: DataFrame, k: int, p: int = 2, index: Index | None = None) -> DataFrame:
+    """Add ``near`` (the distinct points behind the k nearest rows, self included), ``kdist`` and ``visits`` (leaves searched); ``p``: 2 euclidean, 1 manhattan."""
+    index = index or Index.of(points, p)
     item = "array<struct<dist:double,pid:long,cnt:long>>"
+    named = lambda found: [[{"dist": d, "pid": i, "cnt": c} for d, i, c in f] for f in found]
 
     def own(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, cnt, pid = _stack(pdf["x"]), pdf["cnt"].to_numpy(), pdf["pid"].to_numpy()
-        found = _nearest(x, x, cnt, pid, k, p)
-        radius = np.array([_kth(f, k) for f in found])
-        me = pdf["leaf"].iloc[0]
-        gap = np.maximum(0, np.maximum(low - x.max(axis=0), x.min(axis=0) - high))
-        close = np.flatnonzero((_norm(gap, p) <= radius.max()) & (box_id != me))
-        visit = []
-        for at, rad in zip(x, radius):
-            away = np.maximum(0, np.maximum(low[close] - at, at - high[close]))
-            visit.append(box_id[close[_norm(away, p) <= rad]].tolist())
-        return pd.DataFrame({"pid": pid, "found": [[{"dist": d, "pid": i, "cnt": c} for d, i, c in f] for f in found], "visit": visit})
-
-    first = core.checkpoint(placed.groupBy("leaf").applyInPandas(own, f"pid long, found {item}, visit array<long>"))
-    # a leaf with many visitors is served by several tasks, each with its own copy of the leaf's points
-    asks = first.select("pid", F.explode("visit").alias("leaf"))
-    load = asks.groupBy("leaf").agg(F.count(F.lit(1)).alias("_n")).withColumn("_parts", F.ceil(F.col("_n") / QUERY_ROWS))
-    asks = (core.attach(asks, load, ["leaf"]).withColumn("salt", F.pmod(F.xxhash64("pid"), F.col("_parts")))
-            .join(placed.select("pid", "x"), "pid").select("pid", "leaf", "salt", "x"))
-    served = (core.attach(placed, load, ["leaf"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
-              .select(F.col("leaf").alias("of_leaf"), F.col("salt").alias("of_salt"), F.col("pid").alias("of_pid"), "cnt",
-                      F.col("x").alias("of_x")))
+        found = _nearest(*(_stack(pdf["x"]),) * 2, pdf["cnt"].to_numpy(), pdf["pid"].to_numpy(), k, p)
+        return pd.DataFrame({"pid": pdf["pid"], "home": pdf["zone"].astype(str) + ":" + pdf["leaf"].astype(str), "x": pdf["x"], "found": named(found), "radius": [_kth(f, k) for f in found]})
+
+    first = index.placed.groupBy("zone", "leaf").applyInPandas(own, f"pid long, home string, x array<double>, found {item}, radius double")
+    if index.single:                                          # one leaf: nothing to visit
+        return _merged(points, first.select("pid", "found").withColumn("visits", F.lit(1).cast("long")), k)
+    first = core.checkpoint(first)
 
     def visit(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or s.empty:
-            return pd.DataFrame({"pid": [], "found": []})
-        found = _nearest(_stack(q["x"]), _stack(s["of_x"]), s["cnt"].to_numpy(), s["of_pid"].to_numpy(), k, p)
-        return pd.DataFrame({"pid": q["pid"], "found": [[{"dist": d, "pid": i, "cnt": c} for d, i, c in f] for f in found]})
+        return pd.DataFrame({"pid": q["pid"], "found": named(_nearest(_stack(q["x"]), _stack(s["of_x"]), s["cnt"].to_numpy(), s["of_pid"].to_numpy(), k, p))})
 
-    more = asks.groupBy("leaf", "salt").cogroup(served.groupBy("of_leaf", "of_salt")).applyInPandas(visit, f"pid long, found {item}")
+    more = index.serve(index.reach(first), index.placed, ["cnt"], visit, f"pid long, found {item}")
     every = first.select("pid", "found").unionByName(more)
-    # a point visits few leaves, so its candidate list is k times that number at most
-    merged = every.groupBy("pid").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
+    # what a point found in each leaf it visited: k times that number of candidates
+    merged = every.groupBy("pid").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"), F.count("*").alias("visits"))
+    return _merged(points, merged, k)
+
+
+#: Points up to which a spanning tree is grown point by point on arrays.
+SMALL_TREE = 5_000
+
+
+def spanning_tree(points: DataFrame, p: int = 2, k: int = 16) -> DataFrame:
+    """``a, b, d``: the edges of the minimum spanning tree of distinct points ``pid, x`` (a < b; of equally long edges those with smaller pids).
+
+    Borůvka's rounds. A component's shortest edge is known from its members' neighbour lists if it is shorter than the distance to which
+    all of these lists reach. When no component's is, all but the largest search the leaves within the best distance known so far. Up to
+    ``SMALL_TREE`` points the tree grows on arrays.
+    """
+    points = core.checkpoint(points.select("pid", "x").withColumn("cnt", F.lit(1).cast("long")))
+    n = points.count()
+    if n <= SMALL_TREE:
+        rows = points.orderBy("pid").toPandas()
+        edges = _grown_tree(rows["pid"].to_numpy(), _stack(rows["x"]) if n else np.zeros((0, 1)), p)
+        return core.rows_frame(points.sparkSession, [{"a": a, "b": b, "d": d} for a, b, d in edges], "a long, b long, d double")
+    index = Index.of(points, p)
+    near = core.checkpoint(neighbours(points, k, p, index).select("pid", "x", "near", "kdist"))
+    lists = near.select(F.col("pid").alias("a"), F.explode("near").alias("n")).select("a", F.col("n.pid").alias("b"), F.col("n.dist").alias("d")).where("a <> b")
+    part, tree = core.checkpoint(points.select("pid", F.col("pid").alias("part"))), None
+    edge = F.struct("d", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    while True:
+        of = lambda c: part.select(F.col("pid").alias(c), F.col("part").alias(f"p{c}"))
+        seen = lists.join(of("a"), "a").join(of("b"), "b").where("pa <> pb").groupBy(F.col("pa").alias("part")).agg(F.min(edge).alias("e"))
+        known = near.join(part, "pid").groupBy("part").agg(F.min("kdist").alias("reach"), F.count("*").alias("size"), F.min(F.struct("pid", "x")).alias("head"))
+        state = core.checkpoint(known.join(seen, "part", "left"))
+        if state.count() <= 1:
+            return tree
+        sure = state.where("e.d < reach").select("e.*")
+        if sure.isEmpty():
+            sure = _outside(index, near, part, state, edge, p)
+        new = core.checkpoint(sure.distinct())
+        tree = new if tree is None else core.checkpoint(tree.unionByName(new))
+        joined = new.join(of("a"), "a").join(of("b"), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
+        roots = components(joined, state.select(F.col("part").alias("node")))
+        part = core.checkpoint(part.join(roots.withColumnRenamed("node", "part"), "part").select("pid", F.col("root").alias("part")))
+
+
+def _outside(index: Index, near: DataFrame, part: DataFrame, state: DataFrame, edge, p: int) -> DataFrame:
+    """Shortest edges that leave the components, all but the largest, from a search of the leaves within the best distance known."""
+    largest = state.orderBy(F.desc("size"), "part").first()["part"]
+    heads = state.orderBy(F.desc("size"), "part").select("part", "head.x").limit(1_000).toPandas()       # a bound for components without any edge so far
+    names, at = heads["part"].to_numpy(), _stack(heads["x"])
+
+    @F.pandas_udf("double")
+    def away(x: pd.Series, own: pd.Series) -> pd.Series:
+        gaps = [np.where(names == o, np.inf, _norm(at - v, p)).min() for v, o in zip(_stack(x), own)] if len(x) else []
+        return pd.Series(gaps, dtype="float64")
+
+    radius = state.where(F.col("part") != largest).select("part", F.least(F.coalesce("e.d", F.lit(math.inf)), away("head.x", "part")).alias("radius"))
+    asking = near.select("pid", "x").join(part, "pid").join(radius, "part").select("pid", "x", "radius", F.lit("").alias("home"), "part")
+    asks = index.reach(asking).join(asking.select("pid", "part", "radius"), "pid")
+
+    def search(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        x, own, pid = _stack(s["of_x"]), s["of_part"].to_numpy(), s["of_pid"].to_numpy()
+        rows = {}
+        for at, me, mine, most in zip(_stack(q["x"]), q["pid"], q["part"], q["radius"]):
+            d = np.where(own == mine, np.inf, _norm(x - at, p))
+            low = d.min()
+            if low <= most:
+                rows[mine] = min([(float(low), min(me, int(o)), max(me, int(o))) for o in pid[d == low]] + ([rows[mine]] if mine in rows else []))
+        return pd.DataFrame([(k, *v) for k, v in rows.items()], columns=["part", "d", "a", "b"])
+
+    placed = index.placed.join(part.withColumnRenamed("part", "of_part"), "pid")
+    found = index.serve(asks, placed, ["of_part"], search, "part long, d double, a long, b long")
+    return found.groupBy("part").agg(F.min(F.struct("d", "a", "b")).alias("e")).select("e.*")
+
+
+def _grown_tree(pid: np.ndarray, x: np.ndarray, p: int) -> list[tuple[int, int, float]]:
+    """Prim's tree over points in order of pid."""
+    n, out = len(pid), []
+    if n < 2:
+        return out
+    best, of, left = np.full(n, np.inf), np.zeros(n, np.int64), np.ones(n, bool)
+    at = 0
+    for _ in range(n - 1):
+        left[at] = False
+        d = _norm(x - x[at], p)
+        low, high = np.minimum(np.arange(n), at), np.maximum(np.arange(n), at)
+        old_low, old_high = np.minimum(np.arange(n), of), np.maximum(np.arange(n), of)
+        closer = left & ((d < best) | (d == best) & ((low < old_low) | (low == old_low) & (high < old_high)))
+        best[closer], of[closer] = d[closer], at
+        open_ = np.flatnonzero(left)
+        ties = open_[best[open_] == best[open_].min()]
+        at = int(min(ties, key=lambda i: (min(i, of[i]), max(i, of[i]))))
+        a, b = sorted((int(pid[at]), int(pid[of[at]])))
+        out.append((a, b, float(best[at])))
+    return out
+
+
+def _by_zone(asks: DataFrame, leaves: DataFrame, choose) -> DataFrame:
+    """``choose`` over blocks of askers of a zone with the bounds of the zone's leaves; the bounds travel once per block of askers."""
+    load = asks.groupBy("zone").agg(F.ceil(F.count("*") / QUERY_ROWS).alias("_parts"))
+    salted = core.attach(asks, load, ["zone"]).withColumn("salt", F.pmod(F.xxhash64("pid"), F.col("_parts"))).select("pid", "home", "x", "radius", "zone", "salt")
+    here = (core.attach(leaves, load, ["zone"]).withColumn("of_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+            .select(F.col("zone").alias("of_zone"), "of_salt", "leaf", "lo", "hi", "centre", "radius"))
+
+    def run(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty or own.empty:
+            return pd.DataFrame({"pid": [], "x": [], "zone": [], "leaf": []})
+        return choose(pdf, own)
+
+    return salted.groupBy("zone", "salt").cogroup(here.groupBy("of_zone", "of_salt")).applyInPandas(run, "pid long, x array<double>, zone long, leaf long")
+
+
+def _merged(points: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """The k nearest rows among sorted candidates ``pid, found, visits``."""
     before = F.expr("transform(found, (f, i) -> aggregate(slice(found, 1, i), 0L, (a, g) -> a + g.cnt))")
-    merged = merged.withColumn("_before", before).withColumn("near", F.expr(f"filter(found, (f, i) -> _before[i] < {k})"))
+    merged = found.withColumn("_before", before).withColumn("near", F.expr(f"filter(found, (f, i) -> _before[i] < {k})"))
     total = F.expr("aggregate(near, 0L, (a, g) -> a + g.cnt)")
-    merged = merged.select("pid", "near", F.when(total >= k, F.expr("near[size(near) - 1].dist")).alias("kdist"))
-    return points.join(merged, "pid")
+    return points.join(merged.select("pid", "near", F.when(total >= k, F.expr("near[size(near) - 1].dist")).alias("kdist"), "visits"), "pid")
 
 
 def _join_up(edges: list[tuple[int, int]]) -> dict[int, int]:

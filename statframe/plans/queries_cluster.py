@@ -178,6 +178,57 @@ def merge_tree(spark, sf):
     return _tree(spark, sf)[1].agg(F.round(F.max("size"), 3).alias("rows"))
 
 
+# Ward's heights: half their squares add up to the squared distances from the mean, when every distinct row is a leaf
+_SIZES = "(select p_size, avg(p_retailprice) as x, cast(count(*) as double) as y from part group by p_size)"
+
+
+@query("merge_tree_heights", f"""
+    select count(*) - 1 as merges, {rs('sum(pow(x - mx, 2) + pow(y - my, 2))', 4)} as squares
+    from {_SIZES}, (select avg(x) as mx, avg(y) as my from {_SIZES})""")
+def merge_tree_heights(spark, sf):
+    sizes = table(spark, sf, "part").groupBy("p_size").agg(F.avg("p_retailprice").alias("x"), F.count("*").cast("double").alias("y"))
+    tree = cluster.agglomerative(sizes, k=3, columns=["x", "y"], scaling=None)[1]
+    return rounded(tree.agg(F.count("*").alias("merges"), F.sum(F.col("distance") * F.col("distance") / 2).alias("squares")), 4)
+
+
+# single linkage is connection up to the threshold; clusters touch here
+_LINK = 1.09
+
+
+@query("single_linkage_labels", f"""
+    with recursive p as (select *, row_number() over (order by v) as pos from {_P}),
+      e as (select a.pos as i, b.pos as j from p a join p b on a.pos <> b.pos and list_distance(a.v, b.v) <= {_LINK}),
+      r as (select pos as i, pos as root from p union select e.j, r.root from r join e on e.i = r.i where r.root < e.j),
+      c as (select i, min(root) as root from r group by i)
+    select vec_id, cast(dense_rank() over (order by root) - 1 as integer) as cluster from p join c on c.i = p.pos""")
+def single_linkage_labels(spark, sf):
+    out = cluster.agglomerative(_points(spark, sf), distance_threshold=_LINK, columns=AXES, scaling=None, linkage="single")[0]
+    return out.select("vec_id", "cluster")
+
+
+# labels lie along a line, far from each other: the longest edges of the tree join neighbouring labels at their closest points
+@query("single_linkage_heights", f"""
+    with l as (select label, lead(label) over (order by label) as next from (select distinct label from embeddings))
+    select {rs('d', 7)} as distance from (select min(list_distance(a.v, b.v)) as d from l join {_S} a on a.label = l.label join {_S} b on b.label = l.next group by l.label)""")
+def single_linkage_heights(spark, sf):
+    k = table(spark, sf, "embeddings").select("label").distinct().count()
+    tree = cluster.agglomerative(_points(spark, sf, 2), k=k, columns=AXES, scaling=None, linkage="single")[1]
+    return rounded(tree.orderBy(F.desc("step")).limit(k - 1).select("distance"), 7)
+
+
+# with a cluster per label the best inertia is what the labels' rows differ from their means
+@query("k_search_inertia", f"""
+    with u as (select vec_id, label, unnest(range(0, {DIMS})) as c, unnest(v) as x from {_S}),
+      one as (select sum(pow(x - m, 2)) as s from (select x, avg(x) over (partition by c) as m from u)),
+      own as (select sum(pow(x - m, 2)) as s from (select x, avg(x) over (partition by c, label) as m from u)),
+      n as (select count(distinct label) as k from embeddings)
+    select 1 as k, {rs('one.s', 3)} as inertia, cast(null as double) as "drop" from one
+    union all select cast(n.k as integer), {rs('own.s', 3)}, {rs('one.s - own.s', 3)} from one, own, n""")
+def k_search_inertia(spark, sf):
+    k = table(spark, sf, "embeddings").select("label").distinct().count()
+    return rounded(cluster.best_k_elbow(_points(spark, sf, 2), [1, k], AXES, None)[1], 3)
+
+
 @query("persona", f"""
     select c_mktsegment, count(*) as size, {rs('100.0 * count(*) / (select count(*) from customer)', 1)} as pct, 'c_acctbal' as variable,
       {rs('avg(c_acctbal)', 3)} as mean, {rs('median(c_acctbal)', 3)} as median from customer group by 1""")
