@@ -22,18 +22,22 @@ PAIR_SCHEMA = ("x string, y string, method string, coef double, p_value double,
 def rank_columns(df: DataFrame, cols: Sequence[str], out: str = "_r_", rows: int | None = None) -> DataFrame:
     """Add the average rank of each column's value as ``<out><col>``.
 
-    All columns are counted and ranked in one pass; each rank table then joins
-    on the value, broadcast while it is small.
+    All columns are counted and ranked in one pass. Rank tables that are small are broadcast; otherwise the values of all columns meet their ranks
+    in one join of long rows, which come back together by row.
     """
     cols = list(cols)
     long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), num(c).alias("value")) for c in cols])))
     table = core.checkpoint(core.value_ranks(long, "value", ["variable"], rows=rows).select("variable", "value", "rank"))
     size = {r["variable"]: r["count"] for r in table.groupBy("variable").count().collect()}
+    if max(size.values(), default=0) > core.LIMITS.broadcast_rows:
+        keyed = core.checkpoint(df.withColumn("_rid", F.monotonically_increasing_id()))
+        long = keyed.select("_rid", F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), num(c).alias("value")) for c in cols])))
+        back = long.join(table, ["variable", "value"]).groupBy("_rid").agg(*[F.max(F.when(F.col("variable") == c, F.col("rank"))).alias(f"{out}{c}") for c in cols])
+        return keyed.join(back, "_rid", "left").drop("_rid")
     result = df
     for c in cols:
         side = table.where(F.col("variable") == c).select(F.col("value").alias("_v"), F.col("rank").alias(f"{out}{c}"))
-        side = F.broadcast(side) if size.get(c, 0) <= core.LIMITS.broadcast_rows else side
-        result = result.join(side, num(c) == F.col("_v"), "left").drop("_v")
+        result = result.join(F.broadcast(side), num(c) == F.col("_v"), "left").drop("_v")      # counted above
     return result
 
 

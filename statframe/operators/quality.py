@@ -179,12 +179,13 @@ def _sketched_summary(df: DataFrame, cols: list[str], by: list[str]) -> DataFram
             F.struct(F.lit(c).alias("variable"), F.col("_rows").alias("rows"), *[F.col(f"_{i}_{k}").alias(k) for k in core._MOMENT_FIELDS], F.col(f"_{i}_s").alias("sketch"))
             for i, c in enumerate(part)]))))
     stats = functools.reduce(DataFrame.unionByName, parts)
-    some, rank = F.col("n") > 0, lambda at: F.kll_sketch_get_rank_double("sketch", at)
-    stats = stats.withColumn("_q", F.when(some, F.kll_sketch_get_quantile_double("sketch", F.array(F.lit(.25), F.lit(.5), F.lit(.75)))))
-    stats = stats.withColumns({f"q{q}": F.get("_q", F.lit(i)) for i, q in enumerate((25, 50, 75))})
+    # quartiles, and a thousand evenly spaced quantiles of which those beyond a fence are counted
+    ranks = [.25, .5, .75, *[(j + 0.5) / 1000 for j in range(1000)]]
+    stats = stats.withColumn("_q", F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("sketch", F.array(*[F.lit(p) for p in ranks]))))
+    stats = stats.withColumns({f"q{q}": F.get("_q", F.lit(i)) for i, q in enumerate((25, 50, 75))}).withColumn("_q", F.slice("_q", 4, 1000))
     reach = 1.5 * (F.col("q75") - F.col("q25"))
-    counted = lambda share: F.coalesce(F.when(some, F.round(F.col("n") * share)), F.lit(0)).cast("long")
-    return _describe(stats.withColumns({"upper_outliers": counted(1 - rank(F.col("q75") + reach)), "lower_outliers": counted(rank(F.col("q25") - reach))}), by)
+    counted = lambda beyond: F.coalesce(F.round(F.col("n") * F.size(F.filter("_q", beyond)) / 1000), F.lit(0)).cast("long")
+    return _describe(stats.withColumns({"upper_outliers": counted(lambda v: v > F.col("q75") + reach), "lower_outliers": counted(lambda v: v < F.col("q25") - reach)}), by)
 
 
 def _grouped_summary(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from statframe.operators import sarima
 from statframe.operators import timeseries as t
 from statframe.plans.registry import fx, query, rounded, rs, view
 
@@ -179,6 +180,28 @@ def arima_grid(spark, sf):
     return rounded(t.arima_grid(_month(spark, sf), "ts", "v", ["k"], s=12).drop("long_ar", "ar", "ma", "ar_lags", "ma_lags"))
 
 
+@query("sarima_refined")
+def sarima_refined(spark, sf):
+    df = _month(spark, sf)
+    best = t.core.checkpoint(t.best_orders(t.arima_grid(df, "ts", "v", ["k"], s=12)))
+    return rounded(sarima.refine(df, "ts", "v", best, ["k"]).select("k", "p", "d", "q", "sp", "sd", "sq", "params", "n", "aic"), 3)
+
+
+# residuals of (0.4 | 0.3)(0.2 | -0.5)12 for the series less its first value: 13 residuals back, from nothing before
+@query("sarima_residual_sums", f"""
+    with recursive w as (select k, rn, v - first_value(v) over (partition by k order by rn) as w from {_MPOS}),
+      u as (select k, rn, w - 0.4 * lag(w, 1) over s - 0.2 * lag(w, 12) over s + 0.08 * lag(w, 13) over s as u from w window s as (partition by k order by rn)),
+      r as (select k, cast(13 as bigint) as rn, [0.0::double for i in range(13)] as es, 0.0::double as css from u where rn = 1
+            union all select r.k, u.rn, list_append(es[2:], u - 0.3 * es[13] + 0.5 * es[2] + 0.15 * es[1]), css + pow(u - 0.3 * es[13] + 0.5 * es[2] + 0.15 * es[1], 2)
+              from r join u on u.k = r.k and u.rn = r.rn + 1)
+    select k, max(rn) - 13 as n, {rs('max(css)', 2)} as css from r group by k""")
+def sarima_residual_sums(spark, sf):
+    from pyspark.sql import Window
+    df = _month(spark, sf)
+    df = df.withColumn("v", F.col("v") - F.first("v").over(Window.partitionBy("k").orderBy("ts")))      # a few years of months per series
+    return rounded(sarima.residual_sums(df, "ts", "v", [0.4, 0.3, 0.2, -0.5], (1, 1), (1, 1), 12, ["k"]), 2)
+
+
 @query("arima_forecast")
 def arima_forecast(spark, sf):
     df = _month(spark, sf)

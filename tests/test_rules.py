@@ -7,7 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from statframe.operators import cluster, core, frames, hypothesis, logit, ols
+from statframe.functions import dist
+from statframe.operators import cluster, core, frames, hypothesis, logit, neighbours, ols, quality
 from statframe.operators import timeseries as ts
 
 
@@ -157,3 +158,92 @@ def test_sums_in_several_jobs_are_the_same(spark):
     df = sdf(spark, pd.DataFrame(rng.normal(size=(60, 30)), columns=[f"c{i}" for i in range(30)]))
     g = core.gram(df, df.columns)
     np.testing.assert_allclose(g.cross, np.cov(df.toPandas().to_numpy().T) * 59, atol=1e-9)
+
+
+def test_sketches_merge_and_keep_their_ranks(spark):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"g": rng.integers(0, 2, 20_000), "x": rng.exponential(size=20_000), "none": np.nan, "late": np.r_[np.full(19_000, np.nan), rng.normal(size=1000)]})
+    df = sdf(spark, pdf).repartition(7)
+    halves = [quality.sketch(df.where(f"g = {k}"), ["x", "none", "late"]) for k in (0, 1)]
+    probs = [0.01, 0.25, 0.5, 0.9, 0.999]
+    got = {r["variable"]: r for r in quality.sketch_quantiles(quality.merge_sketches(*halves), probs).collect()}
+    assert set(got) == {"x", "late"} and got["x"]["n"] == 20_000 and got["late"]["n"] == 1000 and got["x"]["max"] == pdf.x.max()
+    for p, q in zip(probs, got["x"]["q"]):
+        assert abs((pdf.x <= q).mean() - p) < 0.004
+    by = quality.merge_sketches(quality.sketch(df, ["x"], ["g"]), quality.sketch(df, ["x"], ["g"]), by=["g"]).collect()
+    assert sorted((r["g"], r["n"]) for r in by) == sorted((g, 2 * int((pdf.g == g).sum())) for g in (0, 1))
+    exact, rough = (quality.numerical_summary(df, ["x", "none"], approx=a).toPandas().set_index("variable") for a in (False, True))
+    for c in ("count", "mean", "std", "min", "max", "skew", "kurt"):
+        np.testing.assert_allclose(rough.loc["x", c], exact.loc["x", c], rtol=1e-9)
+    for c in ("q25", "q50", "q75"):
+        assert abs((pdf.x <= rough.loc["x", c]).mean() - int(c[1:]) / 100) < 0.004
+    assert abs(rough.loc["x", "upper_outliers"] - exact.loc["x", "upper_outliers"]) < 0.004 * 20_000 and rough.loc["none", "count"] == 0
+    assert quality.numerical_summary(df, ["x"], by=["g"], approx=True).count() == 2
+
+
+def test_shapiro_of_small_groups_only(spark):
+    rng = np.random.default_rng(4)
+    pdf = pd.concat([pd.DataFrame({"g": g, "x": rng.normal(size=n)}) for g, n in (("few", 12), ("many", 40), ("two", 2), ("same", 0))] + [pd.DataFrame({"g": "same", "x": [1.0] * 5})])
+    got = quality.shapiro(sdf(spark, pdf), ["x"], ["g"]).toPandas().set_index("g")
+    w, p = dist.shapiro_wilk(pdf[pdf.g == "few"].x)
+    assert got.loc["few", "statistic"] == pytest.approx(w) and got.loc["few", "p_value"] == pytest.approx(p)
+    assert got.loc[["many", "two", "same"], "statistic"].isna().all() and got.loc["many", "n"] == 40
+
+
+def test_leaves_keep_their_size_beyond_the_zones(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LEAF_ROWS", 10)
+    monkeypatch.setattr(neighbours, "ZONES", 3)
+    monkeypatch.setattr(neighbours, "QUERY_ROWS", 50)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([c + rng.normal(size=(60, 5)) * 0.2 for c in rng.normal(size=(6, 5)) * 5])
+    df = sdf(spark, pd.DataFrame(x, columns=list("abcde")).assign(id=range(len(x))))
+    points = neighbours.distinct_points(df.select("id", F.array(*"abcde").alias("x")), "x", "id")
+    index = neighbours.Index.of(points, 2)
+    sizes = [r["n"] for r in index.placed.groupBy("zone", "leaf").agg(F.count("*").alias("n")).collect()]
+    assert index.placed.select("zone").distinct().count() <= 3 and max(sizes) <= 40 and sum(sizes) == len(x)
+    got = neighbours.neighbours(points, 4, 2, index).select("pid", "kdist", "visits").toPandas().sort_values("pid")
+    d = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), axis=1)[:, 3]
+    np.testing.assert_allclose(got["kdist"], d, atol=1e-9)
+    assert got["visits"].mean() < 0.6 * len(sizes)              # most leaves are never searched
+
+
+def test_spanning_tree_over_leaves_is_the_tree_point_by_point(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(70, 3)), 40 + rng.normal(size=(50, 3)), [[100.0, 0, 0]], np.round(rng.normal(size=(30, 3)))])
+    df = sdf(spark, pd.DataFrame(x, columns=list("abc")))
+    want = sorted(e[2] for e in neighbours._grown_tree(np.arange(len(np.unique(x, axis=0))), np.unique(x, axis=0), 2))
+    labelled, tree, cut = cluster.single_linkage(df, list("abc"), k=3)
+    monkeypatch.setattr(neighbours, "SMALL_TREE", 10)
+    monkeypatch.setattr(neighbours, "LEAF_ROWS", 25)
+    again, tree2, cut2 = cluster.single_linkage(df, list("abc"), k=3)
+    for t in (tree, tree2):
+        rows = t.orderBy("step").toPandas()
+        np.testing.assert_allclose(rows["distance"], want, atol=1e-12)
+    assert cut == pytest.approx(cut2) and sorted(r["count"] for r in labelled.groupBy("cluster").count().collect()) == sorted(r["count"] for r in again.groupBy("cluster").count().collect()) == [1, 50, 100]
+    assert {tuple(r) for r in labelled.collect()} == {tuple(r) for r in again.collect()}
+
+
+def test_all_runs_of_k_means_share_their_passes(spark):
+    rng = np.random.default_rng(10)
+    x = np.concatenate([c + rng.normal(size=(80, 2)) * 0.3 for c in ([0, 0], [5, 0], [0, 6])])
+    df = sdf(spark, pd.DataFrame(x, columns=["x", "y"]))
+    data = cluster._vectors(df.select("x", "y"), ["x", "y"])
+    found, passes = cluster._runs(data, [1, 2, 3], 1, 4)
+    own = np.repeat([0, 1, 2], 80)
+    assert passes <= 60 and found[1][1] == pytest.approx(((x - x.mean(axis=0)) ** 2).sum())
+    assert found[3][1] == pytest.approx(sum(((x[own == k] - x[own == k].mean(axis=0)) ** 2).sum() for k in range(3)))
+    table = cluster.best_k(df, [2, 3], ["x", "y"], None, n_init=2)[1].toPandas().set_index("k")
+    for k in (2, 3):
+        fit = cluster.kmeans(df, k, ["x", "y"], None, n_init=2)
+        s = cluster.silhouette_summary(cluster.silhouette(fit.data, ["x", "y"], "cluster"), "cluster").first()
+        assert fit.passes < 60 and all(table.loc[k, c] == pytest.approx(s[c], abs=1e-4) for c in ("score", "total_area", "thickness", "min_relative_area", "balance"))
+
+
+def test_goodness_of_fit_for_given_shares_and_any_number_of_levels(spark):
+    df = spark.createDataFrame([(v,) for v, n in (("a", 18), ("b", 30), ("c", 12)) for _ in range(n)] + [(None,)], "v string")
+    assert hypothesis.chi2_gof(df, "v").first()["chi2"] == pytest.approx(((18 - 20) ** 2 + 100 + 64) / 20, abs=1e-4)
+    r = hypothesis.chi2_gof(df, "v", [0.5, 0.25, 0.25], ["b", "a", "c"]).first()
+    assert r["chi2"] == pytest.approx(0 + 9 / 15 + 9 / 15, abs=1e-4) and r["dof"] == 2 and r["assumption"]
+    assert hypothesis.chi2_gof(df, "v", [15, 30, 15]).first()["chi2"] == pytest.approx(0.6 + 0.6, abs=1e-4)
+    many = spark.range(30_000).selectExpr("id % 10000 as v")
+    assert hypothesis.chi2_gof(many, "v").first()["chi2"] == 0 and hypothesis.chi2_gof(many, "v").first()["dof"] == 9999
