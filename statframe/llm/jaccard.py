@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statframe.llm.common import keep
+from statframe.llm.common import free, keep, slices
 from statframe.llm.graph import components
+from statframe.llm.links import and_end, apart, confirmed, may_link, merged, need, sketch_of, stored, texts_of, within
 from statframe.llm.words import mix, shingle_sets
 
 #: Shingles are counted in so many hashed buckets; the counts only order them (any order gives the same links).
@@ -34,19 +35,14 @@ SCAN = 9
 LIGHT_MOST = 24
 #: Classes of copies with at least 1/HOT of all documents (so at most HOT of them) enter lists only once.
 HOT = 4096
-BLOCK = 1024
+#: Rows of a list that are compared with others in one task, and texts of a group that are compared in one task.
+BLOCK = 512
+GROUP = 256
 #: A sorted list of at least so many postings is scanned in pieces; its head goes along, so the pieces give what the whole list gives.
 PIECE = 1 << 16
-#: Hashed classes of shingles in a sketch. Two sets differ by at least the sum of the differences of their counts.
-CLASSES = 256
 _ROW = "kind int, token long, a long, n int, pos int, b long, m int"
 
 
-def _need(a, b, num: int, den: int):
-    """Shared shingles that link sets of a and b: the least c with den * c >= num * (a + b - c)."""
-    return -(-num * (a + b) // (num + den))
-
-
 def _fits(a, b, num: int, den: int):
     return np.minimum(a, b) * den >= num * np.maximum(a, b)
 
@@ -62,7 +58,7 @@ def _partners(n: int, num: int, den: int) -> range:
 
 def subsets(n: int, num: int, den: int) -> int:
     """Subsets that a light set of n enumerates."""
-    return sum(comb(n, _need(n, b, num, den)) for b in _partners(n, num, den) if _need(n, b, num, den) <= n)
+    return sum(comb(n, need(n, b, num, den)) for b in _partners(n, num, den) if need(n, b, num, den) <= n)
 
 
 def boundary(sizes: dict[int, int], num: int, den: int) -> int:
@@ -84,29 +80,6 @@ def _signature(s: np.ndarray) -> int:
         return int(mix(np.array([mix(s).sum() + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
-def _sketch(s: np.ndarray) -> bytes:
-    """Shingles in each hashed class; counts beyond 255 are cut, which only weakens the bound."""
-    return np.minimum(np.bincount((mix(s) >> np.uint64(56)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8).tobytes()
-
-
-def _may_link(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Whether pairs of sketches (rows) leave room for enough shared shingles."""
-    out = np.zeros(len(x), bool)
-    for a in range(0, len(x), 1 << 14):
-        part = slice(a, a + (1 << 14))
-        apart = np.abs(x[part].astype(np.int16) - y[part]).sum(axis=1, dtype=np.int64)
-        both = n[part].astype(np.int64) + m[part]
-        out[part] = (both - apart) // 2 >= _need(both, 0, num, den)
-    return out
-
-
-def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
-    both = np.concatenate([x, y])
-    both.sort()
-    shared = int((both[1:] == both[:-1]).sum())
-    return shared * (num + den) >= num * (len(x) + len(y))
-
-
 def _batch(**columns) -> pa.RecordBatch:
     n = max(len(v) for v in columns.values() if v is not None)
     kinds = {"kind": pa.int32(), "token": pa.int64(), "a": pa.int64(), "n": pa.int32(), "pos": pa.int32(), "b": pa.int64(), "m": pa.int32()}
@@ -176,7 +149,7 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
                     continue
                 if n <= light:
                     for b in _partners(n, num, den):
-                        lo, hi, c = min(n, b), max(n, b), _need(n, b, num, den)
+                        lo, hi, c = min(n, b), max(n, b), need(n, b, num, den)
                         if c <= lo and hi <= light:
                             sums = np.array([sum(x) % 2**64 for x in combinations(mix(s).tolist(), c)], np.uint64)
                             put(mix(sums + np.uint64((lo << 20) + (hi << 8) + 3)).view(np.int64), sig, n, np.full(len(sums), -1 if lo == hi else -2 if n == lo else -3, np.int32))
@@ -190,12 +163,12 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
 
     def good(n, p, m, q):
         """Size bound, and the position bound: what can be shared from the first common shingle on."""
-        return _fits(n, m, num, den) & (np.minimum(n - p, m - q) >= _need(n, m, num, den))
+        return _fits(n, m, num, den) & (np.minimum(n - p, m - q) >= need(n, m, num, den))
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted lists: edges from subsets (kind 2), neighbours as candidates (kind 0), postings that have any candidate (kind 1)."""
         held = head = None                                        # head: first and last row of a list that was cut
-        for batch in [*_arrays(batches), None]:
+        for batch in _arrays_and_end(batches):
             more = False
             if batch is None:
                 now, held = held, None
@@ -260,14 +233,19 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     found = keep(slim.mapInArrow(post, "token long, a long, n int, pos int").repartition("token").sortWithinPartitions("token", "n", "a").mapInArrow(scan, _ROW))
     postings = found.where("kind = 1").select("token", "a", "n", "pos")
     edges = found.where("kind = 2").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
-    sets = _sets(slim, classes, postings.select(F.col("a").alias("sig"), "n").distinct(), size)
-    near = _near(found.where("kind = 0").select("a", "n", "b", "m").distinct(), sets, num, den)
-    roots = components(edges.unionByName(_verify(keep(near), sets, num, den)))
+    reps = classes.select(F.col("sig").alias("a"), F.col("rep").alias("d"), "n", "sig")
+    sketches = _sketches(slim, reps, postings.select("a").distinct(), size)
+    near = keep(_near(found.where("kind = 0").select("a", "b").distinct(), sketches, num, den))
+    # groups of pairs that may be linked, each text read once; then one pair for each two components that such a pair spans
+    groups = components(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    roots = components(edges.unionByName(within(slim, reps, groups, size, num, den, GROUP, _names)))
+    roots = merged(roots, confirmed(slim, reps, keep(_one_each(apart(near, roots))), size, num, den, _names))
+    free(near)
 
     def hopeful(i, j, n, pos, sketch):
         ok = good(n[i], pos[i], n[j], pos[j])
         i, j = i[ok], j[ok]
-        ok = _may_link(sketch[i], sketch[j], n[i], n[j], num, den) if len(i) else np.zeros(0, bool)
+        ok = may_link(sketch[i], sketch[j], n[i], n[j], num, den) if len(i) else np.zeros(0, bool)
         return i[ok], j[ok]
 
     # sets that are still apart: a few neighbours of each in a random order of every list, then all pairs
@@ -287,7 +265,7 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
 
     def every(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for now in [*_arrays(batches), None]:
+        for now in _arrays_and_end(batches):
             if now is None:
                 now, held = held, None
                 if now is None:
@@ -308,8 +286,7 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     for last in (False, True):
         labelled = postings.join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
         lists = labelled.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("length")).where("lo <> hi")
-        open_ = (labelled.join(lists.select("token", "length"), "token")
-                 .join(sets.select(F.col("sig").alias("a"), "n", "sketch").hint("merge"), ["a", "n"]))
+        open_ = labelled.join(lists.select("token", "length"), "token").join(sketches.select("a", "sketch").hint("merge"), "a")
         if last:
             dealt = (open_.withColumn("blocks", F.ceil(F.col("length") / block)).withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")))
                      .select("token", "a", "n", "pos", "root", "own", "sketch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
@@ -318,7 +295,16 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
         else:
             tried = (open_.select("token", "a", "n", "pos", "root", "sketch", F.xxhash64("a", "token").alias("h")).repartition("token")
                      .sortWithinPartitions("token", "h", "a").select("token", "a", "n", "pos", "root", "sketch").mapInArrow(some, _ROW))
-        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(_verify(keep(tried.select("a", "n", "b", "m").distinct()), sets, num, den)))
+        tried = keep(tried.select("a", "b").distinct())
+        for all_ in (False, True)[: 1 + last]:                # one pair for each two components, in the end all that still span two
+            left = apart(tried, roots)
+            left = keep(left.select("a", "b") if all_ else _one_each(left))
+            if left.isEmpty():
+                break
+            roots = merged(roots, confirmed(slim, reps, left, size, num, den, _names))
+            free(left)
+        free(tried)
+    free(found, sketches)
 
     # components of classes, then the smallest id of each
     placed = keep(classes.join(roots.withColumnRenamed("node", "sig"), "sig").select("sig", "n", "root", "own"))
@@ -333,10 +319,12 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
 
 
 def _arrays(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    for batch in batches:
-        if batch.num_rows:
-            yield tuple(np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(batch.num_rows, -1) if pa.types.is_binary(c.type) else np.asarray(c)
-                        for c in batch.columns)
+    return (x for x in _arrays_and_end(batches) if x is not None)
+
+
+def _arrays_and_end(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...] | None]:
+    for batch in and_end(batches):
+        yield None if batch is None else tuple(stored(c) if pa.types.is_binary(c.type) else np.asarray(c) for c in batch.columns)
 
 
 def _differs(now: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -351,48 +339,35 @@ def _pairs(a: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.Rec
     return _batch(kind=np.zeros(len(got)), a=got[:, 0], n=got[:, 1], b=got[:, 2], m=got[:, 3])
 
 
-def _sets(slim: DataFrame, classes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """``sig, n, sketch, s``: sketches and whole sets of the wanted classes, each from the row of its smallest id."""
-    reps = keep(classes.join(wanted, ["sig", "n"]).select(F.col("rep").alias("d"), "sig", "n"))
+def _names(s: np.ndarray) -> tuple[int]:
+    return (_signature(s),)
 
-    def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sig, n = np.asarray(batch.column(1)), np.asarray(batch.column(2))
-            got = [(row, s) for row, s in shingle_sets(batch.column(0), size) if len(s) == n[row] and _signature(s) == sig[row]]
-            if got:
-                at = [g[0] for g in got]
-                yield pa.RecordBatch.from_arrays([pa.array(sig[at]), pa.array(n[at]), pa.array([_sketch(g[1]) for g in got], pa.binary()),
-                                                  pa.array([g[1].tobytes() for g in got], pa.binary())], ["sig", "n", "sketch", "s"])
-
-    return keep(slim.join(reps.hint("merge"), "d").select("t", "sig", "n").mapInArrow(make, "sig long, n int, sketch binary, s binary"))
 
+def _sketches(slim: DataFrame, reps: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """``a, n, sketch`` of the wanted classes."""
+    def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1024):
+            if batch.num_rows:
+                made = [sketch_of(s) for _, s in shingle_sets(batch.column(0), size)]
+                yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(made, pa.binary())], ["a", "n", "sketch"])
 
-def _sides(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
-    """``a, n, b, m, x, y``: pairs with this column of either set."""
-    sets = sets.hint("merge")      # the same plan at every size
-    left = sets.select(F.col("sig").alias("a"), "n", F.col(column).alias("x"))
-    right = sets.select(F.col("sig").alias("b"), F.col("n").alias("m"), F.col(column).alias("y"))
-    return pairs.join(left, ["a", "n"]).join(right, ["b", "m"]).select("a", "n", "b", "m", "x", "y")
+    return keep(texts_of(slim, reps, wanted, size, _names).mapInArrow(make, "a long, n int, sketch binary"))
 
 
-def _near(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _near(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs whose sketches may belong to linked sets."""
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CLASSES) for c in (4, 5))
-                ok = pa.array(_may_link(x, y, np.asarray(batch.column(1)), np.asarray(batch.column(3)), num, den))
-                yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in range(4)], ["a", "n", "b", "m"])
-
-    return _sides(pairs, sets, "sketch").mapInArrow(check, "a long, n int, b long, m int")
+                ok = pa.array(may_link(stored(batch.column(4)), stored(batch.column(5)), np.asarray(batch.column(2)), np.asarray(batch.column(3)), num, den))
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in range(2)], ["a", "b"])
 
+    side = sketches.hint("merge")      # the same plan at every size
+    both = (pairs.join(side.withColumnRenamed("sketch", "x"), "a")
+            .join(side.select(F.col("a").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y")), "b"))
+    return both.select("a", "b", "n", "m", "x", "y").mapInArrow(check, "a long, b long")
 
-def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Edges ``u, v`` of the candidate pairs whose whole sets are linked."""
-    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = pa.array([_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), num, den)
-                           for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["u", "v"])
 
-    return _sides(pairs, sets, "s").select("a", "b", "x", "y").mapInArrow(check, "u long, v long").distinct()
+def _one_each(pairs: DataFrame) -> DataFrame:
+    """``a, b``: one of the pairs for each two components ``x, y``."""
+    return pairs.groupBy("x", "y").agg(F.min(F.struct("a", "b")).alias("p")).select("p.*")
