@@ -357,12 +357,12 @@ def _with_margin(c: DataFrame, vector: DataFrame, key: str) -> DataFrame:
     return c.join(vector.withColumnRenamed(key, f"_{key}"), F.col(key) == F.col(f"_{key}")).drop(f"_{key}")
 
 
-def _shared_part(c: DataFrame, tolerance: float = 1e-11, most: int = 1000) -> float:
+def _shared_part(c: DataFrame, tolerance: float = 1e-8, most: int = 1000) -> float:
     """r' x for S x = r, where S = diag(w_j) - W' diag(1 / w_i) W and r_j = sum of w d_i; ``c`` has ``i, j, w, w_i, d_i``.
 
     Conjugate gradients with the margin's weights as preconditioner. S is singular along constants, r is orthogonal to them. Every vector is a
     table with a row per level of j; a step is two joins of the cells with a margin and two sums. Up to ``Limits.collect_rows`` cells the
-    same steps run on arrays.
+    same steps run on arrays. The result is off by the square of ``tolerance``, relative to it.
     """
     if c.count() <= core.LIMITS.collect_rows:
         return _shared_part_local(c.select("i", "j", "w", "w_i", "d_i").toPandas(), tolerance, most)
@@ -376,11 +376,12 @@ def _shared_part(c: DataFrame, tolerance: float = 1e-11, most: int = 1000) -> fl
         u = _with_margin(c, state.select("j", "p"), "j").groupBy("i").agg((F.sum(F.col("w") * F.col("p")) / F.first("w_i")).alias("u"))
         q = _with_margin(c, u, "i").groupBy("j").agg(F.sum(F.col("w") * F.col("u")).alias("q"))
         step = core.checkpoint(state.join(q, "j").withColumn("q", F.col("d") * F.col("p") - F.col("q")))
-        curve = step.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
-        if curve <= 0:
+        s = step.agg(F.sum(F.col("p") * F.col("q")).alias("pq"), F.sum(F.col("r") * F.col("q") / F.col("d")).alias("rq"), F.sum(F.col("q") * F.col("q") / F.col("d")).alias("qq")).first()
+        if s["pq"] <= 0:
             break
-        moved = step.select("j", "d", (F.col("x") + left / curve * F.col("p")).alias("x"), (F.col("r") - left / curve * F.col("q")).alias("r"), "p", "r0")
-        before, left = left, moved.agg(square).first()[0]
+        size = left / s["pq"]
+        moved = step.select("j", "d", (F.col("x") + size * F.col("p")).alias("x"), (F.col("r") - size * F.col("q")).alias("r"), "p", "r0")
+        before, left = left, max(0.0, left - 2 * size * s["rq"] + size * size * s["qq"])
         state = moved.select("j", "d", "x", "r", (F.col("r") / F.col("d") + left / before * F.col("p")).alias("p"), "r0")
     return float(state.agg(F.sum(F.col("r0") * F.col("x"))).first()[0])
 
