@@ -4,7 +4,7 @@ Every distinct set of shingles (a class of copies) has a signature of ``COORDINA
 sets share at least ``MATCHES`` tokens, but for a chance stated there. Tokens are ordered by how many documents hold them, rarest first. Two
 sets that share that many tokens share one among the first ``COORDINATES - MATCHES + 1`` of each, so only this prefix is posted: the merge of
 lists skips the long ones, and collisions beyond the prefix are counted on the signatures of the pairs that met. Pairs with enough of them are
-retained and confirmed on the whole sets.
+retained; those that counts of hashed shingles leave room for (a bound that loses no link) are confirmed on the whole sets.
 
 Groups of near copies are not expanded into all pairs. First, neighbours in each list become pairs; the groups that retained pairs form are dealt
 into blocks, where each text is read once and linked with those of its block. Then the blocks' components are linked by one pair for each two
@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statframe.llm import bits
-from statframe.llm.common import free, keep, slices
+from statframe.llm.common import keep, slices
 from statframe.llm.graph import components
+from statframe.llm.links import and_end, apart, by_group, confirmed, may_link, merged, rooted, sketch_of, stored, within
 from statframe.llm.words import mix, shingle_sets
 
 COORDINATES = 128
@@ -37,6 +37,9 @@ PIECE = 1 << 16
 #: Members of a group of near copies that are compared in one task, and rows of a list that are compared with others in one task.
 BLOCK = 256
 LIST_BLOCK = 512
+#: A pair is compared in this many of the lists in which it seems to meet (bytes of tokens that agree), not in all of them. It is passed over only
+#: if as many bytes agree by chance before the first token that is shared: C(58, 6) / 256^6 at most, for pairs that share hardly any prefix.
+MEETINGS = 6
 
 _FACTOR = np.random.default_rng(20240813).integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SALT = np.random.default_rng(20240814).integers(1, 2**63, COORDINATES, dtype=np.uint64)
@@ -63,19 +66,12 @@ def _tokens(kept: np.ndarray) -> np.ndarray:
     return mix(wide.view(np.uint64)[:, :, 0] + _SALT)
 
 
-def _stored(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
-
-
-def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
-    """Whether den * intersection >= num * union, for two sorted arrays without repeats."""
-    small, large = min(len(x), len(y)), max(len(x), len(y))
-    if small * den < num * large:
-        return False
-    both = np.concatenate([x, y])
-    both.sort()
-    shared = int((both[1:] == both[:-1]).sum())
-    return shared * (num + den) >= num * (len(x) + len(y))
+def _prefix(token: np.ndarray, counts: np.ndarray, matches: int) -> np.ndarray:
+    """Coordinates of the rarest tokens of each row, in order of count and token: one more than may be missing."""
+    count = counts[(token >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+    by_token = np.argsort(token, axis=1)
+    order = np.take_along_axis(by_token, np.argsort(np.take_along_axis(count, by_token, 1), axis=1, kind="stable"), 1)
+    return order[:, : COORDINATES - matches + 1]
 
 
 def _fits(n, m, num: int, den: int):
@@ -100,50 +96,51 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
         for batch in slices(batches, 1024):
             n, one, two = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
             got: list = [None] * batch.num_rows
+            sketches: list = [None] * batch.num_rows
             for row, s in shingle_sets(batch.column(1), size):
                 if len(s):
                     n[row], (one[row], two[row]) = len(s), _names(s)
-                    got[row] = minima(s)
+                    got[row], sketches[row] = minima(s), sketch_of(s)
             full = np.flatnonzero(n)
             low = np.ascontiguousarray(np.array([got[k] for k in full], np.uint64).reshape(-1, COORDINATES, 1)).view(np.uint8)[:, :, :BYTES]
             if len(full):
                 np.add.at(counts, (_tokens(low.reshape(len(full), -1)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64).ravel(), 1)
             for k, x in zip(full, low):
                 got[k] = x.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(one), pa.array(two), pa.array(got, pa.binary())], _SIGNED)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(one), pa.array(two), pa.array(got, pa.binary()), pa.array(sketches, pa.binary())], _SIGNED)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(np.full(len(used), -1)), pa.array(counts[used]), pa.array(np.zeros(len(used), np.int64)),
-                                          pa.nulls(len(used), pa.binary())], _SIGNED)
+                                          *[pa.nulls(len(used), pa.binary())] * 2], _SIGNED)
 
-    signed = keep(slim.mapInArrow(sign, "d long, n long, one long, two long, low binary"))
+    signed = keep(slim.mapInArrow(sign, "d long, n long, one long, two long, low binary, sketch binary"))
     members = signed.where("n >= 0").select("d", "n", "one", "two")
     buckets = signed.where("n < 0").groupBy("d").agg(F.sum("one").alias("c")).toArrow()          # at most 2 ** BUCKET_BITS rows
     counts = np.zeros(1 << BUCKET_BITS, np.int64)
     counts[np.asarray(buckets["d"])] = np.asarray(buckets["c"])
     sent = sc.broadcast(counts)
-    classes = keep(signed.where("n > 0 and d is not null").groupBy("one", "two", "n").agg(F.min("d").alias("d"), F.first("low").alias("low"))
+    classes = keep(signed.where("n > 0 and d is not null").groupBy("one", "two", "n").agg(F.min("d").alias("d"), F.first("low").alias("low"), F.first("sketch").alias("sketch"))
                    .withColumn("a", F.monotonically_increasing_id()))
     reps = classes.select("a", "d", "n", "one", "two")
 
     def post(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1024):
             if batch.num_rows:
-                token = _tokens(_stored(batch.column(2)))
-                count = sent.value[(token >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
-                by_token = np.argsort(token, axis=1)
-                order = np.take_along_axis(by_token, np.argsort(np.take_along_axis(count, by_token, 1), axis=1, kind="stable"), 1)
-                prefix = order[:, : COORDINATES - matches + 1]
+                token = _tokens(stored(batch.column(2)))
+                prefix = _prefix(token, sent.value, matches)
+                own = np.take_along_axis(token, prefix, 1)
+                count = sent.value[(own >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].ravel()
                 k = prefix.shape[1]
-                dealt = -(-np.take_along_axis(count, prefix, 1).ravel() // piece)
+                dealt = -(-count // piece)
                 a = np.repeat(np.asarray(batch.column(0)), k)
                 part = np.where(dealt > 1, mix(a.view(np.uint64)) % np.maximum(dealt, 1).astype(np.uint64) + np.uint64(1), 0).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.take_along_axis(token, prefix, 1).ravel().view(np.int64)), pa.array(part), pa.array(a),
-                                                  pa.array(np.repeat(np.asarray(batch.column(1)), k))], ["token", "part", "a", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(own.ravel().view(np.int64)), pa.array(part), pa.array(a),
+                                                  pa.array(np.repeat(np.asarray(batch.column(1)), k)), pa.array(prefix.ravel().astype(np.int32))],
+                                                 ["token", "part", "a", "n", "c"])
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Lists in order of size: neighbours that may be linked (b not null), and the rows that have such a neighbour or a list in parts."""
         held, was = None, False                               # the last row so far, and whether it may be linked with the one before it
-        for batch in _and_end(batches):
+        for batch in and_end(batches):
             if batch is None:
                 if held is None:
                     return
@@ -151,44 +148,48 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
             else:
                 now = [np.asarray(c) for c in batch.columns] if held is None else [np.concatenate(x) for x in zip(held, map(np.asarray, batch.columns))]
                 keep_ = len(now[0]) - 1
-            token, part, a, n = now
+            token, part, a, n, c = now
             near = (token[1:] == token[:-1]) & (part[1:] == part[:-1]) & _fits(n[1:], n[:-1], num, den)
             shared = (np.r_[was, near] | np.r_[near, False] | (part > 0))[:keep_]
             rows = np.flatnonzero(shared)
             if len(rows):
-                yield _found(token[rows], a[rows], n[rows], None)
+                yield _found(token[rows], a[rows], n[rows], c[rows], None)
             i = np.flatnonzero(near)
             if len(i):
                 pairs = np.unique(np.sort(np.column_stack([a[i], a[i + 1]]), axis=1), axis=0)
-                yield _found(None, pairs[:, 0], None, pairs[:, 1])
+                yield _found(None, pairs[:, 0], None, None, pairs[:, 1])
             held, was = [x[-1:] for x in now], bool(near[-1]) if len(near) else was
 
-    found = keep(classes.select("a", "n", "low").mapInArrow(post, "token long, part int, a long, n long").repartition("token", "part")
-                 .sortWithinPartitions("token", "part", "n", "a").mapInArrow(scan, "token long, a long, n long, b long"))
-    postings = found.where("b is null").select("token", "a", "n")
-    marks = _marks(classes)
+    found = keep(classes.select("a", "n", "low").mapInArrow(post, "token long, part int, a long, n long, c int").repartition("token", "part")
+                 .sortWithinPartitions("token", "part", "n", "a").mapInArrow(scan, "token long, a long, n long, c int, b long"))
+    postings = found.where("b is null").select("token", "a", "n", "c")
+    marks = _marks(classes, sent, matches)
     met = found.where("b is not null").select("a", "b").distinct()
-    good = keep(_retained(met, marks, matches))
+    good = keep(_retained(met, marks, matches, num, den))
 
     # groups of retained pairs, each text read once
     groups = components(good.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    roots = components(keep(_within(slim, reps, groups, size, num, den, block)))
+    roots = components(keep(within(slim, reps, groups, size, num, den, block, _names)))
     # one pair for each two components that a retained pair spans
-    best = _apart(good, roots).groupBy("x", "y").agg(F.max_by(F.struct("a", "b"), "score").alias("p")).select("p.*")
-    roots = _merged(roots, _confirmed(slim, reps, keep(best), size, num, den))
+    best = apart(good, roots).groupBy("x", "y").agg(F.max_by(F.struct("a", "b"), "score").alias("p")).select("p.*")
+    roots = merged(roots, confirmed(slim, reps, keep(best), size, num, den, _names))
     # lists that still hold sets of different components: all their pairs
     open_ = _open(postings, roots, marks, list_block)
 
     def every(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for now in _groups(batches, 3):
-            (token, x, y, a, n, root, own), marked = now[:7], now[7]
+        for now in by_group(batches, 3):
+            (token, x, y, a, n, root, own, c), marked, posted, sketch = now[:8], now[8], np.unpackbits(now[9], axis=1).astype(bool), now[10]
+            seen = posted[:, : c[0]]                          # coordinates before this list's
             i, j = np.triu_indices(len(a), 1)
             ok = (root[i] != root[j]) & ((x[0] == y[0]) | (own[i] != own[j])) & _fits(n[i], n[j], num, den)
             i, j = i[ok], j[ok]
             for at in range(0, len(i), 1 << 14):
                 p, q = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
-                score = (marked[p] == marked[q]).sum(axis=1)
-                ok = score >= matches
+                agree = marked[p] == marked[q]
+                score = agree.sum(axis=1)
+                ok = (score >= matches) & ((agree[:, : c[0]] & seen[p] & seen[q]).sum(axis=1) < MEETINGS)
+                p, q, score = p[ok], q[ok], score[ok]
+                ok = may_link(sketch[p], sketch[q], n[p], n[q], num, den)
                 if ok.any():
                     p, q, score = p[ok], q[ok], score[ok]
                     low = a[p] < a[q]
@@ -196,12 +197,12 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
 
     more = keep(open_.mapInArrow(every, "a long, b long, score long").distinct())
     for share in (1, None):                                   # one for each two components, then all that still span two
-        left = _apart(more, roots)
+        left = apart(more, roots)
         left = left.groupBy("x", "y").agg(F.max_by(F.struct("a", "b"), "score").alias("p")).select("p.*") if share else left.select("a", "b")
         left = keep(left)
         if left.isEmpty():
             break
-        roots = _merged(roots, _confirmed(slim, reps, left, size, num, den))
+        roots = merged(roots, confirmed(slim, reps, left, size, num, den, _names))
 
     placed = keep(classes.select("one", "two", "n", "a", "d").join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a")))
     least = placed.groupBy("root").agg(F.min("d").alias("least"))
@@ -211,162 +212,49 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     return out.select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), (F.col("d") == F.col("c")).alias("kept"))
 
 
-_SIGNED = ["d", "n", "one", "two", "low"]
-
-
-def _and_end(batches: Iterable) -> Iterator:
-    yield from (b for b in batches if b.num_rows)
-    yield None
+_SIGNED = ["d", "n", "one", "two", "low", "sketch"]
 
 
-def _found(token, a, n, b) -> pa.RecordBatch:
-    empty = pa.nulls(len(a), pa.int64())
-    return pa.RecordBatch.from_arrays([empty if c is None else pa.array(c) for c in (token, a, n, b)], ["token", "a", "n", "b"])
+def _found(token, a, n, c, b) -> pa.RecordBatch:
+    kinds = {"token": pa.int64(), "a": pa.int64(), "n": pa.int64(), "c": pa.int32(), "b": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.nulls(len(a), t) if v is None else pa.array(v, t) for v, t in zip((token, a, n, c, b), kinds.values())], list(kinds))
 
 
-def _marks(classes: DataFrame) -> DataFrame:
-    """``a, marks``: one byte of each coordinate."""
+def _marks(classes: DataFrame, counts, matches: int) -> DataFrame:
+    """``a, n, marks, posted, sketch``: one byte of each coordinate, bits of the coordinates that are posted, and the counts of hashed shingles."""
     def strip(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1024):
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in _stored(batch.column(1))[:, ::BYTES]], pa.binary())], ["a", "marks"])
+                low = stored(batch.column(2))
+                posted = np.zeros((len(low), COORDINATES), bool)
+                np.put_along_axis(posted, _prefix(_tokens(low), counts.value, matches), True, 1)
+                marks, posted = ([x.tobytes() for x in v] for v in (low[:, ::BYTES], np.packbits(posted, axis=1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.binary()), pa.array(posted, pa.binary()), batch.column(3)],
+                                                 ["a", "n", "marks", "posted", "sketch"])
 
-    return classes.select("a", "low").mapInArrow(strip, "a long, marks binary")
+    return classes.select("a", "n", "low", "sketch").mapInArrow(strip, "a long, n long, marks binary, posted binary, sketch binary")
 
 
-def _retained(pairs: DataFrame, marks: DataFrame, matches: int) -> DataFrame:
-    """``a, b, score``: pairs whose signatures collide often enough."""
+def _retained(pairs: DataFrame, marks: DataFrame, matches: int, num: int, den: int) -> DataFrame:
+    """``a, b, score``: pairs whose signatures collide often enough and whose sketches leave room for a link."""
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                score = (_stored(batch.column(2)) == _stored(batch.column(3))).sum(axis=1)
-                ok = pa.array(score >= matches)
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok), pa.array(score).filter(ok)], ["a", "b", "score"])
-
-    return (pairs.join(marks.withColumnRenamed("marks", "x"), "a").join(marks.select(F.col("a").alias("b"), F.col("marks").alias("y")), "b")
-            .select("a", "b", "x", "y").mapInArrow(count, "a long, b long, score long"))
-
-
-def _texts(slim: DataFrame, reps: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """``t`` and the columns of ``wanted`` (``a`` among them): the text of each class's smallest id, once per task that reads it."""
-    own = keep(reps.join(wanted, "a"))
-    more = [c for c in own.columns if c not in ("d", "n", "one", "two")]
-    rows = bits.only(slim.where("d is not null"), "d", own.select("d")).join(own, "d").select("t", "n", "one", "two", *more)
-
-    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()                                # one number for each class of the task
-        for batch in slices(batches, 1024):
-            n, one, two, a = (batch.column(k).to_pylist() for k in range(1, 5))
-            ok = np.zeros(batch.num_rows, bool)
-            for row, s in shingle_sets(batch.column(0), size):
-                if len(s) == n[row] and a[row] not in seen and _names(s) == (one[row], two[row]):
-                    seen.add(a[row])
-                    ok[row] = True
-            yield batch.filter(pa.array(ok)).select([0, 1, *range(4, batch.num_columns)])
-
-    assert more[0] == "a"
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema if f.name in more)
-    return rows.mapInArrow(check, f"t string, n long, {kinds}")
-
-
-def _edges(a: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links that connect what is linked among these sets, in order of size: each is compared with others until it is linked with their component."""
-    out, parts = [], []
-    for i, s in enumerate(sets):
-        mine, rest = [i], []
-        for part in parts:
-            for j in reversed(part):
-                if len(sets[j]) * den < num * len(s):
-                    j = None                                  # the others are smaller still
-                    break
-                if linked(s, sets[j], num, den):
-                    out.append((int(a[i]), int(a[j])))
-                    break
-            else:
-                j = None
-            if j is None:
-                rest.append(part)
-            else:
-                mine = part + mine if len(mine) == 1 else sorted(part + mine)
-        parts = [*rest, mine]
-    return out
-
+                score = (stored(batch.column(4)) == stored(batch.column(5))).sum(axis=1)
+                ok = (score >= matches) & may_link(stored(batch.column(6)), stored(batch.column(7)), np.asarray(batch.column(2)), np.asarray(batch.column(3)), num, den)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok)), pa.array(score[ok])], ["a", "b", "score"])
 
-def _within(slim: DataFrame, reps: DataFrame, groups: DataFrame, size: int, num: int, den: int, block: int) -> DataFrame:
-    """Edges ``u, v`` among the members of blocks of each group (``node, root``)."""
-    counts = groups.groupBy("root").agg(F.count("*").alias("count"))
-    dealt = groups.join(counts, "root").select(F.col("node").alias("a"), "root", F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / block)).alias("block"))
-    rows = _texts(slim, reps, dealt, size).select("root", "block", "a", "n", "t").repartition("root", "block").sortWithinPartitions("root", "block", "n", "a")
-
-    def link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, a, _, t in _groups(slices(batches, 512), 2):
-            first = np.r_[True, a[1:] != a[:-1]]
-            edges = _edges(a[first], [s for _, s in shingle_sets(pa.array(t[first].tolist(), pa.string()), size)], num, den)
-            if edges:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*edges)], ["u", "v"])
-
-    return rows.mapInArrow(link, "u long, v long")
-
-
-def _rooted(df: DataFrame, roots: DataFrame, column: str, name: str) -> DataFrame:
-    """``df`` with the component of ``column``: a class without links is its own."""
-    return df.join(roots.select(F.col("node").alias(column), F.col("root").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
-
-
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs that span two components ``x < y``."""
-    both = _rooted(_rooted(pairs, roots, "a", "p"), roots, "b", "q").where("p <> q")
-    return both.select("a", "b", "score", F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"))
-
-
-def _confirmed(slim: DataFrame, reps: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Edges ``u, v`` of the pairs whose whole sets are linked."""
-    either = pairs.select(F.explode(F.array("a", "b")).alias("a")).distinct()
-    texts = keep(_texts(slim, reps, either, size).select("a", "t"))
-
-    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 256):
-            x, y = ([s for _, s in shingle_sets(batch.column(k), size)] for k in (2, 3))
-            ok = pa.array([linked(p, q, num, den) for p, q in zip(x, y)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["u", "v"])
-
-    both = pairs.join(texts.withColumnRenamed("t", "x"), "a").join(texts.select(F.col("a").alias("b"), F.col("t").alias("y")), "b")
-    edges = keep(both.select("a", "b", "x", "y").mapInArrow(check, "u long, v long"))
-    free(texts)
-    return edges
-
-
-def _merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
-    return roots if edges.isEmpty() else components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(edges))
+    other = marks.select(F.col("a").alias("b"), F.col("n").alias("m"), F.col("marks").alias("y"), F.col("sketch").alias("t"))
+    both = pairs.join(marks.drop("posted"), "a").join(other, "b").select("a", "b", "n", "m", "marks", "y", "sketch", "t")
+    return both.mapInArrow(count, "a long, b long, score long")
 
 
 def _open(postings: DataFrame, roots: DataFrame, marks: DataFrame, list_block: int) -> DataFrame:
     """Rows of lists with sets of several components, dealt into pairs of blocks ``token, x, y``."""
-    labelled = _rooted(postings, roots, "a", "root")
+    labelled = rooted(postings, roots, "a", "root")
     lists = labelled.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("length")).where("lo <> hi")
-    rows = (labelled.join(lists.select("token", "length"), "token").join(marks, "a").withColumn("blocks", F.ceil(F.col("length") / list_block))
+    rows = (labelled.join(lists.select("token", "length"), "token").join(marks.drop("n"), "a").withColumn("blocks", F.ceil(F.col("length") / list_block))
             .withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks"))))
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    return (dealt.select("token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "a", "n", "root", "own", "marks")
+    return (dealt.select("token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "a", "n", "root", "own", "c", "marks", "posted", "sketch")
             .repartition("token", "x", "y").sortWithinPartitions("token", "x", "y"))
-
-
-def _groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
-    """Sorted rows as groups of equal leading columns; binary columns become rows of bytes, strings stay lists."""
-    held: list[list] = []
-    for batch in _and_end(batches):
-        if batch is not None:
-            columns = [_stored(c) if pa.types.is_binary(c.type) else np.asarray(c) for c in batch.columns]
-            new = np.zeros(batch.num_rows, bool)
-            for c in columns[:keys]:
-                new[1:] |= c[1:] != c[:-1]
-            new[0] = bool(held) and any(h[0] != c[0] for h, c in zip(held[-1][:keys], columns[:keys]))
-            cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
-        else:
-            columns, cuts = None, [0, 0]
-        for k, (s, e) in enumerate(zip(cuts, cuts[1:])):
-            if held and (batch is None or k > 0):
-                yield [np.concatenate(x) for x in zip(*held)]
-                held = []
-            if e > s:
-                held.append([c[s:e] for c in columns])
