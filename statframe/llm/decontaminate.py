@@ -116,34 +116,50 @@ class SuffixArray:
 
 
 class Suffixes:
-    """Test items as distinct windows: per length the words of each window, and the (item, place) pairs that have it."""
+    """Test items as distinct windows: the words of each window, and the (item, place) pairs that have it.
+
+    Windows of all lengths are numbered through. Two copies of the pairs are sorted by window and then by the number of the window before
+    (and after) theirs in the item, -1 if there is none: an occurrence in a text lies on the same diagonal run as the pairs that agree with it there.
+    """
 
     def __init__(self, names: list[str], words: list[np.ndarray], window: int):
-        self.window = window
+        self.window, self.names = window, names
         rows: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
         for k, own in enumerate(words):
             size = min(window, len(own))
             for p in range(len(own) - size + 1 if size else 0):
                 rows.setdefault(size, {}).setdefault(own[p:p + size].tobytes(), []).append((k, p))
-        self.names = names
-        self.sets = []
+        self.sets, pairs, count = [], [], 0                # (words in a window, the windows, number of the first)
         for size, found in sorted(rows.items()):
             grams = np.frombuffer(b"".join(found), np.uint64).reshape(-1, size)
-            sizes = np.array([len(v) for v in found.values()])
-            pairs = np.array([x for v in found.values() for x in v], np.int64).reshape(-1, 2)
-            self.sets.append((size, grams, np.cumsum(sizes) - sizes, sizes, pairs))
+            self.sets.append((size, grams, count))
+            pairs += [(count + w, k, p) for w, places in enumerate(found.values()) for k, p in places]
+            count += len(found)
+        self.size = np.repeat([s[0] for s in self.sets], [len(s[1]) for s in self.sets]).astype(np.int64)
+        window_of, item, place = (np.array(pairs, np.int64).reshape(-1, 3)[:, k] for k in range(3))
+        order = np.lexsort((place, item))
+        window_of, item, place = window_of[order], item[order], place[order]
+        goes_on = (item[1:] == item[:-1]) & (place[1:] == place[:-1] + 1)
+        before, after = (np.full(len(item), -1) for _ in range(2))
+        before[1:][goes_on], after[:-1][goes_on] = window_of[:-1][goes_on], window_of[1:][goes_on]
+        self.sides = []
+        for beside in (before, after):
+            order = np.lexsort((beside, window_of))
+            self.sides.append((window_of[order] * (count + 1) + beside[order] + 1, item[order], place[order]))
+        self.count = count
+        self.first = np.searchsorted(self.sides[0][0], np.arange(count + 1) * (count + 1))
         every = [s[1].ravel() for s in self.sets]
         self.vocabulary = np.unique(np.concatenate(every)) if every else np.zeros(0, np.uint64)
         self.index = [np.searchsorted(self.vocabulary, s[1]) for s in self.sets]
 
     def hits(self, words: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """(place in the shard, item, place in the item, words) of every occurrence of every window."""
+        """(place in the shard, window) of every occurrence of every window."""
         if not len(words) or not self.sets:
-            return np.zeros((0, 4), np.int64)
+            return np.zeros((0, 2), np.int64)
         array = SuffixArray(words, ends)
         numbers = array.numbers(self.vocabulary)
         out = []
-        for (size, grams, first, sizes, pairs), index in zip(self.sets, self.index):
+        for (size, grams, number), index in zip(self.sets, self.index):
             lo, hi = array.search(numbers[index])
             some = np.flatnonzero(hi > lo)
             if not len(some):
@@ -154,11 +170,33 @@ class Suffixes:
             same = np.ones(len(at), bool)
             for k in range(size):      # the array compares 44 bits of a word's hash; here all 64
                 same &= words[at + k] == grams[which, k]
-            at, which = at[same], which[same]
-            each = sizes[which]
-            pair = pairs[np.repeat(first[which], each) + _runs(each)]
-            out.append(np.column_stack([np.repeat(at, each), pair, np.full(len(pair), size)]))
-        return np.concatenate(out) if out else np.zeros((0, 4), np.int64)
+            out.append(np.column_stack([at[same], which[same] + number]))
+        return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+    def longest(self, hits: np.ndarray) -> np.ndarray:
+        """(place, item, place in the item, words) of the maximal matches behind one text's occurrences (distinct, any order).
+
+        Neighbouring windows on one diagonal are one match. Only the pairs where a match begins, and those where one ends, are listed, so the work
+        grows with the occurrences and the matches, not with occurrences times places: text that repeats itself has few of either.
+        """
+        order = np.lexsort((hits[:, 0], self.size[hits[:, 1]]))
+        at, window = hits[order].T
+        size = self.size[window]
+        goes_on = (size[1:] == size[:-1]) & (at[1:] == at[:-1] + 1)
+        beside = [np.full(len(at), -1) for _ in range(2)]
+        beside[0][1:][goes_on], beside[1][:-1][goes_on] = window[:-1][goes_on], window[1:][goes_on]
+        found = []
+        for own, (key, item, place) in zip(beside, self.sides):
+            whole = window * (self.count + 1)
+            lo, hi = np.searchsorted(key, whole + own + 1), np.searchsorted(key, whole + own + 1, "right")
+            hi = np.where(own < 0, lo, hi)                  # with nothing beside it, an occurrence agrees with no pair
+            counts = np.concatenate([lo - self.first[window], self.first[window + 1] - hi])
+            pair = np.repeat(np.concatenate([self.first[window], hi]), counts) + _runs(counts)
+            which = np.repeat(np.tile(np.arange(len(at)), 2), counts)
+            rows = np.column_stack([item[pair], size[which], at[which] - place[pair], at[which], place[pair]])
+            found.append(rows[np.lexsort(rows.T[3::-1])])
+        begin, end = found                                   # on each diagonal they take turns
+        return np.column_stack([begin[:, 3], begin[:, 0], begin[:, 4], end[:, 3] - begin[:, 3] + begin[:, 1]])
 
 
 def _runs(counts: np.ndarray) -> np.ndarray:
@@ -167,19 +205,6 @@ def _runs(counts: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def longest(hits: np.ndarray) -> np.ndarray:
-    """Neighbouring windows on one diagonal joined: (place, item, place in the item, words) of maximal matches."""
-    if not len(hits):
-        return hits
-    at, item, place, size = hits.T
-    order = np.lexsort((at, at - place, size, item))
-    at, item, place, size = (x[order] for x in (at, item, place, size))
-    new = np.r_[True, (item[1:] != item[:-1]) | (size[1:] != size[:-1]) | (at[1:] - place[1:] != at[:-1] - place[:-1]) | (at[1:] != at[:-1] + 1)]
-    first = np.flatnonzero(new)
-    last = np.r_[first[1:], len(at)] - 1
-    return np.column_stack([at[first], item[first], place[first], at[last] - at[first] + size[first]])
-
-
 def _pieces(lengths: np.ndarray, overlap: int) -> Iterator[tuple[int, int, int, int]]:
     """Cut documents of these many words into shards: (first row, row after the last, words skipped in the first row, words taken of the
     last). A document longer than a shard is cut into overlapping pieces, so every window lies whole in one of them."""
@@ -223,7 +248,7 @@ def search_block(batch: pa.RecordBatch, column: str, suffixes: Suffixes) -> tupl
 
 
 def _named(suffixes: Suffixes, hits: np.ndarray) -> list[tuple]:
-    return [(suffixes.names[i], int(p), int(w), int(n)) for w, i, p, n in longest(hits).tolist()]
+    return [(suffixes.names[i], p, w, n) for w, i, p, n in suffixes.longest(hits).tolist()]
 
 
 def _blocks(items: DataFrame, id: str, text: str, window: int, block_words: int) -> Iterator[Suffixes]:
