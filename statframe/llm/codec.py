@@ -4,7 +4,9 @@ A short text is segmented word by word (see ``unigram``). A giant one is cut int
 
 1. Each chunk yields a transfer matrix: entry (j, k) is the best score from a boundary j characters past the chunk's begin to the first
    boundary at or past its end, which lies k characters past it (a piece may cross the border). Matrices combine by the max-plus product,
-   which is associative; a scan of them gives the scores with which paths enter each chunk.
+   which is associative. A scan of them gives the scores with which paths enter each chunk: the matrices of each ``SPAN`` chunks in a row are
+   multiplied, the products again, until each document has one; from there down, the scores with which paths enter a block are carried
+   through its members. Blocks of a level are independent of each other, so no task sees more than ``SPAN`` matrices of a document at once.
 2. With these scores each chunk is traced back alone, for every k it may be left with; it tells where each trace entered.
 3. From the last chunk backwards, the entry of one is the exit of the one before; the chosen traces joined are the ids.
 
@@ -31,6 +33,8 @@ GIANT = 1 << 15
 CHUNK = 1 << 13
 #: Chunks whose words are segmented together.
 CHUNKS = 64
+#: Matrices multiplied by one task in a row.
+SPAN = 64
 NONE = unigram._NONE
 
 
@@ -60,16 +64,18 @@ def transfer(cache: Cache, before: str, body: str, after: str) -> np.ndarray:
 
 
 def _boundaries(cache: Cache, before: str, body: str) -> list[int]:
-    """The first and the last place in the chunk where every best path has a boundary; none if there is no such place."""
-    at = [m.start() for m in cache.split.finditer(before + body)]
-    at = [a - len(before) for a in at if a >= len(before) and (a > 0 or not before)]
-    return [at[0], at[-1]] if at else []
+    """The first and the last place in the chunk where every path has a boundary (no piece crosses it); none if there is no such place."""
+    pairs = cache.trie.v.pairs
+    first = 0 if body and not before else next((a for a in range(1, len(body)) if body[a - 1:a + 1] not in pairs), None)
+    if first is None:
+        return []
+    return [first, next((a for a in range(len(body) - 1, first, -1) if body[a - 1:a + 1] not in pairs), first)]
 
 
 def _reach(cache: Cache, body: str, after: str) -> int:
-    """Characters past the end that belong to the word which crosses it."""
-    words = [m.end() for m in cache.split.finditer(body[-1:] + after)]
-    return max(0, (words[0] if words else 1) - 1)
+    """Characters past the end that may belong to a piece which crosses it."""
+    text = body[-1:] + after
+    return next((a for a in range(len(text) - 1) if text[a:a + 2] not in cache.trie.v.pairs), max(0, len(text) - 1))
 
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -123,8 +129,12 @@ class Chunks(Cache):
         return int(self.scores[np.frombuffer(b"".join(self.encoded(text)), np.int32)].sum())
 
 
-def encode(docs: DataFrame, text: str = "text", model: str = MODEL, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
-    """``docs`` with ``ids``, an array of piece ids; a column of that name in ``docs`` gives way. Null and empty texts have no ids."""
+def encode(docs: DataFrame, text: str = "text", model: str = MODEL, giant: int = GIANT, chunk: int = CHUNK, span: int = SPAN) -> DataFrame:
+    """``docs`` with ``ids``, an array of piece ids; a column of that name in ``docs`` gives way. Null and empty texts have no ids.
+
+    Texts of more than ``giant`` characters are cut into chunks of ``chunk``, whose matrices are scanned ``span`` at a time; the ids are the same for
+    any of these. Time grows in proportion to a text's length, whatever its script; its ids end up in one row, as they must.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(unigram.load(model))
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -133,7 +143,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, giant: int =
 
     long = F.coalesce(F.length(text) > giant, F.lit(False))
     short = per_batch(docs.where(~long), run, ids="array<int>")
-    return short.unionByName(_encode_giants(docs.where(long), text, sent, chunk))
+    return short.unionByName(_encode_giants(docs.where(long), text, sent, chunk, span))
 
 
 def _lists(raw: list[bytes]) -> pa.Array:
@@ -141,16 +151,22 @@ def _lists(raw: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), np.int32)))
 
 
-def _encode_giants(docs: DataFrame, text: str, sent, chunk: int) -> DataFrame:
+def _encode_giants(docs: DataFrame, text: str, sent, chunk: int, span: int) -> DataFrame:
     keyed = keep(docs.withColumn("__row", F.monotonically_increasing_id()))
     longest = sent.value.longest
-    # chunk c holds the characters from c * chunk on; the space in front of the whole text belongs to the first
-    pieces = keyed.select("__row", F.col(text).alias("t"), F.explode(F.expr(f"sequence(0, (length({_quoted(text)}) - 1) div {chunk})")).alias("c"))
-    pieces = pieces.select("__row", "c", (F.length("t") > (F.col("c") + 1) * chunk).alias("more"),
-                           F.when(F.col("c") > 0, F.substring("t", F.col("c") * chunk, F.lit(1))).otherwise("").alias("before"),
-                           F.substring("t", F.col("c") * chunk + 1, F.lit(chunk)).alias("body"),
-                           F.substring("t", (F.col("c") + 1) * chunk + 1, F.lit(longest - 1)).alias("after"))
-    pieces = keep(pieces.repartition("__row", "c"))
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Chunk c holds the characters from c * chunk on; the space in front of the whole text belongs to the first."""
+        for batch in slices(batches, 1):
+            row, whole = batch.column(0)[0].as_py(), batch.column(1)[0].as_py()
+            at = range(0, len(whole), chunk)
+            for k in range(0, len(at), CHUNKS):
+                own = at[k:k + CHUNKS]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([row] * len(own), pa.int64()), pa.array(range(k, k + len(own)), pa.int32()), pa.array([whole[a - 1:a] if a else "" for a in own]),
+                    pa.array([whole[a:a + chunk] for a in own]), pa.array([whole[a + chunk:a + chunk + longest - 1] for a in own])], ["__row", "c", "before", "body", "after"])
+
+    pieces = keep(keyed.select("__row", F.col(text).alias("t")).mapInArrow(cut, "__row long, c int, before string, body string, after string").repartition("__row", "c"))
 
     def parts(batch: pa.RecordBatch):
         get = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()
@@ -166,18 +182,7 @@ def _encode_giants(docs: DataFrame, text: str, sent, chunk: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int32()),
                                               pa.array([g[2] for g in got], pa.binary())], ["__row", "c", "m"])
 
-    def scan(group: pd.DataFrame) -> pd.DataFrame:
-        """Scores with which paths enter each chunk of a document."""
-        group = group.sort_values("c")
-        enter = np.full(longest, NONE)
-        enter[0] = 0
-        out = []
-        for m in group["m"]:
-            out.append(enter.tobytes())
-            enter = combine(enter, np.frombuffer(m, np.int64).reshape(longest, longest))
-        return pd.DataFrame({"__row": group["__row"], "c": group["c"], "enter": out})
-
-    entered = pieces.mapInArrow(matrices, "__row long, c int, m binary").groupBy("__row").applyInPandas(scan, "__row long, c int, enter binary")
+    entered = _scan(keep(pieces.mapInArrow(matrices, "__row long, c int, m binary")), longest, span)
 
     def trace(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Chunks.of(sent, "encode")
@@ -207,8 +212,37 @@ def _encode_giants(docs: DataFrame, text: str, sent, chunk: int) -> DataFrame:
     return keyed.drop(*clash).join(ids, "__row").select(*order)
 
 
-def _quoted(name: str) -> str:
-    return "`t`" if name == "t" else f"`{name.replace('`', '``')}`"
+def _scan(matrices: DataFrame, states: int, span: int) -> DataFrame:
+    """``__row, c, enter``: scores with which paths enter each chunk, from ``__row, c, m``."""
+    own = lambda group: [np.frombuffer(m, np.int64).reshape(states, states) for m in group["m"]]
+
+    def multiply(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("c")
+        whole, *rest = own(group)
+        for m in rest:
+            whole = combine(whole, m)
+        return pd.DataFrame({"__row": group["__row"].iloc[:1], "c": group["c"].iloc[:1] // span, "m": [whole.tobytes()]})
+
+    def carry(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("c")
+        enter, out = np.frombuffer(group["over"].iloc[0], np.int64), []
+        for m in own(group):
+            out.append(enter.tobytes())
+            enter = combine(enter, m)
+        return pd.DataFrame({"__row": group["__row"], "c": group["c"], "enter": out})
+
+    block = F.expr(f"c div {span}")
+    levels = [matrices]
+    while (levels[-1].agg(F.max("c")).first()[0] or 0) > 0:
+        levels.append(keep(levels[-1].withColumn("b", block).groupBy("__row", "b").applyInPandas(multiply, "__row long, c int, m binary")))
+    start = np.full(states, NONE)
+    start[0] = 0
+    enter = levels[-1].select("__row", "c", F.lit(bytearray(start.tobytes())).alias("enter"))
+    for level in reversed(levels[:-1]):
+        over = enter.select("__row", F.col("c").alias("b"), F.col("enter").alias("over"))
+        joined = level.withColumn("b", block.cast("int")).join(over, ["__row", "b"])
+        enter = joined.groupBy("__row", "b").applyInPandas(carry, "__row long, c int, enter binary")
+    return enter
 
 
 def decode(docs: DataFrame, ids: str = "ids", out: str = "decoded", model: str = MODEL) -> DataFrame:

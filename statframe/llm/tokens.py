@@ -56,7 +56,8 @@ class Cache:
 def token_counts(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
     """``docs`` with ``n_words`` and ``n_tokens`` of the best unigram path; columns of those names in ``docs`` give way.
 
-    Null and empty texts have no words and no tokens.
+    Null and empty texts have no words and no tokens; repeated rows agree. Time grows in proportion to a text's length, whatever its script: a long
+    word is cut wherever no piece crosses, what is left of it beyond 64 characters shares tries with others of its length or is segmented alone.
     """
     sent = docs.sparkSession.sparkContext.broadcast(unigram.load(model))
 

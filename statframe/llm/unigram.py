@@ -5,7 +5,8 @@ taken as it is (no normalisation): a space becomes U+2581, one is put in front,
 UTF-8 bytes. The best path has the largest sum; of equal ones the path whose last piece is longest, then the one before it, and so on.
 
 No piece holds U+2581 after another character, so a word (spaces, then other characters) can be segmented alone. ``Trie`` does that for
-many distinct words at once, level by level of their trie: a shared prefix is scored once.
+many distinct words at once, level by level of their trie: a shared prefix is scored once. Where two neighbouring characters stand next to
+each other in no piece, every path has a boundary: a long word (a line of a script without spaces) is cut there, and its parts join the trie.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ SPACE = "▁"
 #: Stands for a U+2581 that the text itself holds; UTF-8 text has no lone surrogates.
 LITERAL = "\ud800"
 SCALE = 1 << 16
-#: Words longer than this go through ``segment`` one by one.
+#: Longer words are cut where no piece crosses. Parts that stay longer are segmented with others of like length if there are ``TOGETHER``, else alone.
 LONG = 64
+TOGETHER = 64
 #: Distinct words scored together.
 BATCH = 1 << 15
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -34,6 +36,7 @@ class Vocabulary(NamedTuple):
     longest: int
     separators: str                         # characters that are in no piece of several characters
     text: list[bytes]                       # what each id stands for
+    pairs: frozenset[str]                   # neighbouring characters within a piece
 
 
 def load(path: str) -> Vocabulary:
@@ -56,7 +59,7 @@ def load(path: str) -> Vocabulary:
         raise ValueError("a piece holds a space after another character: words cannot be segmented alone")
     several = "".join(p for p in pieces if len(p) > 1)
     return Vocabulary(pieces, own, -round((np.log(size) + norm) * SCALE) * 2, max(map(len, pieces)),
-                      "".join(c for c in "\n\r\t" if c not in several), text)
+                      "".join(c for c in "\n\r\t" if c not in several), text, frozenset(p[k:k + 2] for p in pieces for k in range(len(p) - 1)))
 
 
 def normal(text: str) -> str:
@@ -78,6 +81,12 @@ def words(text: str, split: re.Pattern) -> list[str]:
     return split.findall(SPACE + normal(text)) if text else []
 
 
+def parts(v: Vocabulary, word: str) -> list[str]:
+    """The word, cut wherever no piece crosses."""
+    cuts = [0, *(k for k in range(1, len(word)) if word[k - 1:k + 1] not in v.pairs), len(word)]
+    return [word[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 def segment(v: Vocabulary, text: str, start: list[int] | None = None, until: int | None = None) -> tuple[list[int], list[tuple[int, int]]]:
     """Best score of a path to each place, and the last piece on it (first place, id; -1: a character as bytes).
 
@@ -162,48 +171,60 @@ class Trie:
 
     def counts(self, distinct: list[str]) -> dict[str, int]:
         """Number of ids of each word."""
-        out: dict[str, int] = {}
-        for part in self._parts(distinct, out, lambda ids: len(ids)):
+        def together(part: list[str]) -> list[int]:
             *_, total = self._forward(part, False)
-            out.update(zip(part, total.tolist()))
-        return out
+            return total.tolist()
+
+        return self._each(distinct, together, len, sum)
 
     def encode(self, distinct: list[str]) -> dict[str, bytes]:
         """Ids of each word, as the bytes of 32-bit integers."""
-        out: dict[str, bytes] = {}
-        for part in self._parts(distinct, out, lambda ids: np.array(ids, np.int32).tobytes()):
-            length, step, piece, total = self._forward(part, True)
-            row, place = np.arange(len(part)), length.copy()
-            flat = np.zeros(int(total.sum()), np.int32)
-            at = np.cumsum(total)                          # filled from each word's end
-            odd = []
-            while len(row):
-                own = piece[row, place]
-                if (unknown := own < 0).any():
-                    odd += row[unknown].tolist()
-                at[row] -= 1
-                flat[np.maximum(at[row], 0)] = own
-                place = place - step[row, place]
-                stay = place > 0
-                row, place = row[stay], place[stay]
-            ends = np.cumsum(total)
-            raw = flat.tobytes()
-            out.update(zip(part, (raw[4 * a:4 * b] for a, b in zip((ends - total).tolist(), ends.tolist()))))
-            for k in set(odd):
-                out[part[k]] = np.array(self._alone(part[k]), np.int32).tobytes()
+        return self._each(distinct, self._encoded, lambda ids: np.array(ids, np.int32).tobytes(), b"".join)
+
+    def _each(self, distinct: list[str], together, alone, join) -> dict:
+        """Results word by word: short words and parts of long ones in tries, ``alone`` of the ids of what is left."""
+        cut = {w: parts(self.v, w) for w in distinct if len(w) > LONG}
+        own = {w for w in distinct if len(w) <= LONG}.union(*cut.values())
+        out: dict = {}
+        sizes: dict[int, list[str]] = {}
+        for w in own:
+            sizes.setdefault(max(LONG, 1 << (len(w) - 1).bit_length()), []).append(w)
+        for size, group in sizes.items():
+            if size > LONG and len(group) < TOGETHER:
+                out.update((w, alone(self._alone(w))) for w in group)
+                continue
+            group.sort()
+            rows = max(1, BATCH * LONG // size)
+            for a in range(0, len(group), rows):
+                out.update(zip(group[a:a + rows], together(group[a:a + rows])))
+        out.update((w, join(out[x] for x in own_parts)) for w, own_parts in cut.items())
+        return out
+
+    def _encoded(self, part: list[str]) -> list[bytes]:
+        length, step, piece, total = self._forward(part, True)
+        row, place = np.arange(len(part)), length.copy()
+        flat = np.zeros(int(total.sum()), np.int32)
+        at = np.cumsum(total)                          # filled from each word's end
+        odd = []
+        while len(row):
+            own = piece[row, place]
+            if (unknown := own < 0).any():
+                odd += row[unknown].tolist()
+            at[row] -= 1
+            flat[np.maximum(at[row], 0)] = own
+            place = place - step[row, place]
+            stay = place > 0
+            row, place = row[stay], place[stay]
+        ends = np.cumsum(total)
+        raw = flat.tobytes()
+        out = [raw[4 * a:4 * b] for a, b in zip((ends - total).tolist(), ends.tolist())]
+        for k in set(odd):
+            out[k] = np.array(self._alone(part[k]), np.int32).tobytes()
         return out
 
     def _alone(self, word: str) -> list[int]:
         return trace(self.v, word, segment(self.v, word)[1], len(word))[0]
 
-    def _parts(self, distinct: list[str], out: dict, made):
-        for w in distinct:
-            if len(w) > LONG:
-                out[w] = made(self._alone(w))
-        short = sorted(w for w in distinct if len(w) <= LONG)
-        for a in range(0, len(short), BATCH):
-            yield short[a:a + BATCH]
-
     def _forward(self, part: list[str], paths: bool):
         """Sorted words: lengths, and per word and place the last step and piece (if ``paths``), and the number of ids of each word."""
         length = np.fromiter(map(len, part), np.int64, len(part))
