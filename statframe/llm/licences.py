@@ -91,8 +91,8 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", templates: dic
 
     A template is found when some stretch of the text, a quarter longer than the template at most, holds at least ``containment`` of its
     distinct five-word shingles; ``share`` is the largest such share. Words are runs of letters, digits and non-ASCII in lower case.
-    Null, empty and short texts hold none. Rows are independent of each other; ``id`` only helps to tell rows apart. Templates need at least
-    five words.
+    Null, empty and short texts hold none. Rows are independent of each other: they are told apart by a 64-bit hash of ``id`` and text, so repeated
+    rows are scanned once and agree. A very long text is one array of words in one task. Templates need at least five words.
     """
     spark = docs.sparkSession
     sizes = {k: len([w for w in "".join(c if c.isalnum() else " " for c in t).split()]) for k, t in templates.items()}

@@ -156,6 +156,13 @@ def test_decontamination_of_awkward_rows(spark):
     assert decontaminate(docs, items.limit(0)).count() == 7 and find_matches(docs.limit(0), items).count() == 0
 
 
+def test_decontamination_of_text_that_repeats_itself(spark):
+    long = "a " * 20_000
+    got = {x["doc_id"]: x for x in find_matches(frame(spark, [(1, long), (2, "b " + long + "b"), (3, "a " * 9)]), frame(spark, [(7, long), (8, "a " * 12)], "item_id long, text string")).collect()}
+    assert [(got[k]["n_words"], got[k]["n_hit"]) for k in (1, 2, 3)] == [(20_000, 20_000), (20_002, 20_000), (9, 0)]
+    assert max(m["words"] for m in got[2]["matches"]) == 20_000 and {m["item"] for m in got[1]["matches"]} == {"7", "8"} and not got[3]["matches"]
+
+
 # ------------------------------------------------------------------ 6 top-k
 def test_top_k_of_awkward_rows(spark):
     r = np.random.default_rng(6)
@@ -163,7 +170,7 @@ def test_top_k_of_awkward_rows(spark):
     data += [(200 + k, data[0][1]) for k in range(40)] + [data[3], (300, None), (301, []), (302, [None] * 6), (303, [float("nan")] * 6), (304, [1.0, 2.0]), (None, data[1][1])]
     df = frame(spark, data, "vec_id long, embedding array<float>")
     got = defaultdict(list)
-    for x in topk.top_k(df, lambda i: i % 50 == 0, block=32, query_block=2).orderBy("query_id", "rank").collect():
+    for x in topk.top_k(df, lambda i: i % 50 == 0, block=32, per_block=2, table=3).orderBy("query_id", "rank").collect():
         got[x["query_id"]].append((x["vec_id"], x["score"]))
     ints = {k: np.floor(256 * np.array(v, np.float32).astype(float)).astype(int) for k, v in data if k is not None and k not in (300, 301, 302, 303, 304)}
     assert set(got) == {k for k in ints if k % 50 == 0}
@@ -173,8 +180,17 @@ def test_top_k_of_awkward_rows(spark):
     assert topk.top_k(frame(spark, [(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>"), lambda i: i == 0).collect()[0]["vec_id"] == 1
 
 
+def test_top_k_guards_and_large_components(spark):
+    big = frame(spark, [(k, [float(2**24 + k), -float(2**20), 3.5]) for k in range(60)], "vec_id long, embedding array<double>")
+    got = {(x["query_id"], x["rank"]): (x["vec_id"], x["score"]) for x in topk.top_k(big, lambda i: i % 50 == 0, scale=1, block=8, pivots=3).collect()}
+    assert got[0, 1] == (59, 2**24 * (2**24 + 59) + 2**40 + 9) and got[50, 5] == (55, (2**24 + 50) * (2**24 + 55) + 2**40 + 9)
+    with pytest.raises(Exception, match="may not fit"):
+        topk.top_k(frame(spark, [(0, [2.0**40]), (1, [1.0])], "vec_id long, embedding array<double>"), lambda i: i == 0).count()
+
+
 # ------------------------------------------------------------------ 7, 8 tokens
-TEXTS = ["", None, "the intention", " a  b ▁c\n\n x\t", "héllo 😀 中文 ▁▁", "ha" * 90, "▁" * 70, " " * 50, "word " * 40, "the" * 60]
+TEXTS = ["", None, "the intention", " a  b ▁c\n\n x\t", "héllo 😀 中文 ▁▁", "ha" * 90, "▁" * 70, " " * 50, "word " * 40, "the" * 60,
+         "中文没有空格的一行文字" * 20, "ภาษาไทยไม่มีช่องว่าง" * 12, "aGVsbG8gd29ybGQ0ZXN0" * 15, "中a" * 100]
 
 
 def test_token_counts_are_those_of_the_codec(spark):
@@ -187,10 +203,10 @@ def test_token_counts_are_those_of_the_codec(spark):
     assert tokens.token_counts(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("giant, chunk", [(40, 64), (20, 19), (5, 7)])
-def test_chunked_encoding_equals_the_whole(spark, giant, chunk):
+@pytest.mark.parametrize("giant, chunk, span", [(40, 64, 64), (20, 19, 3), (5, 7, 2)])
+def test_chunked_encoding_equals_the_whole(spark, giant, chunk, span):
     df = frame(spark, [(k % 4, t, "x") for k, t in enumerate(TEXTS)], "doc_id long, text string, ids string")
-    got = codec.decode(codec.encode(df, giant=giant, chunk=chunk)).collect()
+    got = codec.decode(codec.encode(df, giant=giant, chunk=chunk, span=span)).collect()
     v = unigram.load(codec.MODEL)
     assert len(got) == len(TEXTS)
     for x in got:

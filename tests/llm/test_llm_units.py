@@ -2,13 +2,15 @@
 
 import random
 import re
+import tracemalloc
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from statframe.llm import chat, codec, jaccard, topk, unigram
-from statframe.llm.decontaminate import SuffixArray, Suffixes, _pieces, longest
+from statframe.llm import chat, codec, jaccard, links, topk, unigram
+from statframe.llm.decontaminate import SuffixArray, Suffixes, _pieces
 from statframe.llm.language import Model, _groups, mixture
 from statframe.llm.line_dedup import LineIndex, PerfectHash, line_key
 from statframe.llm.tokens import MODEL
@@ -64,19 +66,39 @@ def test_suffix_array_finds_every_window(seed):
     array = SuffixArray(words, ends)
     suffixes = [tuple(int(x) >> 20 for x in words[i:ends[i]]) for i in array.order]
     assert suffixes == sorted(suffixes)
-    found = Suffixes([str(k) for k in range(len(items))], [np.array([code[c] for c in i], np.uint64) for i in items], 4).hits(words, ends)
-    want = set()
+    suffixes = Suffixes([str(k) for k in range(len(items))], [np.array([code[c] for c in i], np.uint64) for i in items], 4)
+    found = suffixes.hits(words, ends)
+    names = {tuple(g.tolist()): first + k for _, grams, first in suffixes.sets for k, g in enumerate(grams)}
+    want, runs = set(), defaultdict(set)
     for k, item in enumerate(items):
         size = min(4, len(item))
         for p in range(len(item) - size + 1 if size else 0):
-            for start, d in zip(cuts - [len(d) for d in docs], docs):
-                want |= {(start + q, k, p, size) for q in range(len(d) - size + 1) if d[q:q + size] == item[p:p + size]}
-    assert {tuple(x) for x in found.tolist()} == {tuple(int(v) for v in x) for x in want}
-
-
-def test_longest_joins_neighbouring_windows():
-    hits = np.array([[5, 0, 2, 4], [6, 0, 3, 4], [9, 0, 6, 4], [6, 1, 0, 4]])
-    assert sorted(map(tuple, longest(hits).tolist())) == [(5, 0, 2, 5), (6, 1, 0, 4), (9, 0, 6, 4)]
+            window = names[tuple(int(code[c]) for c in item[p:p + size])]
+            for j, (start, d) in enumerate(zip(cuts - [len(d) for d in docs], docs)):
+                for q in range(len(d) - size + 1):
+                    if d[q:q + size] == item[p:p + size]:
+                        want.add((int(start + q), window))
+                        if size < 4 or not (q and p and d[q - 1:q + 3] == item[p - 1:p + 3]):
+                            e = 0
+                            while size == 4 and d[q + e + 1:q + e + 5] == item[p + e + 1:p + e + 5] and p + e + 5 <= len(item) and q + e + 5 <= len(d):
+                                e += 1
+                            runs[j].add((q, k, p, size + e))
+    assert {tuple(x) for x in found.tolist()} == want
+    for j, (start, d) in enumerate(zip(cuts - [len(d) for d in docs], docs)):
+        own = found[(found[:, 0] >= start) & (found[:, 0] < start + len(d))] - [start, 0]
+        assert {tuple(x) for x in suffixes.longest(own[np.random.default_rng(j).permutation(len(own))]).tolist()} == runs[j]
+
+
+def test_text_that_repeats_itself_has_few_matches():
+    words = np.full(20_000, 7, np.uint64)
+    suffixes = Suffixes(["x"], [words], 10)
+    tracemalloc.start()
+    hits = suffixes.hits(words, np.full(len(words), len(words)))
+    got = suffixes.longest(hits)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(hits) == 19_991 and len(got) == 2 * 19_991 - 1 and peak < 200e6
+    assert sorted(got[:, 3].tolist())[-1] == 20_000 and (got[:, 0] * got[:, 2] == 0).all() and (got[:, 3] == 20_000 - got[:, 0] - got[:, 2]).all()
 
 
 def test_long_documents_are_cut_with_overlap(monkeypatch):
@@ -90,7 +112,7 @@ def test_long_documents_are_cut_with_overlap(monkeypatch):
 def test_subsets_meet_exactly_when_linked():
     for a in range(1, 25):
         for b in range(a, 30):
-            c = jaccard._need(a, b, 85, 100)
+            c = links.need(a, b, 85, 100)
             assert 100 * c >= 85 * (a + b - c) and 100 * (c - 1) < 85 * (a + b - c + 1)
             assert (b in jaccard._partners(a, 85, 100)) == (100 * a >= 85 * b)
     assert jaccard.boundary({5: 10, 8: 10, 40: 5}, 85, 100) >= 8 and jaccard.boundary({}, 85, 100) == 0
@@ -130,6 +152,22 @@ def test_pivot_bounds_never_lose_a_candidate():
         assert best.id[k].tolist() == order.tolist() and best.score[k].tolist() == s[order].tolist()
 
 
+def test_blocks_out_of_reach_are_not_asked():
+    r = np.random.default_rng(8)
+    centres = r.integers(-2000, 2000, (20, 16))
+    x = np.concatenate([c + r.integers(-30, 30, (200, 16)) for c in centres])      # a block for each cluster
+    pivots = topk.pick_pivots(x[::7], 24)
+    d = topk.distances(x, pivots).astype(np.float32).astype(float).reshape(20, 200, -1)
+    xx = (x.astype(float) ** 2).sum(axis=1).reshape(20, 200)
+    q = x[::400]
+    score = x @ q.T
+    least = np.sort(score, axis=0)[-5]
+    asked = list(topk.reachable((q.astype(float) ** 2).sum(axis=1), topk.distances(q, pivots), least.astype(float), d.min(axis=1), d.max(axis=1), xx.max(axis=1)))
+    for k, blocks in enumerate(asked):
+        assert set(np.flatnonzero(score[:, k] >= least[k]) // 200) <= set(blocks.tolist())
+    assert sum(map(len, asked)) < 0.3 * 20 * len(q)
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return unigram.load(MODEL)
@@ -137,7 +175,10 @@ def vocabulary():
 
 def _word_list():
     r = random.Random(2)
-    return sorted({"".join(r.choice("▁abehsté中😀\ud800") for _ in range(r.randrange(1, 90))) for _ in range(400)} | {"ha" * 20, "▁" * 40})
+    words = {"".join(r.choice("▁abehsté中😀\ud800") for _ in range(r.randrange(1, 90))) for _ in range(400)} | {"ha" * 20, "▁" * 40}
+    # long words that no sure boundary cuts: many of like length share tries, few go alone
+    words |= {"".join(r.choice("hate") for _ in range(r.randrange(65, 120))) for _ in range(150)} | {"the" * 100, "中文" * 400, "ภาษาไทย" * 90}
+    return sorted(words)
 
 
 def test_trie_equals_path_by_path(vocabulary):
@@ -148,6 +189,16 @@ def test_trie_equals_path_by_path(vocabulary):
         assert np.frombuffer(made[w], np.int32).tolist() == ids and counts[w] == len(ids)
 
 
+def test_no_piece_crosses_where_long_words_are_cut(vocabulary):
+    word = "中文没有空格" * 30 + "hahaha" + "ภาษาไทย" * 30
+    own = unigram.parts(vocabulary, word)
+    assert "".join(own) == word and max(map(len, own)) <= unigram.LONG and len(own) > 100
+    places = np.cumsum([len(x) for x in own])[:-1]
+    for p in places[:50]:
+        for a in range(max(0, p - vocabulary.longest), p):
+            assert not any(word[a:b] in vocabulary.pieces for b in range(p + 1, a + vocabulary.longest + 1))
+
+
 def test_best_path_beats_random_paths(vocabulary):
     r = random.Random(4)
     for w in ("▁there", "hahaha", "▁intention"):
