@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statframe.llm.common import slices
+
 #: Bits of a table: 16 MB.
 BITS = 27
 
@@ -52,7 +54,7 @@ def only(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
 
     def take(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = load(shared)
-        for batch in batches:
+        for batch in slices(batches, 1024):
             yield batch.filter(pa.array(has(bits, np.asarray(batch.column(where))))).select(range(where))
 
     return df.withColumn("__key", F.xxhash64(column)).mapInArrow(take, df.schema)

@@ -11,11 +11,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from statframe import ship
+import statframe
 
 __all__ = ["ship", "shared_folder", "keep", "free", "schema_with", "slices", "per_batch", "read"]
 
 
+#: Rows that Python functions get at once, at most: texts are long, and Arrow holds a batch several times.
+ARROW_ROWS = 4096
+
+
+def ship(spark: SparkSession) -> None:
+    """``statframe.ship``, and a smaller Arrow batch for the session unless it has one already."""
+    statframe.ship(spark)
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
