@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statframe.llm.common import free, keep, slices
+from statframe.llm.common import free, keep
 from statframe.llm.graph import components
 from statframe.llm.links import and_end, apart, confirmed, may_link, merged, need, sketch_of, stored, texts_of, within
 from statframe.llm.words import mix, shingle_sets
@@ -345,13 +345,7 @@ def _names(s: np.ndarray) -> tuple[int]:
 
 def _sketches(slim: DataFrame, reps: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """``a, n, sketch`` of the wanted classes."""
-    def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1024):
-            if batch.num_rows:
-                made = [sketch_of(s) for _, s in shingle_sets(batch.column(0), size)]
-                yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(made, pa.binary())], ["a", "n", "sketch"])
-
-    return keep(texts_of(slim, reps, wanted, size, _names).mapInArrow(make, "a long, n int, sketch binary"))
+    return keep(texts_of(slim, reps, wanted, size, _names, sketch_of).select("a", "n", F.col("t").alias("sketch")))
 
 
 def _near(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:

@@ -87,8 +87,11 @@ def by_group(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[list[np.n
                 held.append([c[s:e] for c in columns])
 
 
-def texts_of(slim: DataFrame, reps: DataFrame, wanted: DataFrame, size: int, names: Names) -> DataFrame:
-    """``t, n`` and the columns of ``wanted`` (``a`` first): the text of each class's document among ``slim`` (``d, t``), once per task that reads it."""
+def texts_of(slim: DataFrame, reps: DataFrame, wanted: DataFrame, size: int, names: Names, made: Callable[[np.ndarray], bytes] | None = None) -> DataFrame:
+    """``t, n`` and the columns of ``wanted`` (``a`` first): the text of each class's document among ``slim`` (``d, t``), once per task that reads it.
+
+    ``made`` gives ``t`` from the set instead of the text.
+    """
     own = keep(reps.join(wanted, "a"))
     keys, more = reps.columns[3:], wanted.columns
     rows = bits.only(slim.where("d is not null"), "d", own.select("d")).join(own, "d").select("t", "n", *more, *keys)
@@ -97,15 +100,18 @@ def texts_of(slim: DataFrame, reps: DataFrame, wanted: DataFrame, size: int, nam
         seen: set[int] = set()                                # one number for each class of the task
         for batch in slices(batches, 1024):
             n, a, *hashes = (batch.column(k).to_pylist() for k in (1, 2, *range(2 + len(more), batch.num_columns)))
-            ok = np.zeros(batch.num_rows, bool)
+            ok, out = np.zeros(batch.num_rows, bool), []
             for row, s in shingle_sets(batch.column(0), size):
                 if len(s) == n[row] and a[row] not in seen and names(s) == tuple(h[row] for h in hashes):
                     seen.add(a[row])
                     ok[row] = True
-            yield batch.filter(pa.array(ok)).select(range(2 + len(more)))
+                    if made is not None:
+                        out.append(made(s))
+            kept = batch.select(range(2 + len(more))).filter(pa.array(ok))
+            yield kept if made is None else pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), *kept.columns[1:]], kept.schema.names)
 
     kinds = ", ".join(f"{c} {own.schema[c].dataType.simpleString()}" for c in ("n", *more))
-    return rows.mapInArrow(check, f"t string, {kinds}")
+    return rows.mapInArrow(check, f"t {'string' if made is None else 'binary'}, {kinds}")
 
 
 def _edges(a: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:

@@ -13,8 +13,8 @@ from statframe.llm import unigram
 from statframe.llm.common import per_batch
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SLICE_CHARS = 1 << 21
-CACHE = 200_000
+SLICE_CHARS = 1 << 19
+CACHE = 100_000
 
 _made: dict = {}
 

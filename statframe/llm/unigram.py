@@ -24,7 +24,7 @@ SCALE = 1 << 16
 LONG = 64
 TOGETHER = 64
 #: Distinct words scored together.
-BATCH = 1 << 15
+BATCH = 1 << 13
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.iinfo(np.int64).min // 4
 

@@ -12,8 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text handled at once: arrays of this many 8-byte numbers stay small.
-SLICE_BYTES = 1 << 20
+#: Bytes of text handled at once: arrays of this many 8-byte numbers stay small, in several workers of an executor.
+SLICE_BYTES = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BYTE = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
