@@ -223,6 +223,39 @@ def test_spanning_tree_over_leaves_is_the_tree_point_by_point(spark, monkeypatch
     assert {tuple(r) for r in labelled.collect()} == {tuple(r) for r in again.collect()}
 
 
+@pytest.mark.parametrize("p", [2, 1])
+def test_points_that_reach_everywhere_are_scanned_in_blocks(spark, monkeypatch, p):
+    monkeypatch.setattr(neighbours, "LEAF_ROWS", 40)
+    monkeypatch.setattr(neighbours, "SCAN_ROWS", 10)
+    monkeypatch.setattr(neighbours, "TILE", 32)
+    rng = np.random.default_rng(12)
+    x = 1e6 + np.concatenate([rng.normal(size=(500, 12)), np.round(rng.normal(size=(60, 12)) / 3)])
+    x = np.concatenate([x, x[:9], x[:3], x[:3]])
+    df = sdf(spark, pd.DataFrame({"id": range(len(x)), "x": x.tolist()}))
+    points = neighbours.distinct_points(df, "x", "id")
+    index, calls, scan = neighbours.Index.of(points, p), [], neighbours.Index.scan
+    monkeypatch.setattr(neighbours.Index, "scan", lambda self, *a, **k: calls.append(1) or scan(self, *a, **k))
+    got = neighbours.neighbours(points, 4, p, index).toPandas().set_index("pid").sort_index()
+    assert calls                                               # no visits of one leaf after another
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) if p == 2 else np.abs(x[:, None] - x[None]).sum(2)
+    np.testing.assert_allclose(got["kdist"], np.sort(d, axis=1)[got.index, 3], atol=1e-9)
+    first = {tuple(v): i for i, v in reversed(list(enumerate(x)))}
+    own = np.array([first[tuple(v)] for v in x])
+    for pid, near in got["near"].items():
+        want, total = [], 0
+        for i in sorted(set(own), key=lambda i: (d[pid, i], i)):
+            if total < 4:
+                want.append(i)
+                total += int((own == i).sum())
+        assert [r["pid"] for r in near] == want
+    flat = points.select("pid", "x").toPandas().sort_values("pid")
+    tree = sorted(neighbours._grown_tree(flat["pid"].to_numpy(), np.stack(flat["x"]), p))
+    monkeypatch.setattr(neighbours, "SMALL_TREE", 10)
+    calls.clear()
+    assert sorted(tuple(r) for r in neighbours.spanning_tree(points, p, 3).select("a", "b", "d").collect()) == tree
+    assert len(calls) > 1                                      # for the lists, and for components whose lists do not tell
+
+
 def test_all_runs_of_k_means_share_their_passes(spark):
     rng = np.random.default_rng(10)
     x = np.concatenate([c + rng.normal(size=(80, 2)) * 0.3 for c in ([0, 0], [5, 0], [0, 6])])
