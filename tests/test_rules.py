@@ -256,6 +256,27 @@ def test_points_that_reach_everywhere_are_scanned_in_blocks(spark, monkeypatch,
     assert len(calls) > 1                                      # for the lists, and for components whose lists do not tell
 
 
+def test_mean_distance_silhouette_streams_points_past_blocks(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "SILHOUETTE_BLOCK", 30)
+    monkeypatch.setattr(neighbours, "TILE", 16)
+    rng = np.random.default_rng(13)
+    x = 1e5 + np.concatenate([rng.normal(size=(60, 3)), 5 + rng.normal(size=(50, 3)), rng.normal(size=(1, 3))])
+    x = np.concatenate([x, x[:20], x[:20], x[60:63] + 1e-7])
+    own = np.r_[[0] * 60, [1] * 50, [2], [0] * 10, [1] * 10, [0] * 20, [1] * 3]
+    df = sdf(spark, pd.DataFrame(x, columns=list("abc")).assign(id=range(len(x)), own=own))
+    calls, stream = [], cluster.stream
+    monkeypatch.setattr(cluster, "stream", lambda *a: calls.append(a[0].where("kind = 0").select("pid").distinct().count()) or stream(*a))
+    got = cluster.silhouette(df, list("abc"), "own", "euclidean").select("id", "silhouette").toPandas().set_index("id")["silhouette"].sort_index()
+    assert calls == [len(np.unique(x, axis=0))]                # copies are held once
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    want = []
+    for i, c in enumerate(own):
+        a = d[i, own == c].sum() / max((own == c).sum() - 1, 1)
+        b = min(d[i, own == o].mean() for o in set(own) - {c})
+        want.append(0.0 if (own == c).sum() <= 1 else (b - a) / max(a, b))
+    np.testing.assert_allclose(got, want, atol=1e-9)
+
+
 def test_all_runs_of_k_means_share_their_passes(spark):
     rng = np.random.default_rng(10)
     x = np.concatenate([c + rng.normal(size=(80, 2)) * 0.3 for c in ([0, 0], [5, 0], [0, 6])])
