@@ -277,6 +277,18 @@ def test_mean_distance_silhouette_streams_points_past_blocks(spark, monkeypatch)
     np.testing.assert_allclose(got, want, atol=1e-9)
 
 
+def test_the_driver_gets_one_vector_however_many_tasks(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    got, fetch = [], DataFrame.toArrow
+    monkeypatch.setattr(DataFrame, "toArrow", lambda self: got.append(fetch(self)) or got[-1])
+    df = spark.range(0, 400, 1, 100)
+    total = core.sum_vectors(df, lambda batch: np.arange(10_000.0) * np.asarray(batch.column(0)).sum(), 10_000)
+    np.testing.assert_array_equal(total, np.arange(10_000.0) * (399 * 200))
+    assert sum(t.nbytes for t in got) < 2 * total.nbytes
+    assert not core.sum_vectors(df.where("id < 0"), lambda batch: np.ones(5), 5).any()
+
+
 def test_all_runs_of_k_means_share_their_passes(spark):
     rng = np.random.default_rng(10)
     x = np.concatenate([c + rng.normal(size=(80, 2)) * 0.3 for c in ([0, 0], [5, 0], [0, 6])])
