@@ -256,6 +256,47 @@ def test_points_that_reach_everywhere_are_scanned_in_blocks(spark, monkeypatch,
     assert len(calls) > 1                                      # for the lists, and for components whose lists do not tell
 
 
+@pytest.mark.parametrize("p", [2, 1])
+def test_tiles_in_single_precision_or_whole_steps_miss_no_neighbour(p):
+    rng = np.random.default_rng(14)
+    x = 1e3 + rng.normal(size=(400, 64))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) if p == 2 else np.abs(x[:, None] - x[None]).sum(2)
+    kth = np.sort(d, axis=1)[:, 4]
+    radius = neighbours._radii(x, 5, p)
+    assert (radius >= kth).all() and (radius <= 1.001 * kth).all() and np.isinf(neighbours._radii(x[:4], 5, p)).all()
+    tiles, seen = neighbours.Tiles(x, p, kth), 0
+    for at, to, rough, base, slack in tiles.over(x):
+        assert rough.dtype == np.float32 and (slack < 0.05 * kth[at] ** p).all()
+        assert (np.abs(rough + base[:, None] - d[at, to] ** p) <= slack[:, None]).all()
+        i, j = tiles.reached(rough, tiles.bound(kth[at], base, slack))
+        assert {(a, b) for a, b in zip(*np.nonzero(d[at, to] <= kth[at, None]))} <= set(zip(i.tolist(), j.tolist()))
+        seen += len(i)
+    assert seen < 400 * 40                                      # and few others
+    wide = np.concatenate([x, x + 1e9])                         # too far apart for either
+    assert all(r.dtype == float or p == 1 and (s >= 0).all() for _, _, r, _, s in neighbours.Tiles(wide, p, kth).over(wide))
+    assert neighbours._Steps.of(wide, wide, float(np.median(kth)), 0.0) is None
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_points_are_packed_once(spark, metric):
+    met = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def same(v):
+        met.add(1)
+        return v
+
+    rng = np.random.default_rng(15)
+    x = pd.DataFrame(rng.normal(size=(60, 2)), columns=list("ab")).assign(id=range(60))
+    df = sdf(spark, x).withColumn("a", same("a"))
+    got = cluster.knn_distance(df, "id", 3, ["a", "b"], None, metric).toPandas().set_index("id")["distance"].sort_index()
+    v = x[["a", "b"]].to_numpy()
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2)) if metric == "euclidean" else 1 - u @ u.T
+    np.testing.assert_allclose(got, np.sort(d, axis=1)[:, 2], atol=1e-9)
+    assert met.value == 60
+
+
 def test_mean_distance_silhouette_streams_points_past_blocks(spark, monkeypatch):
     monkeypatch.setattr(cluster, "SILHOUETTE_BLOCK", 30)
     monkeypatch.setattr(neighbours, "TILE", 16)
