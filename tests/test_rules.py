@@ -297,6 +297,18 @@ def test_points_are_packed_once(spark, metric):
     assert met.value == 60
 
 
+def test_rounds_of_the_spanning_tree_leave_out_inner_edges(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SMALL_TREE", 10)
+    rng = np.random.default_rng(16)
+    x = np.concatenate([rng.normal(size=(40, 2)), 30 + rng.normal(size=(40, 2))])
+    points = sdf(spark, pd.DataFrame({"pid": range(80), "x": x.tolist()})).select(F.col("pid").cast("long").alias("pid"), "x")
+    kept, checkpoint = [], core.checkpoint
+    monkeypatch.setattr(core, "checkpoint", lambda df: checkpoint(df) if "pa" not in df.columns else kept.append(df.count()) or checkpoint(df))
+    tree = sorted(tuple(r) for r in neighbours.spanning_tree(points, 2, 6).select("a", "b", "d").collect())
+    assert tree == sorted(neighbours._grown_tree(np.arange(80), x, 2))
+    assert len(kept) > 1 and kept == sorted(kept, reverse=True) and kept[-1] == 0
+
+
 def test_mean_distance_silhouette_streams_points_past_blocks(spark, monkeypatch):
     monkeypatch.setattr(cluster, "SILHOUETTE_BLOCK", 30)
     monkeypatch.setattr(neighbours, "TILE", 16)
