@@ -366,3 +366,25 @@ def test_goodness_of_fit_for_given_shares_and_any_number_of_levels(spark):
     assert hypothesis.chi2_gof(df, "v", [15, 30, 15]).first()["chi2"] == pytest.approx(0.6 + 0.6, abs=1e-4)
     many = spark.range(30_000).selectExpr("id % 10000 as v")
     assert hypothesis.chi2_gof(many, "v").first()["chi2"] == 0 and hypothesis.chi2_gof(many, "v").first()["dof"] == 9999
+
+
+def test_knn_distance_packs_points_once_and_joins_by_hash(spark, monkeypatch):
+    plans, pin = [], core.checkpoint
+    monkeypatch.setattr(core, "checkpoint", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or pin(df))
+    df = spark.createDataFrame([(1, 0.0, 0.0), (2, 3.0, 4.0), (3, 3.0, 4.0), (4, None, 1.0), (5, float("nan"), 1.0), (6, -0.0, 0.0), (7, 6.0, 8.0)], "id long, a double, b double")
+    out = cluster.knn_distance(df, "id", 3, ["a", "b"], None)
+    assert plans[0].count("array(nanvl") == 1               # the point is packed once
+    assert "xxhash64" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert dict(out.collect()) == {1: 5.0, 2: 5.0, 3: 5.0, 4: None, 5: None, 6: 5.0, 7: 5.0}
+
+
+@pytest.mark.parametrize("p", [1, 2])
+def test_zones_reached_by_any_point(p):
+    rng = np.random.default_rng(4)
+    groups = [rng.normal(size=(30, 3)) * 0.3 + c for c in rng.normal(size=(20, 3)) * 3]
+    bounds = neighbours.Bounds(pd.concat([pd.DataFrame({"zone": [z], **neighbours._bound(x, p)}) for z, x in enumerate(groups)]), ["zone"], p)
+    x, radius = rng.normal(size=(600, 3)) * 2, rng.uniform(0, 0.4, 600)
+    want = np.unique(np.concatenate(list(bounds.within(x, radius))))
+    assert 0 < len(want) and bounds.reached(x, radius, np.arange(20)).tolist() == want.tolist()
+    assert bounds.reached(x[:0], radius[:0], np.arange(20)).tolist() == []
+    assert bounds.reached(x, radius, want[1:]).tolist() == want[1:].tolist()
