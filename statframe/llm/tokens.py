@@ -20,7 +20,7 @@ _made: dict = {}
 
 
 class Cache:
-    """Words' results in this worker; forgotten as a whole when there are too many."""
+    """Words' results in this worker; when there are too many, all but those of the texts at hand are forgotten."""
 
     def __init__(self, v: unigram.Vocabulary, kind: str):
         self.trie, self.split, self.known = unigram.Trie(v), unigram.splitter(v), {}
@@ -43,10 +43,10 @@ class Cache:
                 chars += len(texts[last] or "")
                 last += 1
             split = [unigram.words(t or "", self.split) for t in texts[first:last]]
-            new = set().union(*split).difference(self.known)
+            own = set().union(*split)
+            new = own.difference(self.known)
             if len(self.known) + len(new) > CACHE:
-                self.known = {}
-                new = set().union(*split)
+                self.known = {w: self.known[w] for w in own if w in self.known}
             self.known.update(self.make(list(new)))
             out += [list(map(self.known.__getitem__, own)) for own in split]
             first = last

@@ -25,6 +25,8 @@ LONG = 64
 TOGETHER = 64
 #: Distinct words scored together.
 BATCH = 1 << 13
+#: Bits of the places in the table of the ends of pieces.
+ENDS = 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.iinfo(np.int64).min // 4
 
@@ -122,15 +124,22 @@ def trace(v: Vocabulary, text: str, back: list[tuple[int, int]], end: int) -> tu
 
 
 class Table:
-    """Pieces by the hash of their characters, in tables of one slot per hash; what collides goes to the next table."""
+    """Pieces by the hash of their characters, in tables of one slot per hash; what collides goes to the next table.
+
+    A bit table knows the ends of pieces: where text does not end like any piece of a size, no larger one ends there either.
+    """
 
     def __init__(self, v: Vocabulary):
-        hashes, scores, ids = [], [], []
+        hashes, scores, ids, ends = [], [], [], set()
+        powers = [pow(int(_BASE), k, 1 << 64) for k in range(v.longest)]
         for piece, (score, k) in v.pieces.items():
             h = 0
-            for c in piece:
-                h = (h * int(_BASE) + ord(c) + 1) % 2**64
+            for size, c in enumerate(reversed(piece)):
+                h = (h + (ord(c) + 1) * powers[size]) % 2**64
+                ends.add(h)
             hashes.append(h), scores.append(score), ids.append(k)
+        self.ends = np.zeros(1 << ENDS, bool)
+        self.ends[self._at(np.fromiter(ends, np.uint64, len(ends)), ENDS, 0)] = True
         h, s, i = np.array(hashes, np.uint64), np.array(scores, np.int64), np.array(ids, np.int32)
         if len(np.unique(h)) < len(h):
             raise ValueError("two pieces have one hash")
@@ -148,6 +157,10 @@ class Table:
     def _at(h: np.ndarray, bits: int, level: int) -> np.ndarray:
         return ((h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * level) >> np.uint64(64 - bits)).astype(np.int64)
 
+    def may_end(self, h: np.ndarray) -> np.ndarray:
+        """False for hashes of text that no piece ends with."""
+        return self.ends[self._at(h, ENDS, 0)]
+
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(score, id) of each hash; a score of _NONE where no piece has it."""
         bits, keys, score, piece = self.levels[0]
@@ -184,10 +197,9 @@ class Trie:
     def _each(self, distinct: list[str], together, alone, join) -> dict:
         """Results word by word: short words and parts of long ones in tries, ``alone`` of the ids of what is left."""
         cut = {w: parts(self.v, w) for w in distinct if len(w) > LONG}
-        own = {w for w in distinct if len(w) <= LONG}.union(*cut.values())
         out: dict = {}
-        sizes: dict[int, list[str]] = {}
-        for w in own:
+        sizes: dict[int, list[str]] = {LONG: [w for w in distinct if len(w) <= LONG]}
+        for w in set().union(*cut.values()).difference(sizes[LONG]):
             sizes.setdefault(max(LONG, 1 << (len(w) - 1).bit_length()), []).append(w)
         for size, group in sizes.items():
             if size > LONG and len(group) < TOGETHER:
@@ -251,9 +263,15 @@ class Trie:
             first = alive[new]                             # a word of each node at this depth
             top = np.full(len(first), _NONE)
             last, ids, many = np.zeros(len(first), np.int8), np.full(len(first), -1, np.int32), np.zeros(len(first), np.int64)
-            whole = prefix[depth, first]
+            whole, open_ = prefix[depth, first], np.arange(len(first))        # nodes where a piece of the size may end
             for size in range(1, min(depth, self.v.longest) + 1):
-                score, which = self.table.find(whole - prefix[depth - size, first] * self.powers[size])
+                hashes = whole[open_] - prefix[depth - size, first[open_]] * self.powers[size]
+                if size > 1:
+                    may = np.flatnonzero(self.table.may_end(hashes))
+                    open_, hashes = open_[may], hashes[may]
+                    if not len(open_):
+                        break
+                score, which = self.table.find(hashes)
                 units = 1
                 if size == 1 and (missing := score == _NONE).any():
                     c = chars[first, depth - 1]
@@ -261,17 +279,18 @@ class Trie:
                     score = np.where(missing, self.v.byte_score * units, score)
                     which = np.where(missing, -1, which)
                     units = np.where(missing, units, 1)
-                    hit = np.arange(len(first))
+                    hit = open_
                 else:
-                    hit = np.flatnonzero(score != _NONE)
-                    if not len(hit):
+                    here = np.flatnonzero(score != _NONE)
+                    if not len(here):
                         continue
+                    hit, score, which = open_[here], score[here], which[here]
                 before = node[depth - size, first[hit]]
-                value = best[depth - size][before] + score[hit]
-                win = value >= top[hit]
+                value = best[depth - size][before] + score
+                win = np.flatnonzero(value >= top[hit])
                 hit, before = hit[win], before[win]
-                top[hit], last[hit], ids[hit] = value[win], size, which[hit]
-                many[hit] = count[depth - size][before] + (units[hit] if isinstance(units, np.ndarray) else units)
+                top[hit], last[hit], ids[hit] = value[win], size, which[win]
+                many[hit] = count[depth - size][before] + (units[win] if isinstance(units, np.ndarray) else units)
             best.append(top), count.append(many)
             ends = alive[length[alive] == depth]
             total[ends] = many[node[depth, ends]]

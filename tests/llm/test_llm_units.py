@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from statframe.llm import chat, codec, jaccard, links, topk, unigram
+from statframe.llm import chat, codec, jaccard, links, tokens, topk, unigram
 from statframe.llm.decontaminate import SuffixArray, Suffixes, _pieces
 from statframe.llm.language import Model, _groups, mixture
 from statframe.llm.line_dedup import LineIndex, PerfectHash, line_key
@@ -235,3 +235,32 @@ def test_mixture_selects_both_languages():
     assert chosen == [0, 1] and 0.6 < share[0] < 0.9
     assert mixture(next(_groups([a]))[1], model)[1] == [0]
     assert [g is None for _, g in _groups([None, "", "12 3!", "a"])] == [True, True, True, False]
+
+
+def test_ends_of_pieces_are_known(vocabulary):
+    table = unigram.Trie(vocabulary).table
+
+    def hashes(texts):
+        out = []
+        for t in texts:
+            h = 0
+            for c in t:
+                h = (h * int(unigram._BASE) + ord(c) + 1) % 2**64
+            out.append(h)
+        return np.array(out, np.uint64)
+
+    pieces = list(vocabulary.pieces)
+    ends = {p[k:] for p in pieces for k in range(len(p))}
+    assert table.may_end(hashes(sorted(ends))).all()
+    others = [f"{p}\x07{k}" for k, p in enumerate(pieces[:2000])]      # no piece ends like these
+    assert not set(others) & ends and table.may_end(hashes(others)).mean() < 0.5
+
+
+def test_full_cache_keeps_the_words_at_hand(vocabulary, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 3)
+    cache, made = tokens.Cache(vocabulary, "encode"), []
+    make = cache.make
+    cache.make = lambda words: made.extend(words) or make(words)
+    first = cache.results(["one two"])
+    assert cache.results(["two three four"])[0][0] == first[0][1]
+    assert sorted(w.strip(unigram.SPACE) for w in made) == ["four", "one", "three", "two"] and len(cache.known) == 3
