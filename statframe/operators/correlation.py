@@ -78,11 +78,12 @@ def _complete(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return out.dropna(subset=list(cols))
 
 
-def _block(df: DataFrame, cols: list[str], pairs: list[tuple[str, str]], alpha: float, stats: dict | None = None) -> list[dict]:
+def _block(df: DataFrame, cols: list[str], pairs: list[tuple[str, str]], alpha: float, stats: dict | None = None,
+           quartiles: dict | None = None) -> list[dict]:
     """All pairs of columns that share the same complete rows."""
     stats = stats or core.moments_dict(df, cols)
     rows_n = stats[cols[0]]["n"]
-    quart = core.quantiles(df, cols, [.25, .75], {c: stats[c]["n"] for c in cols})
+    quart = {c: (quartiles[c][0], quartiles[c][2]) for c in cols} if quartiles else core.quantiles(df, cols, [.25, .75], {c: stats[c]["n"] for c in cols})
     columns: dict[str, Column] = {c: F.col(f"`{c}`") for c in cols}
     for c in cols:
         centred = F.col(f"`{c}`") - F.lit(stats[c]["mean"])
@@ -120,20 +121,20 @@ def _block(df: DataFrame, cols: list[str], pairs: list[tuple[str, str]], alpha:
 
 
 def correlation_pairs(df: DataFrame, cols: Sequence[str] | None = None, alpha: float = 0.05,
-                      pairs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
+                      pairs: Sequence[tuple[str, str]] | None = None, stats: dict | None = None, quartiles: dict | None = None) -> DataFrame:
     """One row per pair: Pearson if all checks pass, else Spearman, with the checks as flags.
 
     Without missing values all pairs share moments, fences, one cross-product
     matrix and one set of ranks; with missing values each pair uses its own
-    complete rows.
+    complete rows. ``stats`` (``core.moments_dict``) and ``quartiles`` of the columns save their passes if they are known.
     """
     cols = list(cols or core.numeric_columns(df))
     core.require_numeric(df, cols)
     pairs = [tuple(p) for p in pairs] if pairs else list(itertools.combinations(cols, 2))
     used = [c for c in cols if any(c in p for p in pairs)]
-    stats = core.moments_dict(df, used)
+    stats = {c: stats[c] for c in used} if stats else core.moments_dict(df, used)
     if all(s["n"] == s["rows"] for s in stats.values()):
-        rows = _block(_complete(df, used), used, pairs, alpha, stats)
+        rows = _block(_complete(df, used), used, pairs, alpha, stats, quartiles)
     else:
         rows = [r for p in pairs for r in _block(_complete(df, p), list(dict.fromkeys(p)), [p], alpha)]
     return core.rows_frame(df.sparkSession, rows, PAIR_SCHEMA)

@@ -107,11 +107,11 @@ def _describe(stats: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def numerical_summary(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] = (),
-                      approx: bool = False) -> DataFrame:
+                      approx: bool = False, stats: dict | None = None, quartiles: dict | None = None) -> DataFrame:
     """One row per numeric column: moments, exact quartiles, outlier counts, shape verdicts.
 
     ``approx=True`` is one scan whatever the table: quartiles and outlier counts come from mergeable sketches (``sketch``), whose ranks are off
-    by about 0.1 % of the rows; everything else is exact.
+    by about 0.1 % of the rows; everything else is exact. Without ``by``, ``stats`` (``core.moments_dict``) and ``quartiles`` of the columns save their passes.
     """
     cols, by = list(cols or core.numeric_columns(df)), list(by)
     core.require_numeric(df, cols)
@@ -120,8 +120,8 @@ def numerical_summary(df: DataFrame, cols: Sequence[str] | None = None, by: Sequ
     if by:
         return _grouped_summary(df, cols, by)
     spark = df.sparkSession
-    stats = core.moments_dict(df, cols)
-    q = core.quantiles(df, cols, [.25, .5, .75], {c: stats[c]["n"] for c in cols})
+    stats = stats or core.moments_dict(df, cols)
+    q = quartiles or core.quantiles(df, cols, [.25, .5, .75], {c: stats[c]["n"] for c in cols})
     counts = {}
     for part in core.chunks(cols, core.LIMITS.agg_columns):
         aggs = []

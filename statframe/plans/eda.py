@@ -217,7 +217,7 @@ def table_tests(df: DataFrame, target: str, features: Sequence[str], alpha: floa
             for v, r in sorted(found.items())]
 
 
-def shared_pairs(df: DataFrame, target: str, task: str | None = None, alpha: float = 0.05) -> tuple[list, list]:
+def shared_pairs(df: DataFrame, target: str, task: str | None = None, alpha: float = 0.05, stats: dict | None = None, quartiles: dict | None = None) -> tuple[list, list]:
     """Pair correlations among numeric features, and with a numeric target, from one shared computation."""
     numeric, _ = split(df, target)
     if is_classification(df, target, task):
@@ -225,7 +225,7 @@ def shared_pairs(df: DataFrame, target: str, task: str | None = None, alpha: flo
         return rows, []
     if not numeric:
         return [], []
-    rows = correlation.correlation_pairs(df, [*numeric, target], alpha).collect()
+    rows = correlation.correlation_pairs(df, [*numeric, target], alpha, None, stats, quartiles).collect()
     return [r for r in rows if r["y"] != target], [r for r in rows if r["y"] == target]
 
 
@@ -296,11 +296,16 @@ def selection_table(df: DataFrame, target: str, task: str | None = None, alpha:
     """Final table: verdict, test, p, effect, skew and collinearity signals, reason."""
     spark = df.sparkSession
     numeric, _ = split(df, target)
+    stats = quartiles = None
     if pairs is None or rows is None:
-        pairs, with_target = shared_pairs(df, target, task, alpha)
+        if description is None and numeric and target in core.numeric_columns(df) and not is_classification(df, target, task):
+            # correlations and the summary need the same moments and quartiles
+            stats = core.moments_dict(df, [*numeric, target])
+            quartiles = core.quantiles(df, [*numeric, target], [.25, .5, .75], {c: s["n"] for c, s in stats.items()})
+        pairs, with_target = shared_pairs(df, target, task, alpha, stats, quartiles)
         rows = target_rows(df, target, task, alpha, corr_threshold, with_target)
     partners, groups = collinear_groups(pairs, numeric, collinearity_threshold)
-    desc = description if description is not None else (quality.numerical_summary(df, numeric) if numeric else None)
+    desc = description if description is not None else (quality.numerical_summary(df, numeric, stats=stats, quartiles=quartiles) if numeric else None)
     skew = {r["variable"]: f"{r['skew_interpret']} / {r['log_need']}" for r in desc.collect()} if desc is not None else {}
     for r in rows:
         v = r["variable"]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from statframe.functions import dist
 from statframe.operators import cluster, core, frames, hypothesis, logit, neighbours, ols, quality
 from statframe.operators import timeseries as ts
+from statframe.plans import eda
 
 
 def sdf(spark, pdf):
@@ -388,3 +389,16 @@ def test_zones_reached_by_any_point(p):
     assert 0 < len(want) and bounds.reached(x, radius, np.arange(20)).tolist() == want.tolist()
     assert bounds.reached(x[:0], radius[:0], np.arange(20)).tolist() == []
     assert bounds.reached(x, radius, want[1:]).tolist() == want[1:].tolist()
+
+
+def test_selection_table_takes_quartiles_once(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 2))
+    pdf = pd.DataFrame({"y": x[:, 0] + 0.2 * rng.normal(size=300), "a": x[:, 0], "b": np.exp(x[:, 1]), "c": np.where(x[:, 1] > 0, "u", "v")})
+    df = spark.createDataFrame(pdf)
+    pairs, with_target = eda.shared_pairs(df, "y")
+    want = eda.selection_table(df, "y", description=quality.numerical_summary(df, ["a", "b"]), pairs=pairs, rows=eda.target_rows(df, "y", pairs=with_target)).collect()
+    calls, own = [], core.quantiles
+    monkeypatch.setattr(core, "quantiles", lambda data, cols, *rest: calls.append(list(cols)) or own(data, cols, *rest))
+    assert eda.selection_table(df, "y").collect() == want
+    assert calls.count(["a", "b"]) == 0 and sum("a" in c for c in calls) == 1
