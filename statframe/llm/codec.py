@@ -7,7 +7,8 @@ A short text is segmented word by word (see ``unigram``). A giant one is cut int
    which is associative. A scan of them gives the scores with which paths enter each chunk: the matrices of each ``SPAN`` chunks in a row are
    multiplied, the products again, until each document has one; from there down, the scores with which paths enter a block are carried
    through its members. Blocks of a level are independent of each other, so no task sees more than ``SPAN`` matrices of a document at once.
-2. With these scores each chunk is traced back alone, for every k it may be left with; it tells where each trace entered.
+   With its matrix a chunk's ids between its first and last sure boundary are made, which no entry or exit changes.
+2. With these scores what is left of each chunk is traced back alone, for every k it may be left with; it tells where each trace entered.
 3. From the last chunk backwards, the entry of one is the exit of the one before; the chosen traces joined are the ids.
 
 The ids are those of the unchunked best path, ties included.
@@ -20,13 +21,14 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from statframe.llm import unigram
 from statframe.llm.common import keep, per_batch, schema_with, slices
-from statframe.llm.tokens import CACHE, MODEL, Cache
+from statframe.llm.tokens import MODEL, Cache
 
 #: Texts of more characters than this are cut; a chunk has so many characters.
 GIANT = 1 << 15
@@ -38,8 +40,11 @@ SPAN = 64
 NONE = unigram._NONE
 
 
-def transfer(cache: Cache, before: str, body: str, after: str) -> np.ndarray:
-    """The chunk's matrix over boundary states 0..longest-1. ``before``: the character before (empty at the start), ``after``: those after."""
+def transfer(cache: Chunks, before: str, body: str, after: str, between: np.ndarray | None = None) -> np.ndarray:
+    """The chunk's matrix over boundary states 0..longest-1. ``before``: the character before (empty at the start), ``after``: those after.
+
+    ``between``: the ids from the first to the last sure boundary, where they are known.
+    """
     v, whole = cache.trie.v, body + after
     states = v.longest
     out = np.full((states, states), NONE)
@@ -54,7 +59,7 @@ def transfer(cache: Cache, before: str, body: str, after: str) -> np.ndarray:
                 out[j, j - len(body)] = 0
         return out
     first, last = starts[0], starts[-1]
-    middle = cache.score(whole[first:last])
+    middle = cache.score(cache.encoded([whole[first:last]])[0] if between is None else between)
     tail, _ = unigram.segment(v, whole[last:len(body) + _reach(cache, body, after)], until=len(body) - last)
     for j in range(min(states, first + 1)):
         head = unigram.segment(v, whole[j:first])[0][-1]
@@ -83,40 +88,36 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a[..., :, None] + b).max(axis=-2), NONE)
 
 
-def traces(cache: Cache, before: str, body: str, after: str, start: list[int]) -> tuple[list[int], list[list[int]], list[int]]:
-    """(ids that every exit shares, further ids by exit k, entry by exit k) given the scores ``start`` of entering at each state."""
-    v, whole = cache.trie.v, body + after
-    starts = _boundaries(cache, before, body)
-    exits = min(v.longest, len(after) + 1)
-    if not starts:
-        best, back = unigram.segment(v, whole, start, len(body))
-        got = [unigram.trace(v, whole, back, len(body) + k) if best[len(body) + k] > NONE else ([], 0) for k in range(exits)]
+def traces(v: unigram.Vocabulary, head: str | None, rest: str, until: int, exits: int, start: list[int]) -> tuple[list[int], list[list[int]], list[int]]:
+    """(ids up to the first sure boundary, ids from the last one by exit k, entry by exit k) given the scores ``start`` of entering at each state.
+
+    ``head``: the characters before the first sure boundary, ``rest``: those after the last one, of which ``until`` belong to the chunk. Without a sure
+    boundary ``head`` is None and ``rest`` all there is.
+    """
+    if head is None:
+        best, back = unigram.segment(v, rest, start, until)
+        got = [unigram.trace(v, rest, back, until + k) if best[until + k] > NONE else ([], 0) for k in range(exits)]
         return [], [g[0] for g in got], [g[1] for g in got]
-    first, last = starts
-    _, back = unigram.segment(v, whole[:first], start)
-    head, entry = unigram.trace(v, whole[:first], back, first)
-    middle = np.frombuffer(b"".join(cache.encoded(whole[first:last])), np.int32).tolist()
-    rest = whole[last:len(body) + _reach(cache, body, after)]
-    best, back = unigram.segment(v, rest, until=len(body) - last)
-    tails = [unigram.trace(v, rest, back, len(body) - last + k)[0] if len(body) - last + k <= len(rest) else [] for k in range(exits)]
-    return head + middle, tails, [entry] * exits
+    _, back = unigram.segment(v, head, start)
+    shared, entry = unigram.trace(v, head, back, len(head))
+    best, back = unigram.segment(v, rest, until=until)
+    return shared, [unigram.trace(v, rest, back, until + k)[0] if until + k <= len(rest) else [] for k in range(exits)], [entry] * exits
 
 
-class Chunks(Cache):
-    """A worker's cache with scores of words besides their ids."""
+def ids_of(cache: Cache, texts: pa.Array, front: str = " ") -> pa.ListArray:
+    """Ids of each text with ``front`` in front; none of a null or empty one."""
+    flat, ends = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for made, at, upto, _ in cache.slices(texts, front):
+        own = made.cast(pa.large_binary()).take(pa.array(at))
+        _, places, data = own.buffers()
+        places = np.frombuffer(places, np.int64)[:len(own) + 1] // 4 if len(own) else np.zeros(1, np.int64)
+        flat.append(np.frombuffer(data, np.int32, places[-1]) if places[-1] else flat[0])
+        ends.append(ends[-1][-1] + places[upto])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate(flat)))
 
-    def meet(self, texts: Iterable[str]) -> None:
-        """Segment the words of these texts together, so that chunks find them known."""
-        own = set().union(*map(self.split.findall, texts))
-        if len(self.known) + len(own) > CACHE:
-            self.known = {}
-        self.known.update(self.make(list(own.difference(self.known))))
 
-    def encoded(self, text: str) -> list[bytes]:
-        own = self.split.findall(text)
-        if not all(w in self.known for w in own):
-            self.meet([text])
-        return [self.known[w] for w in own]
+class Chunks(Cache):
+    """A worker's cache with scores of ids."""
 
     def __init__(self, v: unigram.Vocabulary, kind: str):
         super().__init__(v, kind)
@@ -124,9 +125,13 @@ class Chunks(Cache):
         for score, k in v.pieces.values():
             self.scores[k] = score
 
-    def score(self, text: str) -> int:
-        """Best score of a text that begins and ends at sure boundaries."""
-        return int(self.scores[np.frombuffer(b"".join(self.encoded(text)), np.int32)].sum())
+    def encoded(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of normal texts that begin and end at sure boundaries."""
+        made = ids_of(self, pa.array(map(unigram.raw, texts), pa.string()), "")
+        return np.split(np.asarray(made.flatten()), np.asarray(made.offsets)[1:-1])
+
+    def score(self, ids: np.ndarray) -> int:
+        return int(self.scores[ids].sum())
 
 
 def encode(docs: DataFrame, text: str = "text", model: str = MODEL, giant: int = GIANT, chunk: int = CHUNK, span: int = SPAN) -> DataFrame:
@@ -138,19 +143,13 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, giant: int =
     sent = docs.sparkSession.sparkContext.broadcast(unigram.load(model))
 
     def run(batch: pa.RecordBatch) -> dict:
-        made = Cache.of(sent, "encode").results(batch.column(batch.schema.get_field_index(text)).to_pylist())
-        return {"ids": _lists([b"".join(x) for x in made])}
+        return {"ids": ids_of(Cache.of(sent, "encode"), batch.column(batch.schema.get_field_index(text)))}
 
     long = F.coalesce(F.length(text) > giant, F.lit(False))
     short = per_batch(docs.where(~long), run, ids="array<int>")
     return short.unionByName(_encode_giants(docs.where(long), text, sent, chunk, span))
 
 
-def _lists(raw: list[bytes]) -> pa.Array:
-    ends = np.cumsum([0] + [len(r) // 4 for r in raw])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), np.int32)))
-
-
 def _encode_giants(docs: DataFrame, text: str, sent, chunk: int, span: int) -> DataFrame:
     keyed = keep(docs.withColumn("__row", F.monotonically_increasing_id()))
     longest = sent.value.longest
@@ -166,36 +165,38 @@ def _encode_giants(docs: DataFrame, text: str, sent, chunk: int, span: int) -> D
                     pa.array([row] * len(own), pa.int64()), pa.array(range(k, k + len(own)), pa.int32()), pa.array([whole[a - 1:a] if a else "" for a in own]),
                     pa.array([whole[a:a + chunk] for a in own]), pa.array([whole[a + chunk:a + chunk + longest - 1] for a in own])], ["__row", "c", "before", "body", "after"])
 
-    pieces = keep(keyed.select("__row", F.col(text).alias("t")).mapInArrow(cut, "__row long, c int, before string, body string, after string").repartition("__row", "c"))
-
-    def parts(batch: pa.RecordBatch):
-        get = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()
-        for row, c, before, body, after in zip(get("__row"), get("c"), get("before"), get("body"), get("after")):
-            yield row, c, unigram.normal(before), ("" if c else unigram.SPACE) + unigram.normal(body), unigram.normal(after)
+    pieces = keyed.select("__row", F.col(text).alias("t")).mapInArrow(cut, "__row long, c int, before string, body string, after string").repartition("__row", "c")
 
     def matrices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each chunk's matrix, the ids between its sure boundaries, and the text that is left for ``traces``."""
         cache = Chunks.of(sent, "encode")
         for batch in slices(batches, CHUNKS):
-            own = list(parts(batch))
-            cache.meet(before + body for _, _, before, body, _ in own)
-            got = [(row, c, transfer(cache, *p).tobytes()) for row, c, *p in own]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int32()),
-                                              pa.array([g[2] for g in got], pa.binary())], ["__row", "c", "m"])
+            rows, places, *texts = (batch.column(batch.schema.get_field_index(c)) for c in ("__row", "c", "before", "body", "after"))
+            own = [tuple(map(unigram.normal, t)) for t in zip(*(t.to_pylist() for t in texts))]
+            own = [(before, body if c else unigram.SPACE + body, after) for c, (before, body, after) in zip(places.to_pylist(), own)]
+            sure = [_boundaries(cache, before, body) for before, body, _ in own]
+            between = cache.encoded([body[s[0]:s[1]] if s else "" for s, (_, body, _) in zip(sure, own)])
+            left = [(body[:s[0]], body[s[1]:] + after[:_reach(cache, body, after)], len(body) - s[1]) if s else (None, body + after, len(body))
+                    for s, (_, body, after) in zip(sure, own)]
+            yield pa.RecordBatch.from_arrays([
+                rows, places, pa.array([transfer(cache, *t, ids).tobytes() for t, ids in zip(own, between)], pa.binary()),
+                pa.array([ids.tobytes() for ids in between], pa.binary()), pa.array([None if h is None else unigram.raw(h) for h, _, _ in left], pa.string()),
+                pa.array([unigram.raw(t) for _, t, _ in left], pa.string()), pa.array([n for _, _, n in left], pa.int32()),
+                pa.array([min(longest, len(after) + 1) for _, _, after in own], pa.int32())], ["__row", "c", "m", "between", "head", "rest", "until", "exits"])
 
-    entered = _scan(keep(pieces.mapInArrow(matrices, "__row long, c int, m binary")), longest, span)
+    made = keep(pieces.mapInArrow(matrices, "__row long, c int, m binary, between binary, head string, rest string, until int, exits int"))
+    entered = _scan(made.select("__row", "c", "m"), longest, span)
 
     def trace(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Chunks.of(sent, "encode")
+        v = sent.value
         for batch in slices(batches, CHUNKS):
-            enter = batch.column(batch.schema.get_field_index("enter")).to_pylist()
-            own = list(parts(batch))
-            cache.meet(before + body for _, _, before, body, _ in own)
-            got = [(row, c, *traces(cache, *p, np.frombuffer(e, np.int64).tolist())) for (row, c, *p), e in zip(own, enter)]
+            column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731, B023
+            got = [traces(v, None if head is None else unigram.normal(head), unigram.normal(rest), until, exits, np.frombuffer(enter, np.int64).tolist())
+                   for head, rest, until, exits, enter in zip(*(column(c).to_pylist() for c in ("head", "rest", "until", "exits", "enter")))]
+            shared = [np.array(g[0], np.int32).tobytes() + between for g, between in zip(got, column("between").to_pylist())]
             yield pa.RecordBatch.from_arrays([
-                pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int32()),
-                pa.array([np.array(g[2], np.int32).tobytes() for g in got], pa.binary()),
-                pa.array([[np.array(x, np.int32).tobytes() for x in g[3]] for g in got], pa.list_(pa.binary())),
-                pa.array([g[4] for g in got], pa.list_(pa.int32()))], ["__row", "c", "shared", "tails", "entry"])
+                column("__row"), column("c"), pa.array(shared, pa.binary()), pa.array([[np.array(x, np.int32).tobytes() for x in g[1]] for g in got], pa.list_(pa.binary())),
+                pa.array([g[2] for g in got], pa.list_(pa.int32()))], ["__row", "c", "shared", "tails", "entry"])
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
         """From the last chunk back: the entry of one is the exit of the one before."""
@@ -205,7 +206,7 @@ def _encode_giants(docs: DataFrame, text: str, sent, chunk: int, span: int) -> D
             leave = int(entry[leave])
         return pd.DataFrame({"__row": group["__row"].iloc[:1], "ids": [np.frombuffer(b"".join(reversed(out)), np.int32)]})
 
-    traced = pieces.join(entered, ["__row", "c"]).mapInArrow(trace, "__row long, c int, shared binary, tails array<binary>, entry array<int>")
+    traced = made.drop("m").join(entered, ["__row", "c"]).mapInArrow(trace, "__row long, c int, shared binary, tails array<binary>, entry array<int>")
     ids = traced.groupBy("__row").applyInPandas(join, "__row long, ids array<int>")
     order = [f.name for f in schema_with(docs, ids="array<int>").fields]
     clash = [c for c in docs.columns if c.lower() == "ids"]
@@ -247,16 +248,18 @@ def _scan(matrices: DataFrame, states: int, span: int) -> DataFrame:
 
 def decode(docs: DataFrame, ids: str = "ids", out: str = "decoded", model: str = MODEL) -> DataFrame:
     """``docs`` with the text of its ids, exactly what was encoded; null ids give null, no ids give an empty text."""
-    sent = docs.sparkSession.sparkContext.broadcast(unigram.load(model))
+    sent = docs.sparkSession.sparkContext.broadcast(pa.array(unigram.load(model).text, pa.large_binary()))
 
     def run(batch: pa.RecordBatch) -> dict:
-        table, column = sent.value.text, batch.column(batch.schema.get_field_index(ids))
-        flat = np.asarray(column.flatten())
-        ends = np.cumsum(np.asarray(column.value_lengths().fill_null(0)), dtype=np.int64)
-        made, first = [], 0
-        for last in ends.tolist():
-            made.append(b"".join(map(table.__getitem__, flat[first:last].tolist()))[1:])
-            first = last
-        return {out: pa.array(made, pa.binary(), mask=np.asarray(column.is_null()) if column.null_count else None).cast(pa.string())}
+        column = batch.column(batch.schema.get_field_index(ids))
+        last = np.cumsum(np.append(0, column.value_lengths().fill_null(0)), dtype=np.int64)
+        _, places, data = sent.value.take(column.flatten()).buffers()
+        ends = np.frombuffer(places, np.int64)[last] if last[-1] else last
+        own = np.frombuffer(data, np.uint8) if ends[-1] else np.zeros(0, np.uint8)
+        some = np.diff(ends) > 0
+        own = np.delete(own[:ends[-1]], ends[:-1][some])          # the space in front of each text
+        ends -= np.append(0, np.cumsum(some))
+        made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(some), [None, pa.py_buffer(ends), pa.py_buffer(own)])
+        return {out: (pc.if_else(column.is_null(), None, made) if column.null_count else made).cast(pa.binary()).cast(pa.string())}
 
     return per_batch(docs, run, **{out: T.StringType()})

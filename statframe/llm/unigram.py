@@ -11,10 +11,11 @@ each other in no piece, every path has a boundary: a long word (a line of a scri
 
 from __future__ import annotations
 
-import re
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACE = "▁"
 #: Stands for a U+2581 that the text itself holds; UTF-8 text has no lone surrogates.
@@ -68,19 +69,51 @@ def normal(text: str) -> str:
     return text.replace(SPACE, LITERAL).replace(" ", SPACE)
 
 
+def raw(text: str) -> str:
+    """The text that ``normal`` was given."""
+    return text.replace(SPACE, " ").replace(LITERAL, SPACE)
+
+
 def char_bytes(c: str) -> bytes:
     return SPACE.encode() if c == LITERAL else c.encode()
 
 
-def splitter(v: Vocabulary) -> re.Pattern:
-    """Words of normalised text: best paths have a boundary between any two of them."""
-    s = re.escape(v.separators)
-    return re.compile(f"{SPACE}*[^{SPACE}{s}]+|[{s}]|{SPACE}+" if s else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+class Splitter:
+    """Cuts texts into words, and words where two ASCII characters stand next to each other in no piece: best paths have a boundary at any cut.
 
+    A word is spaces and the characters after them up to a space or a separator; a separator is one by itself. Texts are as they were given, not
+    ``normal``.
+    """
 
-def words(text: str, split: re.Pattern) -> list[str]:
-    """Words of a whole text, which gets a space in front; none of an empty text."""
-    return split.findall(SPACE + normal(text)) if text else []
+    def __init__(self, v: Vocabulary):
+        self.separators = [ord(c) for c in v.separators]
+        self.together = np.zeros(1 << 14, bool)            # pairs of ASCII characters that stand in a piece
+        for a, b in (pair.replace(SPACE, " ") for pair in v.pairs):
+            if a < "\x80" > b:
+                self.together[ord(a) << 7 | ord(b)] = True
+
+    def __call__(self, texts: pa.Array, front: str = " ") -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+        """What all texts are cut into, and for each text how many parts it and those before it have, and how many words.
+
+        ``front`` is put in front of each text; a null or empty one has no words.
+        """
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        texts = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", pc.binary_join_element_wise(front, texts, ""))
+        _, places, data = texts.buffers()
+        places = np.frombuffer(places, np.int32)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+        own = np.frombuffer(data, np.uint8)[places[0]:places[-1]] if data else np.zeros(0, np.uint8)
+        ends, size = places[1:] - places[0], len(own)
+        space, apart = own == 0x20, np.isin(own, self.separators)
+        word = np.ones(size, bool)
+        word[1:] = apart[1:] | apart[:-1] | (space[1:] & ~space[:-1])
+        word[(ends - np.diff(places))[np.diff(places) > 0]] = True
+        ascii_ = own < 0x80
+        begin = word.copy()
+        begin[1:] |= ascii_[1:] & ascii_[:-1] & ~self.together[(own[:-1] & 0x7F).astype(np.uint16) << 7 | (own[1:] & 0x7F)]
+        begins = np.append(np.flatnonzero(begin), size).astype(np.int32)
+        parts = pa.StringArray.from_buffers(len(begins) - 1, pa.py_buffer(begins), pa.py_buffer(own))
+        words = np.searchsorted(np.flatnonzero(word), ends)
+        return parts.dictionary_encode(), np.searchsorted(begins[:-1], ends), np.diff(words, prepend=0)
 
 
 def parts(v: Vocabulary, word: str) -> list[str]:

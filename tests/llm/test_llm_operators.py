@@ -216,6 +216,15 @@ def test_chunked_encoding_equals_the_whole(spark, giant, chunk, span):
     assert codec.encode(df.limit(0)).count() == 0
 
 
+def test_decoding_of_null_empty_and_control_ids(spark):
+    v = unigram.load(codec.MODEL)
+    control = next(k for k, t in enumerate(v.text) if not t)
+    ids = lambda t: unigram.trace(v, w := unigram.SPACE + unigram.normal(t), unigram.segment(v, w)[1], len(w))[0]
+    rows = [(0, None), (1, []), (2, ids("héllo ▁中 😀")), (3, [control]), (4, [control, *ids(" a")]), (5, ids("b")), (6, None)]
+    got = codec.decode(frame(spark, rows, "doc_id long, ids array<int>").coalesce(1)).collect()
+    assert {x["doc_id"]: x["decoded"] for x in got} == {0: None, 1: "", 2: "héllo ▁中 😀", 3: "", 4: " a", 5: "b", 6: None}
+
+
 # ------------------------------------------------------------------ 9 jaccard
 def _brute(data):
     sets = []

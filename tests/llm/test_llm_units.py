@@ -264,3 +264,54 @@ def test_full_cache_keeps_the_words_at_hand(vocabulary, monkeypatch):
     first = cache.results(["one two"])
     assert cache.results(["two three four"])[0][0] == first[0][1]
     assert sorted(w.strip(unigram.SPACE) for w in made) == ["four", "one", "three", "two"] and len(cache.known) == 3
+
+
+def test_words_are_not_new_with_other_punctuation(vocabulary):
+    cache, made = tokens.Cache(vocabulary, "encode"), []
+    make = cache.make
+    cache.make = lambda words: made.extend(words) or make(words)
+    got = cache.results(["there, there. there", "there; there! there,there"])
+    assert made.count("▁there") == 1 and not any(len(w) > 5 and w != "▁there" for w in made)
+    for t, own in zip(["there, there. there", "there; there! there,there"], got):
+        whole = unigram.SPACE + unigram.normal(t)
+        assert np.frombuffer(b"".join(own), np.int32).tolist() == unigram.trace(vocabulary, whole, unigram.segment(vocabulary, whole)[1], len(whole))[0]
+
+
+def test_texts_are_cut_into_words_where_no_piece_crosses(vocabulary):
+    r = random.Random(7)
+    texts = [None, "", " ", "\n", "a", " a"] + ["".join(r.choice("  abé.,\n\t\r▁中7😀") for _ in range(r.randrange(60))) for _ in range(200)]
+    separators = re.escape(vocabulary.separators)
+    word = re.compile(f" *[^ {separators}]+|[{separators}]| +")
+    for own in (pa.array(texts), pa.array(["x y", *texts, "z"])[1:-1]):
+        for front in (" ", ""):
+            parts, upto, n_words = unigram.Splitter(vocabulary)(own, front)
+            parts, whole = parts.to_pylist(), [front + t if t else "" for t in texts]
+            assert ["".join(parts[a:b]) for a, b in zip([0, *upto], upto)] == whole and all(parts)
+            assert n_words.tolist() == [len(word.findall(t)) for t in whole]
+            for t, a, b in zip(whole, [0, *upto], upto):
+                cuts = {0, *np.cumsum([len(p) for p in parts[a:b]]).tolist()}
+                assert {m.start() for m in word.finditer(t)} <= cuts
+                assert not any(unigram.normal(t[k - 1:k + 1]) in vocabulary.pairs for k in cuts if 0 < k < len(t))
+    assert [len(x) for x in unigram.Splitter(vocabulary)(pa.array([], pa.string()))] == [0, 0, 0]
+
+
+def test_cache_forgets_words_that_were_not_met(vocabulary, monkeypatch):
+    r = random.Random(8)
+    texts = [" ".join(["always", *("".join(r.choice("abehst") for _ in range(6)) for _ in range(8))]) for _ in range(60)]
+    want = [tokens.Cache(vocabulary, "encode").results([t])[0] for t in texts]
+    monkeypatch.setattr(tokens, "CACHE", 40)
+    cache, made = tokens.Cache(vocabulary, "encode"), []
+    make = cache.make
+    cache.make = lambda words: made.extend(words) or make(words)
+    for t, own in zip(texts, want):
+        assert cache.results([t])[0] == own and len(cache.known) == len(cache.became) == len(cache.met) <= 40
+    assert made.count("▁always") == 1 and len(made) > 400
+
+
+def test_ids_between_sure_boundaries_give_the_same_matrix(vocabulary):
+    cache = codec.Chunks(vocabulary, "encode")
+    body, after = unigram.normal("nd the intention, of 中文 and ▁ so on. thou"), "gh"
+    first, last = codec._boundaries(cache, "a", body)
+    between, = cache.encoded([body[first:last]])
+    assert (codec.transfer(cache, "a", body, after) == codec.transfer(cache, "a", body, after, between)).all()
+    assert cache.score(between) == unigram.segment(vocabulary, body[first:last])[0][-1]
