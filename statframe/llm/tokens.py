@@ -17,9 +17,9 @@ from statframe.llm import unigram
 from statframe.llm.common import per_batch
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 20
 #: Words that a worker remembers.
-CACHE = 1 << 19
+CACHE = 1 << 18
 
 _made: dict = {}
 
